@@ -1,18 +1,22 @@
-"""Exact global ranks and order statistics without a one-partition window.
-
-``percent_rank()``/``cume_dist()``/``percentile`` over a whole table either move
-every row into one task or keep every distinct value in one aggregator. Here:
-
-1. collapse the column to distinct values with their counts (map-side
-   combine, so a value holding a third of all rows is one row after step 1);
-2. cut the distinct values into ``buckets`` contiguous ranges at approximate
-   quantile split points (at most ``buckets`` numbers reach the driver);
-3. per-bucket totals (``buckets`` numbers) -> prefix offsets on the driver;
-4. running sum inside each bucket (a window partitioned by bucket) + offset.
+"""Exact global (or per-group) ranks and order statistics without a
+one-partition window and without one aggregator holding every value.
+
+``percent_rank()``/``cume_dist()`` over a whole table move every row into one
+task; an exact ``percentile`` keeps every distinct value in one aggregator.
+Here:
+
+1. collapse to distinct (group, value) pairs with counts (map-side combine, so
+   a value holding a third of all rows is one row after this step);
+2. cut values into ``buckets`` contiguous ranges at approximate quantile split
+   points (at most ``buckets`` numbers reach the driver);
+3. per (group, bucket) totals -> prefix offsets (groups must be few: segments,
+   clusters; at most groups x buckets numbers reach the driver);
+4. running sum inside each (group, bucket) -- a window whose partitions are
+   bounded by the bucket size -- plus the offset.
 
 The result is exact: ``n_less`` / ``n_leq`` count rows strictly below / at or
-below each distinct value. Only the split points are approximate, and they only
-decide how evenly the work is spread.
+below each distinct value within its group. Only the split points are
+approximate, and they only decide how evenly the work is spread.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+MAX_GROUPS = 10_000
+
 
 def _num_buckets(df: DataFrame, buckets: int | None) -> int:
     if buckets:
@@ -29,23 +35,28 @@ def _num_buckets(df: DataFrame, buckets: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
+def _sort_key(dtype: str) -> Column:
+    if dtype in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col("value").cast("timestamp")).cast("double")
+    return F.col("value").cast("double")
+
+
 def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
-                accuracy: int = 10_000) -> DataFrame:
-    """Distinct non-null values of ``col`` with ``cnt``, ``n_less``, ``n_leq``
-    and the total ``n`` of non-null rows.
+                group: str | None = None, accuracy: int = 10_000) -> DataFrame:
+    """Distinct non-null values of ``col`` (per ``group`` if given) with
+    ``cnt``, ``n_less``, ``n_leq`` and the group's total ``n`` (longs).
 
-    Output columns: ``value`` (the column's type), ``cnt``, ``n_less``,
-    ``n_leq``, ``n`` (all long).
+    Output: [group,] value, cnt, n_less, n_leq, n.
     """
     c = F.col(col) if isinstance(col, str) else col
-    vals = df.select(c.alias("value")).where(F.col("value").isNotNull())
+    gcols = [F.col(group)] if group else []
+    vals = df.select(*gcols, c.alias("value")).where(F.col("value").isNotNull())
     dtype = vals.schema["value"].dataType.simpleString()
     if dtype in ("double", "float"):
         vals = vals.where(~F.isnan("value"))
-    counts = vals.groupBy("value").agg(F.count(F.lit(1)).alias("cnt"))
-    key = F.col("value").cast("double") if dtype not in ("timestamp", "timestamp_ntz", "date") \
-        else F.unix_micros(F.col("value").cast("timestamp")).cast("double")
-    counts = counts.withColumn("_key", key)
+    keys = [group] if group else []
+    counts = (vals.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+              .withColumn("_key", _sort_key(dtype)))
 
     p = _num_buckets(df, buckets)
     splits = [-math.inf, math.inf]
@@ -54,81 +65,126 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
         row = counts.agg(F.percentile_approx("_key", probs, accuracy).alias("q")).first()
         inner = sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
         splits = [-math.inf] + inner + [math.inf]
-    bucketed = Bucketizer(splits=splits, inputCol="_key", outputCol="_b",
-                          handleInvalid="keep").transform(counts)
-    bucketed = bucketed.withColumn("_b", F.col("_b").cast("int"))
-
-    totals = {r["_b"]: r["t"] for r in bucketed.groupBy("_b").agg(F.sum("cnt").alias("t")).collect()}
-    nb = len(splits) - 1
-    offsets, run = [], 0
-    for b in range(nb):
-        offsets.append(run)
-        run += int(totals.get(b, 0))
-    total = run
-
-    w = Window.partitionBy("_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_b") + 1)
-    return (bucketed
-            .withColumn("n_leq", off + F.sum("cnt").over(w))
+    bucketed = (Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep")
+                .transform(counts).withColumn("_b", F.col("_b").cast("int")))
+
+    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("t")).collect()
+    if len(totals) > MAX_GROUPS * len(splits):
+        raise ValueError(f"too many groups in {group!r} for value_ranks")
+    per_group: dict = {}
+    for r in totals:
+        per_group.setdefault(r[group] if group else None, {})[r["_b"]] = int(r["t"])
+    w = Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+
+    if not group:
+        tot = per_group.get(None, {})
+        offsets, run = [], 0
+        for b in range(len(splits) - 1):
+            offsets.append(run)
+            run += tot.get(b, 0)
+        off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_b") + 1)
+        return (bucketed.withColumn("n_leq", off + F.sum("cnt").over(w))
+                .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
+                .withColumn("n", F.lit(run).cast("long"))
+                .select("value", "cnt", "n_less", "n_leq", "n"))
+
+    rows = []
+    for g, tot in per_group.items():
+        run, n = 0, sum(tot.values())
+        for b in sorted(tot):
+            rows.append((g, b, run, n))
+            run += tot[b]
+    gtype = df.select(group).schema[0].dataType.simpleString()
+    offsets = df.sparkSession.createDataFrame(rows, f"`{group}` {gtype}, _b INT, _off LONG, n LONG")
+    # offsets has exactly len(rows) <= groups x buckets rows: broadcast is bounded
+    return (bucketed.join(F.broadcast(offsets), [group, "_b"])
+            .withColumn("n_leq", F.col("_off") + F.sum("cnt").over(w))
             .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
-            .withColumn("n", F.lit(total).cast("long"))
-            .select("value", "cnt", "n_less", "n_leq", "n"))
+            .select(group, "value", "cnt", "n_less", "n_leq", "n"))
 
 
-def order_statistics(ranks: DataFrame, positions: list[int]) -> dict[int, object]:
-    """Values at 0-based sorted positions, read from a ``value_ranks`` table.
-    Collects at most ``len(positions)`` rows."""
-    wanted = sorted({int(p) for p in positions})
-    if not wanted:
-        return {}
+def order_statistics(ranks: DataFrame, positions: list[int], group: str | None = None,
+                     group_positions: dict | None = None) -> dict:
+    """Values at 0-based sorted positions from a ``value_ranks`` table.
+
+    Global: ``positions`` -> {pos: value}. Grouped: ``group_positions`` maps
+    group -> positions and the result is {group: {pos: value}}. Collects one
+    row per requested position at most.
+    """
+    if group is None:
+        wanted = sorted({int(p) for p in positions})
+        if not wanted:
+            return {}
+        cond = None
+        for p in wanted:
+            term = (F.col("n_less") <= p) & (F.col("n_leq") > p)
+            cond = term if cond is None else (cond | term)
+        rows = ranks.where(cond).select("value", "n_less", "n_leq").collect()
+        return {p: r["value"] for p in wanted for r in rows if r["n_less"] <= p < r["n_leq"]}
     cond = None
-    for p in wanted:
-        term = (F.col("n_less") <= p) & (F.col("n_leq") > p)
-        cond = term if cond is None else (cond | term)
-    rows = ranks.where(cond).select("value", "n_less", "n_leq").collect()
-    out = {}
-    for p in wanted:
-        for r in rows:
-            if r["n_less"] <= p < r["n_leq"]:
-                out[p] = r["value"]
-                break
+    for g, ps in group_positions.items():
+        for p in sorted(set(ps)):
+            term = (F.col(group) == F.lit(g)) & (F.col("n_less") <= p) & (F.col("n_leq") > p)
+            cond = term if cond is None else (cond | term)
+    if cond is None:
+        return {}
+    rows = ranks.where(cond).select(group, "value", "n_less", "n_leq").collect()
+    out: dict = {}
+    for g, ps in group_positions.items():
+        for p in ps:
+            for r in rows:
+                if r[group] == g and r["n_less"] <= p < r["n_leq"]:
+                    out.setdefault(g, {})[p] = r["value"]
+                    break
     return out
 
 
+def _interp(stats: dict, n: int, q: float):
+    h = (n - 1) * float(q)
+    lo = int(math.floor(h))
+    hi = min(lo + 1, n - 1)
+    a, b = float(stats[lo]), float(stats[hi])
+    t = h - lo
+    return a if t == 0 or a == b else a + (b - a) * t
+
+
+def _positions(n: int, qs) -> list[int]:
+    pos = []
+    for q in qs:
+        lo = int(math.floor((n - 1) * float(q)))
+        pos += [lo, min(lo + 1, n - 1)]
+    return pos
+
+
 def exact_quantiles(df: DataFrame, col: str | Column, qs: list[float],
                     buckets: int | None = None, ranks: DataFrame | None = None
                     ) -> tuple[list[float | None], int]:
     """Linear-interpolated quantiles (numpy/pandas default, DuckDB
-    ``quantile_cont``) computed exactly and in a distributed way.
-
-    Returns (values, n). Values are None when the column has no rows."""
+    ``quantile_cont``), exact and distributed. Returns (values, n)."""
     r = ranks if ranks is not None else value_ranks(df, col, buckets)
     first = r.select("n").limit(1).collect()
     n = int(first[0]["n"]) if first else 0
     if n == 0:
         return [None] * len(qs), 0
-    pos = []
-    for q in qs:
-        h = (n - 1) * float(q)
-        lo = int(math.floor(h))
-        pos += [lo, min(lo + 1, n - 1)]
-    stats = order_statistics(r, pos)
-    out = []
-    for q in qs:
-        h = (n - 1) * float(q)
-        lo = int(math.floor(h))
-        hi = min(lo + 1, n - 1)
-        a, b = float(stats[lo]), float(stats[hi])
-        t = h - lo
-        out.append(a if t == 0 or a == b else a + (b - a) * t)
-    return out, n
+    stats = order_statistics(r, _positions(n, qs))
+    return [_interp(stats, n, q) for q in qs], n
+
+
+def exact_quantiles_by(df: DataFrame, col: str, group: str, qs: list[float],
+                       buckets: int | None = None) -> dict:
+    """Per-group linear-interpolated quantiles: {group: [values]} (few groups)."""
+    r = value_ranks(df, col, buckets, group=group)
+    sizes = {row[group]: int(row["n"]) for row in r.select(group, "n").distinct().collect()}
+    stats = order_statistics(r, [], group=group,
+                             group_positions={g: _positions(n, qs) for g, n in sizes.items()})
+    return {g: [_interp(stats[g], n, q) for q in qs] for g, n in sizes.items()}
 
 
 def attach_ranks(df: DataFrame, col: str, prefix: str, buckets: int | None = None,
                  ranks: DataFrame | None = None) -> DataFrame:
     """Join ``{prefix}n_less``, ``{prefix}n_leq``, ``{prefix}n`` onto every row
-    by value (an equi-join: AQE broadcasts the distinct-value side when it has
-    measured it small, and splits a hot value on the row side otherwise)."""
+    by value. An equi-join: AQE broadcasts the distinct-value side once it has
+    measured it small, and splits a hot value on the row side otherwise."""
     r = ranks if ranks is not None else value_ranks(df, col, buckets)
     r = r.select(F.col("value").alias(col),
                  F.col("n_less").alias(prefix + "n_less"),
