@@ -124,9 +124,9 @@ def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: boo
         if counts["nd"] > 0:
             valid = df.where(F.col("_d").isNotNull())
             ranks = value_ranks(valid, "_d")
-            head = ranks.select("n").limit(1).collect()
-            if head:
-                fallback = order_statistics(ranks, [int(head[0]["n"]) // 2])[int(head[0]["n"]) // 2]
+            if ranks.n() > 0:
+                mid = ranks.n() // 2
+                fallback = order_statistics(ranks, [mid])[mid]
         fb = (F.lit(fallback).cast("timestamp_ntz") if fallback is not None
               else F.lit(dims.DEFAULT_DATE).cast("timestamp_ntz"))
         df = (df.withColumn("_imp_invoice_date", F.col("_d").isNull())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rfmlens import dims
 from rfmlens.functions import band_color, format_currency
-from rfmlens.operators.ranks import attach_ranks
+from rfmlens.operators.ranks import attach_ranks, feature_ranks, feature_table
 
 FEATURES = ("Recency", "Frequency", "Monetary")
 
@@ -23,8 +23,9 @@ def percentile_standing(scored: DataFrame, buckets: int | None = None) -> DataFr
     rank both ascending (#1 = lowest spender, as the reference shows it) and
     descending."""
     out = scored
+    ranks = feature_ranks(scored, list(FEATURES), buckets)
     for f, p in (("Recency", "r_"), ("Frequency", "f_"), ("Monetary", "m_")):
-        out = attach_ranks(out, f, p, buckets)
+        out = attach_ranks(out, f, p, ranks=feature_table(ranks, f))
     pct = {f: F.col(f"{p}n_leq") * 100.0 / F.col(f"{p}n")
            for f, p in (("Recency", "r_"), ("Frequency", "f_"), ("Monetary", "m_"))}
     return out.select(

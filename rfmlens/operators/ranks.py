@@ -29,6 +29,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 MAX_GROUPS = 10_000
 
 
+class RankTable:
+    """A ``value_ranks`` result: the distributed table plus the row totals
+    (per group, or under key None) that the driver already knows."""
+
+    def __init__(self, df: DataFrame, totals: dict, group: str | None):
+        self.df, self.totals, self.group = df, totals, group
+
+    def n(self, g=None) -> int:
+        return int(self.totals.get(g, 0))
+
+
 def _num_buckets(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return max(1, int(buckets))
@@ -42,7 +53,7 @@ def _sort_key(dtype: str) -> Column:
 
 
 def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
-                group: str | None = None, accuracy: int = 10_000) -> DataFrame:
+                group: str | None = None, accuracy: int = 10_000) -> RankTable:
     """Distinct non-null values of ``col`` (per ``group`` if given) with
     ``cnt``, ``n_less``, ``n_leq`` and the group's total ``n`` (longs).
 
@@ -83,13 +94,15 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
             offsets.append(run)
             run += tot.get(b, 0)
         off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_b") + 1)
-        return (bucketed.withColumn("n_leq", off + F.sum("cnt").over(w))
-                .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
-                .withColumn("n", F.lit(run).cast("long"))
-                .select("value", "cnt", "n_less", "n_leq", "n"))
+        out = (bucketed.withColumn("n_leq", off + F.sum("cnt").over(w))
+               .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
+               .withColumn("n", F.lit(run).cast("long"))
+               .select("value", "cnt", "n_less", "n_leq", "n"))
+        return RankTable(out, {None: run}, None)
 
-    rows = []
+    rows, sizes = [], {}
     for g, tot in per_group.items():
+        sizes[g] = sum(tot.values())
         run, n = 0, sum(tot.values())
         for b in sorted(tot):
             rows.append((g, b, run, n))
@@ -97,13 +110,29 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
     gtype = df.select(group).schema[0].dataType.simpleString()
     offsets = df.sparkSession.createDataFrame(rows, f"`{group}` {gtype}, _b INT, _off LONG, n LONG")
     # offsets has exactly len(rows) <= groups x buckets rows: broadcast is bounded
-    return (bucketed.join(F.broadcast(offsets), [group, "_b"])
-            .withColumn("n_leq", F.col("_off") + F.sum("cnt").over(w))
-            .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
-            .select(group, "value", "cnt", "n_less", "n_leq", "n"))
+    out = (bucketed.join(F.broadcast(offsets), [group, "_b"])
+           .withColumn("n_leq", F.col("_off") + F.sum("cnt").over(w))
+           .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
+           .select(group, "value", "cnt", "n_less", "n_leq", "n"))
+    return RankTable(out, sizes, group)
+
+
+def feature_ranks(df: DataFrame, features: list[str], buckets: int | None = None) -> RankTable:
+    """Ranks of several numeric columns in one pass: the columns are stacked
+    into (feature, value) pairs and ranked per feature, so the split points
+    and the totals of all of them cost one small job each."""
+    pairs = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
+    long = df.selectExpr(f"stack({len(features)}, {pairs}) AS (feature, x)")
+    return value_ranks(long, "x", buckets, group="feature")
+
 
+def feature_table(ranks: RankTable, feature: str) -> RankTable:
+    """One feature's slice of a ``feature_ranks`` table, as a global table."""
+    df = ranks.df.where(F.col(ranks.group) == feature).drop(ranks.group)
+    return RankTable(df, {None: ranks.n(feature)}, None)
 
-def order_statistics(ranks: DataFrame, positions: list[int], group: str | None = None,
+
+def order_statistics(ranks, positions: list[int], group: str | None = None,
                      group_positions: dict | None = None) -> dict:
     """Values at 0-based sorted positions from a ``value_ranks`` table.
 
@@ -111,6 +140,8 @@ def order_statistics(ranks: DataFrame, positions: list[int], group: str | None =
     group -> positions and the result is {group: {pos: value}}. Collects one
     row per requested position at most.
     """
+    if isinstance(ranks, RankTable):
+        ranks = ranks.df
     if group is None:
         wanted = sorted({int(p) for p in positions})
         if not wanted:
@@ -157,37 +188,41 @@ def _positions(n: int, qs) -> list[int]:
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, qs: list[float],
-                    buckets: int | None = None, ranks: DataFrame | None = None
+                    buckets: int | None = None, ranks: RankTable | None = None
                     ) -> tuple[list[float | None], int]:
     """Linear-interpolated quantiles (numpy/pandas default, DuckDB
     ``quantile_cont``), exact and distributed. Returns (values, n)."""
     r = ranks if ranks is not None else value_ranks(df, col, buckets)
-    first = r.select("n").limit(1).collect()
-    n = int(first[0]["n"]) if first else 0
+    n = r.n()
     if n == 0:
         return [None] * len(qs), 0
     stats = order_statistics(r, _positions(n, qs))
     return [_interp(stats, n, q) for q in qs], n
 
 
+def grouped_quantiles(r: RankTable, qs: list[float]) -> dict:
+    """{group: [quantiles]} from a grouped ``RankTable`` (one small job)."""
+    sizes = {g: n for g, n in r.totals.items() if n > 0}
+    stats = order_statistics(r, [], group=r.group,
+                             group_positions={g: _positions(n, qs) for g, n in sizes.items()})
+    return {g: [_interp(stats[g], n, q) for q in qs] for g, n in sizes.items()}
+
+
 def exact_quantiles_by(df: DataFrame, col: str, group: str, qs: list[float],
                        buckets: int | None = None) -> dict:
     """Per-group linear-interpolated quantiles: {group: [values]} (few groups)."""
-    r = value_ranks(df, col, buckets, group=group)
-    sizes = {row[group]: int(row["n"]) for row in r.select(group, "n").distinct().collect()}
-    stats = order_statistics(r, [], group=group,
-                             group_positions={g: _positions(n, qs) for g, n in sizes.items()})
-    return {g: [_interp(stats[g], n, q) for q in qs] for g, n in sizes.items()}
+    return grouped_quantiles(value_ranks(df, col, buckets, group=group), qs)
 
 
 def attach_ranks(df: DataFrame, col: str, prefix: str, buckets: int | None = None,
-                 ranks: DataFrame | None = None) -> DataFrame:
+                 ranks: RankTable | None = None) -> DataFrame:
     """Join ``{prefix}n_less``, ``{prefix}n_leq``, ``{prefix}n`` onto every row
     by value. An equi-join: AQE broadcasts the distinct-value side once it has
     measured it small, and splits a hot value on the row side otherwise."""
     r = ranks if ranks is not None else value_ranks(df, col, buckets)
-    r = r.select(F.col("value").alias(col),
-                 F.col("n_less").alias(prefix + "n_less"),
-                 F.col("n_leq").alias(prefix + "n_leq"),
-                 F.col("n").alias(prefix + "n"))
-    return df.join(r, on=col, how="left")
+    key_type = df.schema[col].dataType.simpleString()
+    t = r.df.select(F.col("value").cast(key_type).alias(col),
+                    F.col("n_less").alias(prefix + "n_less"),
+                    F.col("n_leq").alias(prefix + "n_leq"),
+                    F.col("n").alias(prefix + "n"))
+    return df.join(t, on=col, how="left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rfmlens import dims
-from rfmlens.operators.ranks import exact_quantiles
+from rfmlens.operators.ranks import exact_quantiles, feature_ranks, grouped_quantiles
 
 QUINTILE_POINTS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 # feature -> (score column, higher value means higher score?)
@@ -23,6 +23,16 @@ def quintile_edges(df: DataFrame, col: str, buckets: int | None = None) -> list[
     return edges
 
 
+def quintile_edges_all(df: DataFrame, cols: list[str], buckets: int | None = None) -> dict:
+    """``quintile_edges`` of several columns from one ranked pass."""
+    q = grouped_quantiles(feature_ranks(df, cols, buckets), QUINTILE_POINTS)
+    out = {}
+    for c in cols:
+        e = q.get(c)
+        out[c] = None if e is None or len(set(e)) < len(e) else e
+    return out
+
+
 def quintile_score(col: str, edges: list[float] | None, ascending: bool = True) -> Column:
     """Bin 1..5 with right-closed bins and the lowest edge included, i.e.
     1 + number of inner edges strictly below the value; reversed when a lower
@@ -51,7 +61,7 @@ def add_rfm_scores(rfm: DataFrame, buckets: int | None = None,
     small driver reads per feature); the scoring itself is a projection.
     """
     if edges is None:
-        edges = {f: quintile_edges(rfm, f, buckets) for f, _, _ in SCORE_SPEC}
+        edges = quintile_edges_all(rfm, [f for f, _, _ in SCORE_SPEC], buckets)
     out = rfm
     for f, name, asc in SCORE_SPEC:
         out = out.withColumn(name, quintile_score(f, edges[f], asc))

@@ -19,15 +19,17 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rfmlens.operators.ranks import attach_ranks, exact_quantiles, value_ranks
+from rfmlens.operators.ranks import (attach_ranks, feature_ranks, feature_table, grouped_quantiles,
+                                     order_statistics)
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
 
 
 def fit_caps(rfm: DataFrame, features=FEATURES, q: float = 0.99,
              buckets: int | None = None) -> dict[str, float]:
-    """M1: per-feature cap = exact linear ``q`` quantile."""
-    return {f: float(exact_quantiles(rfm, f, [q], buckets)[0][0]) for f in features}
+    """M1: per-feature cap = exact linear ``q`` quantile (one ranked pass)."""
+    qs = grouped_quantiles(feature_ranks(rfm, list(features), buckets), [q])
+    return {f: float(qs[f][0]) for f in features}
 
 
 def cap_report(rfm: DataFrame, caps: dict[str, float]) -> DataFrame:
@@ -81,26 +83,26 @@ def fit_transform(rfm: DataFrame, features=FEATURES, cap_q: float = 0.99, max_kn
     for f in features:
         out = out.withColumn(f"_c_{f}", F.least(F.col(f).cast("double"), F.lit(float(caps[f]))))
     model = QuantileModel(caps)
+    all_ranks = feature_ranks(out, [f"_c_{f}" for f in features], buckets)
     for i, f in enumerate(features):
-        ranks = value_ranks(out, f"_c_{f}", buckets)
+        ranks = feature_table(all_ranks, f"_c_{f}")
         model.knots[f] = _knots(ranks, max_knots)
         p = f"_r{i}_"
         out = attach_ranks(out, f"_c_{f}", p, ranks=ranks).withColumn(f"{f}_s", midrank_column(p)) \
             .drop(p + "n_less", p + "n_leq", p + "n")
-        model.n = int(ranks.select("n").first()[0])
+        model.n = ranks.n()
     return out.drop(*[f"_c_{f}" for f in features]), model
 
 
-def _knots(ranks: DataFrame, max_knots: int) -> list[tuple[float, float, float]]:
+def _knots(table, max_knots: int) -> list[tuple[float, float, float]]:
     """(value, lo, hi) in reference units; at most ``max_knots`` distinct values
     reach the driver."""
-    head = ranks.select("n").limit(1).collect()
-    n = int(head[0]["n"]) if head else 0
+    n, ranks = table.n(), table.df
     if n <= 1:
         return [(float(r["value"]), 0.0, 0.0) for r in ranks.select("value").collect()]
-    distinct = ranks.count()
-    if distinct <= max_knots:
-        rows = ranks.select("value", "n_less", "n_leq").orderBy("value").collect()
+    rows = ranks.select("value", "n_less", "n_leq").limit(max_knots + 1).collect()
+    if len(rows) <= max_knots:
+        rows = sorted(rows, key=lambda r: r["value"])
         return [(float(r["value"]), r["n_less"] / (n - 1), (r["n_leq"] - 1) / (n - 1)) for r in rows]
     # order statistics at m evenly spaced ranks: positions i*(n-1)/(m-1) (floor)
     m = max_knots
