@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from rfmlens import dims
@@ -65,12 +67,20 @@ def band_color(c) -> Column:
             .otherwise(F.lit("#ef4444")))
 
 
+def _time_of_day_micros(c: Column) -> Column:
+    return ((F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000
+            + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long"))
+
+
 def days_between(start, end) -> Column:
-    """A2: whole days elapsed from ``start`` to ``end``, like a timedelta's
-    ``.days`` for non-negative gaps (23:00 -> 22:00 two dates later is 1 day;
-    ``datediff`` would say 2). Works on TIMESTAMP_NTZ without a time zone.
-    Negative gaps truncate toward zero; callers clamp them at 0."""
-    return F.timestamp_diff("DAY", _c(start), _c(end))
+    """A2: whole days elapsed from ``start`` to ``end`` rounded down, like a
+    timedelta's ``.days`` (23:00 -> 22:00 two dates later is 1 day, where
+    ``datediff`` says 2). Wall-clock arithmetic on TIMESTAMP_NTZ: calendar
+    days minus one when the end's time of day is earlier; no time zone is
+    involved, so DST cannot shift a result."""
+    s, e = _c(start), _c(end)
+    days = F.datediff(F.to_date(e), F.to_date(s)).cast("long")
+    return days - F.when(_time_of_day_micros(e) < _time_of_day_micros(s), 1).otherwise(0)
 
 
 def sample_skewness(c) -> Column:
@@ -78,3 +88,11 @@ def sample_skewness(c) -> Column:
     population form): g1 * sqrt(n(n-1)) / (n-2)."""
     n = F.count(_c(c)).cast("double")
     return F.when(n > 2, F.skewness(_c(c)) * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def const_array(values, element_type: str = "double") -> Column:
+    """A constant array column from a Python list in one literal: a JSON text
+    that Catalyst's constant folding turns into a single array literal
+    (thousands of ``F.lit`` calls would each cross into the JVM)."""
+    return F.from_json(F.lit(json.dumps([None if v is None else v for v in values])),
+                       f"array<{element_type}>")

@@ -20,7 +20,9 @@ DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss",
     "yyyy/MM/dd", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d.M.yyyy",
 ]
-_NUMBER_RE = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+# Spark's text -> double cast also accepts Java float suffixes (``1d``, ``2f``)
+# that a CSV reader would reject; text ending in one of them is refused.
+_JAVA_SUFFIX_RE = r"[dDfF]\s*$"
 
 REPORT_SCHEMA = "section STRING, key STRING, value BIGINT, detail STRING"
 
@@ -44,7 +46,7 @@ def parse_number(c: Column, dtype: T.DataType) -> Column:
         d = c.cast("double")
     else:
         s = c.cast("string")
-        d = F.when(s.rlike(_NUMBER_RE), strip_ws(s).try_cast("double"))
+        d = F.when(~s.rlike(_JAVA_SUFFIX_RE), s.try_cast("double"))
     return F.when(~F.isnan(d), d)
 
 
@@ -112,10 +114,16 @@ def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: boo
         df = df.withColumn("_d", parse_date(F.col("invoice_date"), types["invoice_date"], date_formats))
     if present["quantity"]:
         df = df.withColumn("_q", parse_number(F.col("quantity"), types["quantity"]))
+    # one pass decides every fallback when no quantity is missing: then the
+    # rows kept by the quantity filter are known without imputation
+    q_ok = (F.col("_q") > 0) if present["quantity"] else F.lit(True)
+    p_missing = (parse_number(F.col("unit_price"), types["unit_price"]).isNull()
+                 if present["unit_price"] else F.lit(False))
     counts = df.agg(
         F.count(F.lit(1)).alias("n"),
         (F.count_if(F.col("_d").isNull()) if present["invoice_date"] else F.lit(0)).alias("nd"),
         (F.count_if(F.col("_q").isNull()) if present["quantity"] else F.lit(0)).alias("nq"),
+        F.count_if(q_ok & p_missing).alias("np"),
     ).first()
 
     # invoice_date
@@ -160,7 +168,8 @@ def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: boo
         p = parse_number(F.col("unit_price"), types["unit_price"])
         df = (df.withColumn("unit_price", p)
               .withColumn("_imp_unit_price", F.col("_keep_q") & F.col("unit_price").isNull()))
-        np_missing = df.agg(F.count_if(F.col("_imp_unit_price"))).first()[0]
+        np_missing = (df.agg(F.count_if(F.col("_imp_unit_price"))).first()[0]
+                      if counts["nq"] > 0 else counts["np"])
         if np_missing > 0:
             pool = F.col("_keep_q") & F.col("unit_price").isNotNull()
             gmed = _global_median(df.where(pool), "unit_price")

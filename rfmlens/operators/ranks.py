@@ -26,6 +26,8 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rfmlens.functions.expressions import const_array
+
 MAX_GROUPS = 10_000
 
 
@@ -73,7 +75,7 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
     splits = [-math.inf, math.inf]
     if p > 1:
         probs = [i / p for i in range(1, p)]
-        row = counts.agg(F.percentile_approx("_key", probs, accuracy).alias("q")).first()
+        row = counts.agg(F.percentile_approx("_key", const_array(probs), accuracy).alias("q")).first()
         inner = sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
         splits = [-math.inf] + inner + [math.inf]
     bucketed = (Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep")
@@ -93,7 +95,7 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
         for b in range(len(splits) - 1):
             offsets.append(run)
             run += tot.get(b, 0)
-        off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_b") + 1)
+        off = F.element_at(const_array(offsets, "bigint"), F.col("_b") + 1)
         out = (bucketed.withColumn("n_leq", off + F.sum("cnt").over(w))
                .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
                .withColumn("n", F.lit(run).cast("long"))

@@ -7,6 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rfmlens.functions import bround, days_between, sample_skewness
+from rfmlens.session import checkpoint_dir
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
 
@@ -28,24 +29,35 @@ def snapshot_date(df: DataFrame, date_col: str = "invoice_date") -> DataFrame:
     return df.agg((F.max(date_col) + F.expr("INTERVAL 1 DAY")).alias("snapshot_date"))
 
 
-def compute_rfm(df: DataFrame, snapshot=None, keep_last: bool = False) -> DataFrame:
+def compute_rfm(df: DataFrame, snapshot=None, keep_last: bool = False,
+                materialize: bool = True) -> DataFrame:
     """One row per customer with Recency, Frequency, Monetary.
 
     A single ``groupBy(customer_id)``: the distinct invoice count is planned
     with a first exchange on (customer, invoice), so a customer holding a third
     of all lines is still spread over many tasks before its final merge.
-    The default snapshot is a scalar subquery over the per-customer maxima
-    (max of maxima = global max), so it reuses the aggregate's exchange
-    instead of scanning the line items again.
+
+    The default snapshot (last purchase + 1 day) needs the global maximum
+    of the per-customer maxima. With ``materialize`` the per-customer table
+    is checkpointed to the shared checkpoint folder (it is far smaller than
+    the line items), the maximum is read from it and the lineage back to the
+    line items is cut; otherwise the snapshot is a scalar subquery, which
+    costs a second pass over the line items.
     """
     per_customer = (df.groupBy("customer_id")
                     .agg(F.max("invoice_date").alias("last_purchase"),
                          F.countDistinct("invoice_id").alias("Frequency"),
                          F.sum("line_total").alias("Monetary")))
-    if snapshot is None:
-        snap = per_customer.agg(F.max("last_purchase") + F.expr("INTERVAL 1 DAY")).scalar()
-    else:
+    if snapshot is not None:
         snap = _snapshot_literal(snapshot)
+    elif materialize:
+        checkpoint_dir(df.sparkSession)
+        per_customer = per_customer.checkpoint(eager=True)
+        last = per_customer.agg(F.max("last_purchase")).first()[0]
+        snap = (F.lit(last).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")) if last is not None \
+            else F.lit(None).cast("timestamp_ntz")
+    else:
+        snap = per_customer.agg(F.max("last_purchase") + F.expr("INTERVAL 1 DAY")).scalar()
     rfm = per_customer.select(
         "customer_id",
         F.greatest(days_between("last_purchase", snap), F.lit(0)).cast("long").alias("Recency"),

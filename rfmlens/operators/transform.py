@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rfmlens.functions import const_array
 from rfmlens.operators.ranks import (attach_ranks, feature_ranks, feature_table, grouped_quantiles,
                                      order_statistics)
 
@@ -138,9 +139,9 @@ def transform(df: DataFrame, model: QuantileModel, features=FEATURES, suffix: st
         b = f"_b_{f}"
         out = Bucketizer(splits=[float("-inf")] + vals + [float("inf")], inputCol=f"_c_{f}",
                          outputCol=b, handleInvalid="keep").transform(out)
-        v = F.array(*[F.lit(k[0]) for k in knots])
-        lo = F.array(*[F.lit(k[1]) for k in knots])
-        hi = F.array(*[F.lit(k[2]) for k in knots])
+        v = const_array([k[0] for k in knots])
+        lo = const_array([k[1] for k in knots])
+        hi = const_array([k[2] for k in knots])
         i = F.col(b).cast("int")                     # bucket i: vals[i-1] <= x < vals[i]
         v0, v1 = F.element_at(v, i), F.element_at(v, i + 1)
         h0, l1 = F.element_at(hi, i), F.element_at(lo, i + 1)
