@@ -96,3 +96,15 @@ def const_array(values, element_type: str = "double") -> Column:
     (thousands of ``F.lit`` calls would each cross into the JVM)."""
     return F.from_json(F.lit(json.dumps([None if v is None else v for v in values])),
                        f"array<{element_type}>")
+
+
+def cents_mean(c) -> Column:
+    """Aggregate: mean of a money column rounded half-even to whole cents,
+    computed from integer cents (sum, integer division, remainder), so the
+    result does not depend on the order in which rows are added up."""
+    cents = F.round(_c(c) * 100).cast("long")
+    s, n = F.sum(cents), F.count(cents)
+    q = F.floor(s / n).cast("long")
+    rem = s - q * n
+    up = F.when(2 * rem > n, 1).when((2 * rem == n) & (F.pmod(q, F.lit(2)) == 1), 1).otherwise(0)
+    return (q + up) / 100.0

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rfmlens import dims
-from rfmlens.functions import bround, day_text, format_currency, percent_text, safe_ratio
+from rfmlens.functions import bround, cents_mean, day_text, format_currency, percent_text, safe_ratio
 from rfmlens.operators.ranks import exact_quantiles_by
 
 
@@ -114,7 +114,7 @@ def cluster_quality(scored: DataFrame, silhouette_col: str | None = "silhouette"
     """By (Cluster, Segment): N, share of customers (%), Avg R/F/M,
     Avg RFM_Total and mean silhouette, rounded to 2 (half-even), by Avg_M."""
     aggs = [F.count(F.lit(1)).alias("N"), F.avg("Recency").alias("Avg_R"),
-            F.avg("Frequency").alias("Avg_F"), F.avg("Monetary").alias("Avg_M"),
+            F.avg("Frequency").alias("Avg_F"), cents_mean("Monetary").alias("Avg_M"),
             F.avg("RFM_Total").alias("Avg_RFM")]
     if silhouette_col:
         aggs.append(F.avg(silhouette_col).alias("Sil_Score"))

@@ -328,7 +328,12 @@ def _quality_spark(spark, sf):
 
 
 CQ_SQL = """cq AS (
-  SELECT s.Cluster, Segment, count(*) AS N, avg(Recency) AS Avg_R, avg(Frequency) AS Avg_F, avg(Monetary) AS Avg_M,
+  SELECT s.Cluster, Segment, count(*) AS N, avg(Recency) AS Avg_R, avg(Frequency) AS Avg_F,
+         (sum(CAST(round(Monetary * 100) AS BIGINT)) // count(*)
+          + CASE WHEN 2 * (sum(CAST(round(Monetary * 100) AS BIGINT)) % count(*)) > count(*) THEN 1
+                 WHEN 2 * (sum(CAST(round(Monetary * 100) AS BIGINT)) % count(*)) = count(*)
+                      AND (sum(CAST(round(Monetary * 100) AS BIGINT)) // count(*)) % 2 = 1 THEN 1 ELSE 0 END
+         ) / 100.0 AS Avg_M,
          avg(RFM_Total) AS Avg_RFM, avg(silhouette) AS Sil_Score
   FROM scaled s JOIN sil USING (customer_id) GROUP BY s.Cluster, Segment),
 cq2 AS (SELECT Cluster, Segment, N, CAST(round_even(N * 100.0 / sum(N) OVER (), 2) AS DOUBLE) AS Pct,
