@@ -14,7 +14,7 @@ from rfmlens.operators.labels import apply_labels, assign_segment_labels
 from rfmlens.operators.rfm import compute_rfm
 from rfmlens.operators.scoring import add_rfm_scores
 from rfmlens.operators.transform import fit_transform
-from rfmlens.sources.readers import txn, txn_events, with_line_total
+from rfmlens.sources.readers import txn, txn_events, txn_invoices, with_line_total
 
 N_SURROGATE = 5
 _CACHE: dict = {}
@@ -36,7 +36,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "rfm", lambda: compute_rfm(lines(spark, sf_dir)).cache())
+    """RFM from invoice-level rows (lines pre-aggregated per order)."""
+    return _memo(spark, sf_dir, "rfm", lambda: compute_rfm(txn_invoices(spark, sf_dir)).cache())
 
 
 def rfm_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,26 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price")))
 
 
+def txn_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``txn`` summed per invoice *before* the join: what RFM needs.
+
+    Recency, Frequency and Monetary only use per-invoice facts (date, the
+    invoice id, the sum of line totals), so the lines are aggregated by order
+    key first. The partial aggregate runs map-side (line files are clustered
+    by order), so the join's shuffle carries about one row per order instead
+    of one per line.
+    """
+    lines = (read_table(spark, sf_dir, "lineitem")
+             .groupBy("l_orderkey")
+             .agg(F.sum(F.col("l_quantity") * (F.col("l_extendedprice") / F.col("l_quantity"))).alias("line_total")))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+            .select(F.col("o_custkey").cast("string").alias("customer_id"),
+                    F.col("o_orderkey").cast("string").alias("invoice_id"),
+                    F.col("o_orderdate").cast("timestamp_ntz").alias("invoice_date"),
+                    "line_total"))
+
+
 def txn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as line items (timestamps with time of day)."""
     ev = read_table(spark, sf_dir, "events")
