@@ -657,6 +657,100 @@ def q_metrics(spark, sf):
                                       "calinski_harabasz DOUBLE, davies_bouldin DOUBLE, verdict STRING")
 
 
+def _norm_sql(c: str, lower_better: bool) -> str:
+    rng = f"CASE WHEN max({c}) OVER () - min({c}) OVER () > 0 THEN max({c}) OVER () - min({c}) OVER () ELSE 1 END"
+    v = f"({c} - min({c}) OVER ()) / {rng}"
+    return f"(1 - {v})" if lower_better else v
+
+
+K_SQL = """kv AS (SELECT * FROM (VALUES (3), (4), (5), (6), (7), (8)) t(k)),
+kf AS (SELECT k, customer_id, Recency_s AS x1, Frequency_s AS x2, Monetary_s AS x3,
+              CAST(least(floor(Monetary_s * k), k - 1) AS INTEGER) AS Cluster FROM scaled, kv),
+kcs AS (SELECT k, Cluster, count(*) AS N, sum(x1) AS s1, sum(x2) AS s2, sum(x3) AS s3,
+               sum(x1 * x1 + x2 * x2 + x3 * x3) AS psi, avg(x1) AS c1, avg(x2) AS c2, avg(x3) AS c3
+        FROM kf GROUP BY k, Cluster),
+kmd AS (SELECT f.k, f.customer_id, f.Cluster AS own, c.Cluster AS other, c.N,
+               (x1 * x1 + x2 * x2 + x3 * x3) + c.psi / c.N - 2 * (x1 * c.s1 + x2 * c.s2 + x3 * c.s3) / c.N AS d
+        FROM kf f JOIN kcs c ON f.k = c.k),
+kab AS (SELECT k, customer_id, max(CASE WHEN other = own THEN N END) AS own_n,
+               max(CASE WHEN other = own AND N > 1 THEN d * N / (N - 1) END) AS a,
+               min(CASE WHEN other <> own THEN d END) AS b
+        FROM kmd GROUP BY k, customer_id, own),
+ksil AS (SELECT k, avg(CASE WHEN own_n <= 1 THEN 0.0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END)
+                AS silhouette FROM kab GROUP BY k),
+kd AS (SELECT f.k, f.Cluster, pow(x1 - c1, 2) + pow(x2 - c2, 2) + pow(x3 - c3, 2) AS d2
+       FROM kf f JOIN kcs c ON f.k = c.k AND f.Cluster = c.Cluster),
+kin AS (SELECT k, sum(d2) AS inertia FROM kd GROUP BY k),
+ksp AS (SELECT k, Cluster, avg(sqrt(d2)) AS sp FROM kd GROUP BY k, Cluster),
+kdb AS (SELECT k, avg(worst) AS davies_bouldin FROM (
+          SELECT a.k, a.Cluster,
+                 max((sa.sp + sb.sp) / sqrt(pow(a.c1 - b.c1, 2) + pow(a.c2 - b.c2, 2) + pow(a.c3 - b.c3, 2))) AS worst
+          FROM kcs a JOIN kcs b ON a.k = b.k AND a.Cluster <> b.Cluster
+               JOIN ksp sa ON sa.k = a.k AND sa.Cluster = a.Cluster
+               JOIN ksp sb ON sb.k = b.k AND sb.Cluster = b.Cluster
+          GROUP BY a.k, a.Cluster) GROUP BY k),
+kgm AS (SELECT avg(Recency_s) AS g1, avg(Frequency_s) AS g2, avg(Monetary_s) AS g3, count(*) AS n_all FROM scaled),
+kch AS (SELECT k, sum(kcs.N * (pow(c1 - g1, 2) + pow(c2 - g2, 2) + pow(c3 - g3, 2))) AS between,
+               count(*) AS kk, any_value(n_all) AS n_all FROM kcs, kgm GROUP BY k),
+km AS (SELECT k, inertia, silhouette, between * (n_all - kk) / (inertia * (kk - 1)) AS calinski_harabasz, davies_bouldin
+       FROM kin JOIN ksil USING (k) JOIN kch USING (k) JOIN kdb USING (k)),
+kcons AS (SELECT *, (""" + " + ".join([_norm_sql("inertia", True), _norm_sql("silhouette", False),
+                                       _norm_sql("calinski_harabasz", False), _norm_sql("davies_bouldin", True)]) + \
+    """) / 4.0 AS consensus FROM km)"""
+
+
+@query("k_consensus", S.with_ctes(*S.BASE, S.SCALED, K_SQL, body="""
+SELECT k, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette, round(calinski_harabasz, 4) AS calinski_harabasz,
+       round(davies_bouldin, 6) AS davies_bouldin, round(consensus, 6) AS consensus,
+       row_number() OVER (ORDER BY consensus DESC, k) = 1 AS best
+FROM kcons"""))
+def q_k_consensus(spark, sf):
+    """M8-M13 over k = 3..8 for deterministic surrogate clusterings (equal-width
+    bands of the scaled Monetary), then the four-metric consensus."""
+    from concurrent.futures import ThreadPoolExecutor
+    from rfmlens.operators.cluster import select_k
+    df, _ = B.scaled(spark, sf)
+    cols = ["Recency_s", "Frequency_s", "Monetary_s"]
+
+    def one(k):
+        d = df.withColumn("Cluster", F.least(F.floor(F.col("Monetary_s") * k), F.lit(k - 1)).cast("int"))
+        m = Q.quality_metrics(d, cols)
+        return (k, m["inertia"], m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"])
+
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        rows = list(pool.map(one, range(dims.K_MIN, dims.K_MAX + 1)))
+    metrics = spark.createDataFrame(rows, "k INT, inertia DOUBLE, silhouette DOUBLE, "
+                                          "calinski_harabasz DOUBLE, davies_bouldin DOUBLE")
+    t = select_k(metrics)
+    return t.select("k", r("inertia", 6).alias("inertia"), r("silhouette", 6).alias("silhouette"),
+                    r("calinski_harabasz", 4).alias("calinski_harabasz"), r("davies_bouldin", 6).alias("davies_bouldin"),
+                    r("consensus", 6).alias("consensus"), "best")
+
+
+@query("random_customer")
+def q_random(spark, sf):
+    """T4: one customer picked by a seeded hash (a distributed top-1)."""
+    return L.random_customer(B.scored(spark, sf)).select("customer_id", "Segment")
+
+
+@query("scored_roundtrip", S.with_ctes(*S.BASE, body="""
+SELECT customer_id, Recency, Frequency, round(Monetary, 2) AS Monetary, Cluster, RFM_Total, RFM_Tier, Segment
+FROM scored"""))
+def q_roundtrip(spark, sf):
+    """S5 + S3: write the scored table to the shared checkpoint folder as CSV
+    and read it back with its fixed schema."""
+    import uuid
+    from rfmlens.session import checkpoint_dir
+    from rfmlens.sources.readers import read_scored
+    from rfmlens.sources.writers import write_scored
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rfmlens-scored-{uuid.uuid4().hex}"
+    out = B.scored(spark, sf).withColumn("PCA1", F.lit(None).cast("double")).withColumn("PCA2", F.lit(None).cast("double"))
+    write_scored(out.select([f.name for f in dims.SCORED_SCHEMA.fields]), path, fmt="csv")
+    back = read_scored(spark, path, fmt="csv")
+    return back.select("customer_id", "Recency", "Frequency", r("Monetary", 2).alias("Monetary"), "Cluster",
+                       "RFM_Total", "RFM_Tier", "Segment")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from rfmlens.plans import ml_queries  # noqa: F401  (registers the model queries)
     return dict(QUERIES)

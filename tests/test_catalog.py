@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import TABLES, digest  # noqa: E402
 
-SLOW = {"k_search", "train_scored", "score_events", "pca_variance"}
+SLOW = {"k_search", "train_scored", "score_events", "pca_variance", "random_customer"}
 
 
 @pytest.fixture(scope="module")
