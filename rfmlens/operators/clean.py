@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rfmlens import dims
 from rfmlens.functions import strip_ws
-from rfmlens.operators.ranks import exact_quantiles, order_statistics, value_ranks
+from rfmlens.operators.ranks import exact_quantiles, grouped_quantile, order_statistics, value_ranks
 from rfmlens.operators.schema import detect_columns, rename_to_canonical
 
 # Formats tried, in order, after ISO text (Q3). Month-first for slashes.
@@ -60,15 +60,16 @@ def _median_fill(df: DataFrame, col: str, todo: Column, pool: Column, fallback:
     """Fill ``col`` where ``todo`` with the customer's median of ``col``
     over ``pool`` rows, else ``fallback``.
 
-    Only rows that need a value take part in a join; the medians come from
-    (customer, value) counts, pre-aggregated map-side, and an exact weighted
-    percentile per customer whose state is one entry per distinct value.
+    Only rows that need a value take part in a join. The medians are exact
+    and skew-safe (``grouped_quantile``): a customer with a third of all rows
+    is spread over many tasks, and only customers with a missing value are
+    ranked.
     """
     need = df.where(todo)
     keep = df.where(~todo)
-    pairs = (df.where(pool).groupBy("customer_id", col).agg(F.count(F.lit(1)).alias("_cnt"))
-             .join(need.select("customer_id").distinct(), "customer_id", "left_semi"))
-    med = pairs.groupBy("customer_id").agg(F.expr(f"percentile(`{col}`, 0.5, _cnt)").alias("_med"))
+    vals = (df.where(pool).select("customer_id", col)
+            .join(need.select("customer_id").distinct(), "customer_id", "left_semi"))
+    med = grouped_quantile(vals, "customer_id", col, 0.5).withColumnRenamed("quantile", "_med")
     filled = (need.join(med, "customer_id", "left")
               .withColumn(col, F.coalesce(F.col("_med"), F.lit(float(fallback))))
               .drop("_med"))

@@ -228,3 +228,46 @@ def attach_ranks(df: DataFrame, col: str, prefix: str, buckets: int | None = Non
                     F.col("n_leq").alias(prefix + "n_leq"),
                     F.col("n").alias(prefix + "n"))
     return df.join(t, on=col, how="left")
+
+
+def grouped_quantile(df: DataFrame, group: str, col: str, q: float = 0.5,
+                     partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolated ``q`` quantile of ``col`` per ``group`` for
+    any number of groups, without any group in one task or one aggregator.
+
+    (group, value) counts are range-partitioned on (group, value), so a group
+    holding a third of all rows spans many partitions; the partition id is
+    pinned by a checkpoint (the range bounds come from a sample); per
+    (partition, group) totals -- at most groups + partitions rows -- give
+    each group's offsets; a window per (partition, group) adds the running
+    count; the two order statistics around the quantile position are picked
+    per group with one more aggregate. Returns (group, quantile).
+    """
+    from rfmlens.session import checkpoint_dir
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    pairs = (df.where(F.col(col).isNotNull()).groupBy(group, col).agg(F.count(F.lit(1)).alias("_cnt")))
+    ranged = (pairs.repartitionByRange(p, group, col).withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    tot = ranged.groupBy("_pid", group).agg(F.sum("_cnt").alias("_t"))
+    wg = Window.partitionBy(group).orderBy("_pid")
+    offs = (tot.withColumn("_off", F.coalesce(F.sum("_t").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("_n", F.sum("_t").over(Window.partitionBy(group))).drop("_t"))
+    w = Window.partitionBy("_pid", group).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (ranged.join(offs, ["_pid", group])
+              .withColumn("_leq", F.col("_off") + F.sum("_cnt").over(w))
+              .withColumn("_less", F.col("_leq") - F.col("_cnt")))
+    h = (F.col("_n") - 1) * F.lit(float(q))
+    lo = F.floor(h).cast("long")
+    hi = F.least(lo + 1, F.col("_n") - 1)
+    x = F.col(col).cast("double")
+    picked = ranked.select(
+        group, "_n", h.alias("_h"),
+        F.when((F.col("_less") <= lo) & (lo < F.col("_leq")), x).alias("_vlo"),
+        F.when((F.col("_less") <= hi) & (hi < F.col("_leq")), x).alias("_vhi"))
+    agg = picked.where(F.col("_vlo").isNotNull() | F.col("_vhi").isNotNull()).groupBy(group).agg(
+        F.max("_vlo").alias("_a"), F.max("_vhi").alias("_b"), F.first("_h").alias("_h"))
+    t = F.col("_h") - F.floor("_h")
+    return agg.select(group, F.when((t == 0) | (F.col("_a") == F.col("_b")), F.col("_a"))
+                      .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * t).alias("quantile"))

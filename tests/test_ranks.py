@@ -47,3 +47,18 @@ def test_feature_ranks_and_midrank(spark):
     from rfmlens.operators.ranks import feature_table
     out = attach_ranks(df, "a", "p_", ranks=feature_table(fr, "a")).withColumn("m", midrank_column("p_"))
     assert [r["m"] for r in out.orderBy("id").collect()] == [0.0, 0.5, 0.5, 1.0]
+
+
+def test_grouped_quantile_skewed(spark):
+    rnd = random.Random(11)
+    rows = [("hot", float(rnd.randint(0, 1000))) for _ in range(900)]
+    rows += [(f"c{i % 40}", float(rnd.randint(0, 50))) for i in range(300)]
+    rows += [("one", 5.0)]
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE")
+    from rfmlens.operators.ranks import grouped_quantile
+    got = {r["g"]: r["quantile"] for r in grouped_quantile(df, "g", "x", 0.5, partitions=7).collect()}
+    for g in {g for g, _ in rows}:
+        ref = float(np.median([x for gg, x in rows if gg == g]))
+        assert abs(got[g] - ref) < 1e-9, g
+    q25 = {r["g"]: r["quantile"] for r in grouped_quantile(df, "g", "x", 0.25, partitions=3).collect()}
+    assert abs(q25["hot"] - np.quantile([x for gg, x in rows if gg == "hot"], 0.25)) < 1e-9
