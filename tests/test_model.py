@@ -80,3 +80,23 @@ def test_train_score_save_load(spark):
     # scoring the training lines reproduces the training clusters
     train_c = {r["customer_id"]: r["Cluster"] for r in res.scored.select("customer_id", "Cluster").collect()}
     assert all(train_c[r[0]] == r[1] for r in a)
+
+
+def test_transform_with_few_knots(spark):
+    """More distinct values than knots: knots are order statistics at evenly
+    spaced ranks; unseen values are interpolated, monotone and in [0, 1]."""
+    import numpy as np
+    rfm = B.rfm(spark, SF001)
+    exact, _ = fit_transform(rfm)
+    small, model = fit_transform(rfm, max_knots=11)
+    assert len(model.knots["Monetary"]) <= 11
+    # knots are the sorted capped values at ranks floor(i * (n-1) / 10)
+    vals = sorted(min(r["Monetary"], model.caps["Monetary"]) for r in rfm.select("Monetary").collect())
+    n = len(vals)
+    want = sorted({vals[(i * (n - 1)) // 10] for i in range(11)})
+    assert [k[0] for k in model.knots["Monetary"]] == want
+    out = transform(rfm, model, suffix="_t").join(exact.select("customer_id", "Monetary_s"), "customer_id")
+    rows = sorted((r["Monetary"], r["Monetary_t"], r["Monetary_s"]) for r in out.collect())
+    t = [x[1] for x in rows]
+    assert all(0.0 <= v <= 1.0 for v in t) and all(a <= b + 1e-12 for a, b in zip(t, t[1:]))
+    assert np.max(np.abs(np.array(t) - np.array([x[2] for x in rows]))) < 0.1
