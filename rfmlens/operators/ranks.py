@@ -35,8 +35,12 @@ class RankTable:
     """A ``value_ranks`` result: the distributed table plus the row totals
     (per group, or under key None) that the driver already knows."""
 
-    def __init__(self, df: DataFrame, totals: dict, group: str | None):
+    def __init__(self, df: DataFrame, totals: dict, group: str | None, distinct: dict | None = None):
         self.df, self.totals, self.group = df, totals, group
+        self.distinct = distinct or {}
+
+    def n_distinct(self, g=None) -> int:
+        return int(self.distinct.get(g, 0))
 
     def n(self, g=None) -> int:
         return int(self.totals.get(g, 0))
@@ -81,12 +85,15 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
     bucketed = (Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep")
                 .transform(counts).withColumn("_b", F.col("_b").cast("int")))
 
-    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("t")).collect()
+    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("t"), F.count(F.lit(1)).alias("d")).collect()
     if len(totals) > MAX_GROUPS * len(splits):
         raise ValueError(f"too many groups in {group!r} for value_ranks")
     per_group: dict = {}
+    distinct: dict = {}
     for r in totals:
-        per_group.setdefault(r[group] if group else None, {})[r["_b"]] = int(r["t"])
+        g = r[group] if group else None
+        per_group.setdefault(g, {})[r["_b"]] = int(r["t"])
+        distinct[g] = distinct.get(g, 0) + int(r["d"])
     w = Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
 
     if not group:
@@ -100,7 +107,7 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
                .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
                .withColumn("n", F.lit(run).cast("long"))
                .select("value", "cnt", "n_less", "n_leq", "n"))
-        return RankTable(out, {None: run}, None)
+        return RankTable(out, {None: run}, None, distinct)
 
     rows, sizes = [], {}
     for g, tot in per_group.items():
@@ -116,7 +123,7 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
            .withColumn("n_leq", F.col("_off") + F.sum("cnt").over(w))
            .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
            .select(group, "value", "cnt", "n_less", "n_leq", "n"))
-    return RankTable(out, sizes, group)
+    return RankTable(out, sizes, group, distinct)
 
 
 def feature_ranks(df: DataFrame, features: list[str], buckets: int | None = None) -> RankTable:
@@ -131,7 +138,7 @@ def feature_ranks(df: DataFrame, features: list[str], buckets: int | None = None
 def feature_table(ranks: RankTable, feature: str) -> RankTable:
     """One feature's slice of a ``feature_ranks`` table, as a global table."""
     df = ranks.df.where(F.col(ranks.group) == feature).drop(ranks.group)
-    return RankTable(df, {None: ranks.n(feature)}, None)
+    return RankTable(df, {None: ranks.n(feature)}, None, {None: ranks.n_distinct(feature)})
 
 
 def order_statistics(ranks, positions: list[int], group: str | None = None,

@@ -84,15 +84,38 @@ def fit_transform(rfm: DataFrame, features=FEATURES, cap_q: float = 0.99, max_kn
     for f in features:
         out = out.withColumn(f"_c_{f}", F.least(F.col(f).cast("double"), F.lit(float(caps[f]))))
     model = QuantileModel(caps)
-    all_ranks = feature_ranks(out, [f"_c_{f}" for f in features], buckets)
+    names = {f: f"_c_{f}" for f in features}
+    all_ranks = feature_ranks(out, list(names.values()), buckets)
+    all_ranks.df = all_ranks.df.cache()        # read twice: knots and the join back
+    model.knots = _all_knots(all_ranks, names, max_knots)
     for i, f in enumerate(features):
-        ranks = feature_table(all_ranks, f"_c_{f}")
-        model.knots[f] = _knots(ranks, max_knots)
+        ranks = feature_table(all_ranks, names[f])
         p = f"_r{i}_"
-        out = attach_ranks(out, f"_c_{f}", p, ranks=ranks).withColumn(f"{f}_s", midrank_column(p)) \
+        out = attach_ranks(out, names[f], p, ranks=ranks).withColumn(f"{f}_s", midrank_column(p)) \
             .drop(p + "n_less", p + "n_leq", p + "n")
         model.n = ranks.n()
-    return out.drop(*[f"_c_{f}" for f in features]), model
+    return out.drop(*names.values()), model
+
+
+def _all_knots(all_ranks, names: dict[str, str], max_knots: int) -> dict:
+    """Knots of every feature; all features with at most ``max_knots``
+    distinct values are read back in one job."""
+    small = [f for f, c in names.items() if all_ranks.n_distinct(c) <= max_knots]
+    knots = {}
+    if small:
+        rows = (all_ranks.df.where(F.col("feature").isin([names[f] for f in small]))
+                .select("feature", "value", "n_less", "n_leq").collect())
+        for f in small:
+            n = all_ranks.n(names[f])
+            mine = sorted((r for r in rows if r["feature"] == names[f]), key=lambda r: r["value"])
+            if n <= 1:
+                knots[f] = [(float(r["value"]), 0.0, 0.0) for r in mine]
+            else:
+                knots[f] = [(float(r["value"]), r["n_less"] / (n - 1), (r["n_leq"] - 1) / (n - 1)) for r in mine]
+    for f, c in names.items():
+        if f not in knots:
+            knots[f] = _knots(feature_table(all_ranks, c), max_knots)
+    return knots
 
 
 def _knots(table, max_knots: int) -> list[tuple[float, float, float]]:
