@@ -44,6 +44,18 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
     ])
 
 
+def try_read_transactions(spark: SparkSession, path: str, fmt: str = "csv"
+                          ) -> tuple[DataFrame | None, str | None]:
+    """Like ``read_transactions`` but a file that cannot be read gives
+    (None, message) instead of an exception, as an upload form needs."""
+    try:
+        df = read_transactions(spark, path, fmt)
+        df.schema  # resolve now: a bad path or format fails here
+        return df, None
+    except Exception as e:  # noqa: BLE001 - the message is the result
+        return None, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     if "://" not in path:
         return os.path.exists(path) or any(ch in path for ch in "*?[")

@@ -17,8 +17,11 @@ def test_files_scored_per_batch(spark):
     # two "uploads" derived from the supplied tables, as CSV text
     text = lines.select("customer_id", "invoice_id", F.col("invoice_date").cast("string").alias("invoice_date"),
                         "quantity", "unit_price")
-    a = text.where(F.col("customer_id").cast("int") % 2 == 0)
-    b = text.where(F.col("customer_id").cast("int") % 2 == 1)
+    # two periods, as two monthly uploads would be
+    days = sorted(r[0] for r in text.select("invoice_date").distinct().collect())   # small fixture
+    cut = days[len(days) // 2]
+    a = text.where(F.col("invoice_date") < cut)
+    b = text.where(F.col("invoice_date") >= cut)
     a.coalesce(1).write.option("header", True).csv(os.path.join(src, "a"))
     b.coalesce(1).write.option("header", True).csv(os.path.join(src, "b"))
     out = os.path.join(root, "out")
@@ -27,5 +30,6 @@ def test_files_scored_per_batch(spark):
     got = spark.read.parquet(out)
     per_batch = {r["batch_id"]: r["n"] for r in got.groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
     assert len(per_batch) == 2
-    assert sum(per_batch.values()) == lines.select("customer_id").distinct().count()
+    want = (a.select("customer_id").distinct().count() + b.select("customer_id").distinct().count())
+    assert sum(per_batch.values()) == want
     assert got.where(F.col("Segment").isNull()).count() == 0
