@@ -33,6 +33,22 @@ def quintile_edges_all(df: DataFrame, cols: list[str], buckets: int | None = Non
     return out
 
 
+def quintile_report(df: DataFrame, cols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Q8: the six quintile edges of each feature and whether scores exist
+    (edges distinct). Coinciding edges leave that score NULL instead of
+    stopping the run; this table says which."""
+    cols = cols or [f for f, _, _ in SCORE_SPEC]
+    q = grouped_quantiles(feature_ranks(df, cols, buckets), QUINTILE_POINTS)
+    rows = []
+    for c in cols:
+        e = q.get(c) or [None] * 6
+        rows.append((c, *[None if v is None else float(v) for v in e],
+                     e[0] is not None and len(set(e)) == len(e)))
+    return df.sparkSession.createDataFrame(
+        rows, "feature STRING, e0 DOUBLE, e20 DOUBLE, e40 DOUBLE, e60 DOUBLE, e80 DOUBLE, e100 DOUBLE, "
+              "scored BOOLEAN")
+
+
 def quintile_score(col: str, edges: list[float] | None, ascending: bool = True) -> Column:
     """Bin 1..5 with right-closed bins and the lowest edge included, i.e.
     1 + number of inner edges strictly below the value; reversed when a lower

@@ -198,6 +198,17 @@ def q_scores(spark, sf):
     return B.scores(spark, sf).select("customer_id", "R_Score", "F_Score", "M_Score", "RFM_Total", "RFM_Tier")
 
 
+@query("quintile_edges", S.with_ctes(S.TXN, S.RFM, S.SCORES, body="""
+SELECT feature, round(e[1], 4) AS e0, round(e[2], 4) AS e20, round(e[3], 4) AS e40, round(e[4], 4) AS e60,
+       round(e[5], 4) AS e80, round(e[6], 4) AS e100, len(list_distinct(e)) = 6 AS scored
+FROM (SELECT 'Recency' AS feature, er AS e FROM edges UNION ALL SELECT 'Frequency', ef FROM edges
+      UNION ALL SELECT 'Monetary', em FROM edges)"""))
+def q_quintile_edges(spark, sf):
+    from rfmlens.operators.scoring import quintile_report
+    rep = quintile_report(B.rfm(spark, sf))
+    return rep.select("feature", *[r(c, 4).alias(c) for c in ("e0", "e20", "e40", "e60", "e80", "e100")], "scored")
+
+
 @query("score_means", S.with_ctes(S.TXN, S.RFM, S.SCORES, body="""
 SELECT round(avg(R_Score), 6) AS avg_r_score, round(avg(F_Score), 6) AS avg_f_score,
        round(avg(M_Score), 6) AS avg_m_score FROM scores"""))

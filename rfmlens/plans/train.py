@@ -54,10 +54,12 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
           search_restarts: int = 5, final_restarts: int = 10, search_max_iter: int = 300,
           final_max_iter: int = 300, search_tol: float = 1e-6, final_tol: float = 1e-7,
           seed: int = 42, k_min: int = dims.K_MIN, k_max: int = dims.K_MAX,
-          row_id_col: str | None = None, snapshot=None) -> TrainResult:
+          row_id_col: str | None = None, snapshot=None, save_path: str | None = None) -> TrainResult:
     """M18. ``df`` is raw transactions (any header) when ``clean`` is true,
     else canonical line items with ``line_total``. The reference's work
-    parameters (30 / 50 restarts, 1000 / 2000 iterations) are arguments."""
+    parameters (30 / 50 restarts, 1000 / 2000 iterations) are arguments.
+    With ``save_path`` the scored customers (S5), the model (S7) and the
+    metadata (S6) are written under that folder."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     lines = clean_transactions(df, row_id_col=row_id_col)[0] if clean else df
@@ -92,4 +94,11 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
     out = scored.select("customer_id", "Recency", "Frequency", "Monetary", "Cluster", "R_Score", "F_Score",
                         "M_Score", "RFM_Total", "RFM_Tier", "PCA1", "PCA2", "Segment", "SegmentEmoji",
                         "SegmentColor")
+    if save_path:
+        from rfmlens.sources.model_store import save_model
+        from rfmlens.sources.writers import write_meta, write_scored
+        root = save_path.rstrip("/")
+        write_scored(out, f"{root}/scored")
+        save_model(spark, model, f"{root}/model")
+        write_meta(spark, meta, f"{root}/meta")
     return TrainResult(out, model, metrics, k_table)

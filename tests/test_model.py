@@ -63,8 +63,12 @@ def test_train_score_save_load(spark):
     from rfmlens.plans.score import score
     from rfmlens.plans.train import train
     from rfmlens.sources.model_store import load_model, save_model
-    res = train(B.lines(spark, SF001), k=3, clean=False, final_restarts=1)
+    saved = os.path.join(tempfile.mkdtemp(prefix="rfmlens-train-"), "run")
+    res = train(B.lines(spark, SF001), k=3, clean=False, final_restarts=1, save_path=saved)
     assert res.scored.count() == B.rfm(spark, SF001).count()
+    from rfmlens.sources.readers import load_meta, read_scored
+    assert read_scored(spark, saved + "/scored").count() == res.scored.count()
+    assert load_meta(spark, saved + "/meta").first()["n_clusters"] == 3
     var = res.model.meta["pca_variance"]
     assert var[0] >= var[1] and sum(var) <= 1 + 1e-9
     path = os.path.join(tempfile.mkdtemp(prefix="rfmlens-model-"), "m")
