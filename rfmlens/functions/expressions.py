@@ -108,3 +108,12 @@ def cents_mean(c) -> Column:
     rem = s - q * n
     up = F.when(2 * rem > n, 1).when((2 * rem == n) & (F.pmod(q, F.lit(2)) == 1), 1).otherwise(0)
     return (q + up) / 100.0
+
+
+def ntz_literal(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a Python datetime/date via ISO text, so the
+    Python process's local zone can never shift the wall-clock value."""
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz")
+    text = value.isoformat(sep=" ") if hasattr(value, "hour") else value.isoformat()
+    return F.lit(text).cast("timestamp_ntz")

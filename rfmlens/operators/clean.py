@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rfmlens import dims
-from rfmlens.functions import strip_ws
+from rfmlens.functions import ntz_literal, strip_ws
 from rfmlens.operators.ranks import exact_quantiles, grouped_quantile, order_statistics, value_ranks
 from rfmlens.operators.schema import detect_columns, rename_to_canonical
 
@@ -136,8 +136,7 @@ def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: boo
             if ranks.n() > 0:
                 mid = ranks.n() // 2
                 fallback = order_statistics(ranks, [mid])[mid]
-        fb = (F.lit(fallback).cast("timestamp_ntz") if fallback is not None
-              else F.lit(dims.DEFAULT_DATE).cast("timestamp_ntz"))
+        fb = ntz_literal(fallback) if fallback is not None else F.lit(dims.DEFAULT_DATE).cast("timestamp_ntz")
         df = (df.withColumn("_imp_invoice_date", F.col("_d").isNull())
               .withColumn("invoice_date", F.coalesce(F.col("_d"), fb)).drop("_d"))
     else:

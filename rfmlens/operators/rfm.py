@@ -6,7 +6,7 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rfmlens.functions import bround, days_between, sample_skewness
+from rfmlens.functions import bround, days_between, ntz_literal, sample_skewness
 from rfmlens.session import checkpoint_dir
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
@@ -17,10 +17,8 @@ def _snapshot_literal(snapshot) -> Column:
         return snapshot
     if isinstance(snapshot, str):
         return F.lit(snapshot).cast("timestamp_ntz")
-    if isinstance(snapshot, _dt.datetime):
-        return F.lit(snapshot.isoformat(sep=" ")).cast("timestamp_ntz")
-    if isinstance(snapshot, _dt.date):
-        return F.lit(snapshot.isoformat()).cast("timestamp_ntz")
+    if isinstance(snapshot, (_dt.datetime, _dt.date)):
+        return ntz_literal(snapshot)
     raise TypeError(f"unsupported snapshot {snapshot!r}")
 
 
@@ -54,8 +52,7 @@ def compute_rfm(df: DataFrame, snapshot=None, keep_last: bool = False,
         checkpoint_dir(df.sparkSession)
         per_customer = per_customer.checkpoint(eager=True)
         last = per_customer.agg(F.max("last_purchase")).first()[0]
-        snap = (F.lit(last).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")) if last is not None \
-            else F.lit(None).cast("timestamp_ntz")
+        snap = ntz_literal(last) + F.expr("INTERVAL 1 DAY")
     else:
         snap = per_customer.agg(F.max("last_purchase") + F.expr("INTERVAL 1 DAY")).scalar()
     rfm = per_customer.select(
