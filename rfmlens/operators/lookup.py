@@ -95,8 +95,20 @@ def random_customer(scored: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def lookup(scored: DataFrame, customer_id: str) -> DataFrame:
-    """Point lookup by id text (pushed down to a parquet scan)."""
-    return scored.where(F.col("customer_id").cast("string") == F.lit(str(customer_id)))
+    """Point lookup by id text. The comparison is made in the column's own
+    type so that parquet can skip row groups (a cast on the column would stop
+    the pushdown): numeric ids compare numerically when the text is a whole
+    number, and never match otherwise."""
+    key = str(customer_id)
+    dtype = scored.schema["customer_id"].dataType.simpleString()
+    if dtype in ("bigint", "int", "smallint", "tinyint"):
+        try:
+            return scored.where(F.col("customer_id") == F.lit(int(key)))
+        except ValueError:
+            return scored.where(F.lit(False))
+    if dtype == "string":
+        return scored.where(F.col("customer_id") == F.lit(key))
+    return scored.where(F.col("customer_id").cast("string") == F.lit(key))
 
 
 def nearest_peers(scored: DataFrame, customer_id: str, k: int = 10) -> DataFrame:
