@@ -278,3 +278,18 @@ def grouped_quantile(df: DataFrame, group: str, col: str, q: float = 0.5,
     t = F.col("_h") - F.floor("_h")
     return agg.select(group, F.when((t == 0) | (F.col("_a") == F.col("_b")), F.col("_a"))
                       .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * t).alias("quantile"))
+
+
+def capped_ranks(ranks: RankTable, caps: dict) -> RankTable:
+    """Ranks of ``least(value, cap)`` per feature, derived from the ranks of
+    the raw values without another ranking pass: values at or above the cap
+    merge into one value whose ranks are the smallest ``n_less`` and the
+    largest ``n_leq`` of the merged (contiguous) run. ``caps`` maps a group
+    (feature) name to its cap; the distinct counts stay upper bounds."""
+    g = ranks.group
+    cap_expr = F.coalesce(*[F.when(F.col(g) == F.lit(n), F.lit(float(c))) for n, c in caps.items()])
+    df = (ranks.df.withColumn("value", F.least(F.col("value"), cap_expr))
+          .groupBy(g, "value")
+          .agg(F.sum("cnt").alias("cnt"), F.min("n_less").alias("n_less"), F.max("n_leq").alias("n_leq"),
+               F.first("n").alias("n")))
+    return RankTable(df, dict(ranks.totals), g, dict(ranks.distinct))

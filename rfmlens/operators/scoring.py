@@ -23,9 +23,10 @@ def quintile_edges(df: DataFrame, col: str, buckets: int | None = None) -> list[
     return edges
 
 
-def quintile_edges_all(df: DataFrame, cols: list[str], buckets: int | None = None) -> dict:
-    """``quintile_edges`` of several columns from one ranked pass."""
-    q = grouped_quantiles(feature_ranks(df, cols, buckets), QUINTILE_POINTS)
+def quintile_edges_all(df: DataFrame, cols: list[str], buckets: int | None = None, ranks=None) -> dict:
+    """``quintile_edges`` of several columns from one ranked pass (or from
+    ``ranks``, a ``feature_ranks`` table of these columns)."""
+    q = grouped_quantiles(ranks if ranks is not None else feature_ranks(df, cols, buckets), QUINTILE_POINTS)
     out = {}
     for c in cols:
         e = q.get(c)
@@ -70,14 +71,14 @@ def tier(total) -> Column:
 
 
 def add_rfm_scores(rfm: DataFrame, buckets: int | None = None,
-                   edges: dict[str, list[float] | None] | None = None) -> DataFrame:
+                   edges: dict[str, list[float] | None] | None = None, ranks=None) -> DataFrame:
     """R/F/M quintile scores, RFM_Total and RFM_Tier.
 
     The edges are exact order statistics computed with distributed ranks (two
     small driver reads per feature); the scoring itself is a projection.
     """
     if edges is None:
-        edges = quintile_edges_all(rfm, [f for f, _, _ in SCORE_SPEC], buckets)
+        edges = quintile_edges_all(rfm, [f for f, _, _ in SCORE_SPEC], buckets, ranks)
     out = rfm
     for f, name, asc in SCORE_SPEC:
         out = out.withColumn(name, quintile_score(f, edges[f], asc))

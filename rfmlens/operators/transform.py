@@ -20,16 +20,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rfmlens.functions import const_array
-from rfmlens.operators.ranks import (attach_ranks, feature_ranks, feature_table, grouped_quantiles,
-                                     order_statistics)
+from rfmlens.operators.ranks import (attach_ranks, capped_ranks, feature_ranks, feature_table,
+                                     grouped_quantiles)
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
 
 
 def fit_caps(rfm: DataFrame, features=FEATURES, q: float = 0.99,
-             buckets: int | None = None) -> dict[str, float]:
-    """M1: per-feature cap = exact linear ``q`` quantile (one ranked pass)."""
-    qs = grouped_quantiles(feature_ranks(rfm, list(features), buckets), [q])
+             buckets: int | None = None, ranks=None) -> dict[str, float]:
+    """M1: per-feature cap = exact linear ``q`` quantile (one ranked pass, or
+    ``ranks`` from ``feature_ranks``)."""
+    qs = grouped_quantiles(ranks if ranks is not None else feature_ranks(rfm, list(features), buckets), [q])
     return {f: float(qs[f][0]) for f in features}
 
 
@@ -75,26 +76,30 @@ class QuantileModel:
 
 
 def fit_transform(rfm: DataFrame, features=FEATURES, cap_q: float = 0.99, max_knots: int = 10_000,
-                  buckets: int | None = None, caps: dict[str, float] | None = None
+                  buckets: int | None = None, caps: dict[str, float] | None = None, ranks=None
                   ) -> tuple[DataFrame, QuantileModel]:
     """M1-M4: cap, then map each feature to [0, 1]. Returns the customers with
-    ``{feature}_s`` columns and the saved model."""
-    caps = caps if caps is not None else fit_caps(rfm, features, cap_q, buckets)
+    ``{feature}_s`` columns and the saved model.
+
+    One ranked pass over the raw features (or ``ranks``, shared with the
+    quintile scores) gives the caps, and the ranks of the capped values are
+    derived from it (``capped_ranks``) instead of ranking again."""
+    raw = ranks if ranks is not None else feature_ranks(rfm, list(features), buckets)
+    caps = caps if caps is not None else fit_caps(rfm, features, cap_q, buckets, raw)
     out = rfm
     for f in features:
         out = out.withColumn(f"_c_{f}", F.least(F.col(f).cast("double"), F.lit(float(caps[f]))))
     model = QuantileModel(caps)
-    names = {f: f"_c_{f}" for f in features}
-    all_ranks = feature_ranks(out, list(names.values()), buckets)
-    all_ranks.df = all_ranks.df.cache()        # read twice: knots and the join back
-    model.knots = _all_knots(all_ranks, names, max_knots)
+    capped = capped_ranks(raw, {f: caps[f] for f in features})
+    capped.df = capped.df.cache()              # read twice: knots and the join back
+    model.knots = _all_knots(capped, {f: f for f in features}, max_knots)
     for i, f in enumerate(features):
-        ranks = feature_table(all_ranks, names[f])
+        table = feature_table(capped, f)
         p = f"_r{i}_"
-        out = attach_ranks(out, names[f], p, ranks=ranks).withColumn(f"{f}_s", midrank_column(p)) \
+        out = attach_ranks(out, f"_c_{f}", p, ranks=table).withColumn(f"{f}_s", midrank_column(p)) \
             .drop(p + "n_less", p + "n_leq", p + "n")
-        model.n = ranks.n()
-    return out.drop(*names.values()), model
+        model.n = table.n()
+    return out.drop(*[f"_c_{f}" for f in features]), model
 
 
 def _all_knots(all_ranks, names: dict[str, str], max_knots: int) -> dict:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rfmlens.operators.labels import apply_labels, assign_segment_labels
+from rfmlens.operators.ranks import feature_ranks
 from rfmlens.operators.rfm import compute_rfm
 from rfmlens.operators.scoring import add_rfm_scores
 from rfmlens.operators.transform import fit_transform
@@ -44,8 +45,18 @@ def rfm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute_rfm(with_line_total(txn_events(spark, sf_dir)))
 
 
+def ranks(spark: SparkSession, sf_dir: str):
+    """Ranks of Recency, Frequency, Monetary (one pass), shared by the scores
+    and the transform."""
+    def build():
+        r = feature_ranks(rfm(spark, sf_dir), ["Recency", "Frequency", "Monetary"])
+        r.df = r.df.cache()
+        return r
+    return _memo(spark, sf_dir, "ranks", build)
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "scores", lambda: add_rfm_scores(rfm(spark, sf_dir)))
+    return _memo(spark, sf_dir, "scores", lambda: add_rfm_scores(rfm(spark, sf_dir), ranks=ranks(spark, sf_dir)))
 
 
 def surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +79,7 @@ def scaled(spark: SparkSession, sf_dir: str):
 
 
 def _scaled(spark, sf_dir):
-    out, model = fit_transform(scored(spark, sf_dir))
+    out, model = fit_transform(scored(spark, sf_dir), ranks=ranks(spark, sf_dir))
     return out.cache(), model
 
 

@@ -20,6 +20,7 @@ from rfmlens.operators.cluster import (SCALED, assemble, explained_variance, fit
                                        pca_coordinates, predict, search_k)
 from rfmlens.operators.labels import apply_labels, assign_segment_labels
 from rfmlens.operators.quality import fit_verdict, quality_metrics
+from rfmlens.operators.ranks import feature_ranks
 from rfmlens.operators.rfm import compute_rfm
 from rfmlens.operators.scoring import add_rfm_scores
 from rfmlens.operators.transform import QuantileModel, fit_transform
@@ -66,14 +67,16 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
     rfm = compute_rfm(lines, snapshot, keep_last=True).checkpoint()
     rfm_snapshot = snapshot or rfm.agg(F.max("last_purchase") + F.expr("INTERVAL 1 DAY")).first()[0]
     rfm = rfm.drop("last_purchase")
-    scaled, qmodel = fit_transform(rfm)
+    ranks = feature_ranks(rfm, ["Recency", "Frequency", "Monetary"])
+    ranks.df = ranks.df.cache()                # shared by the transform and the scores
+    scaled, qmodel = fit_transform(rfm, ranks=ranks)
     feats = assemble(scaled).cache()
 
     best_k, k_table = search_k(feats, k_min, k_max, search_restarts, search_max_iter, search_tol,
                                seed, force_k=k)
     fit = fit_kmeans(feats, best_k, final_restarts, final_max_iter, final_tol, seed)
     pred = predict(fit.model, feats)
-    scored = add_rfm_scores(pred)
+    scored = add_rfm_scores(pred, ranks=ranks)
     cmap = assign_segment_labels(scored, best_k).cache()
     scaler, pca, signs = fit_pca(feats)
     scored = pca_coordinates(scored, scaler, pca, signs)
