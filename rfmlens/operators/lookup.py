@@ -17,13 +17,14 @@ from rfmlens.operators.ranks import attach_ranks, feature_ranks, feature_table
 FEATURES = ("Recency", "Frequency", "Monetary")
 
 
-def percentile_standing(scored: DataFrame, buckets: int | None = None) -> DataFrame:
+def percentile_standing(scored: DataFrame, buckets: int | None = None, ranks=None) -> DataFrame:
     """W6/W7/H4 for every customer: percentile = 100 * share of customers with
     a value <= own (Recency: 100 minus that), band colour, and the revenue
     rank both ascending (#1 = lowest spender, as the reference shows it) and
-    descending."""
+    descending. ``ranks`` may be a ``feature_ranks`` table of the same
+    customers' R/F/M computed earlier."""
     out = scored
-    ranks = feature_ranks(scored, list(FEATURES), buckets)
+    ranks = ranks if ranks is not None else feature_ranks(scored, list(FEATURES), buckets)
     for f, p in (("Recency", "r_"), ("Frequency", "f_"), ("Monetary", "m_")):
         out = attach_ranks(out, f, p, ranks=feature_table(ranks, f))
     pct = {f: F.col(f"{p}n_leq") * 100.0 / F.col(f"{p}n")

@@ -88,12 +88,13 @@ def correlation_matrix(rfm: DataFrame, features=FEATURES, digits: int = 2) -> Da
             .withColumn("corr", bround("corr", digits)))
 
 
-def global_kpis(scored: DataFrame, buckets: int | None = None) -> DataFrame:
+def global_kpis(scored: DataFrame, buckets: int | None = None, ranks=None) -> DataFrame:
     """A10: headline numbers over the scored customers. Medians are exact
     order statistics from distributed ranks (one ranked pass for both
     columns); the rest is one aggregate pass."""
     from rfmlens.operators.ranks import feature_ranks, grouped_quantiles
-    med = grouped_quantiles(feature_ranks(scored, ["Monetary", "Recency"], buckets), [0.5])
+    r = ranks if ranks is not None else feature_ranks(scored, ["Monetary", "Recency"], buckets)
+    med = grouped_quantiles(r, [0.5])
     return scored.agg(
         F.count(F.lit(1)).alias("customers"),
         F.countDistinct("Segment").alias("segments"),

@@ -244,7 +244,7 @@ SELECT count(*) AS customers, count(DISTINCT Segment) AS segments, round(sum(Mon
        round(avg(Monetary), 4) AS avg_revenue, round(median(Monetary), 4) AS median_revenue,
        round(avg(Recency), 4) AS avg_recency, round(median(Recency), 4) AS median_recency FROM scored"""))
 def q_kpis(spark, sf):
-    k = global_kpis(B.scored(spark, sf))
+    k = global_kpis(B.scored(spark, sf), ranks=B.ranks(spark, sf))
     return k.select("customers", "segments", r("total_revenue", 2).alias("total_revenue"),
                     r("avg_revenue", 4).alias("avg_revenue"), r("median_revenue", 4).alias("median_revenue"),
                     r("avg_recency", 4).alias("avg_recency"), r("median_recency", 4).alias("median_recency"))
@@ -437,7 +437,7 @@ SELECT customer_id, Segment, Recency, Frequency, round(Monetary, 2) AS Monetary,
        rank() OVER (ORDER BY Monetary DESC) AS revenue_rank
 FROM scored"""))
 def q_standing(spark, sf):
-    p = L.percentile_standing(B.scored(spark, sf))
+    p = L.percentile_standing(B.scored(spark, sf), ranks=B.ranks(spark, sf))
     return p.select("customer_id", "Segment", "Recency", "Frequency", r("Monetary", 2).alias("Monetary"),
                     *[r(c, 8).alias(c) for c in ("Recency_Pct", "Frequency_Pct", "Monetary_Pct")],
                     "revenue_rank_asc", "revenue_rank")
@@ -448,7 +448,7 @@ SELECT customer_id,
   CASE WHEN p >= {dims.BAND_GREEN} THEN '#22c55e' WHEN p >= {dims.BAND_AMBER} THEN '#f59e0b' ELSE '#ef4444' END AS Monetary_Band
 FROM (SELECT customer_id, cume_dist() OVER (ORDER BY Monetary) * 100 AS p FROM scored)"""))
 def q_bands(spark, sf):
-    return L.percentile_standing(B.scored(spark, sf)).select("customer_id", "Monetary_Band")
+    return L.percentile_standing(B.scored(spark, sf), ranks=B.ranks(spark, sf)).select("customer_id", "Monetary_Band")
 
 
 @query("segment_context", S.with_ctes(*S.BASE, body="""
