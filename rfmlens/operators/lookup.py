@@ -112,20 +112,24 @@ def lookup(scored: DataFrame, customer_id: str) -> DataFrame:
     return scored.where(F.col("customer_id").cast("string") == F.lit(key))
 
 
+def _me(scored: DataFrame, customer_id: str):
+    """The customer's own values as one struct-valued scalar subquery."""
+    me = lookup(scored, customer_id)
+    return me, me.agg(F.struct(*[F.first(c).alias(c) for c in (*FEATURES, "Segment")])).scalar()
+
+
 def nearest_peers(scored: DataFrame, customer_id: str, k: int = 10) -> DataFrame:
     """The ``k`` customers of the same segment closest to one customer in
     range-normalised R/F/M (Euclidean, +1e-9), the customer excluded.
     One pass for the global range, one filtered scan and a top-k."""
-    me = lookup(scored, customer_id)
+    _, mine = _me(scored, customer_id)
     rng = _global_range(scored)
-    seg = me.select("Segment").scalar()
     terms = []
     for c in FEATURES:
         lo, hi = rng[c]
-        mine = me.select(c).scalar()
-        terms.append(F.pow((F.col(c) - mine) / (hi - lo + dims.NORM_EPS), 2))
+        terms.append(F.pow((F.col(c) - mine[c]) / (hi - lo + dims.NORM_EPS), 2))
     dist = F.sqrt(terms[0] + terms[1] + terms[2])
-    peers = scored.where((F.col("Segment") == seg) &
+    peers = scored.where((F.col("Segment") == mine["Segment"]) &
                          (F.col("customer_id").cast("string") != F.lit(str(customer_id))))
     return (peers.select("customer_id", "Recency", "Frequency", "Monetary", dist.alias("distance"))
             .orderBy("distance", "customer_id").limit(k))
@@ -155,16 +159,11 @@ def customer_profile(scored: DataFrame, cluster_map: DataFrame, customer_id: str
     """J7 (+W6-W10 for one customer): the customer's row, its segment record,
     percentiles against all customers, revenue rank, segment size/mean and
     the signed difference. Zero rows when the id is unknown."""
-    me = lookup(scored, customer_id)
-    agg = []
-    for c in FEATURES:
-        v = me.select(c).scalar()
-        agg.append(F.avg(F.when(F.col(c) <= v, 1.0).otherwise(0.0)).alias(f"p_{c}"))
-    m = me.select("Monetary").scalar()
-    seg = me.select("Segment").scalar()
-    agg += [F.count_if(F.col("Monetary") < m).alias("below"), F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("Segment") == seg).alias("Segment_Size"),
-            F.avg(F.when(F.col("Segment") == seg, F.col("Monetary"))).alias("Segment_Avg_M")]
+    me, mine = _me(scored, customer_id)
+    agg = [F.avg(F.when(F.col(c) <= mine[c], 1.0).otherwise(0.0)).alias(f"p_{c}") for c in FEATURES]
+    agg += [F.count_if(F.col("Monetary") < mine["Monetary"]).alias("below"), F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("Segment") == mine["Segment"]).alias("Segment_Size"),
+            F.avg(F.when(F.col("Segment") == mine["Segment"], F.col("Monetary"))).alias("Segment_Avg_M")]
     st = scored.agg(F.struct(*agg).alias("s")).scalar()
     rec = cluster_map.select(F.col("Cluster").alias("_c"), "Description", "Action")
     out = (me.select("*", *[st[f].alias(f) for f in ("p_Recency", "p_Frequency", "p_Monetary",
