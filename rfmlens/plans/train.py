@@ -10,6 +10,7 @@ executors are lost.
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -43,6 +44,13 @@ class SegmentModel:
                                                        "Description STRING, Action STRING")
 
 
+def _collected(cmap: DataFrame):
+    """The <= k-row cluster map read once: rows for the model, and a local
+    DataFrame of them for the broadcast join."""
+    rows = [tuple(r) for r in cmap.collect()]
+    return rows, cmap.sparkSession.createDataFrame(rows, cmap.schema)
+
+
 @dataclass
 class TrainResult:
     scored: DataFrame
@@ -77,11 +85,16 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
     fit = fit_kmeans(feats, best_k, final_restarts, final_max_iter, final_tol, seed)
     pred = predict(fit.model, feats)
     scored = add_rfm_scores(pred, ranks=ranks)
-    cmap = assign_segment_labels(scored, best_k).cache()
-    scaler, pca, signs = fit_pca(feats)
+    # three independent pieces: submitted together so their jobs overlap
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        f_cmap = pool.submit(lambda: _collected(assign_segment_labels(scored, best_k)))
+        f_pca = pool.submit(fit_pca, feats)
+        f_q = pool.submit(quality_metrics, pred, SCALED)
+        cmap_rows, cmap = f_cmap.result()
+        scaler, pca, signs = f_pca.result()
+        metrics = f_q.result()
     scored = pca_coordinates(scored, scaler, pca, signs)
     scored = apply_labels(scored, cmap)
-    metrics = quality_metrics(pred, SCALED)
     code, symbol, name = dims.currency_record(currency)
     meta = {
         "currency_code": code, "currency_symbol": symbol, "currency_name": name,
@@ -93,7 +106,7 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
         "pca_variance": explained_variance(pca), "n_customers": qmodel.n, "n_iter": fit.iterations,
         "fit_verdict": fit_verdict(metrics["silhouette"]),
     }
-    model = SegmentModel(fit.model, qmodel, [tuple(r) for r in cmap.collect()], meta, (scaler, pca, signs))
+    model = SegmentModel(fit.model, qmodel, cmap_rows, meta, (scaler, pca, signs))
     out = scored.select("customer_id", "Recency", "Frequency", "Monetary", "Cluster", "R_Score", "F_Score",
                         "M_Score", "RFM_Total", "RFM_Tier", "PCA1", "PCA2", "Segment", "SegmentEmoji",
                         "SegmentColor")
