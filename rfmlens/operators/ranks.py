@@ -59,7 +59,7 @@ def _sort_key(dtype: str) -> Column:
 
 
 def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
-                group: str | None = None, accuracy: int = 10_000) -> RankTable:
+                group: str | None = None, accuracy: int | None = None) -> RankTable:
     """Distinct non-null values of ``col`` (per ``group`` if given) with
     ``cnt``, ``n_less``, ``n_leq`` and the group's total ``n`` (longs).
 
@@ -76,6 +76,8 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
               .withColumn("_key", _sort_key(dtype)))
 
     p = _num_buckets(df, buckets)
+    # rank error of the sketch ~ n / accuracy; keep it well under a bucket (n / p)
+    accuracy = accuracy or max(10_000, 20 * p)
     splits = [-math.inf, math.inf]
     if p > 1:
         probs = [i / p for i in range(1, p)]
