@@ -135,6 +135,13 @@ def nearest_peers(scored: DataFrame, customer_id: str, k: int = 10) -> DataFrame
             .orderBy("distance", "customer_id").limit(k))
 
 
+def peer_table(peers: DataFrame, symbol: str = "$", code: str = "USD") -> DataFrame:
+    """The peer list as displayed: renamed columns, money as text."""
+    return peers.orderBy("distance", "customer_id").select(
+        F.col("customer_id").alias("Customer ID"), F.col("Recency").alias("Recency (days)"), "Frequency",
+        format_currency("Monetary", symbol).alias(f"Revenue ({code})"))
+
+
 def segment_histogram(scored: DataFrame, bins: int = 25, feature: str = "Monetary",
                       segment: str | None = None) -> DataFrame:
     """Equal-width histogram of ``feature`` per segment (or for one), with

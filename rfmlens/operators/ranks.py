@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -42,6 +43,12 @@ class RankTable:
     def n_distinct(self, g=None) -> int:
         return int(self.distinct.get(g, 0))
 
+    def release(self) -> None:
+        """Drop the persisted distinct-value counts behind this table."""
+        for d in getattr(self, "_persisted", []):
+            d.unpersist()
+        self._persisted = []
+
     def n(self, g=None) -> int:
         return int(self.totals.get(g, 0))
 
@@ -72,8 +79,10 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
     if dtype in ("double", "float"):
         vals = vals.where(~F.isnan("value"))
     keys = [group] if group else []
+    # distinct (group, value) counts: read by the split, totals and window jobs,
+    # so computed once (their size is the number of distinct values, not rows)
     counts = (vals.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
-              .withColumn("_key", _sort_key(dtype)))
+              .withColumn("_key", _sort_key(dtype))).persist(StorageLevel.MEMORY_AND_DISK)
 
     p = _num_buckets(df, buckets)
     # rank error of the sketch ~ n / accuracy; keep it well under a bucket (n / p)
@@ -109,7 +118,9 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
                .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
                .withColumn("n", F.lit(run).cast("long"))
                .select("value", "cnt", "n_less", "n_leq", "n"))
-        return RankTable(out, {None: run}, None, distinct)
+        table = RankTable(out, {None: run}, None, distinct)
+        table._persisted = [counts]
+        return table
 
     rows, sizes = [], {}
     for g, tot in per_group.items():
@@ -125,7 +136,9 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
            .withColumn("n_leq", F.col("_off") + F.sum("cnt").over(w))
            .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
            .select(group, "value", "cnt", "n_less", "n_leq", "n"))
-    return RankTable(out, sizes, group, distinct)
+    table = RankTable(out, sizes, group, distinct)
+    table._persisted = [counts]
+    return table
 
 
 def feature_ranks(df: DataFrame, features: list[str], buckets: int | None = None) -> RankTable:
@@ -206,9 +219,13 @@ def exact_quantiles(df: DataFrame, col: str | Column, qs: list[float],
     r = ranks if ranks is not None else value_ranks(df, col, buckets)
     n = r.n()
     if n == 0:
-        return [None] * len(qs), 0
-    stats = order_statistics(r, _positions(n, qs))
-    return [_interp(stats, n, q) for q in qs], n
+        out = [None] * len(qs)
+    else:
+        stats = order_statistics(r, _positions(n, qs))
+        out = [_interp(stats, n, q) for q in qs]
+    if ranks is None:
+        r.release()
+    return out, n
 
 
 def grouped_quantiles(r: RankTable, qs: list[float]) -> dict:
@@ -222,7 +239,10 @@ def grouped_quantiles(r: RankTable, qs: list[float]) -> dict:
 def exact_quantiles_by(df: DataFrame, col: str, group: str, qs: list[float],
                        buckets: int | None = None) -> dict:
     """Per-group linear-interpolated quantiles: {group: [values]} (few groups)."""
-    return grouped_quantiles(value_ranks(df, col, buckets, group=group), qs)
+    r = value_ranks(df, col, buckets, group=group)
+    out = grouped_quantiles(r, qs)
+    r.release()
+    return out
 
 
 def attach_ranks(df: DataFrame, col: str, prefix: str, buckets: int | None = None,

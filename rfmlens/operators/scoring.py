@@ -26,7 +26,11 @@ def quintile_edges(df: DataFrame, col: str, buckets: int | None = None) -> list[
 def quintile_edges_all(df: DataFrame, cols: list[str], buckets: int | None = None, ranks=None) -> dict:
     """``quintile_edges`` of several columns from one ranked pass (or from
     ``ranks``, a ``feature_ranks`` table of these columns)."""
-    q = grouped_quantiles(ranks if ranks is not None else feature_ranks(df, cols, buckets), QUINTILE_POINTS)
+    own = ranks is None
+    r = feature_ranks(df, cols, buckets) if own else ranks
+    q = grouped_quantiles(r, QUINTILE_POINTS)
+    if own:
+        r.release()
     out = {}
     for c in cols:
         e = q.get(c)
