@@ -611,6 +611,77 @@ def q_qt(spark, sf):
     return df.select("customer_id", *[r(c, 10).alias(c) for c in ("Recency_s", "Frequency_s", "Monetary_s")])
 
 
+EV_SQL = """net AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS VARCHAR) AS invoice_id,
+         CAST(l_shipdate AS TIMESTAMP) AS invoice_date,
+         l_quantity * (l_extendedprice * (1 - l_discount) / l_quantity) AS line_total
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+net_c AS (SELECT customer_id, max(invoice_date) AS last_purchase, count(DISTINCT invoice_id) AS Frequency,
+                 sum(line_total) AS Monetary FROM net GROUP BY customer_id),
+ev AS (SELECT customer_id,
+              CAST(greatest(date_sub('day', last_purchase, (SELECT max(last_purchase) FROM net_c) + INTERVAL 1 DAY), 0)
+                   AS BIGINT) AS Recency, Frequency, Monetary FROM net_c)"""
+TRANSFORM_SQL = """knots_Recency AS (SELECT DISTINCT xR AS v, nl_Recency / (n_Recency - 1) AS lo, (nq_Recency - 1) / (n_Recency - 1) AS hi FROM scaled),
+ev_Recency AS (SELECT customer_id, least(CAST(Recency AS DOUBLE), (SELECT cR FROM caps)) AS x FROM ev),
+tr_Recency AS (SELECT customer_id, CASE
+    WHEN x <= (SELECT min(v) FROM knots_Recency) THEN 0.0
+    WHEN x >= (SELECT max(v) FROM knots_Recency) THEN 1.0
+    WHEN EXISTS (SELECT 1 FROM knots_Recency WHERE v = x) THEN (SELECT (lo + hi) / 2 FROM knots_Recency WHERE v = x)
+    ELSE (SELECT hi FROM knots_Recency WHERE v = (SELECT max(v) FROM knots_Recency WHERE v < x))
+         + (x - (SELECT max(v) FROM knots_Recency WHERE v < x))
+           / ((SELECT min(v) FROM knots_Recency WHERE v > x) - (SELECT max(v) FROM knots_Recency WHERE v < x))
+         * ((SELECT lo FROM knots_Recency WHERE v = (SELECT min(v) FROM knots_Recency WHERE v > x))
+            - (SELECT hi FROM knots_Recency WHERE v = (SELECT max(v) FROM knots_Recency WHERE v < x)))
+    END AS Recency_t FROM ev_Recency),
+knots_Frequency AS (SELECT DISTINCT xF AS v, nl_Frequency / (n_Frequency - 1) AS lo, (nq_Frequency - 1) / (n_Frequency - 1) AS hi FROM scaled),
+ev_Frequency AS (SELECT customer_id, least(CAST(Frequency AS DOUBLE), (SELECT cF FROM caps)) AS x FROM ev),
+tr_Frequency AS (SELECT customer_id, CASE
+    WHEN x <= (SELECT min(v) FROM knots_Frequency) THEN 0.0
+    WHEN x >= (SELECT max(v) FROM knots_Frequency) THEN 1.0
+    WHEN EXISTS (SELECT 1 FROM knots_Frequency WHERE v = x) THEN (SELECT (lo + hi) / 2 FROM knots_Frequency WHERE v = x)
+    ELSE (SELECT hi FROM knots_Frequency WHERE v = (SELECT max(v) FROM knots_Frequency WHERE v < x))
+         + (x - (SELECT max(v) FROM knots_Frequency WHERE v < x))
+           / ((SELECT min(v) FROM knots_Frequency WHERE v > x) - (SELECT max(v) FROM knots_Frequency WHERE v < x))
+         * ((SELECT lo FROM knots_Frequency WHERE v = (SELECT min(v) FROM knots_Frequency WHERE v > x))
+            - (SELECT hi FROM knots_Frequency WHERE v = (SELECT max(v) FROM knots_Frequency WHERE v < x)))
+    END AS Frequency_t FROM ev_Frequency),
+knots_Monetary AS (SELECT DISTINCT xM AS v, nl_Monetary / (n_Monetary - 1) AS lo, (nq_Monetary - 1) / (n_Monetary - 1) AS hi FROM scaled),
+ev_Monetary AS (SELECT customer_id, least(CAST(Monetary AS DOUBLE), (SELECT cM FROM caps)) AS x FROM ev),
+tr_Monetary AS (SELECT customer_id, CASE
+    WHEN x <= (SELECT min(v) FROM knots_Monetary) THEN 0.0
+    WHEN x >= (SELECT max(v) FROM knots_Monetary) THEN 1.0
+    WHEN EXISTS (SELECT 1 FROM knots_Monetary WHERE v = x) THEN (SELECT (lo + hi) / 2 FROM knots_Monetary WHERE v = x)
+    ELSE (SELECT hi FROM knots_Monetary WHERE v = (SELECT max(v) FROM knots_Monetary WHERE v < x))
+         + (x - (SELECT max(v) FROM knots_Monetary WHERE v < x))
+           / ((SELECT min(v) FROM knots_Monetary WHERE v > x) - (SELECT max(v) FROM knots_Monetary WHERE v < x))
+         * ((SELECT lo FROM knots_Monetary WHERE v = (SELECT min(v) FROM knots_Monetary WHERE v > x))
+            - (SELECT hi FROM knots_Monetary WHERE v = (SELECT max(v) FROM knots_Monetary WHERE v < x)))
+    END AS Monetary_t FROM ev_Monetary)"""
+
+
+@query("transform_unseen", S.with_ctes(*S.BASE, S.SCALED, EV_SQL, TRANSFORM_SQL, body="""
+SELECT customer_id, round(Recency_t, 10) AS Recency_s, round(Frequency_t, 10) AS Frequency_s,
+       round(Monetary_t, 10) AS Monetary_s
+FROM tr_Recency JOIN tr_Frequency USING (customer_id) JOIN tr_Monetary USING (customer_id)"""))
+def q_transform_unseen(spark, sf):
+    """M5: the transform fitted on the customers' order-date, list-price RFM,
+    applied to a file it has not seen: the same orders by ship date with net
+    prices (values between, on and beyond the saved knots)."""
+    from rfmlens.operators.transform import transform
+    from rfmlens.sources.readers import read_table
+    _, model = B.scaled(spark, sf)
+    li = read_table(spark, sf, "lineitem")
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    net = (li.join(orders, li.l_orderkey == orders.o_orderkey)
+           .select(F.col("o_custkey").cast("string").alias("customer_id"),
+                   F.col("o_orderkey").cast("string").alias("invoice_id"),
+                   F.col("l_shipdate").cast("timestamp_ntz").alias("invoice_date"),
+                   (F.col("l_quantity") * (F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")))
+                   .alias("line_total")))
+    out = transform(compute_rfm(net), model)
+    return out.select("customer_id", *[r(c, 10).alias(c) for c in ("Recency_s", "Frequency_s", "Monetary_s")])
+
+
 @query("silhouette_rows", S.with_ctes(*S.BASE, S.SCALED, S.SIL, body="""
 SELECT customer_id, Cluster, round(silhouette, 8) AS silhouette FROM sil"""))
 def q_sil_rows(spark, sf):
