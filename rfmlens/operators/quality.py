@@ -114,18 +114,7 @@ def davies_bouldin(df: DataFrame, cols: list[str], cluster_col: str = "Cluster",
         dist = term if dist is None else F.coalesce(dist, term)
     spread = {int(r[cluster_col]): float(r["s"])
               for r in df.groupBy(cluster_col).agg(F.avg(dist).alias("s")).collect()}
-    ids = sorted(sums)
-    worst = []
-    for i in ids:
-        best = 0.0
-        for j in ids:
-            if i == j:
-                continue
-            d = sum((a - b) ** 2 for a, b in zip(sums[i]["mean"], sums[j]["mean"])) ** 0.5
-            r = (spread[i] + spread[j]) / d if d > 0 else float("inf")
-            best = max(best, r)
-        worst.append(best)
-    return float(sum(worst) / len(worst)) if worst else float("nan")
+    return _db_from_spread(sums, spread)
 
 
 def fit_verdict(sil: float) -> str:
@@ -144,12 +133,39 @@ def verdict_column(c) -> Column:
             .otherwise(F.lit("ok")))
 
 
+def _db_from_spread(sums: dict, spread: dict) -> float:
+    ids = sorted(sums)
+    worst = []
+    for i in ids:
+        best = 0.0
+        for j in ids:
+            if i == j:
+                continue
+            d = sum((a - b) ** 2 for a, b in zip(sums[i]["mean"], sums[j]["mean"])) ** 0.5
+            best = max(best, (spread[i] + spread[j]) / d if d > 0 else float("inf"))
+        worst.append(best)
+    return float(sum(worst) / len(worst)) if worst else float("nan")
+
+
 def quality_metrics(df: DataFrame, cols: list[str], cluster_col: str = "Cluster") -> dict:
-    """M8-M12 in one place: inertia, silhouette (squared Euclidean), negative
-    silhouette rows, Calinski-Harabasz and Davies-Bouldin."""
+    """M8-M12 in two passes over the rows: per-cluster sums (k rows), then one
+    aggregate per cluster holding the silhouette sum, the negative count and
+    the mean distance to the own centre. Inertia, silhouette (squared
+    Euclidean), Calinski-Harabasz and Davies-Bouldin follow from k rows."""
     sums = cluster_sums(df, cols, cluster_col)
-    sil = silhouette(df, cols, cluster_col, sums).first()
+    dist = None
+    for cid, s_ in sums.items():
+        term = F.when(F.col(cluster_col) == F.lit(cid), F.sqrt(_sq_dist(cols, s_["mean"])))
+        dist = term if dist is None else F.coalesce(dist, term)
+    rows = (silhouette_rows(df, cols, cluster_col, sums)
+            .groupBy(cluster_col)
+            .agg(F.sum("silhouette").alias("sil_sum"), F.count_if(F.col("silhouette") < 0).alias("neg"),
+                 F.avg(dist).alias("spread"), F.count(F.lit(1)).alias("n"))
+            .collect())
+    n = sum(int(r["n"]) for r in rows)
+    spread = {int(r[cluster_col]): float(r["spread"]) for r in rows}
     return {"k": len(sums), "inertia": inertia(df, cols, cluster_col, sums),
-            "silhouette": float(sil["silhouette"]), "n_negative": int(sil["n_negative"]),
+            "silhouette": float(sum(float(r["sil_sum"]) for r in rows) / n) if n else float("nan"),
+            "n_negative": int(sum(int(r["neg"]) for r in rows)),
             "calinski_harabasz": calinski_harabasz(sums),
-            "davies_bouldin": davies_bouldin(df, cols, cluster_col, sums)}
+            "davies_bouldin": _db_from_spread(sums, spread)}
