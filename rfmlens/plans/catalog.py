@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rfmlens import dims
-from rfmlens.functions import bround, format_currency
 from rfmlens.operators import insights as G
 from rfmlens.operators import lookup as L
 from rfmlens.operators import quality as Q
@@ -25,7 +24,7 @@ from rfmlens.operators.scoring import tier_summary
 from rfmlens.operators.transform import cap_report
 from rfmlens.plans import base as B
 from rfmlens.plans import sql as S
-from rfmlens.sources.readers import preview, read_table, source_profile, txn, with_line_total
+from rfmlens.sources.readers import preview, read_table, source_profile, txn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

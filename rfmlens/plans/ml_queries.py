@@ -4,8 +4,6 @@ tests check their invariants instead."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from rfmlens.plans import base as B
 from rfmlens.plans.catalog import query
 from rfmlens.plans.score import score
