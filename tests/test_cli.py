@@ -24,3 +24,21 @@ def test_train_then_score(spark):
     j = scored.select("customer_id", "Cluster").join(trained.select("customer_id", F.col("Cluster").alias("c")),
                                                      "customer_id")
     assert j.where("Cluster <> c").count() == 0
+
+
+def test_score_upload_messages(spark):
+    from rfmlens.plans.score import score_upload
+    from rfmlens.plans.train import train
+    res = train(B.lines(spark, SF001), k=3, clean=False, final_restarts=1)
+    root = tempfile.mkdtemp(prefix="rfmlens-upload-")
+    scored, report, msg = score_upload(spark, os.path.join(root, "missing.csv"), res.model)
+    assert scored is None and "not found" in msg
+    ev = os.path.join(root, "ev")
+    spark.read.parquet(f"{SF001}/events.parquet").coalesce(1).write.option("header", True).csv(ev)
+    scored, report, msg = score_upload(spark, ev, res.model)
+    assert scored.count() > 0 and "'invoice_id' not found" in msg and "'quantity' not found" in msg
+    bad = os.path.join(root, "bad")
+    spark.createDataFrame([("x", "-1")], "customer STRING, price STRING").coalesce(1) \
+        .write.option("header", True).csv(bad)
+    scored, report, msg = score_upload(spark, bad, res.model)
+    assert scored is None and msg.startswith("No valid customer records")
