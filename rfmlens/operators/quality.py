@@ -134,17 +134,19 @@ def verdict_column(c) -> Column:
 
 
 def _db_from_spread(sums: dict, spread: dict) -> float:
+    """Davies-Bouldin from per-cluster centres and spreads (k <= 8 values).
+    Coincident centres count as infinitely far apart (ratio 0); the score is 0
+    when every spread or every centre distance is 0."""
     ids = sorted(sums)
-    worst = []
-    for i in ids:
-        best = 0.0
-        for j in ids:
-            if i == j:
-                continue
-            d = sum((a - b) ** 2 for a, b in zip(sums[i]["mean"], sums[j]["mean"])) ** 0.5
-            best = max(best, (spread[i] + spread[j]) / d if d > 0 else float("inf"))
-        worst.append(best)
-    return float(sum(worst) / len(worst)) if worst else float("nan")
+    if len(ids) < 2:
+        return float("nan")
+    dist = {(i, j): sum((a - b) ** 2 for a, b in zip(sums[i]["mean"], sums[j]["mean"])) ** 0.5
+            for i in ids for j in ids if i != j}
+    if all(abs(spread[i]) < 1e-12 for i in ids) or all(d < 1e-12 for d in dist.values()):
+        return 0.0
+    worst = [max((spread[i] + spread[j]) / dist[(i, j)] if dist[(i, j)] > 0 else 0.0
+                 for j in ids if j != i) for i in ids]
+    return float(sum(worst) / len(worst))
 
 
 def quality_metrics(df: DataFrame, cols: list[str], cluster_col: str = "Cluster") -> dict:
