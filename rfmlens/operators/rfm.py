@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from rfmlens.functions import bround, days_between, ntz_literal, sample_skewness
 from rfmlens.session import checkpoint_dir
@@ -50,8 +50,11 @@ def compute_rfm(df: DataFrame, snapshot=None, keep_last: bool = False,
         snap = _snapshot_literal(snapshot)
     elif materialize:
         checkpoint_dir(df.sparkSession)
-        per_customer = per_customer.checkpoint(eager=True)
-        last = per_customer.agg(F.max("last_purchase")).first()[0]
+        # the maximum is observed while the checkpoint is written: no extra scan
+        obs = Observation()
+        per_customer = per_customer.observe(obs, F.max("last_purchase").alias("m")).checkpoint(eager=True)
+        seen = obs.get or {}
+        last = seen["m"] if "m" in seen else per_customer.agg(F.max("last_purchase")).first()[0]
         snap = ntz_literal(last) + F.expr("INTERVAL 1 DAY")
     else:
         snap = per_customer.agg(F.max("last_purchase") + F.expr("INTERVAL 1 DAY")).scalar()
