@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rfmlens.functions.expressions import const_array
 
-MAX_GROUPS = 10_000
+# offsets of a grouped rank table are broadcast: groups x buckets rows at most
+MAX_OFFSET_ROWS = 1_000_000
 
 
 class RankTable:
@@ -96,9 +97,11 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
     bucketed = (Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep")
                 .transform(counts).withColumn("_b", F.col("_b").cast("int")))
 
-    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("t"), F.count(F.lit(1)).alias("d")).collect()
-    if len(totals) > MAX_GROUPS * len(splits):
-        raise ValueError(f"too many groups in {group!r} for value_ranks")
+    totals_df = bucketed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("t"), F.count(F.lit(1)).alias("d"))
+    totals = totals_df.limit(MAX_OFFSET_ROWS + 1).collect()
+    if len(totals) > MAX_OFFSET_ROWS:
+        raise ValueError(f"{group!r} has too many groups for a broadcast offset table; "
+                         "use grouped_quantile, which handles any number of groups")
     per_group: dict = {}
     distinct: dict = {}
     for r in totals:
