@@ -46,7 +46,7 @@ def r(c, d):
 # --------------------------------------------------------------- flagship
 @query("rfm_tier_summary", S.with_ctes(*S.BASE, body="""
 SELECT RFM_Tier, count(*) AS customers,
-       sum(CAST(round(Monetary, 2) AS DECIMAL(18, 2))) AS revenue,
+       CAST(sum(CAST(round(Monetary, 2) AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS revenue,
        round(avg(RFM_Total), 4) AS avg_rfm_total
 FROM scores GROUP BY RFM_Tier"""))
 def q_tier_summary(spark, sf):
@@ -837,5 +837,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+def _bigint_counts(sql: str) -> str:
+    """``count_if(c)`` is HUGEINT in DuckDB but BIGINT in Spark; the same count
+    written ``count(*) FILTER (WHERE c)`` is BIGINT in both."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            return "".join(out) + sql[i:]
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "count(*) FILTER (WHERE " + _bigint_counts(sql[j + len(key):k - 1]) + ")")
+        i = k
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {k: _bigint_counts(v) for k, v in ORACLES.items()}

@@ -33,10 +33,19 @@ def test_entry(spark):
     assert sum(r["customers"] for r in rows) == 150
 
 
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+              "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF001)
     srows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(E.oracle_sql()[name])
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:
+        t = types[f.name]
+        assert DUCK_TYPES.get(t, t.lower().replace(" ", "")) == f.dataType.simpleString(), (f.name, t)
     res = duck.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
