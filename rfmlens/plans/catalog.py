@@ -43,6 +43,13 @@ def r(c, d):
     return F.round(F.col(c) if isinstance(c, str) else c, d)
 
 
+def _money_sql(x: str, sym: str = "$") -> str:
+    return (f"'{sym}' || CASE WHEN {x} IS NULL THEN '0' WHEN isnan({x}) THEN 'nan' "
+            f"WHEN abs({x}) >= 1000000 THEN format('{{:,.2f}}', {x} / 1000000) || 'M' "
+            f"WHEN abs({x}) >= 1000 THEN format('{{:,.1f}}', {x} / 1000) || 'K' "
+            f"ELSE format('{{:,.0f}}', {x}) END")
+
+
 # --------------------------------------------------------------- flagship
 @query("rfm_tier_summary", S.with_ctes(*S.BASE, body="""
 SELECT RFM_Tier, count(*) AS customers,
@@ -270,6 +277,26 @@ def q_champions(spark, sf):
     return g.select(r("champions_share_pct", 6).alias("champions_share_pct"), "champions")
 
 
+@query("overview_kpi_text", S.with_ctes(*S.BASE, body=f"""
+SELECT format('{{:,}}', count(*)) AS customers_text, count(DISTINCT Segment) AS segments,
+       {_money_sql('sum(Monetary)')} AS total_revenue_text, {_money_sql('avg(Monetary)')} AS avg_revenue_text,
+       format('{{:.1f}}', round_even(100 * sum(CASE WHEN Segment = 'Champions' THEN Monetary ELSE 0 END)
+                                     / sum(Monetary), 1)) || '%' AS champions_share_text
+FROM scored"""))
+def q_overview_kpi_text(spark, sf):
+    """The overview's headline numbers as display text."""
+    from rfmlens.functions import format_currency, percent_text
+    sc = B.scored(spark, sf)
+    k = sc.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("Segment").alias("segments"),
+               F.sum("Monetary").alias("tot"), F.avg("Monetary").alias("avg"),
+               (F.sum(F.when(F.col("Segment") == "Champions", F.col("Monetary")).otherwise(0.0)) * 100
+                / F.sum("Monetary")).alias("share"))
+    return k.select(F.format_number("n", 0).alias("customers_text"), "segments",
+                    format_currency("tot", "$").alias("total_revenue_text"),
+                    format_currency("avg", "$").alias("avg_revenue_text"),
+                    percent_text("share").alias("champions_share_text"))
+
+
 @query("headcount", S.with_ctes(*S.BASE, body="""
 SELECT Segment, SegmentColor, count(*) AS Count FROM scored GROUP BY Segment, SegmentColor"""))
 def q_headcount(spark, sf):
@@ -295,6 +322,22 @@ def q_segment_stats(spark, sf):
                     r("Avg_Frq", 6).alias("Avg_Frq"), r("Med_Rev", 4).alias("Med_Rev"), "Rev_Share", "CLV_Score")
 
 
+@query("segment_stats_converted", S.with_ctes(*S.BASE, SEG_STATS_SQL.replace("FROM scored GROUP BY",
+                                                                          "FROM conv GROUP BY"),
+                                              body="""
+SELECT Segment, Customers, round(Total_Rev, 2) AS Total_Rev, round(Avg_Rev, 4) AS Avg_Rev,
+       round(Med_Rev, 4) AS Med_Rev, Rev_Share, CLV_Score FROM segx""").replace(
+    "seg AS (", "conv AS (SELECT * REPLACE (Monetary * 83.0 AS Monetary) FROM scored),\nseg AS (", 1))
+def q_segment_stats_converted(spark, sf):
+    """H2 then G4-G6: money converted with the USD->INR rate before any
+    aggregate, as the dashboard does for a display currency."""
+    rates = spark.createDataFrame(RATES, "base STRING, target STRING, rate DOUBLE")
+    conv = convert_currency(B.scored(spark, sf), rates, "USD", "INR")
+    g = G.segment_stats(conv)
+    return g.select("Segment", "Customers", r("Total_Rev", 2).alias("Total_Rev"), r("Avg_Rev", 4).alias("Avg_Rev"),
+                    r("Med_Rev", 4).alias("Med_Rev"), "Rev_Share", "CLV_Score")
+
+
 @query("pareto", S.with_ctes(*S.BASE, body="""
 SELECT Segment, round(Total_Rev, 2) AS Total_Rev,
        CAST(round_even(Total_Rev / sum(Total_Rev) OVER () * 100, 1) AS DOUBLE) AS Rev_Share,
@@ -388,13 +431,6 @@ def q_color_map(spark, sf):
     return G.color_map(B.scored(spark, sf))
 
 
-def _money_sql(x: str, sym: str = "$") -> str:
-    return (f"'{sym}' || CASE WHEN {x} IS NULL THEN '0' WHEN isnan({x}) THEN 'nan' "
-            f"WHEN abs({x}) >= 1000000 THEN format('{{:,.2f}}', {x} / 1000000) || 'M' "
-            f"WHEN abs({x}) >= 1000 THEN format('{{:,.1f}}', {x} / 1000) || 'K' "
-            f"ELSE format('{{:,.0f}}', {x}) END")
-
-
 @query("summary_text", S.with_ctes(*S.BASE, SEG_STATS_SQL, body=f"""
 SELECT Segment, Customers, {_money_sql('Total_Rev')} AS Total, {_money_sql('Avg_Rev')} AS Avg_Rev,
        {_money_sql('Med_Rev')} AS Median, format('{{:.0f}}', round_even(Avg_Rec, 0)) || 'd' AS Avg_Recency,
