@@ -28,7 +28,7 @@ def snapshot_date(df: DataFrame, date_col: str = "invoice_date") -> DataFrame:
 
 
 def compute_rfm(df: DataFrame, snapshot=None, keep_last: bool = False,
-                materialize: bool = True) -> DataFrame:
+                materialize: bool = True, return_snapshot: bool = False):
     """One row per customer with Recency, Frequency, Monetary.
 
     A single ``groupBy(customer_id)``: the distinct invoice count is planned
@@ -40,12 +40,14 @@ def compute_rfm(df: DataFrame, snapshot=None, keep_last: bool = False,
     is checkpointed to the shared checkpoint folder (it is far smaller than
     the line items), the maximum is read from it and the lineage back to the
     line items is cut; otherwise the snapshot is a scalar subquery, which
-    costs a second pass over the line items.
+    costs a second pass over the line items. ``return_snapshot`` returns
+    (rfm, snapshot) with the snapshot as a Python value when it is known.
     """
     per_customer = (df.groupBy("customer_id")
                     .agg(F.max("invoice_date").alias("last_purchase"),
                          F.countDistinct("invoice_id").alias("Frequency"),
                          F.sum("line_total").alias("Monetary")))
+    snap_value = snapshot
     if snapshot is not None:
         snap = _snapshot_literal(snapshot)
     elif materialize:
@@ -56,6 +58,7 @@ def compute_rfm(df: DataFrame, snapshot=None, keep_last: bool = False,
         seen = obs.get or {}
         last = seen["m"] if "m" in seen else per_customer.agg(F.max("last_purchase")).first()[0]
         snap = ntz_literal(last) + F.expr("INTERVAL 1 DAY")
+        snap_value = None if last is None else last + _dt.timedelta(days=1)
     else:
         snap = per_customer.agg(F.max("last_purchase") + F.expr("INTERVAL 1 DAY")).scalar()
     rfm = per_customer.select(
@@ -64,7 +67,8 @@ def compute_rfm(df: DataFrame, snapshot=None, keep_last: bool = False,
         F.col("Frequency").cast("long").alias("Frequency"),
         F.col("Monetary").cast("double").alias("Monetary"),
         *(["last_purchase"] if keep_last else []))
-    return rfm.where((F.col("Recency") >= 0) & (F.col("Frequency") > 0) & (F.col("Monetary") > 0))
+    rfm = rfm.where((F.col("Recency") >= 0) & (F.col("Frequency") > 0) & (F.col("Monetary") > 0))
+    return (rfm, snap_value) if return_snapshot else rfm
 
 
 def describe_features(rfm: DataFrame, features=FEATURES) -> DataFrame:

@@ -13,7 +13,7 @@ import datetime as _dt
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from rfmlens import dims
 from rfmlens.operators.clean import clean_transactions
@@ -72,9 +72,7 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
     spark = df.sparkSession
     checkpoint_dir(spark)
     lines = clean_transactions(df, row_id_col=row_id_col)[0] if clean else df
-    rfm = compute_rfm(lines, snapshot, keep_last=True).checkpoint()
-    rfm_snapshot = snapshot or rfm.agg(F.max("last_purchase") + F.expr("INTERVAL 1 DAY")).first()[0]
-    rfm = rfm.drop("last_purchase")
+    rfm, rfm_snapshot = compute_rfm(lines, snapshot, return_snapshot=True)
     ranks = feature_ranks(rfm, ["Recency", "Frequency", "Monetary"])
     ranks.df = ranks.df.cache()                # shared by the transform and the scores
     scaled, qmodel = fit_transform(rfm, ranks=ranks)
