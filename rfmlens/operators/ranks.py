@@ -135,7 +135,9 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
     gtype = df.select(group).schema[0].dataType.simpleString()
     offsets = df.sparkSession.createDataFrame(rows, f"`{group}` {gtype}, _b INT, _off LONG, n LONG")
     # offsets has exactly len(rows) <= groups x buckets rows: broadcast is bounded
-    out = (bucketed.join(F.broadcast(offsets), [group, "_b"])
+    off = F.broadcast(offsets.withColumnRenamed(group, "_g"))
+    out = (bucketed.join(off, bucketed[group].eqNullSafe(off["_g"]) & (bucketed["_b"] == off["_b"]))
+           .drop(off["_b"]).drop("_g")
            .withColumn("n_leq", F.col("_off") + F.sum("cnt").over(w))
            .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
            .select(group, "value", "cnt", "n_less", "n_leq", "n"))
@@ -182,7 +184,7 @@ def order_statistics(ranks, positions: list[int], group: str | None = None,
     cond = None
     for g, ps in group_positions.items():
         for p in sorted(set(ps)):
-            term = (F.col(group) == F.lit(g)) & (F.col("n_less") <= p) & (F.col("n_leq") > p)
+            term = F.col(group).eqNullSafe(F.lit(g)) & (F.col("n_less") <= p) & (F.col("n_leq") > p)
             cond = term if cond is None else (cond | term)
     if cond is None:
         return {}

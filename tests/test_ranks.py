@@ -62,3 +62,9 @@ def test_grouped_quantile_skewed(spark):
         assert abs(got[g] - ref) < 1e-9, g
     q25 = {r["g"]: r["quantile"] for r in grouped_quantile(df, "g", "x", 0.25, partitions=3).collect()}
     assert abs(q25["hot"] - np.quantile([x for gg, x in rows if gg == "hot"], 0.25)) < 1e-9
+
+
+def test_grouped_quantiles_with_null_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0), (None, 9.0)], "g STRING, x DOUBLE")
+    q = exact_quantiles_by(df, "x", "g", [0.5], buckets=2)
+    assert q == {"a": [2.0], None: [7.0]}
