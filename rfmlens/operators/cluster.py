@@ -72,10 +72,14 @@ def select_k(metrics: DataFrame) -> DataFrame:
         v = (F.col(c) - lo) / rng
         return 1 - v if lower_better else v
 
-    out = metrics.withColumn("consensus", (scaled("inertia", True) + scaled("silhouette", False) +
-                                           scaled("calinski_harabasz", False) +
-                                           scaled("davies_bouldin", True)) / 4.0)
-    first_max = F.row_number().over(Window.orderBy(F.desc("consensus"), "k"))
+    # an undefined metric (NaN) is no score at all: NULL, so it neither wins
+    # the comparison (Spark sorts NaN above every number) nor shifts min/max
+    clean = metrics.select("k", *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+                                  for c in ("inertia", "silhouette", "calinski_harabasz", "davies_bouldin")])
+    out = clean.withColumn("consensus", (scaled("inertia", True) + scaled("silhouette", False) +
+                                         scaled("calinski_harabasz", False) +
+                                         scaled("davies_bouldin", True)) / 4.0)
+    first_max = F.row_number().over(Window.orderBy(F.desc_nulls_last("consensus"), "k"))
     return out.withColumn("best", first_max == 1).orderBy("k")
 
 
