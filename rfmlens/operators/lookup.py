@@ -113,9 +113,14 @@ def lookup(scored: DataFrame, customer_id: str) -> DataFrame:
 
 
 def _me(scored: DataFrame, customer_id: str):
-    """The customer's own values as one struct-valued scalar subquery."""
+    """The customer's row (a pushed-down point lookup) and its own values as
+    literals: one row reaches the driver, and every later expression uses
+    constants instead of re-planning a subquery per reference."""
     me = lookup(scored, customer_id)
-    return me, me.agg(F.struct(*[F.first(c).alias(c) for c in (*FEATURES, "Segment")])).scalar()
+    row = me.select(*FEATURES, "Segment").limit(1).collect()
+    if not row:
+        return me, None
+    return me, {k: F.lit(v) for k, v in row[0].asDict().items()}
 
 
 def nearest_peers(scored: DataFrame, customer_id: str, k: int = 10) -> DataFrame:
@@ -123,6 +128,9 @@ def nearest_peers(scored: DataFrame, customer_id: str, k: int = 10) -> DataFrame
     range-normalised R/F/M (Euclidean, +1e-9), the customer excluded.
     One pass for the global range, one filtered scan and a top-k."""
     _, mine = _me(scored, customer_id)
+    if mine is None:
+        return scored.select("customer_id", "Recency", "Frequency", "Monetary",
+                             F.lit(None).cast("double").alias("distance")).limit(0)
     rng = _global_range(scored)
     terms = []
     for c in FEATURES:
@@ -167,6 +175,8 @@ def customer_profile(scored: DataFrame, cluster_map: DataFrame, customer_id: str
     percentiles against all customers, revenue rank, segment size/mean and
     the signed difference. Zero rows when the id is unknown."""
     me, mine = _me(scored, customer_id)
+    if mine is None:
+        mine = {c: F.lit(None) for c in (*FEATURES, "Segment")}
     agg = [F.avg(F.when(F.col(c) <= mine[c], 1.0).otherwise(0.0)).alias(f"p_{c}") for c in FEATURES]
     agg += [F.count_if(F.col("Monetary") < mine["Monetary"]).alias("below"), F.count(F.lit(1)).alias("n"),
             F.count_if(F.col("Segment") == mine["Segment"]).alias("Segment_Size"),

@@ -25,3 +25,11 @@ def test_transform_monotone_and_bounded(spark):
         assert all(0.0 <= v <= 1.0 for v in vals)
         assert all(a <= b for a, b in zip(vals, vals[1:])), f
         assert vals[0] == 0.0 and vals[-1] == 1.0
+
+
+def test_unknown_customer_gives_no_rows(spark):
+    from conftest import SF001
+    from rfmlens.operators.lookup import customer_profile, nearest_peers
+    sc = B.scored(spark, SF001)
+    assert customer_profile(sc, B.cluster_map(spark, SF001), "no-such-id").count() == 0
+    assert nearest_peers(sc, "no-such-id").count() == 0
