@@ -56,3 +56,23 @@ def test_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_model():
     assert set(E.queries()) - set(E.oracle_sql()) == SLOW
+
+
+def test_no_row_caps_or_subsets_in_oracles():
+    """Whole tables only: a LIMIT appears only where it is the feature."""
+    import re
+    limited = {name for name, sql in E.oracle_sql().items() if re.search(r"\bLIMIT\b", sql)}
+    assert limited <= {"preview_lines", "nearest_peers", "customer_profile"}, limited
+    for name, sql in E.oracle_sql().items():
+        assert not re.search(r"\bUSING\s+SAMPLE\b|\bTABLESAMPLE\b|%\s*\d+\s*=", sql, re.I), name
+
+
+def test_no_row_caps_in_queries():
+    import inspect
+    import re
+    from rfmlens.plans import catalog, ml_queries
+    src = inspect.getsource(catalog) + inspect.getsource(ml_queries)
+    for m in re.finditer(r"def (q_\w+)\(spark, sf\):(.*?)(?=\n@query|\ndef |\Z)", src, re.S):
+        body = m.group(2)
+        if m.group(1) not in {"q_preview", "q_peers", "q_random"}:
+            assert ".limit(" not in body and ".sample(" not in body, m.group(1)
