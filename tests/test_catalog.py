@@ -11,6 +11,7 @@ from conftest import SF001
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from rfmlens.plans import catalog  # noqa: E402
 from oracle_check import TABLES, digest  # noqa: E402
 
 SLOW = {"k_search", "train_scored", "score_events", "pca_variance", "random_customer"}
@@ -37,16 +38,16 @@ DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR
               "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF001)
+    df = catalog.queries()[name](spark, SF001)
     srows = [tuple(r) for r in df.collect()]
-    rel = duck.sql(E.oracle_sql()[name])
+    rel = duck.sql(catalog.oracle_sql()[name])
     types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     for f in df.schema.fields:
         t = types[f.name]
         assert DUCK_TYPES.get(t, t.lower().replace(" ", "")) == f.dataType.simpleString(), (f.name, t)
-    res = duck.execute(E.oracle_sql()[name])
+    res = duck.execute(catalog.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
@@ -55,15 +56,15 @@ def test_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_model():
-    assert set(E.queries()) - set(E.oracle_sql()) == SLOW
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == SLOW
 
 
 def test_no_row_caps_or_subsets_in_oracles():
     """Whole tables only: a LIMIT appears only where it is the feature."""
     import re
-    limited = {name for name, sql in E.oracle_sql().items() if re.search(r"\bLIMIT\b", sql)}
+    limited = {name for name, sql in catalog.oracle_sql().items() if re.search(r"\bLIMIT\b", sql)}
     assert limited <= {"preview_lines", "nearest_peers", "customer_profile"}, limited
-    for name, sql in E.oracle_sql().items():
+    for name, sql in catalog.oracle_sql().items():
         # sampling, or a modulo on an id/key column (an id subset)
         assert not re.search(r"\bUSING\s+SAMPLE\b|\bTABLESAMPLE\b|\w*(key|id)\s*%", sql, re.I), name
 
