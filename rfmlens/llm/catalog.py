@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from rfmlens.llm import quality
+from rfmlens.llm import chat, quality, url_filter
 
 QUERIES = {
+    "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_url_filters": url_filter.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
+    "op8_chat_formatting": chat.ORACLE,
+    "op9_url_filters": url_filter.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
