@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rfmlens.llm import chat, quality, url_filter
+from rfmlens.llm import chat, mixing, quality, url_filter
 
 QUERIES = {
+    "op7_mix_sources": mixing.op7_mix_sources,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
