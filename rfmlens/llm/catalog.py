@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rfmlens.llm import chat, mixing, quality, url_filter
+from rfmlens.llm import chat, minhash, mixing, quality, url_filter
 
 QUERIES = {
+    "op6_minhash": minhash.op6_minhash,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_url_filters": url_filter.op9_url_filters,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_minhash": minhash.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
     "op9_url_filters": url_filter.ORACLE,
     "op10_quality_rules": quality.ORACLE,
