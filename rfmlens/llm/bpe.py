@@ -41,13 +41,16 @@ from rfmlens.llm.common import table
 from rfmlens.llm.shingles import mix
 
 PIECE = 1 << 19            # characters encoded at once
-WORDS_KEPT = 200_000       # distinct words a worker remembers, then it starts anew
+WORDS_KEPT = 400_000       # distinct words a worker remembers, then it starts anew
+FITS_KEPT = 1_000_000      # pairs of tokens likewise
+ONE = (1,)
 #: White space beside the C0 controls 9 to 13 and the blank (fixed values).
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _CUT = re.compile(r"[A-Za-z] (?=[A-Za-z])")
 _U = np.uint64
 _RADIX, _ODD = _U(0x2545F4914F6CDD1D), _U(0x9E3779B97F4A7C15)
+BYTE_HASH = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _ODD)
 
 
 def _byte_chars() -> dict[str, int]:
@@ -85,7 +88,7 @@ class Encoder:
         for t in self.tokens:
             ends.setdefault(t[-2:], set()).add(len(t))
         self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
-        self.fit: dict[tuple[int, int], bool] = {}
+        self.fit: dict[int, bool] = {}
         self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         kinds = {"L": LETTER, "N": NUMBER}
         self.kind = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
@@ -101,66 +104,70 @@ class Encoder:
     # -- merges ---------------------------------------------------------------
     def by_merges(self, ids: list[int]) -> list[int]:
         """Plain BPE: the merge of least rank, leftmost first, until none applies."""
+        get = self.merge.get
         while len(ids) > 1:
-            best = min(((self.merge[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merge), default=None)
+            best, at = None, 0
+            for i in range(len(ids) - 1):
+                m = get((ids[i], ids[i + 1]))
+                if m is not None and (best is None or m < best):
+                    best, at = m, i
             if best is None:
                 break
-            i = best[1]
-            ids = [*ids[:i], self.merge[ids[i], ids[i + 1]][1], *ids[i + 2:]]
+            ids[at:at + 2] = best[1:]
         return ids
 
-    def fits(self, u: int, t: int) -> bool:
-        """Whether the two tokens' bytes merge to just these two tokens."""
-        got = self.fit.get((u, t))
+    def fits(self, pair: int) -> bool:
+        """Whether two tokens' bytes merge to just these two (or, with -1 for
+        the first, a token's own bytes to the token)."""
+        got = self.fit.get(pair)
         if got is None:
-            if len(self.fit) > 2_000_000:
+            if len(self.fit) > FITS_KEPT:
                 self.fit.clear()
-            data = self.bytes_of[u] + self.bytes_of[t]
-            got = self.fit[u, t] = self.by_merges([self.single[b] for b in data]) == [u, t]
+            u, t = pair >> 32, pair & 0xFFFFFFFF
+            both = [t] if u == -1 else [u, t]
+            got = u != -2 and self.by_merges([self.single[b] for i in both for b in self.bytes_of[i]]) == both
+            self.fit[pair] = got
         return got
 
     # -- the trie -------------------------------------------------------------
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of sorted distinct words: a depth-first walk of their trie, whose
         path holds for each prefix its last token and that token's start."""
-        out, path, before = [], [(-1, 0)], b""
-        tokens, ends, fits = self.tokens, self.ends, self.fits
+        out, last, since, before = [], [-1], [0], b""
+        token, ending, known, fits = self.tokens.get, self.ends.get, self.fit.get, self.fits
         for w in words:
-            n = min(len(w), len(before), len(path) - 1)
+            n = min(len(w), len(before))
             same = 0
             while same < n and w[same] == before[same]:
                 same += 1
-            del path[same + 1:]
+            del last[same + 1:]
+            del since[same + 1:]
             for end in range(same + 1, len(w) + 1):
-                state = None
-                for size in ends.get(w[max(0, end - 2):end], ()) if end > 1 else (1,):
-                    if size <= end:
-                        t = tokens.get(w[end - size:end])
-                        if t is not None and (size == end and self.whole(t) or size < end and fits(path[end - size][0], t)):
-                            state = (t, end - size)
+                for size in ending(w[end - 2:end], ONE) if end > 1 else ONE:
+                    start = end - size
+                    if start >= 0 and (t := token(w[start:end])) is not None:
+                        pair = last[start] << 32 | t       # -1: the token is the whole prefix
+                        fit = known(pair)
+                        if fit or fit is None and fits(pair):
                             break
-                if state is None:      # a token of one byte always ends here
-                    t = self.single[w[end - 1]]
-                    state = (t, end - 1) if end == 1 or fits(path[end - 1][0], t) else (-1, 0)
-                path.append(state)
+                else:                  # a token of one byte ends everywhere, but need not fit
+                    start = end - 1
+                    t = self.single[w[start]]
+                    if not fits(last[start] << 32 | t):
+                        t = -2
+                last.append(t)
+                since.append(start)
             before, ids, end = w, [], len(w)
             while end:
-                t, start = path[end]
-                if t < 0:              # not reachable with merges made in order of rank; then plain merging
+                t = last[end]
+                if t < 0:              # merges that aren't made in order of rank: plain merging
                     ids = self.by_merges([self.single[b] for b in w])[::-1]
                     break
                 ids.append(t)
-                end = start
+                end = since[end]
             out.append(ids[::-1])
         return out
 
-    def whole(self, t: int) -> bool:
-        """Whether a token's own bytes merge to it."""
-        got = self.fit.get((-1, t))
-        if got is None:
-            got = self.fit[-1, t] = self.by_merges([self.single[b] for b in self.bytes_of[t]]) == [t]
-        return got
-
     # -- pre-tokens -----------------------------------------------------------
     def starts(self, c: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where pre-tokens start in the characters ``c`` of several pieces, which
@@ -206,7 +213,7 @@ class Encoder:
         size = hi - lo
         place = np.arange(len(data)) - np.repeat(lo, size)
         power = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(int(size.max()) - 1, _RADIX, _U)]))
-        h = np.add.reduceat(mix((data.astype(_U) + _U(1)) * _ODD) * power[place], lo)
+        h = np.add.reduceat(BYTE_HASH[data] * power[place], lo)
         h = mix(h + size.astype(_U) * _ODD)
         seen, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         raw = data.tobytes()
