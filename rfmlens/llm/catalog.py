@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rfmlens.llm import bpe, chat, minhash, mixing, quality, secret_scan, url_filter
+from rfmlens.llm import bpe, chat, langid, minhash, mixing, quality, secret_scan, url_filter
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_secret_scans": secret_scan.op2_secret_scans,
     "op3_bpe": bpe.op3_bpe,
     "op6_minhash": minhash.op6_minhash,
