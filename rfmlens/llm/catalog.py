@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rfmlens.llm import bpe, chat, langid, minhash, mixing, quality, secret_scan, url_filter
+from rfmlens.llm import bpe, chat, langid, minhash, mixing, multi_index, quality, secret_scan, url_filter
 
 QUERIES = {
+    "op4_embedding_dedup": multi_index.op4_embedding_dedup,
     "op1_language_id": langid.op1_language_id,
     "op2_secret_scans": secret_scan.op2_secret_scans,
     "op3_bpe": bpe.op3_bpe,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_embedding_dedup": multi_index.ORACLE,
     "op6_minhash": minhash.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
     "op9_url_filters": url_filter.ORACLE,
