@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rfmlens.llm import bpe, chat, langid, minhash, mixing, multi_index, quality, secret_scan, url_filter
+from rfmlens.llm import bpe, chat, langid, minhash, mixing, multi_index, quality, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op4_embedding_dedup": multi_index.op4_embedding_dedup,
     "op1_language_id": langid.op1_language_id,
     "op2_secret_scans": secret_scan.op2_secret_scans,
