@@ -271,59 +271,105 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of each row: ids as the tokenizers
-    library gives them (added tokens in a text are found, none are added), and
-    the text decoded from the ids."""
-    spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(load_vocabulary(path))
+class _Digest:
+    """Hashes of a row's decimal ids, joined by commas, and decoded bytes, as they come."""
+
+    def __init__(self):
+        self.n, self.ids, self.back = 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, n: int, listed: bytes, decoded: bytes) -> None:
+        self.ids.update(b"," + listed[:-1] if self.n else listed[:-1])
+        self.n += n
+        self.back.update(decoded)
+
+
+class _Whole:
+    """A row's ids and decoded bytes."""
+
+    def __init__(self):
+        self.n, self.listed, self.back = 0, [], []
+
+    def add(self, n: int, listed: bytes, decoded: bytes) -> None:
+        self.n += n
+        self.listed.append(listed)
+        self.back.append(decoded)
+
+    def ids(self) -> np.ndarray:
+        return np.fromstring(b"".join(self.listed)[:-1].decode(), np.int32, sep=",") if self.n else np.zeros(0, np.int32)
+
+
+def _encoded(docs: DataFrame, path: str, carry: tuple[str, ...], text_col: str, kind, columns: str, finish) -> DataFrame:
+    """A row (the carried columns, n_tokens, ...) for each row: ``finish`` makes the
+    further columns of a batch's texts and filled ``kind`` objects."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(vocabulary.value)
         enc = _ENCODERS[path]
-        for batch in batches:
-            texts = batch.column("text")
-            n = len(texts)
-            count = [0] * n
-            ids, back = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
-            first = [True] * n
-            todo: list[tuple[int, str, int | None]] = []
-            held = 0
-
-            def put(row: int, k: int, listed: bytes, decoded: bytes) -> None:
-                # a comma goes before every id but the text's first
-                count[row] += k
-                ids[row].update(listed[:-1] if first[row] else b"," + listed[:-1])
-                first[row] = False
-                back[row].update(decoded)
-
-            def flush() -> None:
-                got = iter(enc.encode_pieces([p for _, p, _ in todo if p])) if any(p for _, p, _ in todo) else iter(())
-                for row, p, then in todo:
-                    if p:
-                        put(row, *next(got))
-                    if then is not None:
-                        put(row, 1, b"%d," % then, enc.bytes_of[then])
-                todo.clear()
-
-            for row in range(n):
-                for p, then in enc.pieces(texts[row].as_py() or ""):
-                    todo.append((row, p, then))
-                    held += len(p)
-                    if held >= PIECE:
-                        flush()
-                        held = 0
-            flush()
-            yield pa.record_batch([batch.column("id"), pa.array(count, pa.int64()),
-                                   pa.array([x.hexdigest() for x in ids]), pa.array([x.hexdigest() for x in back])],
-                                  ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        names = [*(f"c{i}" for i in range(len(carry))), "n_tokens", *(c.split()[0] for c in columns.split(", "))]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                rows = [kind() for _ in range(batch.num_rows)]
+                todo: list[tuple[int, str, int | None]] = []
+                held = 0
+
+                def flush() -> None:
+                    parts = [p for _, p, _ in todo if p]
+                    got = iter(enc.encode_pieces(parts) if parts else ())
+                    for row, p, then in todo:
+                        if p:
+                            rows[row].add(*next(got))
+                        if then is not None:
+                            rows[row].add(1, b"%d," % then, enc.bytes_of[then])
+                    todo.clear()
+
+                for row, text in enumerate(batch.column("text")):
+                    for p, then in enc.pieces(text.as_py() or ""):
+                        todo.append((row, p, then))
+                        held += len(p)
+                        if held >= PIECE:
+                            flush()
+                            held = 0
+                flush()
+                yield pa.record_batch([*batch.columns[1:], pa.array([r.n for r in rows], pa.int64()), *finish(batch.column("text"), rows)],
+                                      names)
+    rest = docs.select(docs[text_col].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carry)])
+    kinds = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(rest.schema.fields[1:]))
+    out = rest.mapInArrow(run, f"{kinds}n_tokens long, {columns}")
+    return out.toDF(*carry, *out.columns[len(carry):])
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_tokens, ids, decoded of each row: ids as the tokenizers library gives them
+    (added tokens in a text are found, none are added), and the text decoded
+    from the ids."""
+    def finish(texts: pa.Array, rows: list[_Whole]) -> list[pa.Array]:
+        return [pa.array([r.ids() for r in rows], pa.list_(pa.int32())),
+                pa.array([b"".join(r.back).decode("utf-8", "replace") for r in rows], pa.string())]
+    return _encoded(docs, path, (id_col,), text_col, _Whole, "ids array<int>, decoded string", finish)
+
+
+def encode_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the carried columns, n_tokens, ids and round_trip: whether the decoded
+    ids are the text."""
+    def finish(texts: pa.Array, rows: list[_Whole]) -> list[pa.Array]:
+        same = [b"".join(r.back) == (t.as_py() or "").encode() for t, r in zip(texts, rows)]
+        return [pa.array([r.ids() for r in rows], pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+    return _encoded(docs, path, (id_col, *carry), text_col, _Whole, "ids array<int>, round_trip boolean", finish)
+
+
+def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256 of each row: digests of the same ids
+    and decoded bytes, without sending them back to the JVM."""
+    def finish(texts: pa.Array, rows: list[_Digest]) -> list[pa.Array]:
+        return [pa.array([r.ids.hexdigest() for r in rows]), pa.array([r.back.hexdigest() for r in rows])]
+    return _encoded(docs, path, (id_col,), text_col, _Digest, "ids_sha256 string, decoded_sha256 string", finish)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = table(spark, sf_dir, "documents")
-    return encode(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+    return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
