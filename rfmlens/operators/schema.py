@@ -8,93 +8,85 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rfmlens import dims
 
 
-def _norm(name: str) -> str:
+def _plain(name: str) -> str:
+    """Case and outer blanks don't count; a blank is an underscore."""
     return name.strip().lower().replace(" ", "_")
 
 
-def _slug(name: str) -> str:
-    return re.sub(r"[\s_\-]+", "", name.lower().strip())
+def _compact(name: str) -> str:
+    """H6: blanks, underscores and hyphens don't count either."""
+    return re.sub(r"[\s_\-]", "", name.lower())
+
+
+def column_ranks(columns: list[str], strict: bool = False) -> dict[tuple[str, int], tuple[int, int]]:
+    """How well each column suits each role: (role, column number) -> (tier, place),
+    less is better; pairs that don't suit are absent.
+
+    Tier 0 and 1 compare spellings (plain, compact) with the role's aliases, the
+    place is the alias's; of columns spelled alike only the last counts. Tier 2 looks
+    for a role's keyword in the name, the place is the column's (not if ``strict``,
+    as it takes e.g. ``order_date`` for an invoice id, Q4).
+    """
+    ranks: dict[tuple[str, int], tuple[int, int]] = {}
+    for role in dims.ROLE_ORDER:
+        for k, column in enumerate(columns):
+            fits = []
+            for tier, spell in enumerate((_plain, _compact)):
+                aliases = [spell(a) for a in dims.ROLE_ALIASES[role]]
+                name = spell(column)
+                if name in aliases and all(spell(later) != name for later in columns[k + 1:]):
+                    fits.append((tier, aliases.index(name)))
+            if not strict and any(word in column.lower() for word in dims.ROLE_KEYWORDS[role]):
+                fits.append((2, k))
+            if fits:
+                ranks[role, k] = min(fits)
+    return ranks
 
 
 def detect_columns(columns: list[str], strict: bool = False) -> dict[str, str | None]:
     """Canonical role -> actual column name (or None).
 
-    Roles are resolved in the order customer, invoice, date, quantity, price;
-    each column serves one role. Per role: (a) normalised exact alias match in
-    alias order, (b) slug match, (c) first unused column, in table order, whose
-    lower-cased name contains a role keyword. ``strict`` skips (c), which can
-    claim e.g. ``order_date`` as the invoice id (Q4).
+    Roles choose in the order customer, invoice, date, quantity, price, each the
+    best ranked column that is still free (``column_ranks``).
     """
-    lower_map = {_norm(c): c for c in columns}   # later duplicates win
-    slug_map = {_slug(c): c for c in columns}
-    used: set[str] = set()
-    found: dict[str, str | None] = {}
+    ranks = column_ranks(columns, strict)
+    chosen: dict[str, int] = {}
     for role in dims.ROLE_ORDER:
-        hit = None
-        for alias in dims.ROLE_ALIASES[role]:
-            cand = lower_map.get(_norm(alias))
-            if cand is not None and cand not in used:
-                hit = cand
-                break
-        if hit is None:
-            for alias in dims.ROLE_ALIASES[role]:
-                cand = slug_map.get(_slug(alias))
-                if cand is not None and cand not in used:
-                    hit = cand
-                    break
-        if hit is None and not strict:
-            for c in columns:
-                if c not in used and any(k in c.lower() for k in dims.ROLE_KEYWORDS[role]):
-                    hit = c
-                    break
-        if hit is not None:
-            used.add(hit)
-        found[role] = hit
-    return found
-
-
-def detection_table(spark: SparkSession, columns: list[str], strict: bool = False) -> DataFrame:
-    """P1 as a small DataFrame(canonical, actual, position)."""
-    found = detect_columns(columns, strict)
-    return spark.createDataFrame(
-        [(i, r, found[r]) for i, r in enumerate(dims.ROLE_ORDER)],
-        "position INT, canonical STRING, actual STRING")
+        free = [(rank, k) for (r, k), rank in ranks.items() if r == role and k not in chosen.values()]
+        if free:
+            chosen[role] = min(free)[1]
+    return {role: columns[chosen[role]] if role in chosen else None for role in dims.ROLE_ORDER}
 
 
 def schema_messages(columns: list[str]) -> str:
-    """Message naming the roles that will be synthesised ('' if none)."""
-    found = detect_columns(columns)
-    missing = [r for r in dims.ROLE_ORDER if found[r] is None]
-    return "; ".join(f"'{r}' not found — will be synthesised automatically" for r in missing)
+    """Names the roles without a column, whose values the cleaner makes up
+    ('' if there is none)."""
+    return "; ".join(f"no column for {role}: its values are generated"
+                     for role, column in detect_columns(columns).items() if column is None)
 
 
 def rename_to_canonical(df: DataFrame, detected: dict[str, str | None] | None = None
                         ) -> tuple[DataFrame, dict[str, str]]:
-    """Rename detected columns to the canonical names.
+    """Rename detected columns to the canonical names, by position.
 
     Returns (frame, inferred) where ``inferred`` maps role -> original name for
-    the columns that were renamed. Raises if a rename would produce two
-    columns with the same name (Q6) instead of silently duplicating.
+    the columns that were renamed. Raises if two columns would have the same name in
+    Spark, which ignores case (Q6).
     """
     detected = detected if detected is not None else detect_columns(df.columns)
-    renames = {actual: role for role, actual in detected.items() if actual and actual != role}
-    final = [renames.get(c, c) for c in df.columns]
-    dupes = {c for c in final if final.count(c) > 1}
-    if dupes:
-        raise ValueError(f"renaming detected columns would duplicate {sorted(dupes)}")
-    if renames:
-        df = df.withColumnsRenamed(renames)
-    return df, {role: actual for role, actual in detected.items() if actual and actual != role}
-
-
-def feature_frame(rfm: DataFrame) -> DataFrame:
-    """The three model features."""
-    return rfm.select("customer_id", "Recency", "Frequency", "Monetary")
+    inferred = {role: actual for role, actual in detected.items() if actual and actual != role}
+    role_of = {actual: role for role, actual in inferred.items()}
+    final = [role_of.get(c, c) for c in df.columns]
+    seen = [c.lower() for c in final]
+    twice = sorted({c for c in seen if seen.count(c) > 1})
+    if twice:
+        raise ValueError(f"renaming detected columns would give more than one column {twice}")
+    return (df.toDF(*final) if inferred else df), inferred
 
 
 def segmentation_table(scored: DataFrame, symbol: str = "$", code: str = "USD") -> DataFrame:

@@ -52,15 +52,16 @@ def test_strict_skips_keywords():
 
 def test_messages():
     assert schema_messages(ROLES) == ""
-    assert "'invoice_id' not found" in schema_messages(["a"])
+    assert "no column for invoice_id" in schema_messages(["a"])
+    assert schema_messages(["customer", "order_id", "date", "qty", "price"]) == ""
 
 
 def test_duplicate_rename_raises(spark):
     import pytest
     df = spark.createDataFrame([(1, 2)], "`Customer ID` INT, `customer id` INT")
-    # both normalise to customer_id -> the later one is chosen; renaming is fine
+    # both normalise to customer_id -> the later one is chosen, only that is renamed
     out, inferred = rename_to_canonical(df)
-    assert "customer_id" in out.columns
+    assert out.columns == ["Customer ID", "customer_id"] and inferred == {"customer_id": "customer id"}
     df2 = spark.createDataFrame([(1, 2)], "customer INT, customer_id_x INT")
     out2, _ = rename_to_canonical(df2)
     assert out2.columns[0] == "customer_id"
