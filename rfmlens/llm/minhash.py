@@ -10,11 +10,14 @@ threshold: a pair just at it stays unfound with probability ``miss`` at most.
 A pair can only meet in a table if it agrees in a half key of both collections,
 so half keys that occur once are dropped first (one count over 2t rows a node),
 and only nodes with repeated ones on both sides form table keys. Buckets do not emit
-their pairs. Every member proposes a link to the bucket's least member; links are confirmed on
-full sets, and confirmed links joined into components. Only buckets whose members
-are still in several components then propose the pairs between different components,
-which are confirmed alike. So every pair of a bucket is either joined already or
-checked, and a group of copies costs as many links as members.
+their pairs. Every bucket has a hub, the member that meets most others in all its buckets
+(copies' original, as a rule), and every member proposes one link to it. Proposed links are
+confirmed on full sets, and confirmed ones joined into components. Any pair of a bucket has a
+hub in common; so where the nodes that proposed links to one hub are still in several
+components, pairs between different components are compared on full sets, block by
+block of ``BLOCK`` nodes, and a task emits only links that join components of its block. So
+every pair of a bucket is either joined already or compared, and a dense group makes a row per
+node and block, not per pair.
 
 Full sets are formed again from the texts of documents that have a proposed link,
 and are not kept for the others.
@@ -42,6 +45,7 @@ HALF = 4                   # minhashes in a half key
 MISS = 5e-6                # chance that a pair at the threshold meets in no table
 SEED = 20240611
 BROADCAST_IDS = 500_000    # ids that a broadcast may hold; beyond, a shuffled join
+BLOCK = 512                # nodes of one hub that a task compares with as many others
 
 
 def collection_size(threshold: float, half: int = HALF, miss: float = MISS) -> int:
@@ -71,10 +75,8 @@ def half_keys(sets: list[np.ndarray], t: int, half: int) -> np.ndarray:
 
 
 def node_of(s: np.ndarray) -> bytes | None:
-    """16 bytes of digest and the set's size in four; null for the empty set."""
-    if not len(s):
-        return None
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() + len(s).to_bytes(4, "big")
+    """Digest of a set; null for the empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def sketch(docs: DataFrame, width: int, t: int, half: int) -> DataFrame:
@@ -105,36 +107,107 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, s array<long>")
 
 
-def set_size(node: Column) -> Column:
-    return F.conv(F.hex(F.substring(node, 17, 4)), 16, 10).cast("long")
-
-
 def _alike(inter: Column, a: Column, b: Column, pct: int) -> Column:
     return 100 * inter >= pct * (a + b - inter)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose full sets are alike. Pairs whose sizes alone
-    rule that out are dropped before any set is fetched."""
-    na, nb = set_size(F.col("a")), set_size(F.col("b"))
-    pairs = pairs.where(_alike(F.least(na, nb), na, nb, pct))
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    """Pairs (a, b) with sizes (na, nb) whose full sets (nid, s) are alike. Pairs whose
+    sizes alone rule that out are dropped before any set is fetched."""
+    na, nb = F.col("na"), F.col("nb")
+    pairs = pairs.where(_alike(F.least(na, nb), na, nb, pct)).select("a", "b")
+    left = sets.select(F.col("nid").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("nid").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     inter = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.where(_alike(inter, F.size("sa"), F.size("sb"), pct)).select("a", "b")
 
 
 def table_keys(nodes: DataFrame, t: int) -> DataFrame:
-    """(key, node) of the tables in which a node can meet another."""
-    halves = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
+    """(key, nid) of the tables in which a node can meet another."""
+    halves = nodes.select("nid", F.posexplode("keys").alias("pos", "key"))
     again = keep(halves.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "halves")
-    alive = halves.join(again, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("k"))
+    alive = halves.join(again, "key").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("k"))
     one = F.filter("k", lambda x: x["pos"] < t)
     two = F.filter("k", lambda x: x["pos"] >= t)
-    return (alive.select("node", F.explode(one).alias("u"), two.alias("v"))
-            .select("node", "u", F.explode("v").alias("v"))
-            .select(F.xxhash64("u.key", "v.key").alias("key"), "node"))
+    return (alive.select("nid", F.explode(one).alias("u"), two.alias("v"))
+            .select("nid", "u", F.explode("v").alias("v"))
+            .select(F.xxhash64("u.key", "v.key").alias("key"), "nid"))
+
+
+def stars(buckets: DataFrame) -> DataFrame:
+    """(a, b): each node and the hubs of its buckets."""
+    counts = keep(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+    met = keep(buckets.join(counts, "key"), "met")
+    weight = keep(met.groupBy("nid").agg(F.sum("c").alias("w")), "weight")
+    hubs = keep(met.join(weight, "nid").groupBy("key").agg(F.max(F.struct("w", "nid")).alias("hub"))
+                .select("key", F.col("hub.nid").alias("b")), "hubs")
+    return keep(met.select("key", F.col("nid").alias("a")).join(hubs, "key").where("a <> b").select("a", "b").distinct(), "stars")
+
+
+def compare(pct: int):
+    """Links between nodes of two blocks that are in different components; of
+    these only such as join components of the two blocks."""
+    def counts(x: np.ndarray, order: np.ndarray, starts: np.ndarray, values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Size of the intersection of x with each of the other block's sets."""
+        at = np.searchsorted(values, x)
+        x, at = x[at < len(values)], at[at < len(values)]
+        at = at[values[at] == x]
+        size = starts[at + 1] - starts[at]
+        total = int(size.sum())
+        if not total:
+            return np.zeros(n, np.int64)
+        idx = np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(total)
+        return np.bincount(owner[order[idx]], minlength=n)
+
+    def run(t: pa.Table) -> pa.Table:
+        nid, root, own = (t[c].to_numpy() for c in ("nid", "root", "own"))
+        lo, hi = t["p"][0].as_py(), t["q"][0].as_py()
+        s = [x.values.to_numpy() for x in t["s"]]
+        size = np.array([len(x) for x in s])
+        parent = {r: r for r in root.tolist()}
+
+        def find(r):
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+        out: list[tuple[int, int]] = []
+        names, many = np.unique(root, return_counts=True)
+        main = names[many.argmax()]
+        for mine, other in {(lo, hi), (hi, lo)}:
+            y = np.flatnonzero(own == other)
+            owner = np.repeat(np.arange(len(y)), size[y])
+            flat = np.concatenate([s[i] for i in y]) if len(y) else np.zeros(0, np.int64)
+            order = np.argsort(flat, kind="stable")
+            values, starts = np.unique(flat[order], return_index=True)
+            starts = np.append(starts, len(flat))
+            # pairs within the largest component need no look
+            for i in np.flatnonzero((own == mine) & (root != main)):
+                inter = counts(s[i], order, starts, values, owner, len(y))
+                for j in y[(100 * inter >= pct * (size[i] + size[y] - inter)) & (root[y] != root[i])]:
+                    a, b = find(root[i]), find(root[j])
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        out.append((int(nid[i]), int(nid[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+    return run
+
+
+def across(proposed: DataFrame, roots: DataFrame, sets: DataFrame, pct: int, block: int = BLOCK) -> DataFrame:
+    """Links between nodes of one hub that are in different components."""
+    label = roots.select(F.col("node").alias("n2"), "root")
+    mine = proposed.select(F.col("b").alias("hub"), F.col("a").alias("nid")).unionAll(
+        proposed.select(F.col("b").alias("hub"), F.col("b").alias("nid")).distinct())
+    tagged = mine.join(label, F.col("nid") == F.col("n2"), "left").select("hub", "nid", F.coalesce("root", "nid").alias("root"))
+    tagged = keep(tagged, "tagged")
+    mixed = keep(tagged.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                           F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+                 .where("lo <> hi").select("hub", "blocks"), "mixed")
+    dealt = (tagged.join(mixed, "hub").join(sets, "nid").withColumn("own", F.pmod(F.xxhash64("nid"), "blocks"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("hub", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "nid", "root", "own", "s"))
+    return dealt.groupBy("hub", "p", "q").applyInArrow(compare(pct), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text",
@@ -145,42 +218,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows = keep(sketch(docs, width, t, half), "sketches")
     nodes = (rows.where("node IS NOT NULL").groupBy("node")
-             .agg(F.min("id").alias("first"), F.first("keys").alias("keys")))
-    nodes = keep(nodes, "nodes")
-    buckets = keep(table_keys(nodes, t), "buckets")
-
-    # a link from each member to the bucket's least member
-    hubs = keep(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c"))
-                .where("c > 1").select("key", "hub"), "hubs")
-    stars = keep(buckets.join(hubs, "key").where("node <> hub")
-                 .select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-    met = keep(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node"),
-               "met")
+             .agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")))
+    # numbered once and written, so the numbers stay
+    nodes = keep(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    proposed = stars(keep(table_keys(nodes, t), "buckets"))
+
+    met = keep(proposed.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+               .join(nodes.select("nid", "node", "first", "n"), "nid"), "proposers")
     some = met.select(F.col("first").alias("f")).where("f IS NOT NULL").distinct()
     wanted = docs.join(F.broadcast(some) if met.count() <= BROADCAST_IDS else some, docs["id"] == F.col("f"), "left_semi")
     # nodes of null ids only are rare; their texts are found by the null id
     wanted = wanted.unionAll(docs.where("id IS NULL"))
-    sets = keep(full_sets(wanted, width).where("node IS NOT NULL").join(met.select("node"), "node", "left_semi")
-                .groupBy("node").agg(F.first("s").alias("s")), "sets")
-    links = keep(confirm(stars, sets, pct), "links")
+    sets = keep(full_sets(wanted, width).where("node IS NOT NULL").join(met.select("node", "nid"), "node")
+                .groupBy("nid").agg(F.first("s").alias("s")), "sets")
+    size = met.select("nid", "n")
+    sized = (proposed.join(size.select(F.col("nid").alias("a"), F.col("n").alias("na")), "a")
+             .join(size.select(F.col("nid").alias("b"), F.col("n").alias("nb")), "b"))
+    links = keep(confirm(sized, sets, pct), "links")
     roots = components(links)
-
-    # pairs between members of a bucket that are not joined yet
-    label = roots.select(F.col("node").alias("n2"), "root")
-    tagged = (buckets.join(hubs.select("key"), "key", "left_semi")
-              .join(label, F.col("node") == F.col("n2"), "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    split = keep(tagged.join(mixed, "key"), "split")
-    left = split.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = split.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, "key").where("ra < rb").select("a", "b").distinct()
-    more = keep(confirm(across, sets, pct), "across")
+    more = keep(across(proposed, roots, sets, pct), "across")
     if more.limit(1).count():
         roots = components(links.unionAll(more))
 
     # the least id of each component, then of each node
-    placed = nodes.join(roots.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2"), "left").select(
-        "node", "first", F.coalesce("root", "node").alias("root"))
+    placed = nodes.join(roots.select(F.col("node").alias("n2"), "root"), F.col("nid") == F.col("n2"), "left").select(
+        "node", "first", F.coalesce("root", "nid").alias("root"))
     placed = keep(placed, "placed")
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = keep(placed.join(least, "root").select(F.col("node").alias("n2"), "component_id"), "named")
