@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rfmlens.llm import shingles as S
-from rfmlens.llm.common import keep, table
+from rfmlens.llm.common import free_name, keep, table
 from rfmlens.llm.graph import components
 
 HALF = 4                   # minhashes in a half key
@@ -270,14 +270,15 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col:
     """The rows of ``docs`` whose document is its component's least; documents
     without words stay, and of rows that repeat an id and set one stays."""
     judged = keep(near_duplicates(docs, width, pct, id_col, text_col).select("id", "node", "kept"), "judged")
+    name = free_name(docs.columns, "_id")
 
-    def ids(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        df = keep(df.select(F.col("id").alias("_id")).distinct(), name)
+    def ids(df: DataFrame, what: str) -> tuple[DataFrame, int]:
+        df = keep(df.select(F.col("id").alias(name)).distinct(), what)
         n = df.count()
         return (F.broadcast(df) if n <= BROADCAST_IDS else df), n
     repeated, n = ids(judged.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated")
-    gone, _ = ids(judged.where("NOT kept").join(repeated, F.col("id").eqNullSafe(F.col("_id")), "left_anti"), "gone")
-    same = docs[id_col].eqNullSafe(F.col("_id"))
+    gone, _ = ids(judged.where("NOT kept").join(repeated, F.col("id").eqNullSafe(F.col(name)), "left_anti"), "gone")
+    same = docs[id_col].eqNullSafe(F.col(name))
     out = docs.join(gone, same, "left_anti")
     if n == 0:
         return out

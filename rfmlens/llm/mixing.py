@@ -165,20 +165,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, id_col:
     return round_copies(joined)
 
 
-def take_mix(docs: DataFrame, **kw) -> DataFrame:
+def take_mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, id_col: str = "doc_id",
+             source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken, all columns
     as they were."""
-    chosen = mix(docs, **kw).where("copies > 0").select(
-        F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("k").alias("_k"), "copies")
+    chosen = mix(docs, weights, max_copies, id_col, source_col, text_col).where("copies > 0").select(
+        F.col("id").alias("i2"), F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("k").alias("k2"), "copies")
     cols = docs.columns
     row = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"),
-                      docs["doc_id"].alias("id"), docs["source"].alias("source"), n_words(docs["text"]).alias("size"))
+                      docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"))
     # rows equal in id, source and size are numbered as in mix()
     number = F.row_number().over(Window.partitionBy("id", "source", "size").orderBy(F.xxhash64("row")))
-    row = row.withColumn("k", number)
-    both = row.join(chosen, row["id"].eqNullSafe(F.col("_i")) & row["source"].eqNullSafe(F.col("_s"))
-                    & (row["size"] == F.col("_z")) & (row["k"] == F.col("_k")))
-    return (both.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    both = row.withColumn("k", number).join(chosen, F.col("id").eqNullSafe(F.col("i2")) & F.col("source").eqNullSafe(F.col("s2"))
+                                            & (F.col("size") == F.col("z2")) & (F.col("k") == F.col("k2")))
+    return (both.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
             .select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)]))
 
 
