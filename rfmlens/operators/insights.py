@@ -129,8 +129,10 @@ def cluster_quality(scored: DataFrame, silhouette_col: str | None = "silhouette"
 
 def cluster_warnings(quality: DataFrame) -> DataFrame:
     """Clusters under 3 % of customers and clusters whose mean silhouette
-    is under 0.10, one row per warning."""
-    small = quality.where(F.col("Pct") < dims.SMALL_CLUSTER_PCT).select(
+    is under 0.10, one row per warning. The share is compared as counts (not as the rounded
+    percentage, which hides 2.996 %)."""
+    share = F.col("N") * 100.0 / F.sum("N").over(_all())
+    small = quality.withColumn("share", share).where(F.col("share") < dims.SMALL_CLUSTER_PCT).select(
         "Cluster", "Segment", F.lit("small_cluster").alias("warning"), F.col("Pct").cast("double").alias("value"))
     low = quality.where(F.col("Sil_Score") < dims.LOW_SIL).select(
         "Cluster", "Segment", F.lit("low_silhouette").alias("warning"), F.col("Sil_Score").cast("double").alias("value"))

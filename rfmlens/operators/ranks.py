@@ -7,16 +7,18 @@ Here:
 
 1. collapse to distinct (group, value) pairs with counts (map-side combine, so
    a value holding a third of all rows is one row after this step);
-2. cut values into ``buckets`` contiguous ranges at approximate quantile split
-   points (at most ``buckets`` numbers reach the driver);
-3. per (group, bucket) totals -> prefix offsets (groups must be few: segments,
-   clusters; at most groups x buckets numbers reach the driver);
+2. cut values into contiguous buckets of about ``VALUES_PER_BUCKET`` distinct
+   values, at split points from a bounded sample of them (the values with the least
+   hashes, so the same for every run; at most ``MAX_BUCKETS`` * ``PER_SPLIT``
+   numbers reach the driver). The number of buckets follows the number of values, not
+   the session's shuffle partitions;
+3. per (group, bucket) totals -> prefix offsets, as DataFrames;
 4. running sum inside each (group, bucket) -- a window whose partitions are
    bounded by the bucket size -- plus the offset.
 
 The result is exact: ``n_less`` / ``n_leq`` count rows strictly below / at or
 below each distinct value within its group. Only the split points are
-approximate, and they only decide how evenly the work is spread.
+sampled, and they only decide how evenly the work is spread.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rfmlens.functions.expressions import const_array
-
-# offsets of a grouped rank table are broadcast: groups x buckets rows at most
-MAX_OFFSET_ROWS = 1_000_000
+VALUES_PER_BUCKET = 50_000
+MAX_BUCKETS = 4096
+PER_SPLIT = 50
+#: Rank tables with at most so many values are broadcast to the rows.
+BROADCAST_VALUES = 100_000
 
 
 class RankTable:
@@ -54,24 +57,48 @@ class RankTable:
         return int(self.totals.get(g, 0))
 
 
-def _num_buckets(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return max(1, int(buckets))
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
-
-
 def _sort_key(dtype: str) -> Column:
-    if dtype in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(F.col("value").cast("timestamp")).cast("double")
-    return F.col("value").cast("double")
+    """A number that never falls as the value grows. Times without a zone are
+    read field by field, so no session zone shifts them."""
+    v = F.col("value")
+    if dtype in ("timestamp_ntz", "date"):
+        days = F.datediff(v.cast("date"), F.lit("1970-01-01").cast("date"))
+        if dtype == "date":
+            return days.cast("double")
+        return (days * 86400.0 + F.hour(v) * 3600 + F.minute(v) * 60 + F.second(v)).cast("double")
+    if dtype == "timestamp":
+        return F.unix_micros(v).cast("double")
+    return v.cast("double")
+
+
+def split_points(values: DataFrame, key: str, n: int, buckets: int | None = None) -> list[float]:
+    """Ascending inner split points that cut ``n`` rows of ``values`` into
+    buckets of about equal size, from a bounded sample of ``key``."""
+    p = int(buckets) if buckets else min(MAX_BUCKETS, -(-n // VALUES_PER_BUCKET))
+    if p <= 1 or n <= 1:
+        return []
+    step = max(1, n // (p * PER_SPLIT))
+    rows = values.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).select(key).collect()
+    sample = sorted(x for x in (float(r[0]) for r in rows if r[0] is not None) if math.isfinite(x))
+    return sorted({sample[i * len(sample) // p] for i in range(1, p)}) if sample else []
+
+
+def bucket_of(df: DataFrame, key: str, inner: list[float], out: str) -> DataFrame:
+    """``df`` with the number of the bucket that ``key`` falls into."""
+    if not inner:
+        return df.withColumn(out, F.lit(0))
+    splits = [-math.inf, *inner, math.inf]
+    return (Bucketizer(splits=splits, inputCol=key, outputCol=out, handleInvalid="keep").transform(df)
+            .withColumn(out, F.col(out).cast("int")))
 
 
 def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
-                group: str | None = None, accuracy: int | None = None) -> RankTable:
+                group: str | None = None) -> RankTable:
     """Distinct non-null values of ``col`` (per ``group`` if given) with
     ``cnt``, ``n_less``, ``n_leq`` and the group's total ``n`` (longs).
 
-    Output: [group,] value, cnt, n_less, n_leq, n.
+    Output: [group,] value, cnt, n_less, n_leq, n. Groups must be few (segments,
+    features: the driver gets one row each); ``grouped_quantile`` takes any number.
     """
     c = F.col(col) if isinstance(col, str) else col
     gcols = [F.col(group)] if group else []
@@ -84,64 +111,26 @@ def value_ranks(df: DataFrame, col: str | Column, buckets: int | None = None,
     # so computed once (their size is the number of distinct values, not rows)
     counts = (vals.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
               .withColumn("_key", _sort_key(dtype))).persist(StorageLevel.MEMORY_AND_DISK)
-
-    p = _num_buckets(df, buckets)
-    # rank error of the sketch ~ n / accuracy; keep it well under a bucket (n / p)
-    accuracy = accuracy or max(10_000, 20 * p)
-    splits = [-math.inf, math.inf]
-    if p > 1:
-        probs = [i / p for i in range(1, p)]
-        row = counts.agg(F.percentile_approx("_key", const_array(probs), accuracy).alias("q")).first()
-        inner = sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
-        splits = [-math.inf] + inner + [math.inf]
-    bucketed = (Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep")
-                .transform(counts).withColumn("_b", F.col("_b").cast("int")))
-
-    totals_df = bucketed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("t"), F.count(F.lit(1)).alias("d"))
-    totals = totals_df.limit(MAX_OFFSET_ROWS + 1).collect()
-    if len(totals) > MAX_OFFSET_ROWS:
-        raise ValueError(f"{group!r} has too many groups for a broadcast offset table; "
-                         "use grouped_quantile, which handles any number of groups")
-    per_group: dict = {}
-    distinct: dict = {}
-    for r in totals:
-        g = r[group] if group else None
-        per_group.setdefault(g, {})[r["_b"]] = int(r["t"])
-        distinct[g] = distinct.get(g, 0) + int(r["d"])
+    sizes = counts.groupBy(*keys).agg(F.sum("cnt").alias("t"), F.count(F.lit(1)).alias("d")).collect()
+    totals = {(r[group] if group else None): int(r["t"] or 0) for r in sizes}
+    distinct = {(r[group] if group else None): int(r["d"]) for r in sizes}
+    inner = split_points(counts, "_key", sum(distinct.values()), buckets)
+    bucketed = bucket_of(counts, "_key", inner, "_b")
+
+    per = bucketed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*[F.col(k).alias("_g") for k in keys], F.col("_b").alias("_ob"),
+                         F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_t").over(Window.partitionBy(*keys)).alias("n"))
+    same = bucketed["_b"] == F.col("_ob")
+    if group:
+        same = same & bucketed[group].eqNullSafe(F.col("_g"))
     w = Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-
-    if not group:
-        tot = per_group.get(None, {})
-        offsets, run = [], 0
-        for b in range(len(splits) - 1):
-            offsets.append(run)
-            run += tot.get(b, 0)
-        off = F.element_at(const_array(offsets, "bigint"), F.col("_b") + 1)
-        out = (bucketed.withColumn("n_leq", off + F.sum("cnt").over(w))
-               .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
-               .withColumn("n", F.lit(run).cast("long"))
-               .select("value", "cnt", "n_less", "n_leq", "n"))
-        table = RankTable(out, {None: run}, None, distinct)
-        table._persisted = [counts]
-        return table
-
-    rows, sizes = [], {}
-    for g, tot in per_group.items():
-        sizes[g] = sum(tot.values())
-        run, n = 0, sum(tot.values())
-        for b in sorted(tot):
-            rows.append((g, b, run, n))
-            run += tot[b]
-    gtype = df.select(group).schema[0].dataType.simpleString()
-    offsets = df.sparkSession.createDataFrame(rows, f"`{group}` {gtype}, _b INT, _off LONG, n LONG")
-    # offsets has exactly len(rows) <= groups x buckets rows: broadcast is bounded
-    off = F.broadcast(offsets.withColumnRenamed(group, "_g"))
-    out = (bucketed.join(off, bucketed[group].eqNullSafe(off["_g"]) & (bucketed["_b"] == off["_b"]))
-           .drop(off["_b"]).drop("_g")
+    out = (bucketed.join(offsets, same)
            .withColumn("n_leq", F.col("_off") + F.sum("cnt").over(w))
            .withColumn("n_less", F.col("n_leq") - F.col("cnt"))
-           .select(group, "value", "cnt", "n_less", "n_leq", "n"))
-    table = RankTable(out, sizes, group, distinct)
+           .select(*keys, "value", "cnt", "n_less", "n_leq", "n"))
+    table = RankTable(out, totals, group, distinct)
     table._persisted = [counts]
     return table
 
@@ -253,14 +242,17 @@ def exact_quantiles_by(df: DataFrame, col: str, group: str, qs: list[float],
 def attach_ranks(df: DataFrame, col: str, prefix: str, buckets: int | None = None,
                  ranks: RankTable | None = None) -> DataFrame:
     """Join ``{prefix}n_less``, ``{prefix}n_leq``, ``{prefix}n`` onto every row
-    by value. An equi-join: AQE broadcasts the distinct-value side once it has
-    measured it small, and splits a hot value on the row side otherwise."""
+    by value. A table of at most ``BROADCAST_VALUES`` values (its size is known) is
+    broadcast, so a hot value's rows stay where they are; a larger one is
+    joined by shuffle, where AQE splits a hot value."""
     r = ranks if ranks is not None else value_ranks(df, col, buckets)
     key_type = df.schema[col].dataType.simpleString()
     t = r.df.select(F.col("value").cast(key_type).alias(col),
                     F.col("n_less").alias(prefix + "n_less"),
                     F.col("n_leq").alias(prefix + "n_leq"),
                     F.col("n").alias(prefix + "n"))
+    if 0 < r.n_distinct() <= BROADCAST_VALUES:
+        t = F.broadcast(t)
     return df.join(t, on=col, how="left")
 
 

@@ -10,6 +10,8 @@ from rfmlens.functions import bround, days_between, ntz_literal, sample_skewness
 from rfmlens.session import checkpoint_dir
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
+# money is added as decimals: a sum does not depend on the order of additions
+MONEY = "decimal(38,6)"
 
 
 def _snapshot_literal(snapshot) -> Column:
@@ -46,7 +48,7 @@ def compute_rfm(df: DataFrame, snapshot=None, keep_last: bool = False,
     per_customer = (df.groupBy("customer_id")
                     .agg(F.max("invoice_date").alias("last_purchase"),
                          F.countDistinct("invoice_id").alias("Frequency"),
-                         F.sum("line_total").alias("Monetary")))
+                         F.sum(F.col("line_total").try_cast(MONEY)).cast("double").alias("Monetary")))
     snap_value = snapshot
     if snapshot is not None:
         snap = _snapshot_literal(snapshot)

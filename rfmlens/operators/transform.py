@@ -3,25 +3,22 @@
 Fit (M3) and transform of the training rows (M4) use exact distributed ranks:
 a value that occupies sorted positions a..b of n maps to (a + b) / 2 / (n - 1)
 (the average of the left and right interpolation), the minimum to 0 and the
-maximum to 1. The saved transformer keeps, per feature, a knot table of at
-most ``max_knots`` (value, lo, hi) entries; unseen rows (M5) are placed among
-the knots with ``Bucketizer`` (a JVM binary search) and interpolated linearly.
-When a feature has more distinct values than ``max_knots``, the knots are the
-order statistics at ``max_knots`` evenly spaced ranks -- the analogue of a
-smaller ``n_quantiles`` -- and the training rows are still transformed exactly.
+maximum to 1. The saved transformer keeps all of them: one knot (value, lo, hi) for
+each distinct value of each feature, as a table that stays on the executors. Unseen rows
+(M5) meet the knots in value order, bucket by bucket: each distinct value takes
+the last knot at or below and the first at or above it, from its bucket or,
+at a bucket's edge, from the next one that has any. So a training row gets the
+same value from either, at any size.
 """
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rfmlens.functions import const_array
-from rfmlens.operators.ranks import (attach_ranks, capped_ranks, feature_ranks, feature_table,
-                                     grouped_quantiles)
+from rfmlens.operators.ranks import (BROADCAST_VALUES, attach_ranks, bucket_of, capped_ranks, feature_ranks,
+                                     feature_table, grouped_quantiles, split_points)
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
 
@@ -58,28 +55,23 @@ def midrank_column(prefix: str) -> Column:
             .when(n_leq == n, F.lit(1.0)).otherwise(mid))
 
 
+KNOTS = "feature STRING, value DOUBLE, lo DOUBLE, hi DOUBLE"
+
+
 @dataclass
 class QuantileModel:
-    """Saved transform: caps and, per feature, sorted knots with their
-    reference positions (lo, hi in [0, 1])."""
+    """Saved transform: caps and the table of knots (feature, value and its
+    reference positions lo, hi in [0, 1])."""
     caps: dict[str, float]
-    knots: dict[str, list[tuple[float, float, float]]] = field(default_factory=dict)
+    knots: DataFrame
     n: int = 0
 
-    def to_json(self) -> str:
-        return json.dumps({"caps": self.caps, "knots": self.knots, "n": self.n})
-
-    @staticmethod
-    def from_json(text: str) -> "QuantileModel":
-        d = json.loads(text)
-        return QuantileModel(d["caps"], {k: [tuple(x) for x in v] for k, v in d["knots"].items()}, d["n"])
-
 
-def fit_transform(rfm: DataFrame, features=FEATURES, cap_q: float = 0.99, max_knots: int = 10_000,
+def fit_transform(rfm: DataFrame, features=FEATURES, cap_q: float = 0.99,
                   buckets: int | None = None, caps: dict[str, float] | None = None, ranks=None
                   ) -> tuple[DataFrame, QuantileModel]:
     """M1-M4: cap, then map each feature to [0, 1]. Returns the customers with
-    ``{feature}_s`` columns and the saved model.
+    ``{feature}_s`` columns and the model.
 
     One ranked pass over the raw features (or ``ranks``, shared with the
     quintile scores) gives the caps, and the ranks of the capped values are
@@ -89,95 +81,64 @@ def fit_transform(rfm: DataFrame, features=FEATURES, cap_q: float = 0.99, max_kn
     out = rfm
     for f in features:
         out = out.withColumn(f"_c_{f}", F.least(F.col(f).cast("double"), F.lit(float(caps[f]))))
-    model = QuantileModel(caps)
     capped = capped_ranks(raw, {f: caps[f] for f in features})
-    capped.df = capped.df.cache()              # read twice: knots and the join back
-    model.knots = _all_knots(capped, {f: f for f in features}, max_knots)
+    capped.df = capped.df.cache()              # read by the join back and as the model's knots
+    place = lambda c: F.when(F.col("n") > 1, c / (F.col("n") - 1)).otherwise(F.lit(0.0))
+    knots = capped.df.select(F.col("feature"), "value", place(F.col("n_less")).alias("lo"),
+                             place(F.col("n_leq") - 1).alias("hi"))
+    model = QuantileModel(caps, knots, capped.n(features[0]))
     for i, f in enumerate(features):
-        table = feature_table(capped, f)
         p = f"_r{i}_"
-        out = attach_ranks(out, f"_c_{f}", p, ranks=table).withColumn(f"{f}_s", midrank_column(p)) \
+        out = attach_ranks(out, f"_c_{f}", p, ranks=feature_table(capped, f)).withColumn(f"{f}_s", midrank_column(p)) \
             .drop(p + "n_less", p + "n_leq", p + "n")
-        model.n = table.n()
     return out.drop(*[f"_c_{f}" for f in features]), model
 
 
-def _all_knots(all_ranks, names: dict[str, str], max_knots: int) -> dict:
-    """Knots of every feature; all features with at most ``max_knots``
-    distinct values are read back in one job."""
-    small = [f for f, c in names.items() if all_ranks.n_distinct(c) <= max_knots]
-    knots = {}
-    if small:
-        rows = (all_ranks.df.where(F.col("feature").isin([names[f] for f in small]))
-                .select("feature", "value", "n_less", "n_leq").collect())
-        for f in small:
-            n = all_ranks.n(names[f])
-            mine = sorted((r for r in rows if r["feature"] == names[f]), key=lambda r: r["value"])
-            if n <= 1:
-                knots[f] = [(float(r["value"]), 0.0, 0.0) for r in mine]
-            else:
-                knots[f] = [(float(r["value"]), r["n_less"] / (n - 1), (r["n_leq"] - 1) / (n - 1)) for r in mine]
-    for f, c in names.items():
-        if f not in knots:
-            knots[f] = _knots(feature_table(all_ranks, c), max_knots)
-    return knots
-
-
-def _knots(table, max_knots: int) -> list[tuple[float, float, float]]:
-    """(value, lo, hi) in reference units; at most ``max_knots`` distinct values
-    reach the driver."""
-    n, ranks = table.n(), table.df
-    if n <= 1:
-        return [(float(r["value"]), 0.0, 0.0) for r in ranks.select("value").collect()]
-    rows = ranks.select("value", "n_less", "n_leq").limit(max_knots + 1).collect()
-    if len(rows) <= max_knots:
-        rows = sorted(rows, key=lambda r: r["value"])
-        return [(float(r["value"]), r["n_less"] / (n - 1), (r["n_leq"] - 1) / (n - 1)) for r in rows]
-    # order statistics at m evenly spaced ranks: positions i*(n-1)/(m-1) (floor)
-    m = max_knots
-    a = F.col("n_less") * (m - 1)
-    b = F.col("n_leq") * (m - 1)
-    first_i = F.floor((a + (n - 2)) / (n - 1)).cast("long")          # ceil(a/(n-1))
-    last_i = F.floor((b + (n - 2)) / (n - 1)).cast("long") - 1       # ceil(b/(n-1)) - 1
-    hits = (ranks.where(last_i >= first_i)
-            .select("value", F.explode(F.sequence(first_i, last_i)).alias("i")))
-    rows = hits.groupBy("value").agg(F.min("i").alias("lo"), F.max("i").alias("hi")) \
-        .orderBy("value").collect()
-    return [(float(r["value"]), r["lo"] / (m - 1), r["hi"] / (m - 1)) for r in rows]
-
-
-def transform(df: DataFrame, model: QuantileModel, features=FEATURES, suffix: str = "_s") -> DataFrame:
-    """M2 + M5: cap and place unseen rows among the saved knots: equal to a
-    knot -> the knot's mid position; between knots -> linear interpolation
-    from the lower knot's last to the upper knot's first position; outside ->
-    0 or 1."""
+def place_values(values: DataFrame, knots: DataFrame, buckets: int | None = None) -> DataFrame:
+    """(feature, value, s) for distinct (feature, value) rows: equal to a knot ->
+    the middle of its positions; between knots -> linear interpolation from the lower
+    one's last to the upper one's first position; outside -> 0 or 1."""
+    inner = split_points(knots, "value", knots.count(), buckets)
+    knot = F.struct("value", "lo", "hi")
+    both = (knots.select("feature", "value", knot.alias("knot"))
+            .unionByName(values.select("feature", "value", F.lit(None).cast("struct<value:double,lo:double,hi:double>").alias("knot"))))
+    both = bucket_of(both, "value", inner, "b")
+    # nearest knots outside each bucket: a few rows a feature
+    edges = both.groupBy("feature", "b").agg(F.min("knot").alias("first"), F.max("knot").alias("last"))
+    w = Window.partitionBy("feature").orderBy("b")
+    edges = edges.select(
+        F.col("feature").alias("f2"), F.col("b").alias("b2"),
+        F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("under"),
+        F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("over"))
+    order = Window.partitionBy("feature", "b").orderBy("value")
+    near = (both.withColumn("below", F.last("knot", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)))
+            .withColumn("above", F.first("knot", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)))
+            .where("knot IS NULL").join(edges, (F.col("feature") == F.col("f2")) & (F.col("b") == F.col("b2")))
+            .select("feature", "value", F.coalesce("below", "under").alias("k0"), F.coalesce("above", "over").alias("k1")))
+    least = knots.groupBy(F.col("feature").alias("f3")).agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    x = F.col("value")
+    t = (x - F.col("k0.value")) / (F.col("k1.value") - F.col("k0.value"))
+    s = (F.when(x <= F.col("least"), F.lit(0.0)).when(x >= F.col("most"), F.lit(1.0))
+         .when(x == F.col("k0.value"), (F.col("k0.lo") + F.col("k0.hi")) / 2)
+         .otherwise(F.col("k0.hi") + t * (F.col("k1.lo") - F.col("k0.hi"))))
+    return near.join(least, F.col("feature") == F.col("f3")).select("feature", "value", s.alias("s"))
+
+
+def transform(df: DataFrame, model: QuantileModel, features=FEATURES, suffix: str = "_s",
+              buckets: int | None = None) -> DataFrame:
+    """M2 + M5: cap and place the rows' distinct values among the saved knots, then
+    join them back by value."""
     out = df
     for f in features:
         x = F.col(f).cast("double")
         if f in model.caps:
             x = F.least(x, F.lit(float(model.caps[f])))
         out = out.withColumn(f"_c_{f}", x)
+    pairs = ", ".join(f"'{f}', `_c_{f}`" for f in features)
+    values = out.selectExpr(f"stack({len(features)}, {pairs}) AS (feature, value)").where("value IS NOT NULL").distinct()
+    placed = place_values(values, model.knots, buckets).cache()
+    sizes = {r["feature"]: r["n"] for r in placed.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     for f in features:
-        knots = model.knots[f]
-        vals = [k[0] for k in knots]
-        x = F.col(f"_c_{f}")
-        if len(vals) < 2:
-            out = out.withColumn(f + suffix, F.lit(0.0))
-            continue
-        b = f"_b_{f}"
-        out = Bucketizer(splits=[float("-inf")] + vals + [float("inf")], inputCol=f"_c_{f}",
-                         outputCol=b, handleInvalid="keep").transform(out)
-        v = const_array([k[0] for k in knots])
-        lo = const_array([k[1] for k in knots])
-        hi = const_array([k[2] for k in knots])
-        i = F.col(b).cast("int")                     # bucket i: vals[i-1] <= x < vals[i]
-        v0, v1 = F.element_at(v, i), F.element_at(v, i + 1)
-        h0, l1 = F.element_at(hi, i), F.element_at(lo, i + 1)
-        mid = (F.element_at(lo, i) + F.element_at(hi, i)) / 2
-        t = (x - v0) / (v1 - v0)
-        res = (F.when(x <= F.lit(vals[0]), F.lit(0.0))
-               .when(x >= F.lit(vals[-1]), F.lit(1.0))
-               .when(x == v0, mid)
-               .otherwise(h0 + t * (l1 - h0)))
-        out = out.withColumn(f + suffix, res).drop(b)
+        mine = placed.where(F.col("feature") == f).select(F.col("value").alias(f"_c_{f}"), F.col("s").alias(f + suffix))
+        out = out.join(F.broadcast(mine) if sizes.get(f, 0) <= BROADCAST_VALUES else mine, f"_c_{f}", "left")
     return out.drop(*[f"_c_{f}" for f in features])

@@ -401,7 +401,8 @@ def q_cluster_quality(spark, sf):
 
 
 @query("cluster_warnings", S.with_ctes(*S.BASE, S.SCALED, S.SIL, CQ_SQL, body=f"""
-SELECT Cluster, Segment, 'small_cluster' AS warning, Pct AS value FROM cq2 WHERE Pct < {dims.SMALL_CLUSTER_PCT}
+SELECT Cluster, Segment, 'small_cluster' AS warning, Pct AS value
+FROM (SELECT *, 100.0 * N / (SELECT count(*) FROM scored) AS share FROM cq2) WHERE share < {dims.SMALL_CLUSTER_PCT}
 UNION ALL
 SELECT Cluster, Segment, 'low_silhouette', Sil_Score FROM cq2 WHERE Sil_Score < {dims.LOW_SIL}"""))
 def q_cluster_warnings(spark, sf):
@@ -652,46 +653,25 @@ EV_SQL = """net AS (
          l_quantity * (l_extendedprice * (1 - l_discount) / l_quantity) AS line_total
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 net_c AS (SELECT customer_id, max(invoice_date) AS last_purchase, count(DISTINCT invoice_id) AS Frequency,
-                 sum(line_total) AS Monetary FROM net GROUP BY customer_id),
+                 CAST(sum(CAST(line_total AS DECIMAL(38, 6))) AS DOUBLE) AS Monetary FROM net GROUP BY customer_id),
 ev AS (SELECT customer_id,
               CAST(greatest(date_sub('day', last_purchase, (SELECT max(last_purchase) FROM net_c) + INTERVAL 1 DAY), 0)
                    AS BIGINT) AS Recency, Frequency, Monetary FROM net_c)"""
-TRANSFORM_SQL = """knots_Recency AS (SELECT DISTINCT xR AS v, nl_Recency / (n_Recency - 1) AS lo, (nq_Recency - 1) / (n_Recency - 1) AS hi FROM scaled),
-ev_Recency AS (SELECT customer_id, least(CAST(Recency AS DOUBLE), (SELECT cR FROM caps)) AS x FROM ev),
-tr_Recency AS (SELECT customer_id, CASE
-    WHEN x <= (SELECT min(v) FROM knots_Recency) THEN 0.0
-    WHEN x >= (SELECT max(v) FROM knots_Recency) THEN 1.0
-    WHEN EXISTS (SELECT 1 FROM knots_Recency WHERE v = x) THEN (SELECT (lo + hi) / 2 FROM knots_Recency WHERE v = x)
-    ELSE (SELECT hi FROM knots_Recency WHERE v = (SELECT max(v) FROM knots_Recency WHERE v < x))
-         + (x - (SELECT max(v) FROM knots_Recency WHERE v < x))
-           / ((SELECT min(v) FROM knots_Recency WHERE v > x) - (SELECT max(v) FROM knots_Recency WHERE v < x))
-         * ((SELECT lo FROM knots_Recency WHERE v = (SELECT min(v) FROM knots_Recency WHERE v > x))
-            - (SELECT hi FROM knots_Recency WHERE v = (SELECT max(v) FROM knots_Recency WHERE v < x)))
-    END AS Recency_t FROM ev_Recency),
-knots_Frequency AS (SELECT DISTINCT xF AS v, nl_Frequency / (n_Frequency - 1) AS lo, (nq_Frequency - 1) / (n_Frequency - 1) AS hi FROM scaled),
-ev_Frequency AS (SELECT customer_id, least(CAST(Frequency AS DOUBLE), (SELECT cF FROM caps)) AS x FROM ev),
-tr_Frequency AS (SELECT customer_id, CASE
-    WHEN x <= (SELECT min(v) FROM knots_Frequency) THEN 0.0
-    WHEN x >= (SELECT max(v) FROM knots_Frequency) THEN 1.0
-    WHEN EXISTS (SELECT 1 FROM knots_Frequency WHERE v = x) THEN (SELECT (lo + hi) / 2 FROM knots_Frequency WHERE v = x)
-    ELSE (SELECT hi FROM knots_Frequency WHERE v = (SELECT max(v) FROM knots_Frequency WHERE v < x))
-         + (x - (SELECT max(v) FROM knots_Frequency WHERE v < x))
-           / ((SELECT min(v) FROM knots_Frequency WHERE v > x) - (SELECT max(v) FROM knots_Frequency WHERE v < x))
-         * ((SELECT lo FROM knots_Frequency WHERE v = (SELECT min(v) FROM knots_Frequency WHERE v > x))
-            - (SELECT hi FROM knots_Frequency WHERE v = (SELECT max(v) FROM knots_Frequency WHERE v < x)))
-    END AS Frequency_t FROM ev_Frequency),
-knots_Monetary AS (SELECT DISTINCT xM AS v, nl_Monetary / (n_Monetary - 1) AS lo, (nq_Monetary - 1) / (n_Monetary - 1) AS hi FROM scaled),
-ev_Monetary AS (SELECT customer_id, least(CAST(Monetary AS DOUBLE), (SELECT cM FROM caps)) AS x FROM ev),
-tr_Monetary AS (SELECT customer_id, CASE
-    WHEN x <= (SELECT min(v) FROM knots_Monetary) THEN 0.0
-    WHEN x >= (SELECT max(v) FROM knots_Monetary) THEN 1.0
-    WHEN EXISTS (SELECT 1 FROM knots_Monetary WHERE v = x) THEN (SELECT (lo + hi) / 2 FROM knots_Monetary WHERE v = x)
-    ELSE (SELECT hi FROM knots_Monetary WHERE v = (SELECT max(v) FROM knots_Monetary WHERE v < x))
-         + (x - (SELECT max(v) FROM knots_Monetary WHERE v < x))
-           / ((SELECT min(v) FROM knots_Monetary WHERE v > x) - (SELECT max(v) FROM knots_Monetary WHERE v < x))
-         * ((SELECT lo FROM knots_Monetary WHERE v = (SELECT min(v) FROM knots_Monetary WHERE v > x))
-            - (SELECT hi FROM knots_Monetary WHERE v = (SELECT max(v) FROM knots_Monetary WHERE v < x)))
-    END AS Monetary_t FROM ev_Monetary)"""
+def _transform_sql(f: str) -> str:
+    """M5 for one feature from the definition: a knot's middle, else a line
+    between the nearest knots, else 0 or 1."""
+    x, knots = f"x{f[0]}", f"knots_{f}"
+    return f"""{knots} AS (SELECT DISTINCT {x} AS v, nl_{f} / (n_{f} - 1) AS lo, (nq_{f} - 1) / (n_{f} - 1) AS hi FROM scaled),
+ev_{f} AS (SELECT customer_id, least(CAST({f} AS DOUBLE), (SELECT c{f[0]} FROM caps)) AS x FROM ev),
+tr_{f} AS (SELECT customer_id, CASE
+    WHEN x <= (SELECT min(v) FROM {knots}) THEN 0.0
+    WHEN x >= (SELECT max(v) FROM {knots}) THEN 1.0
+    WHEN x = k0.v THEN (k0.lo + k0.hi) / 2
+    ELSE k0.hi + (x - k0.v) / (k1.v - k0.v) * (k1.lo - k0.hi) END AS {f}_t
+  FROM ev_{f} ASOF LEFT JOIN {knots} k0 ON x >= k0.v ASOF LEFT JOIN {knots} k1 ON x <= k1.v)"""
+
+
+TRANSFORM_SQL = ",\n".join(_transform_sql(f) for f in ("Recency", "Frequency", "Monetary"))
 
 
 @query("transform_unseen", S.with_ctes(*S.BASE, S.SCALED, EV_SQL, TRANSFORM_SQL, body="""

@@ -25,7 +25,8 @@ TXN_EVENTS = """txn AS (
 
 RFM = """per_c AS (
   SELECT customer_id, max(invoice_date) AS last_purchase,
-         count(DISTINCT invoice_id) AS Frequency, sum(line_total) AS Monetary
+         count(DISTINCT invoice_id) AS Frequency,
+         CAST(sum(CAST(line_total AS DECIMAL(38, 6))) AS DOUBLE) AS Monetary
   FROM txn GROUP BY customer_id),
 rfm0 AS (
   SELECT customer_id,

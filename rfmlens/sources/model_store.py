@@ -1,5 +1,5 @@
 """Model persistence (S7, S8): Spark ML writers for the KMeans and PCA stages,
-JSON for the quantile knots and metadata, parquet for the cluster map."""
+parquet for the quantile knots and the cluster map, JSON for the rest."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import PCAModel, StandardScalerModel
 from pyspark.sql import SparkSession
 
-from rfmlens.operators.transform import QuantileModel
+from rfmlens.operators.transform import KNOTS, QuantileModel
 from rfmlens.plans.train import SegmentModel
 
 
@@ -23,7 +23,8 @@ def save_model(spark: SparkSession, model: SegmentModel, path: str) -> None:
     else:
         signs = None
     model.cluster_map_df(spark).write.mode("overwrite").parquet(f"{path}/cluster_map")
-    side = {"transform": model.transform.to_json(), "meta": model.meta, "pca_signs": signs}
+    model.transform.knots.write.mode("overwrite").parquet(f"{path}/knots")
+    side = {"caps": model.transform.caps, "n": model.transform.n, "meta": model.meta, "pca_signs": signs}
     spark.createDataFrame([(json.dumps(side, default=str),)], "value STRING") \
         .coalesce(1).write.mode("overwrite").text(f"{path}/side")
 
@@ -38,4 +39,4 @@ def load_model(spark: SparkSession, path: str) -> SegmentModel:
     cmap = [tuple(r) for r in spark.read.parquet(f"{path}/cluster_map")
             .select("Cluster", "Score", "order_pos", "Segment", "SegmentEmoji", "SegmentColor",
                     "Description", "Action").collect()]
-    return SegmentModel(km, QuantileModel.from_json(side["transform"]), cmap, side["meta"], pca)
+    return SegmentModel(km, QuantileModel(side["caps"], spark.read.schema(KNOTS).parquet(f"{path}/knots"), side["n"]), cmap, side["meta"], pca)

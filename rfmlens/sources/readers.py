@@ -133,7 +133,8 @@ def txn_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     lines = (read_table(spark, sf_dir, "lineitem")
              .groupBy("l_orderkey")
-             .agg(F.sum(F.col("l_quantity") * (F.col("l_extendedprice") / F.col("l_quantity"))).alias("line_total")))
+             .agg(F.sum((F.col("l_quantity") * (F.col("l_extendedprice") / F.col("l_quantity"))).try_cast("decimal(38,6)"))
+                  .alias("line_total")))
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
             .select(F.col("o_custkey").cast("string").alias("customer_id"),

@@ -1,3 +1,4 @@
+import pytest
 import os
 import tempfile
 
@@ -86,21 +87,26 @@ def test_train_score_save_load(spark):
     assert all(train_c[r[0]] == r[1] for r in a)
 
 
-def test_transform_with_few_knots(spark):
-    """More distinct values than knots: knots are order statistics at evenly
-    spaced ranks; unseen values are interpolated, monotone and in [0, 1]."""
-    import numpy as np
+@pytest.mark.parametrize("buckets", [None, 5])
+def test_transform_of_training_rows_is_exact(spark, buckets):
+    """M5 on the training rows equals M4 for every row, over one bucket or many."""
     rfm = B.rfm(spark, SF001)
-    exact, _ = fit_transform(rfm)
-    small, model = fit_transform(rfm, max_knots=11)
-    assert len(model.knots["Monetary"]) <= 11
-    # knots are the sorted capped values at ranks floor(i * (n-1) / 10)
-    vals = sorted(min(r["Monetary"], model.caps["Monetary"]) for r in rfm.select("Monetary").collect())
-    n = len(vals)
-    want = sorted({vals[(i * (n - 1)) // 10] for i in range(11)})
-    assert [k[0] for k in model.knots["Monetary"]] == want
-    out = transform(rfm, model, suffix="_t").join(exact.select("customer_id", "Monetary_s"), "customer_id")
-    rows = sorted((r["Monetary"], r["Monetary_t"], r["Monetary_s"]) for r in out.collect())
-    t = [x[1] for x in rows]
-    assert all(0.0 <= v <= 1.0 for v in t) and all(a <= b + 1e-12 for a, b in zip(t, t[1:]))
-    assert np.max(np.abs(np.array(t) - np.array([x[2] for x in rows]))) < 0.1
+    exact, model = fit_transform(rfm)
+    cols = ["Recency", "Frequency", "Monetary"]
+    out = transform(rfm, model, suffix="_t", buckets=buckets).join(exact.select("customer_id", *[c + "_s" for c in cols]), "customer_id")
+    rows = out.collect()
+    assert len(rows) == rfm.count()
+    assert all(r[c + "_t"] == pytest.approx(r[c + "_s"], abs=1e-12) for r in rows for c in cols)
+
+
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_transform_between_and_beyond_knots(spark, buckets):
+    """Values of one feature between, on and beyond the knots, by hand."""
+    from rfmlens.operators.transform import KNOTS, QuantileModel
+    knots = [("x", float(v), i / 9, i / 9) for i, v in enumerate([1, 2, 4, 8, 16, 32, 64, 128, 256, 512])]
+    model = QuantileModel({}, spark.createDataFrame(knots, KNOTS), 10)
+    values = [-5.0, 1.0, 1.5, 3.0, 100.0, 300.0, 512.0, 1000.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i INT, x DOUBLE")
+    got = [r["x_s"] for r in transform(df, model, ["x"], buckets=buckets).orderBy("i").collect()]
+    want = [0.0, 0.0, 0.5 / 9, 1.5 / 9, (6 + 36 / 64) / 9, (8 + 44 / 256) / 9, 1.0, 1.0, None]
+    assert got == [w if w is None else pytest.approx(w) for w in want]
