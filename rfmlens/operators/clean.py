@@ -1,19 +1,26 @@
 """Transaction cleaning (C0-C13): typed, imputed, filtered line items plus a
 report, for an input with any header.
 
-Decisions that need a number from the data (how many values are missing, a
-global median) are taken with small aggregate actions; the cleaned frame and
-the report stay lazy. Nothing is collected but scalars.
+The raw input is read once: its columns are parsed into a typed frame that is
+checkpointed (so generated row ids are pinned), and the counts that decide on fallbacks
+are observed while it is written. Medians come from (customer, value) counts,
+summed before they are narrowed to the customers in need; one join per column fills
+them in, and the cleaned rows and the report read the same frame. The driver sees
+scalars only. Helper columns evade the input's names and are the only ones dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from rfmlens import dims
 from rfmlens.functions import ntz_literal, strip_ws
-from rfmlens.operators.ranks import exact_quantiles, grouped_quantile, order_statistics, value_ranks
+from rfmlens.operators.ranks import counted_quantile, exact_quantiles, order_statistics, value_ranks
 from rfmlens.operators.schema import detect_columns, rename_to_canonical
+from rfmlens.session import checkpoint_dir
+
+# medians of at most so many customers are broadcast to the rows (size counted first)
+BROADCAST_MEDIANS = 500_000
 
 # Formats tried, in order, after ISO text (Q3). Month-first for slashes.
 DATE_FORMATS = [
@@ -56,31 +63,30 @@ def clean_id(c: Column, tokens: list[str]) -> Column:
     return F.when(s.isNull() | s.isin(tokens), F.lit(None).cast("string")).otherwise(s)
 
 
-def _median_fill(df: DataFrame, col: str, todo: Column, pool: Column, fallback: float) -> DataFrame:
-    """Fill ``col`` where ``todo`` with the customer's median of ``col``
-    over ``pool`` rows, else ``fallback``.
+def _customer_medians(df: DataFrame, value: Column, todo: Column, pool: Column) -> DataFrame:
+    """(_who, _med): median of ``value`` over the ``pool`` rows of each customer
+    with a ``todo`` row. Values are counted per customer before anything is joined, so a
+    customer with a third of all rows is a row per distinct value by then."""
+    pairs = (df.where(pool).select(F.col("customer_id").alias("_who"), value.alias("_x"))
+             .groupBy("_who", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    need = df.where(todo).select(F.col("customer_id").alias("_who")).distinct()
+    med = counted_quantile(pairs.join(need, "_who", "left_semi"), "_who", "_x", "_n", 0.5)
+    med = med.withColumnRenamed("quantile", "_med").checkpoint(eager=True)
+    return F.broadcast(med) if med.count() <= BROADCAST_MEDIANS else med
 
-    Only rows that need a value take part in a join. The medians are exact
-    and skew-safe (``grouped_quantile``): a customer with a third of all rows
-    is spread over many tasks, and only customers with a missing value are
-    ranked.
-    """
-    need = df.where(todo)
-    keep = df.where(~todo)
-    vals = (df.where(pool).select("customer_id", col)
-            .join(need.select("customer_id").distinct(), "customer_id", "left_semi"))
-    med = grouped_quantile(vals, "customer_id", col, 0.5).withColumnRenamed("quantile", "_med")
-    filled = (need.join(med, "customer_id", "left")
-              .withColumn(col, F.coalesce(F.col("_med"), F.lit(float(fallback))))
-              .drop("_med"))
-    return keep.unionByName(filled)
-
-
-def _global_median(df: DataFrame, col: str) -> float:
-    (m,), n = exact_quantiles(df, col, [0.5])
+
+def _global_median(df: DataFrame, value: Column) -> float:
+    (m,), n = exact_quantiles(df.select(value.alias("_x")), "_x", [0.5])
     return float(m) if n and m is not None else 1.0
 
 
+def _free_prefix(columns: list[str]) -> str:
+    prefix = "_rfm_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: bool = False,
                        date_formats=DATE_FORMATS) -> tuple[DataFrame, DataFrame]:
     """Returns (line items, report).
@@ -92,110 +98,84 @@ def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: boo
     ``row_id_col`` names a unique key used to build ids for rows without one
     (``CUST_<id>``, ``INV_<id>``); without it a generated id is used (Q2).
     """
-    spark = df.sparkSession
+    checkpoint_dir(df.sparkSession)
+    at = df.columns.index(row_id_col) if row_id_col else None
     detected = detect_columns(df.columns, strict)
     df, inferred = rename_to_canonical(df, detected)
+    others = [c for c in df.columns if c not in dims.ROLE_ORDER and c != "line_total"]
     types = {f.name: f.dataType for f in df.schema.fields}
-    rid = (F.col(row_id_col).cast("string") if row_id_col
-           else F.monotonically_increasing_id().cast("string"))
     present = {r: r in df.columns for r in dims.ROLE_ORDER}
-    df = df.withColumn("_rid", rid)
-
-    # customer_id
-    if present["customer_id"]:
-        cust = clean_id(F.col("customer_id"), dims.CUSTOMER_NULL_TOKENS)
-        df = (df.withColumn("_imp_customer_id", cust.isNull())
-              .withColumn("customer_id", F.coalesce(cust, F.concat(F.lit(dims.CUSTOMER_PREFIX), F.col("_rid")))))
-    else:
-        df = (df.withColumn("_imp_customer_id", F.lit(True))
-              .withColumn("customer_id", F.concat(F.lit(dims.CUSTOMER_PREFIX), F.col("_rid"))))
-
-    # parse date / numbers once; decide on fallbacks from one counting pass
-    if present["invoice_date"]:
-        df = df.withColumn("_d", parse_date(F.col("invoice_date"), types["invoice_date"], date_formats))
-    if present["quantity"]:
-        df = df.withColumn("_q", parse_number(F.col("quantity"), types["quantity"]))
-    # one pass decides every fallback when no quantity is missing: then the
-    # rows kept by the quantity filter are known without imputation
-    q_ok = (F.col("_q") > 0) if present["quantity"] else F.lit(True)
-    p_missing = (parse_number(F.col("unit_price"), types["unit_price"]).isNull()
-                 if present["unit_price"] else F.lit(False))
-    counts = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.count_if(F.col("_d").isNull()) if present["invoice_date"] else F.lit(0)).alias("nd"),
-        (F.count_if(F.col("_q").isNull()) if present["quantity"] else F.lit(0)).alias("nq"),
-        F.count_if(q_ok & p_missing).alias("np"),
-    ).first()
-
-    # invoice_date
-    if present["invoice_date"]:
-        fallback = None
-        if counts["nd"] > 0:
-            valid = df.where(F.col("_d").isNotNull())
-            ranks = value_ranks(valid, "_d")
-            if ranks.n() > 0:
-                mid = ranks.n() // 2
-                fallback = order_statistics(ranks, [mid])[mid]
-        fb = ntz_literal(fallback) if fallback is not None else F.lit(dims.DEFAULT_DATE).cast("timestamp_ntz")
-        df = (df.withColumn("_imp_invoice_date", F.col("_d").isNull())
-              .withColumn("invoice_date", F.coalesce(F.col("_d"), fb)).drop("_d"))
-    else:
-        df = (df.withColumn("_imp_invoice_date", F.lit(True))
-              .withColumn("invoice_date", F.lit(dims.DEFAULT_DATE).cast("timestamp_ntz")))
-
-    # invoice_id
-    if present["invoice_id"]:
-        inv = clean_id(F.col("invoice_id"), dims.INVOICE_NULL_TOKENS)
-        df = (df.withColumn("_imp_invoice_id", inv.isNull())
-              .withColumn("invoice_id", F.coalesce(inv, F.concat(F.lit(dims.INVOICE_PREFIX), F.col("_rid")))))
-    else:
-        df = (df.withColumn("_imp_invoice_id", F.lit(True))
-              .withColumn("invoice_id", F.concat_ws("_", F.col("customer_id"),
-                                                    F.date_format("invoice_date", "yyyyMMdd"))))
-
-    # quantity (C7, C8, C9)
-    if present["quantity"]:
-        df = df.withColumn("_imp_quantity", F.col("_q").isNull()).withColumn("quantity", F.col("_q")).drop("_q")
-        if counts["nq"] > 0:
-            gmed = _global_median(df, "quantity")
-            df = _median_fill(df, "quantity", F.col("_imp_quantity"), ~F.col("_imp_quantity"), gmed)
-    else:
-        df = df.withColumn("_imp_quantity", F.lit(True)).withColumn("quantity", F.lit(dims.DEFAULT_QUANTITY))
-    df = df.withColumn("_keep_q", F.col("quantity") > 0)
-
-    # unit_price (C7, C10): medians over rows that survived the quantity filter
-    if present["unit_price"]:
-        p = parse_number(F.col("unit_price"), types["unit_price"])
-        df = (df.withColumn("unit_price", p)
-              .withColumn("_imp_unit_price", F.col("_keep_q") & F.col("unit_price").isNull()))
-        np_missing = (df.agg(F.count_if(F.col("_imp_unit_price"))).first()[0]
-                      if counts["nq"] > 0 else counts["np"])
-        if np_missing > 0:
-            pool = F.col("_keep_q") & F.col("unit_price").isNotNull()
-            gmed = _global_median(df.where(pool), "unit_price")
-            df = _median_fill(df, "unit_price", F.col("_imp_unit_price"), pool, gmed)
-    else:
-        df = (df.withColumn("_imp_unit_price", F.col("_keep_q"))
-              .withColumn("unit_price", F.lit(dims.DEFAULT_PRICE)))
-    df = (df.withColumn("_keep", F.col("_keep_q") & (F.col("unit_price") > 0))
-          .withColumn("line_total", F.col("quantity") * F.col("unit_price")))
-
-    flags = [c for c in df.columns if c.startswith("_")]
-    cleaned = df.where("_keep").drop(*flags)
-    front = ["customer_id", "invoice_id", "invoice_date", "quantity", "unit_price", "line_total"]
-    cleaned = cleaned.select(*front, *[c for c in cleaned.columns if c not in front])
-    return cleaned, cleaning_report(df, inferred, present)
-
-
-def cleaning_report(flagged: DataFrame, inferred: dict[str, str], present: dict[str, bool]) -> DataFrame:
+    h = _free_prefix(df.columns)
+    rid = F.col(f"`{df.columns[at]}`").cast("string") if at is not None else F.monotonically_increasing_id().cast("string")
+
+    # Everything that needs no other row
+    def id_of(role: str, tokens: list[str]) -> Column:
+        return clean_id(F.col(role), tokens) if present[role] else F.lit(None).cast("string")
+    date = (parse_date(F.col("invoice_date"), types["invoice_date"], date_formats) if present["invoice_date"]
+            else F.lit(None).cast("timestamp_ntz"))
+    number = {r: parse_number(F.col(r), types[r]) if present[r] else F.lit(default)
+              for r, default in (("quantity", dims.DEFAULT_QUANTITY), ("unit_price", dims.DEFAULT_PRICE))}
+    typed = df.select(rid.alias(h + "rid"), id_of("customer_id", dims.CUSTOMER_NULL_TOKENS).alias(h + "cust"),
+                      id_of("invoice_id", dims.INVOICE_NULL_TOKENS).alias(h + "inv"), date.alias(h + "date"),
+                      number["quantity"].alias(h + "q"), number["unit_price"].alias(h + "p"),
+                      *[F.col(f"`{c}`") for c in others])
+    rid, cust, inv, date, q, p = (F.col(h + c) for c in ("rid", "cust", "inv", "date", "q", "p"))
+    seen = Observation()
+    typed = typed.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(date.isNull()).alias("date"),
+                          F.count_if(q.isNull()).alias("q"), F.count_if(p.isNull()).alias("p")).checkpoint(eager=True)
+    missing = dict(seen.get or {})
+
+    # customer_id, invoice_date (C4), invoice_id
+    fallback = None
+    if present["invoice_date"] and missing.get("date"):
+        ranks = value_ranks(typed, date)
+        if ranks.n() > 0:
+            mid = ranks.n() // 2
+            fallback = order_statistics(ranks, [mid])[mid]
+        ranks.release()
+    day = ntz_literal(fallback) if fallback is not None else F.lit(dims.DEFAULT_DATE).cast("timestamp_ntz")
+    flagged = typed.withColumn("customer_id", F.coalesce(cust, F.concat(F.lit(dims.CUSTOMER_PREFIX), rid)))
+    flagged = flagged.withColumn("invoice_date", F.coalesce(date, day))
+    flagged = flagged.withColumn("invoice_id", F.coalesce(inv, F.concat(F.lit(dims.INVOICE_PREFIX), rid)) if present["invoice_id"]
+                                 else F.concat_ws("_", F.col("customer_id"), F.date_format("invoice_date", "yyyyMMdd")))
+
+    # quantity (C8, C9), then unit_price over the rows whose quantity stays
+    def fill(frame: DataFrame, value: Column, role: str, todo: Column, pool: Column) -> DataFrame:
+        if not missing.get(value_name[role]):
+            return frame.withColumn(role, value)
+        med = _customer_medians(frame, value, todo, pool)
+        fallback = _global_median(frame.where(pool), value)
+        joined = frame.join(med, F.col("customer_id") == F.col("_who"), "left")
+        return joined.withColumn(role, F.when(todo, F.coalesce("_med", F.lit(fallback))).otherwise(value)).drop("_who", "_med")
+    value_name = {"quantity": "q", "unit_price": "p"}
+    flagged = fill(flagged, q, "quantity", q.isNull(), q.isNotNull())
+    stays = F.col("quantity") > 0
+    flagged = fill(flagged, p, "unit_price", stays & p.isNull(), stays & p.isNotNull())
+
+    keep = F.coalesce(stays & (F.col("unit_price") > 0), F.lit(False))
+    flags = {"customer_id": cust.isNull(), "invoice_id": inv.isNull(), "invoice_date": date.isNull(),
+             "quantity": q.isNull(), "unit_price": stays & p.isNull()}
+    for role in dims.ROLE_ORDER:
+        if not present[role]:
+            flags[role] = stays if role == "unit_price" else F.lit(True)
+    cleaned = (flagged.where(keep).withColumn("line_total", F.col("quantity") * F.col("unit_price"))
+               .select("customer_id", "invoice_id", "invoice_date", "quantity", "unit_price", "line_total",
+                       *[F.col(f"`{c}`") for c in others]))
+    return cleaned, cleaning_report(flagged, inferred, present, stays, keep, flags)
+
+
+def cleaning_report(flagged: DataFrame, inferred: dict[str, str], present: dict[str, bool],
+                    stays: Column, keep: Column, flags: dict[str, Column]) -> DataFrame:
     """C11: original/clean row counts, inferred mapping, imputed counts per
     role (listed when a role was absent or had missing values) and dropped
-    counts (listed when > 0) -- one aggregate pass over the flagged rows."""
+    counts (listed when > 0) -- one aggregate pass over the flagged rows:
+    ``stays`` says whether a row's quantity is kept, ``keep`` whether the row is,
+    ``flags`` which values were imputed."""
     spark = flagged.sparkSession
-    aggs = [F.count(F.lit(1)).alias("original_rows"), F.count_if("_keep").alias("clean_rows"),
-            F.count_if(~F.col("_keep_q")).alias("negative_quantity"),
-            F.count_if(F.col("_keep_q") & ~F.col("_keep")).alias("zero_price")]
-    aggs += [F.count_if(f"_imp_{r}").alias(f"imp_{r}") for r in dims.ROLE_ORDER]
+    aggs = [F.count(F.lit(1)).alias("original_rows"), F.count_if(keep).alias("clean_rows"),
+            F.count_if(~stays).alias("negative_quantity"),
+            F.count_if(stays & ~keep).alias("zero_price")]
+    aggs += [F.count_if(flags[r]).alias(f"imp_{r}") for r in dims.ROLE_ORDER]
     wide = flagged.agg(*aggs)
     rows = [f"'rows', 'original_rows', original_rows, 0", f"'rows', 'clean_rows', clean_rows, 0",
             "'dropped', 'negative_quantity', negative_quantity, 1", "'dropped', 'zero_price', zero_price, 1"]

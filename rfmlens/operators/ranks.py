@@ -259,9 +259,17 @@ def attach_ranks(df: DataFrame, col: str, prefix: str, buckets: int | None = Non
 def grouped_quantile(df: DataFrame, group: str, col: str, q: float = 0.5,
                      partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolated ``q`` quantile of ``col`` per ``group`` for
-    any number of groups, without any group in one task or one aggregator.
+    any number of groups: (group, quantile)."""
+    pairs = df.where(F.col(col).isNotNull()).groupBy(group, col).agg(F.count(F.lit(1)).alias("_cnt"))
+    return counted_quantile(pairs, group, col, "_cnt", q, partitions)
 
-    (group, value) counts are range-partitioned on (group, value), so a group
+
+def counted_quantile(pairs: DataFrame, group: str, col: str, cnt: str, q: float = 0.5,
+                     partitions: int | None = None) -> DataFrame:
+    """``grouped_quantile`` of distinct (group, value) rows with counts, without any
+    group in one task or one aggregator.
+
+    The pairs are range-partitioned on (group, value), so a group
     holding a third of all rows spans many partitions; the partition id is
     pinned by a checkpoint (the range bounds come from a sample); per
     (partition, group) totals -- at most groups + partitions rows -- give
@@ -270,10 +278,10 @@ def grouped_quantile(df: DataFrame, group: str, col: str, q: float = 0.5,
     per group with one more aggregate. Returns (group, quantile).
     """
     from rfmlens.session import checkpoint_dir
-    spark = df.sparkSession
+    spark = pairs.sparkSession
     checkpoint_dir(spark)
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    pairs = (df.where(F.col(col).isNotNull()).groupBy(group, col).agg(F.count(F.lit(1)).alias("_cnt")))
+    pairs = pairs.select(group, col, F.col(cnt).alias("_cnt"))
     ranged = (pairs.repartitionByRange(p, group, col).withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
     tot = ranged.groupBy("_pid", group).agg(F.sum("_cnt").alias("_t"))

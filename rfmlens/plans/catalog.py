@@ -836,11 +836,10 @@ FROM scored"""))
 def q_roundtrip(spark, sf):
     """S5 + S3: write the scored table to the shared checkpoint folder as CSV
     and read it back with its fixed schema."""
-    import uuid
-    from rfmlens.session import checkpoint_dir
+    from rfmlens.session import scratch_path
     from rfmlens.sources.readers import read_scored
     from rfmlens.sources.writers import write_scored
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rfmlens-scored-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "scored")
     out = B.scored(spark, sf).withColumn("PCA1", F.lit(None).cast("double")).withColumn("PCA2", F.lit(None).cast("double"))
     write_scored(out.select([f.name for f in dims.SCORED_SCHEMA.fields]), path, fmt="csv")
     back = read_scored(spark, path, fmt="csv")
@@ -849,7 +848,7 @@ def q_roundtrip(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from rfmlens.plans import ml_queries  # noqa: F401  (registers the model queries)
+    from rfmlens.plans import input_queries, ml_queries  # noqa: F401  (they register theirs)
     return dict(QUERIES)
 
 
@@ -870,4 +869,5 @@ def _bigint_counts(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: _bigint_counts(v) for k, v in ORACLES.items()}

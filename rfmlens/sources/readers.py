@@ -3,9 +3,7 @@ metadata (S9), source profile (S10) and the fixture views over the test tables."
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rfmlens import dims
 
@@ -18,30 +16,44 @@ NA_TOKENS = [
 ]
 
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
-                      corrupt_column: str | None = None) -> DataFrame:
+def csv_options(reader, multi_line: bool = True):
+    """The CSV dialect of batch and stream: a header, quotes doubled inside
+    quoted fields and, with ``multi_line``, line breaks in them.
+
+    Spark can't split a file whose records may span lines, so ``multi_line`` makes one
+    task of each file; pass False for large files known to have none.
+    """
+    return (reader.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line))
+
+
+def missing_to_null(df: DataFrame, keep: str | None = None) -> DataFrame:
+    """Texts that mean a missing value become NULL in all columns but ``keep``."""
+    return df.select([F.col(f"`{c}`") if c == keep else
+                      F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
+def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", corrupt_column: str | None = None,
+                      multi_line: bool = True) -> DataFrame:
     """Read a transactions file with whatever header it has.
 
     CSV is read with every column as STRING (no schema inference: inference
     scans the data twice and turns integer ids with gaps into ``3.0``); the
     cleaner types the columns. Missing-value tokens become NULL here.
-    ``corrupt_column`` keeps malformed lines instead of failing (S2).
+    ``corrupt_column`` names a further column that holds the text of records with too few
+    or too many fields, NULL for the others (S2).
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if not _exists(spark, path):
         raise FileNotFoundError(f"transactions file not found: {path}")
-    reader = spark.read.option("header", True).option("inferSchema", False)
+    reader = csv_options(spark.read, multi_line)
     if corrupt_column:
-        reader = (reader.option("mode", "PERMISSIVE")
-                  .option("columnNameOfCorruptRecord", corrupt_column))
-    df = reader.csv(path)
-    return df.select([
-        F.when(F.col(f"`{c}`").isin(NA_TOKENS), F.lit(None).cast("string"))
-         .otherwise(F.col(f"`{c}`")).alias(c)
-        if c != corrupt_column else F.col(f"`{c}`")
-        for c in df.columns
-    ])
+        # Spark fills the column only if the schema names it
+        header = reader.csv(path).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, corrupt_column]])
+        reader = (reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_column))
+    return missing_to_null(reader.csv(path), corrupt_column)
 
 
 def try_read_transactions(spark: SparkSession, path: str, fmt: str = "csv"
@@ -57,12 +69,11 @@ def try_read_transactions(spark: SparkSession, path: str, fmt: str = "csv"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path) or any(ch in path for ch in "*?[")
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    """Whether a path or pattern matches anything in its own file system (the
+    default one if the path names none)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

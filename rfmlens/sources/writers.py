@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_scored(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the scored customer table (parquet by default; CSV with header)."""
+    """Write a table (parquet by default; CSV with a header, quotes doubled
+    inside quoted fields, as ``csv_options`` reads it)."""
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
     else:
         w.parquet(path)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rfmlens.plans.score import score
 from rfmlens.plans.train import SegmentModel
+from rfmlens.sources.readers import csv_options, missing_to_null
 
 
 def score_arriving_files(spark: SparkSession, in_dir: str, model: SegmentModel, out_dir: str,
@@ -21,15 +22,15 @@ def score_arriving_files(spark: SparkSession, in_dir: str, model: SegmentModel,
                          files_per_batch: int = 1, available_now: bool = True, fmt: str = "csv"):
     """Start the stream and return the ``StreamingQuery``.
 
-    ``columns`` names the CSV header (all read as text, like the batch
-    reader); when omitted it is taken from the files already present.
+    ``columns`` names the CSV header (read with the batch reader's dialect and
+    missing-value tokens); when omitted it is taken from the files already present.
     """
     if fmt == "csv":
         if columns is None:
-            columns = spark.read.option("header", True).csv(in_dir).columns
+            columns = csv_options(spark.read).csv(in_dir).columns
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        reader = spark.readStream.schema(schema).option("header", True) \
-            .option("maxFilesPerTrigger", files_per_batch).csv(in_dir)
+        stream = csv_options(spark.readStream.schema(schema)).option("maxFilesPerTrigger", files_per_batch)
+        reader = missing_to_null(stream.csv(in_dir))
     else:
         schema = spark.read.format(fmt).load(in_dir).schema
         reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch) \
