@@ -10,6 +10,7 @@ import argparse
 import json
 
 from rfmlens import dims
+from rfmlens.operators.cluster import FINAL_WORK, SEARCH_WORK
 
 
 def main(argv=None) -> None:
@@ -21,8 +22,8 @@ def main(argv=None) -> None:
     t.add_argument("--out", required=True, help="folder for scored customers, model and metadata")
     t.add_argument("--clusters", type=int, default=None, help="force k (skip the search)")
     t.add_argument("--currency", default=dims.DEFAULT_CURRENCY)
-    t.add_argument("--search-restarts", type=int, default=5)
-    t.add_argument("--final-restarts", type=int, default=10)
+    t.add_argument("--search-restarts", type=int, default=SEARCH_WORK[0])
+    t.add_argument("--final-restarts", type=int, default=FINAL_WORK[0])
     s = sub.add_parser("score", help="score a transactions file with a saved model")
     s.add_argument("--data", required=True)
     s.add_argument("--format", default="csv", choices=["csv", "parquet"])

@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rfmlens import dims
+from rfmlens.operators.quality import SILHOUETTE, assign_clusters, quality_metrics
 
 SCALED = ["Recency_s", "Frequency_s", "Monetary_s"]
 
@@ -32,13 +33,25 @@ class Fit:
     iterations: int
 
 
-def fit_kmeans(feats: DataFrame, k: int, restarts: int = 5, max_iter: int = 300, tol: float = 1e-6,
-               seed: int = 42, features_col: str = "features", parallelism: int = 4) -> Fit:
+#: Work of the search and of the final fit: restarts, iterations, tolerance.
+SEARCH_WORK, FINAL_WORK = (30, 1000, 1e-6), (50, 2000, 1e-7)
+ROWS_PER_PARTITION = 250_000
+
+
+def model_rows(df: DataFrame, key: str = "customer_id", cols=SCALED) -> DataFrame:
+    """What the fits read, cached: key, features and the vector, in as few
+    partitions as the number of rows needs (a fit is many short passes)."""
+    narrow = assemble(df.select(key, *cols), cols)
+    n = narrow.count()
+    return narrow.coalesce(max(1, -(-n // ROWS_PER_PARTITION))).cache()
+
+
+def fit_kmeans(feats: DataFrame, k: int, restarts: int = FINAL_WORK[0], max_iter: int = FINAL_WORK[1], tol: float = FINAL_WORK[2],
+               seed: int = 42, features_col: str = "features", parallelism: int = 8) -> Fit:
     """M6: best of ``restarts`` fits (lowest training cost; ties -> lower
     seed). Independent fits are submitted from a small driver thread pool,
     as Spark ML's ``CrossValidator(parallelism=...)`` does, so their jobs
-    share the cluster instead of queueing. The reference's 30 / 50 restarts
-    are reachable through the argument."""
+    share the cluster instead of queueing."""
     def one(r: int) -> Fit:
         km = KMeans(k=k, initMode="k-means||", maxIter=max_iter, tol=tol, seed=seed + r,
                     featuresCol=features_col, predictionCol="Cluster")
@@ -54,13 +67,24 @@ def fit_kmeans(feats: DataFrame, k: int, restarts: int = 5, max_iter: int = 300,
     return min(fits, key=lambda f: (f.cost, f.seed))
 
 
-def predict(model: KMeansModel, feats: DataFrame) -> DataFrame:
-    """M7 with a fitted model."""
+@dataclass
+class Centers:
+    """Cluster centres from elsewhere, in the place of a fitted model."""
+    points: list[list[float]]
+
+    def clusterCenters(self):  # noqa: N802 - as KMeansModel names it
+        return self.points
+
+
+def predict(model: KMeansModel | Centers, feats: DataFrame, cols=SCALED) -> DataFrame:
+    """M7 with a fitted model or given centres."""
+    if isinstance(model, Centers):
+        return assign_clusters(feats, list(cols), model.points)
     return model.transform(feats).withColumn("Cluster", F.col("Cluster").cast("int"))
 
 
 def select_k(metrics: DataFrame) -> DataFrame:
-    """M13 on a metrics table (k, inertia, silhouette, calinski_harabasz,
+    """M13 on a metrics table (k, inertia, silhouette_sq_euclidean, calinski_harabasz,
     davies_bouldin): each metric min-max scaled over the k values (inertia
     and DB inverted, flat range -> denominator 1), averaged; rows in k order
     with ``consensus`` and ``best`` (first maximum). <= 6 rows."""
@@ -75,32 +99,30 @@ def select_k(metrics: DataFrame) -> DataFrame:
     # an undefined metric (NaN) is no score at all: NULL, so it neither wins
     # the comparison (Spark sorts NaN above every number) nor shifts min/max
     clean = metrics.select("k", *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
-                                  for c in ("inertia", "silhouette", "calinski_harabasz", "davies_bouldin")])
-    out = clean.withColumn("consensus", (scaled("inertia", True) + scaled("silhouette", False) +
+                                  for c in ("inertia", SILHOUETTE, "calinski_harabasz", "davies_bouldin")])
+    out = clean.withColumn("consensus", (scaled("inertia", True) + scaled(SILHOUETTE, False) +
                                          scaled("calinski_harabasz", False) +
                                          scaled("davies_bouldin", True)) / 4.0)
     first_max = F.row_number().over(Window.orderBy(F.desc_nulls_last("consensus"), "k"))
     return out.withColumn("best", first_max == 1).orderBy("k")
 
 
-def search_k(feats: DataFrame, k_min: int = dims.K_MIN, k_max: int = dims.K_MAX, restarts: int = 5,
-             max_iter: int = 300, tol: float = 1e-6, seed: int = 42, force_k: int | None = None,
+def search_k(feats: DataFrame, k_min: int = dims.K_MIN, k_max: int = dims.K_MAX,
+             restarts: int = SEARCH_WORK[0], max_iter: int = SEARCH_WORK[1], tol: float = SEARCH_WORK[2], seed: int = 42, force_k: int | None = None,
              cols=SCALED) -> tuple[int, DataFrame | None]:
     """Choose k by the four-metric consensus, or take ``force_k``."""
     if force_k:
         return int(force_k), None
-    from rfmlens.operators.quality import quality_metrics
-
     def one(k: int):
         fit = fit_kmeans(feats, k, restarts, max_iter, tol, seed, parallelism=1)
         q = quality_metrics(predict(fit.model, feats), list(cols))
-        return (k, fit.cost, q["silhouette"], q["calinski_harabasz"], q["davies_bouldin"])
+        return (k, fit.cost, q[SILHOUETTE], q["calinski_harabasz"], q["davies_bouldin"])
 
     ks = list(range(k_min, k_max + 1))
-    with ThreadPoolExecutor(max_workers=min(4, len(ks))) as pool:
+    with ThreadPoolExecutor(max_workers=len(ks)) as pool:
         rows = list(pool.map(one, ks))
     metrics = feats.sparkSession.createDataFrame(
-        rows, "k INT, inertia DOUBLE, silhouette DOUBLE, calinski_harabasz DOUBLE, davies_bouldin DOUBLE")
+        rows, f"k INT, inertia DOUBLE, {SILHOUETTE} DOUBLE, calinski_harabasz DOUBLE, davies_bouldin DOUBLE")
     table = select_k(metrics)
     best = table.where("best").select("k").first()["k"]
     return int(best), table

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rfmlens import dims
 from rfmlens.functions import bround, cents_mean, day_text, format_currency, percent_text, safe_ratio
+from rfmlens.operators.quality import SILHOUETTE, squared_limit
 from rfmlens.operators.ranks import exact_quantiles_by
 
 
@@ -110,7 +111,7 @@ def radar_profile(scored: DataFrame) -> DataFrame:
                                        F.avg("Monetary").alias("Revenue_Score"))
 
 
-def cluster_quality(scored: DataFrame, silhouette_col: str | None = "silhouette") -> DataFrame:
+def cluster_quality(scored: DataFrame, silhouette_col: str | None = SILHOUETTE) -> DataFrame:
     """By (Cluster, Segment): N, share of customers (%), Avg R/F/M,
     Avg RFM_Total and mean silhouette, rounded to 2 (half-even), by Avg_M."""
     aggs = [F.count(F.lit(1)).alias("N"), F.avg("Recency").alias("Avg_R"),
@@ -127,16 +128,17 @@ def cluster_quality(scored: DataFrame, silhouette_col: str | None = "silhouette"
         .orderBy(F.desc("Avg_M"), "Cluster")
 
 
-def cluster_warnings(quality: DataFrame) -> DataFrame:
+def cluster_warnings(quality: DataFrame, low: float = squared_limit(dims.LOW_SIL)) -> DataFrame:
     """Clusters under 3 % of customers and clusters whose mean silhouette
-    is under 0.10, one row per warning. The share is compared as counts (not as the rounded
+    is under ``low``, one row per warning. ``low`` is a limit on the squared form that the
+    quality table holds (the known 0.10 is Euclidean). The share is compared as counts (not as the rounded
     percentage, which hides 2.996 %)."""
     share = F.col("N") * 100.0 / F.sum("N").over(_all())
     small = quality.withColumn("share", share).where(F.col("share") < dims.SMALL_CLUSTER_PCT).select(
         "Cluster", "Segment", F.lit("small_cluster").alias("warning"), F.col("Pct").cast("double").alias("value"))
-    low = quality.where(F.col("Sil_Score") < dims.LOW_SIL).select(
+    bad = quality.where(F.col("Sil_Score") < low).select(
         "Cluster", "Segment", F.lit("low_silhouette").alias("warning"), F.col("Sil_Score").cast("double").alias("value"))
-    return small.unionByName(low)
+    return small.unionByName(bad)
 
 
 def box_stats(scored: DataFrame, feature: str) -> DataFrame:

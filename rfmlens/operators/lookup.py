@@ -91,8 +91,9 @@ def customer_ids(scored: DataFrame) -> DataFrame:
 
 
 def random_customer(scored: DataFrame, seed: int = 42) -> DataFrame:
-    """T4: one pseudo-random customer; a distributed top-1 by hash."""
-    return scored.orderBy(F.xxhash64("customer_id", F.lit(seed)), "customer_id").limit(1)
+    """T4: one pseudo-random customer; a distributed top-1 by the MD5 of id and seed."""
+    order = F.md5(F.concat(F.col("customer_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    return scored.orderBy(order, "customer_id").limit(1)
 
 
 def lookup(scored: DataFrame, customer_id: str) -> DataFrame:

@@ -14,7 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rfmlens import dims
+#: The squared-Euclidean silhouette always goes by this name.
+SILHOUETTE = "silhouette_sq_euclidean"
 
 
 def _sq_dist(cols: list[str], center: list[float]) -> Column:
@@ -55,7 +56,7 @@ def inertia(df: DataFrame, cols: list[str], cluster_col: str = "Cluster",
 
 
 def silhouette_rows(df: DataFrame, cols: list[str], cluster_col: str = "Cluster",
-                    sums: dict | None = None, out_col: str = "silhouette") -> DataFrame:
+                    sums: dict | None = None, out_col: str = SILHOUETTE) -> DataFrame:
     """Per-row squared-Euclidean silhouette.
 
     Mean squared distance from x to cluster C = |x|^2 + psi_C/N_C - 2 x.Y_C/N_C;
@@ -82,14 +83,6 @@ def silhouette_rows(df: DataFrame, cols: list[str], cluster_col: str = "Cluster"
     return df.withColumn(out_col, sil)
 
 
-def silhouette(df: DataFrame, cols: list[str], cluster_col: str = "Cluster",
-               sums: dict | None = None) -> DataFrame:
-    """Mean silhouette and the number of negative rows (one row)."""
-    rows = silhouette_rows(df, cols, cluster_col, sums)
-    return rows.agg(F.avg("silhouette").alias("silhouette"),
-                    F.count_if(F.col("silhouette") < 0).alias("n_negative"))
-
-
 def calinski_harabasz(sums: dict, n_features: int | None = None) -> float:
     """(B / (k-1)) / (W / (n-k)) from the per-cluster sums."""
     k = len(sums)
@@ -103,34 +96,20 @@ def calinski_harabasz(sums: dict, n_features: int | None = None) -> float:
     return float(between * (n - k) / (within * (k - 1)))
 
 
-def davies_bouldin(df: DataFrame, cols: list[str], cluster_col: str = "Cluster",
-                   sums: dict | None = None) -> float:
-    """Mean over clusters of max_{j != i} (s_i + s_j) / d(mu_i, mu_j),
-    s_i = mean Euclidean distance of cluster i's rows to its centre."""
-    sums = sums or cluster_sums(df, cols, cluster_col)
-    dist = None
-    for cid, s in sums.items():
-        term = F.when(F.col(cluster_col) == F.lit(cid), F.sqrt(_sq_dist(cols, s["mean"])))
-        dist = term if dist is None else F.coalesce(dist, term)
-    spread = {int(r[cluster_col]): float(r["s"])
-              for r in df.groupBy(cluster_col).agg(F.avg(dist).alias("s")).collect()}
-    return _db_from_spread(sums, spread)
-
-
-def fit_verdict(sil: float) -> str:
-    """< 0.30 warn, >= 0.40 good, otherwise nothing to say."""
-    if sil < dims.SIL_WARN:
-        return "warning"
-    if sil >= dims.SIL_GOOD:
-        return "good"
-    return "ok"
+def squared_limit(euclidean: float) -> float:
+    """The limit on the squared form that a limit on the Euclidean silhouette
+    1 - a / b becomes for a row whose distances within a cluster are about equal:
+    1 - (a / b)^2."""
+    return 1 - (1 - euclidean) ** 2
 
 
-def verdict_column(c) -> Column:
-    """M15 as a column expression."""
-    s = F.col(c) if isinstance(c, str) else c
-    return (F.when(s < dims.SIL_WARN, F.lit("warning")).when(s >= dims.SIL_GOOD, F.lit("good"))
-            .otherwise(F.lit("ok")))
+def fit_verdict(value: float, warn: float | None = None, good: float | None = None) -> str | None:
+    """Below ``warn`` a warning, from ``good`` on good, else ok. The known limits
+    (``dims.SIL_WARN``, ``dims.SIL_GOOD``) hold for the Euclidean silhouette; without limits
+    for the value at hand there is no verdict."""
+    if warn is None or good is None:
+        return None
+    return "warning" if value < warn else "good" if value >= good else "ok"
 
 
 def _db_from_spread(sums: dict, spread: dict) -> float:
@@ -161,13 +140,13 @@ def quality_metrics(df: DataFrame, cols: list[str], cluster_col: str = "Cluster"
         dist = term if dist is None else F.coalesce(dist, term)
     rows = (silhouette_rows(df, cols, cluster_col, sums)
             .groupBy(cluster_col)
-            .agg(F.sum("silhouette").alias("sil_sum"), F.count_if(F.col("silhouette") < 0).alias("neg"),
+            .agg(F.sum(SILHOUETTE).alias("sil_sum"), F.count_if(F.col(SILHOUETTE) < 0).alias("neg"),
                  F.avg(dist).alias("spread"), F.count(F.lit(1)).alias("n"))
             .collect())
     n = sum(int(r["n"]) for r in rows)
     spread = {int(r[cluster_col]): float(r["spread"]) for r in rows}
     return {"k": len(sums), "inertia": inertia(df, cols, cluster_col, sums),
-            "silhouette": float(sum(float(r["sil_sum"]) for r in rows) / n) if n else float("nan"),
+            SILHOUETTE: float(sum(float(r["sil_sum"]) for r in rows) / n) if n else float("nan"),
             "n_negative": int(sum(int(r["neg"]) for r in rows)),
             "calinski_harabasz": calinski_harabasz(sums),
             "davies_bouldin": _db_from_spread(sums, spread)}

@@ -387,7 +387,7 @@ CQ_SQL = """cq AS (
                  WHEN 2 * (sum(CAST(round(Monetary * 100) AS BIGINT)) % count(*)) = count(*)
                       AND (sum(CAST(round(Monetary * 100) AS BIGINT)) // count(*)) % 2 = 1 THEN 1 ELSE 0 END
          ) / 100.0 AS Avg_M,
-         avg(RFM_Total) AS Avg_RFM, avg(silhouette) AS Sil_Score
+         avg(RFM_Total) AS Avg_RFM, avg(silhouette_sq_euclidean) AS Sil_Score
   FROM scaled s JOIN sil USING (customer_id) GROUP BY s.Cluster, Segment),
 cq2 AS (SELECT Cluster, Segment, N, CAST(round_even(N * 100.0 / sum(N) OVER (), 2) AS DOUBLE) AS Pct,
                CAST(round_even(Avg_R, 2) AS DOUBLE) AS Avg_R, CAST(round_even(Avg_F, 2) AS DOUBLE) AS Avg_F,
@@ -404,7 +404,7 @@ def q_cluster_quality(spark, sf):
 SELECT Cluster, Segment, 'small_cluster' AS warning, Pct AS value
 FROM (SELECT *, 100.0 * N / (SELECT count(*) FROM scored) AS share FROM cq2) WHERE share < {dims.SMALL_CLUSTER_PCT}
 UNION ALL
-SELECT Cluster, Segment, 'low_silhouette', Sil_Score FROM cq2 WHERE Sil_Score < {dims.LOW_SIL}"""))
+SELECT Cluster, Segment, 'low_silhouette', Sil_Score FROM cq2 WHERE Sil_Score < 0.19"""))
 def q_cluster_warnings(spark, sf):
     return G.cluster_warnings(_quality_spark(spark, sf))
 
@@ -683,26 +683,29 @@ def q_transform_unseen(spark, sf):
     applied to a file it has not seen: the same orders by ship date with net
     prices (values between, on and beyond the saved knots)."""
     from rfmlens.operators.transform import transform
-    from rfmlens.sources.readers import read_table
     _, model = B.scaled(spark, sf)
+    out = transform(compute_rfm(net_lines(spark, sf)), model)
+    return out.select("customer_id", *[r(c, 10).alias(c) for c in ("Recency_s", "Frequency_s", "Monetary_s")])
+
+
+def net_lines(spark, sf):
+    """The orders' lines by ship date with net prices."""
     li = read_table(spark, sf, "lineitem")
     orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    net = (li.join(orders, li.l_orderkey == orders.o_orderkey)
+    return (li.join(orders, li.l_orderkey == orders.o_orderkey)
            .select(F.col("o_custkey").cast("string").alias("customer_id"),
                    F.col("o_orderkey").cast("string").alias("invoice_id"),
                    F.col("l_shipdate").cast("timestamp_ntz").alias("invoice_date"),
                    (F.col("l_quantity") * (F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")))
                    .alias("line_total")))
-    out = transform(compute_rfm(net), model)
-    return out.select("customer_id", *[r(c, 10).alias(c) for c in ("Recency_s", "Frequency_s", "Monetary_s")])
 
 
 @query("silhouette_rows", S.with_ctes(*S.BASE, S.SCALED, S.SIL, body="""
-SELECT customer_id, Cluster, round(silhouette, 8) AS silhouette FROM sil"""))
+SELECT customer_id, Cluster, round(silhouette_sq_euclidean, 8) AS silhouette_sq_euclidean FROM sil"""))
 def q_sil_rows(spark, sf):
     df, _ = B.scaled(spark, sf)
     s = Q.silhouette_rows(df, ["Recency_s", "Frequency_s", "Monetary_s"])
-    return s.select("customer_id", "Cluster", r("silhouette", 8).alias("silhouette"))
+    return s.select("customer_id", "Cluster", r("silhouette_sq_euclidean", 8).alias("silhouette_sq_euclidean"))
 
 
 CENTERS_SQL = """cen AS (SELECT Cluster, avg(Recency_s) AS c1, avg(Frequency_s) AS c2, avg(Monetary_s) AS c3
@@ -738,19 +741,19 @@ bt AS (SELECT sum(cen2.N * (pow(c1 - g1, 2) + pow(c2 - g2, 2) + pow(c3 - g3, 2))
 
 
 @query("clustering_metrics", S.with_ctes(*S.BASE, S.SCALED, S.SIL, METRICS_SQL, body=f"""
-SELECT CAST(k AS BIGINT) AS k, round(within, 6) AS inertia, round((SELECT avg(silhouette) FROM sil), 6) AS silhouette,
-       (SELECT count_if(silhouette < 0) FROM sil) AS n_negative,
+SELECT CAST(k AS BIGINT) AS k, round(within, 6) AS inertia, round((SELECT avg(silhouette_sq_euclidean) FROM sil), 6) AS silhouette_sq_euclidean,
+       (SELECT count_if(silhouette_sq_euclidean < 0) FROM sil) AS n_negative,
        round(between * (n - k) / (within * (k - 1)), 4) AS calinski_harabasz,
        round(davies_bouldin, 6) AS davies_bouldin,
-       CASE WHEN (SELECT avg(silhouette) FROM sil) < {dims.SIL_WARN} THEN 'warning'
-            WHEN (SELECT avg(silhouette) FROM sil) >= {dims.SIL_GOOD} THEN 'good' ELSE 'ok' END AS verdict
+       CASE WHEN (SELECT avg(silhouette_sq_euclidean) FROM sil) < 0.51 THEN 'warning'
+            WHEN (SELECT avg(silhouette_sq_euclidean) FROM sil) >= 0.64 THEN 'good' ELSE 'ok' END AS verdict
 FROM w, bt, db"""))
 def q_metrics(spark, sf):
     df, _ = B.scaled(spark, sf)
     m = Q.quality_metrics(df, ["Recency_s", "Frequency_s", "Monetary_s"])
-    row = [(m["k"], round(m["inertia"], 6), round(m["silhouette"], 6), m["n_negative"],
-            round(m["calinski_harabasz"], 4), round(m["davies_bouldin"], 6), Q.fit_verdict(m["silhouette"]))]
-    return spark.createDataFrame(row, "k BIGINT, inertia DOUBLE, silhouette DOUBLE, n_negative BIGINT, "
+    row = [(m["k"], round(m["inertia"], 6), round(m["silhouette_sq_euclidean"], 6), m["n_negative"],
+            round(m["calinski_harabasz"], 4), round(m["davies_bouldin"], 6), Q.fit_verdict(m["silhouette_sq_euclidean"], Q.squared_limit(dims.SIL_WARN), Q.squared_limit(dims.SIL_GOOD)))]
+    return spark.createDataFrame(row, "k BIGINT, inertia DOUBLE, silhouette_sq_euclidean DOUBLE, n_negative BIGINT, "
                                       "calinski_harabasz DOUBLE, davies_bouldin DOUBLE, verdict STRING")
 
 
@@ -774,7 +777,7 @@ kab AS (SELECT k, customer_id, max(CASE WHEN other = own THEN N END) AS own_n,
                min(CASE WHEN other <> own THEN d END) AS b
         FROM kmd GROUP BY k, customer_id, own),
 ksil AS (SELECT k, avg(CASE WHEN own_n <= 1 THEN 0.0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END)
-                AS silhouette FROM kab GROUP BY k),
+                AS silhouette_sq_euclidean FROM kab GROUP BY k),
 kd AS (SELECT f.k, f.Cluster, pow(x1 - c1, 2) + pow(x2 - c2, 2) + pow(x3 - c3, 2) AS d2
        FROM kf f JOIN kcs c ON f.k = c.k AND f.Cluster = c.Cluster),
 kin AS (SELECT k, sum(d2) AS inertia FROM kd GROUP BY k),
@@ -789,15 +792,15 @@ kdb AS (SELECT k, avg(worst) AS davies_bouldin FROM (
 kgm AS (SELECT avg(Recency_s) AS g1, avg(Frequency_s) AS g2, avg(Monetary_s) AS g3, count(*) AS n_all FROM scaled),
 kch AS (SELECT k, sum(kcs.N * (pow(c1 - g1, 2) + pow(c2 - g2, 2) + pow(c3 - g3, 2))) AS between,
                count(*) AS kk, any_value(n_all) AS n_all FROM kcs, kgm GROUP BY k),
-km AS (SELECT k, inertia, silhouette, between * (n_all - kk) / (inertia * (kk - 1)) AS calinski_harabasz, davies_bouldin
+km AS (SELECT k, inertia, silhouette_sq_euclidean, between * (n_all - kk) / (inertia * (kk - 1)) AS calinski_harabasz, davies_bouldin
        FROM kin JOIN ksil USING (k) JOIN kch USING (k) JOIN kdb USING (k)),
-kcons AS (SELECT *, (""" + " + ".join([_norm_sql("inertia", True), _norm_sql("silhouette", False),
+kcons AS (SELECT *, (""" + " + ".join([_norm_sql("inertia", True), _norm_sql("silhouette_sq_euclidean", False),
                                        _norm_sql("calinski_harabasz", False), _norm_sql("davies_bouldin", True)]) + \
     """) / 4.0 AS consensus FROM km)"""
 
 
 @query("k_consensus", S.with_ctes(*S.BASE, S.SCALED, K_SQL, body="""
-SELECT k, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette, round(calinski_harabasz, 4) AS calinski_harabasz,
+SELECT k, round(inertia, 6) AS inertia, round(silhouette_sq_euclidean, 6) AS silhouette_sq_euclidean, round(calinski_harabasz, 4) AS calinski_harabasz,
        round(davies_bouldin, 6) AS davies_bouldin, round(consensus, 6) AS consensus,
        row_number() OVER (ORDER BY consensus DESC, k) = 1 AS best
 FROM kcons"""))
@@ -812,19 +815,20 @@ def q_k_consensus(spark, sf):
     def one(k):
         d = df.withColumn("Cluster", F.least(F.floor(F.col("Monetary_s") * k), F.lit(k - 1)).cast("int"))
         m = Q.quality_metrics(d, cols)
-        return (k, m["inertia"], m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"])
+        return (k, m["inertia"], m["silhouette_sq_euclidean"], m["calinski_harabasz"], m["davies_bouldin"])
 
     with ThreadPoolExecutor(max_workers=6) as pool:
         rows = list(pool.map(one, range(dims.K_MIN, dims.K_MAX + 1)))
-    metrics = spark.createDataFrame(rows, "k INT, inertia DOUBLE, silhouette DOUBLE, "
+    metrics = spark.createDataFrame(rows, "k INT, inertia DOUBLE, silhouette_sq_euclidean DOUBLE, "
                                           "calinski_harabasz DOUBLE, davies_bouldin DOUBLE")
     t = select_k(metrics)
-    return t.select("k", r("inertia", 6).alias("inertia"), r("silhouette", 6).alias("silhouette"),
+    return t.select("k", r("inertia", 6).alias("inertia"), r("silhouette_sq_euclidean", 6).alias("silhouette_sq_euclidean"),
                     r("calinski_harabasz", 4).alias("calinski_harabasz"), r("davies_bouldin", 6).alias("davies_bouldin"),
                     r("consensus", 6).alias("consensus"), "best")
 
 
-@query("random_customer")
+@query("random_customer", S.with_ctes(*S.BASE, body="""
+SELECT customer_id, Segment FROM scored ORDER BY md5(customer_id || '42'), customer_id LIMIT 1"""))
 def q_random(spark, sf):
     """T4: one customer picked by a seeded hash (a distributed top-1)."""
     return L.random_customer(B.scored(spark, sf)).select("customer_id", "Segment")

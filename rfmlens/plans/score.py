@@ -31,10 +31,12 @@ def score(df: DataFrame, model: SegmentModel, clean: bool = True, refit_pca: boo
     rfm = compute_rfm(df, snapshot)
     if rfm.isEmpty():                      # C13: nothing to score, and nothing to fit PCA on
         return spark.createDataFrame([], SCORED_OUT), report
-    feats = assemble(transform(rfm, model.transform)).cache()
+    feats = assemble(transform(rfm, model.transform))
     pred = predict(model.kmeans, feats)
     if refit_pca or model.pca is None:
-        scaler, pca, signs = fit_pca(feats)
+        kept = feats.select("features").cache()     # PCA passes over it twice
+        scaler, pca, signs = fit_pca(kept)
+        kept.unpersist()
     else:
         scaler, pca, signs = model.pca
     out = apply_labels(pca_coordinates(pred, scaler, pca, signs), model.cluster_map_df(spark))

@@ -114,7 +114,7 @@ ab AS (SELECT customer_id, own, max(CASE WHEN other = own THEN N END) AS own_n,
        FROM md GROUP BY customer_id, own),
 sil AS (SELECT customer_id, own AS Cluster,
                CASE WHEN own_n <= 1 THEN 0.0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END
-               AS silhouette FROM ab)"""
+               AS silhouette_sq_euclidean FROM ab)"""
 
 
 def with_ctes(*ctes: str, body: str) -> str:

@@ -17,21 +17,22 @@ from pyspark.sql import DataFrame
 
 from rfmlens import dims
 from rfmlens.operators.clean import clean_transactions
-from rfmlens.operators.cluster import (SCALED, assemble, explained_variance, fit_kmeans, fit_pca,
-                                       pca_coordinates, predict, search_k)
+from rfmlens.operators.cluster import (FINAL_WORK, SCALED, SEARCH_WORK, assemble, explained_variance, fit_kmeans,
+                                       fit_pca, model_rows, pca_coordinates, predict, search_k)
+from rfmlens.operators.insights import cluster_quality, cluster_warnings
 from rfmlens.operators.labels import apply_labels, assign_segment_labels
-from rfmlens.operators.quality import fit_verdict, quality_metrics
+from rfmlens.operators.quality import SILHOUETTE, fit_verdict, quality_metrics, silhouette_rows
 from rfmlens.operators.ranks import feature_ranks
-from rfmlens.operators.rfm import compute_rfm
+from rfmlens.operators.rfm import compute_rfm, describe_features
 from rfmlens.operators.scoring import add_rfm_scores
-from rfmlens.operators.transform import QuantileModel, fit_transform
+from rfmlens.operators.transform import QuantileModel, cap_report, fit_transform
 from rfmlens.session import checkpoint_dir
 
 
 @dataclass
 class SegmentModel:
-    """Everything scoring needs (S7): KMeans centres, the quantile transform,
-    the cluster -> segment map and metadata."""
+    """Everything scoring needs (S7): KMeans centres (a fitted model or
+    ``Centers``), the quantile transform, the cluster -> segment map and metadata."""
     kmeans: object
     transform: QuantileModel
     cluster_map: list[tuple]
@@ -57,32 +58,43 @@ class TrainResult:
     model: SegmentModel
     metrics: dict
     k_table: DataFrame | None
+    #: What a training run reports: cleaning (if it cleaned), describe, caps, quality, warnings.
+    report: dict[str, DataFrame] = field(default_factory=dict)
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the cached tables behind this result; its frames then recompute."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: bool = True,
-          search_restarts: int = 5, final_restarts: int = 10, search_max_iter: int = 300,
-          final_max_iter: int = 300, search_tol: float = 1e-6, final_tol: float = 1e-7,
+          search_restarts: int = SEARCH_WORK[0], final_restarts: int = FINAL_WORK[0],
+          search_max_iter: int = SEARCH_WORK[1], final_max_iter: int = FINAL_WORK[1],
+          search_tol: float = SEARCH_WORK[2], final_tol: float = FINAL_WORK[2],
           seed: int = 42, k_min: int = dims.K_MIN, k_max: int = dims.K_MAX,
-          row_id_col: str | None = None, snapshot=None, save_path: str | None = None) -> TrainResult:
+          row_id_col: str | None = None, snapshot=None, save_path: str | None = None,
+          verdict_limits: tuple[float, float] | None = None) -> TrainResult:
     """M18. ``df`` is raw transactions (any header) when ``clean`` is true,
-    else canonical line items with ``line_total``. The reference's work
-    parameters (30 / 50 restarts, 1000 / 2000 iterations) are arguments.
-    With ``save_path`` the scored customers (S5), the model (S7) and the
-    metadata (S6) are written under that folder."""
+    else canonical line items with ``line_total``. With ``save_path`` the scored
+    customers (S5), the model (S7), the metadata (S6) and the report's tables are written under
+    that folder. ``verdict_limits`` are the (warning, good) limits on the
+    squared-Euclidean silhouette; without them the run has no verdict."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    lines = clean_transactions(df, row_id_col=row_id_col)[0] if clean else df
+    lines, cleaning = clean_transactions(df, row_id_col=row_id_col) if clean else (df, None)
     rfm, rfm_snapshot = compute_rfm(lines, snapshot, return_snapshot=True)
     ranks = feature_ranks(rfm, ["Recency", "Frequency", "Monetary"])
     ranks.df = ranks.df.cache()                # shared by the transform and the scores
     scaled, qmodel = fit_transform(rfm, ranks=ranks)
-    feats = assemble(scaled).cache()
+    feats = model_rows(scaled)
 
     best_k, k_table = search_k(feats, k_min, k_max, search_restarts, search_max_iter, search_tol,
                                seed, force_k=k)
     fit = fit_kmeans(feats, best_k, final_restarts, final_max_iter, final_tol, seed)
     pred = predict(fit.model, feats)
-    scored = add_rfm_scores(pred, ranks=ranks)
+    scored = add_rfm_scores(predict(fit.model, assemble(scaled)), ranks=ranks).cache()
+    scored_cache = scored
     # three independent pieces: submitted together so their jobs overlap
     with ThreadPoolExecutor(max_workers=3) as pool:
         f_cmap = pool.submit(lambda: _collected(assign_segment_labels(scored, best_k)))
@@ -99,12 +111,17 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
         "n_clusters": best_k, "trained_on": str(_dt.date.today()),
         "rfm_snapshot": str(rfm_snapshot),
         "scaler_type": "quantile_uniform_midrank", "cap_values": qmodel.caps,
-        "silhouette_sq_euclidean": metrics["silhouette"], "davies_bouldin": metrics["davies_bouldin"],
+        SILHOUETTE: metrics[SILHOUETTE], "n_negative": metrics["n_negative"], "davies_bouldin": metrics["davies_bouldin"],
         "calinski_harabasz": metrics["calinski_harabasz"], "inertia": fit.cost,
         "pca_variance": explained_variance(pca), "n_customers": qmodel.n, "n_iter": fit.iterations,
-        "fit_verdict": fit_verdict(metrics["silhouette"]),
+        "fit_verdict": fit_verdict(metrics[SILHOUETTE], *(verdict_limits or ())),
     }
     model = SegmentModel(fit.model, qmodel, cmap_rows, meta, (scaler, pca, signs))
+    quality = cluster_quality(silhouette_rows(scored, SCALED))
+    report = {"describe": describe_features(rfm), "caps": cap_report(rfm, qmodel.caps),
+              "quality": quality, "warnings": cluster_warnings(quality)}
+    if cleaning is not None:
+        report["cleaning"] = cleaning
     out = scored.select("customer_id", "Recency", "Frequency", "Monetary", "Cluster", "R_Score", "F_Score",
                         "M_Score", "RFM_Total", "RFM_Tier", "PCA1", "PCA2", "Segment", "SegmentEmoji",
                         "SegmentColor")
@@ -115,4 +132,6 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
         write_scored(out, f"{root}/scored")
         save_model(spark, model, f"{root}/model")
         write_meta(spark, meta, f"{root}/meta")
-    return TrainResult(out, model, metrics, k_table)
+        for name, table in report.items():
+            write_scored(table, f"{root}/report/{name}")
+    return TrainResult(out, model, metrics, k_table, report, [feats, scored_cache, ranks.df])

@@ -41,10 +41,10 @@ def test_kmeans_invariants_and_silhouette(spark):
     from pyspark.ml.evaluation import ClusteringEvaluator
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="Cluster",
                              distanceMeasure="squaredEuclidean").evaluate(pred)
-    assert abs(ev - q["silhouette"]) < 1e-9
+    assert abs(ev - q["silhouette_sq_euclidean"]) < 1e-9
     # and a brute-force per-row check on a few rows
     rows = [(r["Cluster"], [r[c] for c in SCALED]) for r in pred.collect()]
-    sil = {r["customer_id"]: r["silhouette"] for r in silhouette_rows(pred, SCALED).collect()}
+    sil = {r["customer_id"]: r["silhouette_sq_euclidean"] for r in silhouette_rows(pred, SCALED).collect()}
     cids = [r["customer_id"] for r in pred.collect()]
     for idx in range(0, len(rows), max(1, len(rows) // 10)):
         c, x = rows[idx]

@@ -25,7 +25,7 @@ def test_wraparound_and_default(spark):
 def test_select_k_ignores_undefined_metrics(spark):
     from rfmlens.operators.cluster import select_k
     rows = [(3, 10.0, 0.5, 100.0, 0.8), (4, 8.0, 0.6, 120.0, 0.7), (5, 7.0, float("nan"), 90.0, 0.9)]
-    m = spark.createDataFrame(rows, "k INT, inertia DOUBLE, silhouette DOUBLE, calinski_harabasz DOUBLE, "
+    m = spark.createDataFrame(rows, "k INT, inertia DOUBLE, silhouette_sq_euclidean DOUBLE, calinski_harabasz DOUBLE, "
                                     "davies_bouldin DOUBLE")
     best = [r["k"] for r in select_k(m).where("best").collect()]
     assert best == [4]
