@@ -13,6 +13,7 @@ from rfmlens import dims
 from rfmlens.functions import bround, cents_mean, day_text, format_currency, percent_text, safe_ratio
 from rfmlens.operators.quality import SILHOUETTE, squared_limit
 from rfmlens.operators.ranks import exact_quantiles_by
+from rfmlens.session import small_side
 
 
 
@@ -62,7 +63,7 @@ def segment_stats(scored: DataFrame, median: bool = True) -> DataFrame:
         spark = scored.sparkSession
         mdf = spark.createDataFrame([(k, float(v[0])) for k, v in meds.items()],
                                     "Segment STRING, Med_Rev DOUBLE")
-        base = base.join(F.broadcast(mdf), "Segment", "left")
+        base = base.join(small_side(mdf), "Segment", "left")
     total = F.sum("Total_Rev").over(_all())
     return (base.withColumn("Rev_Share", bround(safe_ratio(F.col("Total_Rev"), total) * 100, 1))
             .withColumn("CLV_Score", bround(F.col("Avg_Rev") * F.col("Avg_Frq") / (F.col("Avg_Rec") + 1), 1))
@@ -152,7 +153,7 @@ def box_stats(scored: DataFrame, feature: str) -> DataFrame:
     qdf = (spark.createDataFrame(rows, "Segment STRING, q1 DOUBLE, median DOUBLE, q3 DOUBLE")
            .withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
            .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
-    j = scored.select("Segment", F.col(feature).cast("double").alias("x")).join(F.broadcast(qdf), "Segment")
+    j = scored.select("Segment", F.col(feature).cast("double").alias("x")).join(small_side(qdf), "Segment")
     out = j.groupBy("Segment").agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.first("lower_fence").alias("lower_fence"), F.first("upper_fence").alias("upper_fence"),

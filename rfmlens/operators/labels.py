@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rfmlens import dims
 from rfmlens.functions import format_currency
+from rfmlens.session import small_side
 
 
 def cluster_means(df: DataFrame, cluster_col: str = "Cluster") -> DataFrame:
@@ -37,7 +38,7 @@ def assign_segment_labels(df: DataFrame, n_clusters: int,
     n_templates = max(1, min(int(n_clusters), len(dims.SEGMENTS)))
     templates = dims.segment_templates_df(spark).where(F.col("rank_pos") < n_templates)
     return (scored.withColumn("rank_pos", F.pmod("order_pos", F.lit(n_templates)))
-            .join(F.broadcast(templates), "rank_pos")
+            .join(small_side(templates), "rank_pos")
             .select(F.col(cluster_col).cast("int").alias("Cluster"), "Score", "order_pos",
                     "Segment", "SegmentEmoji", "SegmentColor", "Description", "Action"))
 
@@ -47,7 +48,7 @@ def apply_labels(df: DataFrame, cluster_map: DataFrame, cluster_col: str = "Clus
     on a <= 8-row map; a cluster without a mapping gets the default record."""
     m = cluster_map.select(F.col("Cluster").alias("_cl"), F.col("Segment").alias("_seg"),
                            F.col("SegmentEmoji").alias("_emo"), F.col("SegmentColor").alias("_col"))
-    out = df.join(F.broadcast(m), F.col(cluster_col) == F.col("_cl"), "left")
+    out = df.join(small_side(m), F.col(cluster_col) == F.col("_cl"), "left")
     return (out.withColumn("Segment", F.coalesce("_seg", F.concat(F.lit(dims.UNKNOWN_SEGMENT_PREFIX),
                                                                    F.col(cluster_col).cast("string"))))
             .withColumn("SegmentEmoji", F.coalesce("_emo", F.lit(dims.UNKNOWN_SEGMENT_EMOJI)))
@@ -59,7 +60,7 @@ def interpret_clusters(clusters: DataFrame, cluster_map: DataFrame) -> DataFrame
     """J2 as a table: every cluster id with its record, defaults filled."""
     ids = clusters.select(F.col("Cluster").cast("int").alias("Cluster")).distinct()
     m = cluster_map.select("Cluster", "Segment", "SegmentEmoji", "SegmentColor", "Description", "Action")
-    out = ids.join(F.broadcast(m), "Cluster", "left")
+    out = ids.join(small_side(m), "Cluster", "left")
     return out.select(
         "Cluster",
         F.coalesce("Segment", F.concat(F.lit(dims.UNKNOWN_SEGMENT_PREFIX), F.col("Cluster").cast("string"))).alias("Segment"),
@@ -83,7 +84,7 @@ def quick_wins(scored: DataFrame) -> DataFrame:
     each segment (0 when absent)."""
     counts = scored.groupBy("Segment").agg(F.count(F.lit(1)).alias("Customers"))
     alerts = dims.quick_wins_df(scored.sparkSession)
-    return (F.broadcast(alerts).join(counts, "Segment", "left")
+    return (alerts.join(counts, "Segment", "left")
             .withColumn("Customers", F.coalesce("Customers", F.lit(0)).cast("long")))
 
 

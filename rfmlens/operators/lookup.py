@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rfmlens import dims
 from rfmlens.functions import band_color, format_currency
 from rfmlens.operators.ranks import attach_ranks, feature_ranks, feature_table
+from rfmlens.session import small_side
 
 FEATURES = ("Recency", "Frequency", "Monetary")
 
@@ -46,7 +47,7 @@ def segment_context(scored: DataFrame) -> DataFrame:
     segment size, via a broadcast per-segment aggregate."""
     seg = scored.groupBy("Segment").agg(F.avg("Monetary").alias("Segment_Avg_M"),
                                         F.count(F.lit(1)).alias("Segment_Size"))
-    return (scored.join(F.broadcast(seg), "Segment")
+    return (scored.join(small_side(seg), "Segment")
             .select("customer_id", "Segment", "Monetary", "Segment_Avg_M", "Segment_Size",
                     (F.col("Monetary") - F.col("Segment_Avg_M")).alias("Diff_To_Segment")))
 
@@ -69,7 +70,7 @@ def minmax_scores(scored: DataFrame) -> DataFrame:
     range (+1e-9), Recency inverted."""
     rng = _global_range(scored)
     seg = scored.groupBy("Segment").agg(*[F.avg(c).alias(f"seg_{c}") for c in FEATURES])
-    j = scored.join(F.broadcast(seg), "Segment")
+    j = scored.join(small_side(seg), "Segment")
     cols = []
     for c in FEATURES:
         lo, hi = rng[c]
@@ -162,7 +163,7 @@ def segment_histogram(scored: DataFrame, bins: int = 25, feature: str = "Monetar
     b = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
         F.least(F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int") + 1, F.lit(bins)))
     width = (F.col("hi") - F.col("lo")) / bins
-    return (df.join(F.broadcast(rng), "Segment").withColumn("bin", b)
+    return (df.join(small_side(rng), "Segment").withColumn("bin", b)
             .groupBy("Segment", "bin").agg(F.count(F.lit(1)).alias("count"),
                                            F.first("lo").alias("lo"), F.first("hi").alias("hi"))
             .select("Segment", "bin", "count",
@@ -174,7 +175,8 @@ def customer_profile(scored: DataFrame, cluster_map: DataFrame, customer_id: str
                      symbol: str = "$") -> DataFrame:
     """J7 (+W6-W10 for one customer): the customer's row, its segment record,
     percentiles against all customers, revenue rank, segment size/mean and
-    the signed difference. Zero rows when the id is unknown."""
+    the signed difference. Zero rows when the id is unknown; a cluster without a
+    mapping shows the default record (``dims.PROFILE_DEFAULT``, empty texts)."""
     me, mine = _me(scored, customer_id)
     if mine is None:
         mine = {c: F.lit(None) for c in (*FEATURES, "Segment")}
@@ -183,13 +185,18 @@ def customer_profile(scored: DataFrame, cluster_map: DataFrame, customer_id: str
             F.count_if(F.col("Segment") == mine["Segment"]).alias("Segment_Size"),
             F.avg(F.when(F.col("Segment") == mine["Segment"], F.col("Monetary"))).alias("Segment_Avg_M")]
     st = scored.agg(F.struct(*agg).alias("s")).scalar()
-    rec = cluster_map.select(F.col("Cluster").alias("_c"), "Description", "Action")
+    rec = cluster_map.select(F.col("Cluster").alias("_c"), F.col("Segment").alias("_s"), F.col("SegmentEmoji").alias("_e"),
+                             F.col("SegmentColor").alias("_col"), "Description", "Action")
+    name, emoji, color = (F.lit(x) for x in dims.PROFILE_DEFAULT)
     out = (me.select("*", *[st[f].alias(f) for f in ("p_Recency", "p_Frequency", "p_Monetary",
                                                         "below", "n", "Segment_Size", "Segment_Avg_M")])
-           .join(F.broadcast(rec), F.col("Cluster") == F.col("_c"), "left").drop("_c"))
+           .join(rec, F.col("Cluster") == F.col("_c"), "left"))
     return out.select(
-        "customer_id", "Cluster", "Segment", "SegmentEmoji", "SegmentColor", "Description", "Action",
-        "Recency", "Frequency", "Monetary",
+        "customer_id", "Cluster", F.coalesce("_s", name).alias("Segment"), F.coalesce("_e", emoji).alias("SegmentEmoji"),
+        F.coalesce("_col", color).alias("SegmentColor"), F.coalesce("Description", F.lit("")).alias("Description"),
+        F.coalesce("Action", F.lit("")).alias("Action"),
+        "Recency", "Frequency", "Monetary", F.concat(F.col("Recency").cast("string"), F.lit("d")).alias("Recency_text"),
+        F.col("Frequency").cast("string").alias("Frequency_text"), format_currency("Monetary", symbol).alias("Monetary_text"),
         (100 - F.col("p_Recency") * 100).alias("Recency_Pct"),
         (F.col("p_Frequency") * 100).alias("Frequency_Pct"),
         (F.col("p_Monetary") * 100).alias("Monetary_Pct"),

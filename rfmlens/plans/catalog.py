@@ -852,7 +852,7 @@ def q_roundtrip(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from rfmlens.plans import input_queries, ml_queries  # noqa: F401  (they register theirs)
+    from rfmlens.plans import input_queries, ml_queries, report_queries  # noqa: F401  (they register theirs)
     return dict(QUERIES)
 
 

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings the operators assume. AQE turns a shuffled join into a broadcast
 # only after it has *measured* the small side, and splits skewed partitions.
@@ -71,3 +71,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath.getParent())
     return path
+
+
+def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffled
+    join). It is cached for the count, which reads ``rows`` + 1 rows at most."""
+    df = df.cache()
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
