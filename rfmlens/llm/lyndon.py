@@ -38,6 +38,25 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     done = n
     while done > 0:
         low = group[order[done - 1]]
+        if low == done - 1:
+            # a group of one: its previous smaller suffix moves behind the rest of its group
+            s = order[low]
+            p = prev[s]
+            if p == unset:
+                p = s - 1
+                while p >= 0 and group[p] >= low:
+                    p = prev[p]
+                prev[s] = p
+            done = low
+            if p >= 0:
+                g = group[p]
+                e = end[g] - 1
+                if e != g:
+                    other, at = order[e], place[p]
+                    order[at], order[e] = other, p
+                    place[other], place[p] = at, e
+                    group[p], end[g], end[e] = e, e, e + 1
+            continue
         follows: dict[int, int] = {}
         for s in order[low:done]:
             if prev[s] != unset:

@@ -17,9 +17,9 @@ are joined per text and cut out.
 
 A text is known by its MD5, so copies share their spans, and no id is relied on. Scans:
 one to count anchors' hashes, one to list the repeated ones, one to fetch contexts,
-one to cut. Shuffled are hashes (summed first), anchors that are repeated, and contexts;
-texts are not, while the table they are joined with is small enough to broadcast (its size is checked); beyond
-that they are shuffled once for contexts and once for the cut. A string shared by more than
+one to cut. A bitmap of fixed size holds back most anchors whose hash occurs once.
+Shuffled are hashes (summed first), the other anchors, contexts, and the texts, once for
+contexts and once for the cut (unless Spark finds the other side small). A string shared by more than
 ``DENSE`` different contexts isn't gathered in a task: its windows are counted by a
 grouped sum instead.
 
@@ -44,11 +44,11 @@ from rfmlens.llm.lyndon import common_prefixes, suffix_array
 LENGTH = 200
 GRAM = 150
 PARTS = 4
-PIECE = 1 << 20            # bytes of a text that are hashed at once
+CHUNK = 1 << 18            # bytes of texts that are hashed at once
+PIECE = 1 << 18            # windows of one longer text that are
 SORTED_AT_ONCE = 100_000   # symbols suffix-sorted at once, about
+MAX_BITS = 27              # of the bitmap of repeated hashes (16 MB)
 DENSE = 20_000             # contexts of one shared string that a task gathers
-BROADCAST_ROWS = 2_000_000
-BROADCAST_TEXTS = 300_000
 _U = np.uint64
 _R = int(S._RADIX)
 _POWERS: dict[int, np.ndarray] = {}
@@ -87,31 +87,48 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(x: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, gram hashes and context hashes of a text's anchors."""
+    """Positions, gram hashes and context hashes of one text's anchors, piece by piece."""
     n, w = len(x), length - gram + 1
-    at_all, h_all, c_all = [], [], []
+    parts = []
     # stretches of window starts; each sees the bytes around it that its contexts need
     for first in range(0, max(0, n - length + 1), PIECE):
         last = min(first + PIECE, n - length + 1)
         lo, hi = max(0, first - length), min(n, last + 2 * length)
-        made = Hashes(x[lo:hi])
-        starts = np.arange(first - lo, last + w - 1 - lo)
-        h = made.of(starts, starts + gram)
-        least = _sliding_min(h, w)
-        # a start is an anchor if it is the least of any stretch that holds it
-        pad = np.zeros(w - 1, _U)
-        over = ~_sliding_min(~np.concatenate([pad, least, pad]), w)
-        pick = np.flatnonzero(over == h)
-        at = starts[pick] + lo
-        a, b = np.maximum(0, at - (w - 1)), np.minimum(n, at + length)
-        inside = (a >= lo) & (b <= hi)
-        at, pick, a, b = at[inside], pick[inside], a[inside], b[inside]
-        context = S.mix(made.of(a - lo, b - lo) * S._K2 + (at - a).astype(_U) * S._K1)
-        at_all.append(at), h_all.append(h[pick]), c_all.append(context)
-    if not at_all:
+        at, h, ctx, _ = _chunk_anchors(x[lo:hi], np.array([0, hi - lo]), length, gram, first - lo, last - lo, lo > 0, hi < n)
+        parts.append((at + lo, h, ctx))
+    if not parts:
         return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
-    at, first = np.unique(np.concatenate(at_all), return_index=True)
-    return at, np.concatenate(h_all)[first], np.concatenate(c_all)[first]
+    at, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+    return at, np.concatenate([p[1] for p in parts])[first], np.concatenate([p[2] for p in parts])[first]
+
+
+def _chunk_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, first: int = 0, last: int | None = None,
+                   open_left: bool = False, open_right: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, gram hashes, context hashes and texts of the anchors of several texts
+    (``offsets``), or of the windows ``first`` to ``last`` of a piece of one."""
+    n, w = len(data), length - gram + 1
+    if n < length:
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64)
+    made = Hashes(data)
+    starts = np.arange(n - gram + 1)
+    h = made.of(starts, starts + gram)
+    least = _sliding_min(h, w)
+    # windows across two texts, or outside of the piece, choose nothing
+    ends = np.repeat(offsets[1:], np.diff(offsets))
+    least[starts[:len(least)] + length > ends[:len(least)]] = 0
+    least[:first] = 0
+    if last is not None:
+        least[last:] = 0
+    # a start is an anchor if it is the least of any window that holds it
+    pad = np.zeros(w - 1, _U)
+    over = ~_sliding_min(~np.concatenate([pad, least, pad]), w)
+    at = np.flatnonzero(over == h)
+    text = np.searchsorted(offsets, at, "right") - 1
+    a, b = np.maximum(offsets[text], at - (w - 1)), np.minimum(offsets[text + 1], at + length)
+    if open_left or open_right:        # every context of a chosen anchor lies within the piece
+        assert (not open_left or (at - (w - 1) >= 0).all()) and (not open_right or (at + length <= n).all())
+    ctx = S.mix(made.of(a, b) * S._K2 + (at - a).astype(_U) * S._K1)
+    return at - offsets[text], h[at], ctx, text
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,31 +141,48 @@ def _md5(x: np.ndarray) -> bytes:
     return hashlib.md5(x, usedforsecurity=False).digest()
 
 
-def anchor_rows(texts: DataFrame, length: int, gram: int, only_hash: bool) -> DataFrame:
-    """h, or h, ctx, doc (MD5 of the text), pos of all anchors."""
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits for the leading bits of the keys' hashes: sixteen a key, 2^MAX_BITS at
+    most. A hash whose bit is 0 is not among the keys; a larger corpus only fills the bits."""
+    k = min(MAX_BITS, max(6, (16 * keys.count()).bit_length()))
+    words = (keys.select(F.shiftrightunsigned("h", 64 - k).alias("slot"))
+             .selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, CAST(slot % 64 AS INT)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow())
+    out = np.zeros(1 << (k - 6), np.int64)
+    out[words["w"].to_numpy()] = words["m"].to_numpy()
+    return out.view(_U)
+
+
+def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> _U(64 - (6 + len(bits).bit_length() - 1))
+    return (bits[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63))) & _U(1) > 0
+
+
+def anchor_rows(texts: DataFrame, length: int, gram: int, keys: np.ndarray | None = None) -> DataFrame:
+    """h of all anchors, or h, ctx, doc (MD5 of the text), pos of those that may be
+    among the ``keys`` (a bitmap)."""
+    only_hash = keys is None
+    bitmap = None if only_hash else texts.sparkSession.sparkContext.broadcast(keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple] = []
-            count = 0
-            for _, x in _texts(batch):
-                if len(x) < length:
+            for first, end, data, offsets in S.chunks(batch, "text", CHUNK):
+                if end - first == 1 and len(data) > CHUNK:
+                    at, h, ctx = anchors(data, length, gram)
+                    text = np.zeros(len(at), np.int64)
+                else:
+                    at, h, ctx, text = _chunk_anchors(data, offsets, length, gram)
+                if not only_hash:
+                    pick = _maybe(bitmap.value, h)
+                    at, h, ctx, text = at[pick], h[pick], ctx[pick], text[pick]
+                if not len(at):
+                    continue
+                hashes = pa.array(h.view(np.int64))
+                if only_hash:
+                    yield pa.record_batch([hashes], ["h"])
                     continue
-                at, h, ctx = anchors(x, length, gram)
-                held.append((at, h, ctx, None if only_hash else _md5(x)))
-                count += len(at)
-                if count > 100_000:
-                    yield out(held)
-                    held, count = [], 0
-            if held:
-                yield out(held)
-
-    def out(held: list[tuple]) -> pa.RecordBatch:
-        h = pa.array(np.concatenate([x[1] for x in held]).view(np.int64))
-        if only_hash:
-            return pa.record_batch([h], ["h"])
-        docs = pa.array([x[3] for x in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), [len(x[0]) for x in held])))
-        return pa.record_batch([h, pa.array(np.concatenate([x[2] for x in held]).view(np.int64)), docs,
-                                pa.array(np.concatenate([x[0] for x in held]))], ["h", "ctx", "doc", "pos"])
+                docs = pa.array([_md5(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+                yield pa.record_batch([hashes, pa.array(ctx.view(np.int64)), docs.take(pa.array(text)), pa.array(at)],
+                                      ["h", "ctx", "doc", "pos"])
     return texts.select("text").mapInArrow(run, "h long" if only_hash else "h long, ctx long, doc binary, pos long")
 
 
@@ -197,27 +231,28 @@ def repeated_windows(groups: list[list[tuple[bytes, bytes]]], widths: list[int])
     a window being the shared string with ``width`` of the bytes around it. One
     suffix array over all groups, each with a symbol for its shared string."""
     text: list[int] = []
-    owner: list[tuple[int, int, int]] = []      # (group, row, bytes of pre before the window) by position
-    need: list[int] = []                        # length of the window that starts here, 0: none
-    for g, (rows, width) in enumerate(zip(groups, widths)):
-        for r, (pre, post) in enumerate(rows):
+    row_at: list[int] = []                      # row that a position belongs to
+    rows: list[tuple[int, int, int, int, int]] = []      # group, place in it, start, bytes of pre, of post
+    for g, members in enumerate(groups):
+        for r, (pre, post) in enumerate(members):
+            row_at += [len(rows)] * (len(pre) + len(post) + 2)
+            rows.append((g, r, len(text), len(pre), len(post)))
             text += pre
             text.append(257 + g)
             text += post
             text.append(256)
-            n = len(pre)
-            for i in range(n + len(post) + 2):
-                used = n - i                    # bytes of pre in a window from here
-                owner.append((g, r, used))
-                need.append(width + 1 if 0 <= used <= width and width - used <= len(post) else 0)
     order = suffix_array(text)
     common = common_prefixes(text, order)
-    found: list[list[tuple[int, int] | None]] = [[None] * len(rows) for rows in groups]
+    found: list[list[tuple[int, int] | None]] = [[None] * len(members) for members in groups]
+    least = min(widths, default=0) + 1
     for i in range(1, len(order)):
         c = common[i]
+        if c < least:
+            continue
         for s in (order[i - 1], order[i]):
-            if need[s] and c >= need[s]:
-                g, r, used = owner[s]
+            g, r, start, pre, post = rows[row_at[s]]
+            width, used = widths[g], pre - (s - start)       # bytes of pre in the window from here
+            if c > width and 0 <= used <= width and width - used <= post:
                 old = found[g][r]
                 found[g][r] = (min(old[0], used), max(old[1], used)) if old else (used, used)
     return found
@@ -294,18 +329,13 @@ def dense_windows(rows: DataFrame, length: int, gram: int, parts: int) -> DataFr
             .agg(F.min(F.col("base") + F.col("u")).cast("long").alias("lo"), F.max(F.col("base") + F.col("u")).cast("long").alias("hi")))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (a kept table) marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
     """doc (MD5 of a text), spans (merged start and end of its repeated bytes)."""
     spark = texts.sparkSession
     long_texts = texts.where(F.octet_length("text") >= length).select("text")
-    keys = keep(anchor_rows(long_texts, length, gram, True).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    keys = keep(anchor_rows(long_texts, length, gram).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
                 .where("n > 1").select("h"), "keys")
-    found = keep(anchor_rows(long_texts, length, gram, False).join(_small(keys, BROADCAST_ROWS), "h"), "anchors")
+    found = keep(anchor_rows(long_texts, length, gram, key_bitmap(keys)).join(keys, "h"), "anchors")
     contexts = keep(found.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at")), "contexts")
     # an anchor whose contexts all occur twice needs no further look
     several = keep(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
@@ -313,7 +343,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, par
     wanted = keep(contexts.join(several, "h").groupBy("at.doc").agg(
         F.collect_list(F.struct("at.pos", "h", "ctx")).alias("wanted")), "wanted")
     with_doc = long_texts.withColumn("doc", F.unhex(F.md5(F.col("text").cast("binary"))))
-    fetched = with_doc.join(_small(wanted, BROADCAST_TEXTS), "doc")
+    fetched = with_doc.join(wanted, "doc")
     shared = keep(shared_rows(fetched, length, gram, parts), "shared")
     counts = keep(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     n = shuffle_partitions(spark)
@@ -362,7 +392,7 @@ def cut(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
                                   ["id", "n_bytes", "n_removed", "n_spans", "kept"])
     kind = docs.schema["id"].dataType.simpleString()
     doc = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return (docs.select("id", "text", doc.alias("doc")).join(_small(spans, BROADCAST_TEXTS), "doc", "left")
+    return (docs.select("id", "text", doc.alias("doc")).join(spans, "doc", "left")
             .select("id", "text", "s").mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
