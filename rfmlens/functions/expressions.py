@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, functions as F
 
 from rfmlens import dims
@@ -90,14 +88,6 @@ def sample_skewness(c) -> Column:
     return F.when(n > 2, F.skewness(_c(c)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def const_array(values, element_type: str = "double") -> Column:
-    """A constant array column from a Python list in one literal: a JSON text
-    that Catalyst's constant folding turns into a single array literal
-    (thousands of ``F.lit`` calls would each cross into the JVM)."""
-    return F.from_json(F.lit(json.dumps([None if v is None else v for v in values])),
-                       f"array<{element_type}>")
-
-
 def cents_mean(c) -> Column:
     """Aggregate: mean of a money column rounded half-even to whole cents,
     computed from integer cents (sum, integer division, remainder), so the
