@@ -37,13 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from rfmlens.llm.common import table
+from rfmlens.llm.common import map_batches, table
 from rfmlens.llm.shingles import mix
 
-PIECE = 1 << 19            # characters encoded at once
-WORDS_KEPT = 400_000       # distinct words a worker remembers, then it starts anew
-FITS_KEPT = 1_000_000      # pairs of tokens likewise
+PIECE = 1 << 18            # characters encoded at once
+WORDS_KEPT = 150_000       # distinct words a task remembers, then it starts anew
+FITS_KEPT = 400_000        # pairs of tokens that a worker remembers
 ONE = (1,)
+ROWS = 500                 # rows whose results are held at once
 #: White space beside the C0 controls 9 to 13 and the blank (fixed values).
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -309,8 +310,8 @@ def _encoded(docs: DataFrame, path: str, carry: tuple[str, ...], text_col: str,
         enc = _ENCODERS[path]
         names = [*(f"c{i}" for i in range(len(carry))), "n_tokens", *(c.split()[0] for c in columns.split(", "))]
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 rows = [kind() for _ in range(batch.num_rows)]
                 todo: list[tuple[int, str, int | None]] = []
                 held = 0
@@ -335,9 +336,10 @@ def _encoded(docs: DataFrame, path: str, carry: tuple[str, ...], text_col: str,
                 flush()
                 yield pa.record_batch([*batch.columns[1:], pa.array([r.n for r in rows], pa.int64()), *finish(batch.column("text"), rows)],
                                       names)
+        enc.clear()      # the worker may live on in other stages
     rest = docs.select(docs[text_col].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carry)])
     kinds = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(rest.schema.fields[1:]))
-    out = rest.mapInArrow(run, f"{kinds}n_tokens long, {columns}")
+    out = map_batches(rest, run, f"{kinds}n_tokens long, {columns}")
     return out.toDF(*carry, *out.columns[len(carry):])
 
 

@@ -32,6 +32,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that a Python worker and the JVM hold at once (the default of
+#: 10,000 would be tens of megabytes on either side).
+ROWS_AT_ONCE = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of ``ROWS_AT_ONCE`` rows at most."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= ROWS_AT_ONCE:
+        conf.set(_BATCH, ROWS_AT_ONCE)
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

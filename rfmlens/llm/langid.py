@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rfmlens.llm.common import table
+from rfmlens.llm.common import map_batches, table
 from rfmlens.llm.shingles import mix
 
 BUCKETS = 1 << 16          # hashed n-grams
@@ -125,7 +125,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 yield _counts(*total.popitem())
         for lang, n in total.items():
             yield _counts(lang, n)
-    return (rows.select("text", "lang").mapInArrow(run, "lang string, gram int, n long")
+    return (map_batches(rows.select("text", "lang"), run, "lang string, gram int, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -200,8 +200,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                                    pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.bool_())],
                                   ["id", "lang_pred", "score", "ambiguous"])
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
+    return map_batches(
+        docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

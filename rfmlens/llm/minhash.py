@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rfmlens.llm import shingles as S
-from rfmlens.llm.common import free_name, keep, table
+from rfmlens.llm.common import free_name, keep, map_batches, table
 from rfmlens.llm.graph import components
 
 HALF = 4                   # minhashes in a half key
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame, width: int, t: int, half: int) -> DataFrame:
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ], ["id", "n_shingles", "node", "keys"])
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles long, node binary, keys array<long>")
+    return map_batches(docs.select("id", "text"), run, f"id {kind}, n_shingles long, node binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -104,7 +104,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             for _, _, sets in S.document_sets(batch, "text", width):
                 yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.binary()),
                                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "s"])
-    return docs.select("text").mapInArrow(run, "node binary, s array<long>")
+    return map_batches(docs.select("text"), run, "node binary, s array<long>")
 
 
 def _alike(inter: Column, a: Column, b: Column, pct: int) -> Column:
@@ -262,7 +262,7 @@ def with_node(docs: DataFrame, width: int, text_col: str) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(nodes, pa.binary())], [*batch.schema.names, "node"])
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, f"{schema}, node binary")
+    return map_batches(plain, run, f"{schema}, node binary")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str = "doc_id",

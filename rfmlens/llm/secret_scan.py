@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rfmlens.llm.common import table
+from rfmlens.llm.common import map_batches, table
 
 KINDS = ("assign", "access", "hex", "inferred")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -220,7 +220,7 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Form
                     for h, s in sorted((_order(s), s) for s in strings if len(s) <= LONGEST)[:sample]]
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
                                    enumerate((pa.string(), pa.int64(), pa.string()))], ["kind", "h", "value"])
-    strings = (docs.select(docs[text_col].alias("text")).mapInArrow(run, "kind string, h long, value string")
+    strings = (map_batches(docs.select(docs[text_col].alias("text")), run, "kind string, h long, value string")
                .groupBy("kind", "h", "value").agg(F.count(F.lit(1)).alias("n")))
     strings = strings.persist()
     try:
@@ -244,8 +244,8 @@ def scan(docs: DataFrame, formats: Formats, id_col: str = "doc_id", text_col: st
                                    pa.array([_joined(s) for _, s in both])],
                                   ["id", "n_assign", "n_access", "n_hex", "base", "spans"])
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")
+    return map_batches(
+        docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")
 
 
 def redact(docs: DataFrame, formats: Formats, text_col: str = "text", mark: str = "[SECRET]",
@@ -276,7 +276,7 @@ def redact(docs: DataFrame, formats: Formats, text_col: str = "text", mark: str
                                          columns[size].type)
             yield pa.record_batch(columns, batch.schema.names)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return map_batches(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
