@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from rfmlens.functions import days_between, format_currency, sample_skewness, slug
 from rfmlens.operators.scoring import quintile_edges, quintile_score, tier

@@ -2,7 +2,6 @@ import os
 import tempfile
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from rfmlens.sources.readers import NA_TOKENS, load_meta, read_transactions, source_profile, try_read_transactions
