@@ -33,7 +33,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rfmlens.llm.common import free_name, keep, let, n_words, table
+from rfmlens.llm.common import keep, let, n_words, table
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
