@@ -58,41 +58,53 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                     group[p], end[g], end[e] = e, e, e + 1
             continue
         follows: dict[int, int] = {}
+        most = 1
         for s in order[low:done]:
-            if prev[s] != unset:
-                p = prev[s]
-            else:
-                chain, p = [s], s - 1
+            p = prev[s]
+            if p == unset:
+                p = s - 1
+                chain = [s]
                 while p >= 0 and group[p] >= low:
-                    if prev[p] == unset:
+                    q = prev[p]
+                    if q == unset:
                         chain.append(p)
                         p -= 1
                     else:
-                        p = prev[p]
+                        p = q
                 for q in chain:
                     prev[q] = p
             if p >= 0:
-                follows[p] = follows.get(p, 0) + 1
+                if p in follows:
+                    c = follows[p] = follows[p] + 1
+                    if c > most:
+                        most = c
+                else:
+                    follows[p] = 1
         done = low
-        by_count: dict[int, list[int]] = {}
-        for p, c in follows.items():
-            by_count.setdefault(c, []).append(p)
-        for c in sorted(by_count, reverse=True):
+        if most == 1:
+            classes = [follows]
+        else:
+            by_count: dict[int, list[int]] = {}
+            for p, c in follows.items():
+                by_count.setdefault(c, []).append(p)
+            classes = [by_count[c] for c in sorted(by_count, reverse=True)]
+        # each class moves behind the rest of its groups and becomes groups of its own
+        for members in classes:
             ends: dict[int, int] = {}
-            for p in by_count[c]:
+            for p in members:
                 g = group[p]
                 e = end[g]
                 if g not in ends:
                     ends[g] = e
                 e -= 1
                 end[g] = e
-                other, at = order[e], place[p]
-                order[at], order[e] = other, p
-                place[other], place[p] = at, e
-            for p in by_count[c]:
-                g = group[p]
-                first = end[g] if g in ends else g
-                group[p] = first
+                at = place[p]
+                if at != e:
+                    other = order[e]
+                    order[at], order[e] = other, p
+                    place[other], place[p] = at, e
+            for p in members:
+                group[p] = end[group[p]]
             for g, e in ends.items():
                 first = end[g]
                 end[first] = e

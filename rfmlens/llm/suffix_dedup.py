@@ -31,6 +31,7 @@ LENGTH bytes or more; an empty table gives an empty result; further columns are
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rfmlens.llm import shingles as S
-from rfmlens.llm.common import keep, shuffle_partitions, table
+from rfmlens.llm.common import keep, map_batches, shuffle_partitions, table
 from rfmlens.llm.lyndon import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -73,6 +74,13 @@ class Hashes:
         self.sums = np.concatenate([[_U(0)], np.cumsum(BYTE[x] * _powers(len(x), False))])
         self.back = _powers(len(x) + 1, True)
 
+    def rolling(self, size: int) -> np.ndarray:
+        """Hashes of all strings of ``size`` bytes, by their start."""
+        h = self.sums[size:] - self.sums[:-size]
+        h *= self.back[:len(h)]
+        h += _U(size * int(S._K1) % (1 << 64))
+        return S.mix(h)
+
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return S.mix((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(_U) * S._K1)
 
@@ -110,12 +118,11 @@ def _chunk_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64)
     made = Hashes(data)
-    starts = np.arange(n - gram + 1)
-    h = made.of(starts, starts + gram)
+    h = made.rolling(gram)
     least = _sliding_min(h, w)
     # windows across two texts, or outside of the piece, choose nothing
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    least[starts[:len(least)] + length > ends[:len(least)]] = 0
+    for end in offsets[1:-1]:
+        least[max(0, end - length + 1):end] = 0
     least[:first] = 0
     if last is not None:
         least[last:] = 0
@@ -183,7 +190,7 @@ def anchor_rows(texts: DataFrame, length: int, gram: int, keys: np.ndarray | Non
                 docs = pa.array([_md5(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
                 yield pa.record_batch([hashes, pa.array(ctx.view(np.int64)), docs.take(pa.array(text)), pa.array(at)],
                                       ["h", "ctx", "doc", "pos"])
-    return texts.select("text").mapInArrow(run, "h long" if only_hash else "h long, ctx long, doc binary, pos long")
+    return map_batches(texts.select("text"), run, "h long" if only_hash else "h long, ctx long, doc binary, pos long")
 
 
 def stretches(length: int, gram: int, parts: int) -> list[tuple[int, int]]:
@@ -222,7 +229,7 @@ def shared_rows(texts: DataFrame, length: int, gram: int, parts: int) -> DataFra
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                                ["key", "h", "ctx", "part", "pre", "post"])
-    return texts.select("text", "wanted").mapInArrow(run, "key binary, h long, ctx long, part int, pre binary, post binary")
+    return map_batches(texts.select("text", "wanted"), run, "key binary, h long, ctx long, part int, pre binary, post binary")
 
 
 def repeated_windows(groups: list[list[tuple[bytes, bytes]]], widths: list[int]) -> list[list[tuple[int, int] | None]]:
@@ -234,7 +241,14 @@ def repeated_windows(groups: list[list[tuple[bytes, bytes]]], widths: list[int])
     row_at: list[int] = []                      # row that a position belongs to
     rows: list[tuple[int, int, int, int, int]] = []      # group, place in it, start, bytes of pre, of post
     for g, members in enumerate(groups):
+        # a window holds half of its width before or after the shared string: rows that
+        # share neither half with another row need no sorting
+        half = (widths[g] + 1) // 2
+        before = Counter(pre[-half:] for pre, _ in members if len(pre) >= half)
+        after = Counter(post[:half] for _, post in members if len(post) >= half)
         for r, (pre, post) in enumerate(members):
+            if before[pre[-half:]] < 2 and after[post[:half]] < 2:
+                continue
             row_at += [len(rows)] * (len(pre) + len(post) + 2)
             rows.append((g, r, len(text), len(pre), len(post)))
             text += pre
@@ -379,21 +393,22 @@ def cut(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, runs, kept = [], [], [], []
-            for text, s in zip(batch.column("text").to_pylist(), batch.column("s").to_pylist()):
-                data = (text or "").encode()
-                cuts = _merged(s or [], len(data), length)
+            for s, (_, x) in zip(batch.column("s"), _texts(batch)):
+                data = x.tobytes()
+                cuts = _merged(s.as_py(), len(data), length) if s.is_valid else []
                 edges = [0, *(e for c in cuts for e in c), len(data)]
                 n.append(len(data))
                 gone.append(sum(b - a for a, b in cuts))
                 runs.append(len(cuts))
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                kept.append(b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])]) if cuts else data)
             yield pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
                                    pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
                                   ["id", "n_bytes", "n_removed", "n_spans", "kept"])
     kind = docs.schema["id"].dataType.simpleString()
     doc = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return (docs.select("id", "text", doc.alias("doc")).join(spans, "doc", "left")
-            .select("id", "text", "s").mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
+    rows = (docs.select("id", "text", doc.alias("doc")).join(spans, "doc", "left")
+            .select("id", "text", "s"))
+    return map_batches(rows, run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
