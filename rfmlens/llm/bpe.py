@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from rfmlens.llm.common import map_batches, table
 from rfmlens.llm.shingles import mix
 
-PIECE = 1 << 18            # characters encoded at once
-WORDS_KEPT = 150_000       # distinct words a task remembers, then it starts anew
+PIECE = 1 << 19            # characters encoded at once
+WORDS_KEPT = 400_000       # distinct words a worker remembers, then it starts anew
 FITS_KEPT = 400_000        # pairs of tokens that a worker remembers
 ONE = (1,)
-ROWS = 500                 # rows whose results are held at once
+ROWS = 1000                # rows whose results are held at once
 #: White space beside the C0 controls 9 to 13 and the blank (fixed values).
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -97,7 +97,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}      # hash of a word -> its place below
+        self.keys = np.zeros(0, _U)          # hashes of the words, ascending
+        self.place = np.zeros(0, np.int32)   # their places below
         self.texts: list[bytes] = []         # decimal ids, each followed by a comma
         self.back: list[bytes] = []          # decoded bytes
         self.sizes: list[int] = []
@@ -220,17 +221,22 @@ class Encoder:
         raw = data.tobytes()
         if len(self.texts) > WORDS_KEPT:
             self.clear()
-        index = self.index
-        hashes = seen.tolist()
-        new = [j for j, x in enumerate(hashes) if x not in index]
-        if new:
-            found = sorted((raw[lo[i]:hi[i]], j) for j, i in zip(new, where[new].tolist()))
-            for (_, j), ids in zip(found, self.encode_words([w for w, _ in found])):
-                index[hashes[j]] = len(self.texts)
+        slot = np.searchsorted(self.keys, seen)
+        known = np.zeros(len(seen), bool)
+        inside = slot < len(self.keys)
+        known[inside] = self.keys[slot[inside]] == seen[inside]
+        place_of = np.empty(len(seen), np.int32)
+        place_of[known] = self.place[slot[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            found = sorted(zip([raw[a:b] for a, b in zip(lo[where[new]].tolist(), hi[where[new]].tolist())], new.tolist()))
+            place_of[[j for _, j in found]] = np.arange(len(self.texts), len(self.texts) + len(found))
+            self.keys = np.insert(self.keys, slot[new], seen[new])
+            self.place = np.insert(self.place, slot[new], place_of[new])
+            for ids in self.encode_words([w for w, _ in found]):
                 self.texts.append(",".join(map(str, ids)).encode() + b",")
                 self.back.append(b"".join([self.bytes_of[i] for i in ids]))
                 self.sizes.append(len(ids))
-        place_of = np.fromiter((index[x] for x in hashes), np.int64, len(hashes))
         words = place_of[inverse]
         counts = np.array([self.sizes[i] for i in place_of.tolist()])[inverse]
         cuts = np.searchsorted(begin, np.concatenate([[0], ends]))
@@ -336,7 +342,6 @@ def _encoded(docs: DataFrame, path: str, carry: tuple[str, ...], text_col: str,
                 flush()
                 yield pa.record_batch([*batch.columns[1:], pa.array([r.n for r in rows], pa.int64()), *finish(batch.column("text"), rows)],
                                       names)
-        enc.clear()      # the worker may live on in other stages
     rest = docs.select(docs[text_col].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carry)])
     kinds = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(rest.schema.fields[1:]))
     out = map_batches(rest, run, f"{kinds}n_tokens long, {columns}")
