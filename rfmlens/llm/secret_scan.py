@@ -6,19 +6,22 @@ and a value of 12 characters or more; ``access``: ``AKIA`` and more, 18 or more;
 the whole match, in code points, end exclusive.
 
 The method learns what such values look like. The strings found by the base
-patterns are labelled credentials (an assignment's value, else the match); other
-runs of credential characters are labelled ordinary. For each label a prefix tree
-of at most ``SAMPLE`` distinct strings (those with the least hashes among all
+patterns are labelled credentials (an assignment's value, else the match). A candidate
+is another run of ``MIN_RUN`` or more credential characters; shorter runs, of
+``MIN_WORD`` or more, are labelled ordinary, so what is judged doesn't define it. For each
+label a prefix tree of at most ``SAMPLE`` distinct strings (those with the least hashes among all
 documents') is folded into an automaton: two states merge if their frequencies of
 ending and of each next character class agree within Hoeffding's bound, all the way down.
-Every candidate, a run of ``MIN_RUN`` or more credential characters, is then scored
-by the mean log-likelihood ratio of a credential's automaton against the ordinary
-one. A format accepts scores halfway between its own lowest percentile and the
-highest score of the ordinary sample; a format that isn't above all of these accepts
-nothing. Accepted candidates that meet no base span are added as ``inferred``.
+Every candidate is then scored by the mean log-likelihood ratio of a credential's automaton
+against the ordinary one. Bars come from scores by automata of the half of the sample that a
+string is not in: a format accepts scores above the middle between its own lowest percentile
+and the ordinary strings' highest percentile; where these overlap, scores above all
+ordinary strings'. The candidates that this rejects (of ``SAMPLE``) join the ordinary
+strings, and automata and bars are made once more, so that long ordinary runs are known too.
+Accepted candidates that meet no base span are added as ``inferred``.
 
-Two scans of the texts; the first sends up to 4 * SAMPLE strings a batch, the
-driver gets 4 * SAMPLE strings at most, and the executors get the automata.
+Two scans of the texts; the first sends up to 5 * SAMPLE strings a task, the
+driver gets 5 * SAMPLE strings at most, and the executors get the automata.
 
 Defined results: a null text is empty and has no spans; rows are judged one by one,
 so repeated rows and ids get equal results; an empty table gives an empty result and
@@ -44,7 +47,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_VALUE = 12          # characters of an assigned value
 MIN_RUN = 16            # characters of a candidate
+MIN_WORD = 4            # characters of a shorter run that is learned from
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
+WORD = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_WORD)
+LABELS = (*KINDS[:3], "ordinary", "candidate")
 SAMPLE = 500            # distinct labelled strings for each automaton at most
 LONGEST = 256           # longer strings aren't learned from (they are scored)
 ALPHA = 0.01            # 1 - confidence of Hoeffding's bound
@@ -69,6 +75,14 @@ def other_runs(text: str, base: list) -> list[tuple[int, int]]:
             if not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
 
 
+def words(text: str, base: list) -> list[str]:
+    """Runs of credential characters that are too short for a candidate and meet no base span."""
+    if not base:
+        return [w for w in set(WORD.findall(text)) if len(w) < MIN_RUN]
+    return [m[0] for m in WORD.finditer(text) if len(m[0]) < MIN_RUN
+            and not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+
+
 def symbols(s: str) -> str:
     """Character classes: d digit, h a-f, l g-z, H A-F, L G-Z; others as they are."""
     return s.translate(_CLASS)
@@ -168,29 +182,42 @@ class Automaton:
 
 
 class Formats:
-    """The credentials' automata with their thresholds, and the ordinary one."""
+    """The credentials' automata with their bars, and the ordinary one."""
 
     def __init__(self, labelled: dict[str, list[str]]):
-        self.kinds: list[tuple[Automaton, float]] = []
         ordinary = labelled.get("ordinary", [])
-        self.ordinary = Automaton(ordinary) if ordinary else None
+        self._fit(labelled, ordinary)
+        if self.kinds and (rejected := [s for s in labelled.get("candidate", []) if not self.accepts(s)]):
+            self._fit(labelled, ordinary + rejected)
+
+    def _fit(self, labelled: dict[str, list[str]], ordinary: list[str]) -> None:
+        self.kinds: list[tuple[Automaton, float]] = []
+        self.ordinary = Automaton(ordinary)  # of no strings: all classes alike
+        halves = _halves(ordinary, self.ordinary)
         for kind in KINDS[:3]:
             strings = labelled.get(kind, [])
-            if not strings or not ordinary:
+            if not strings:
                 continue
             made = Automaton(strings)
-            own = sorted(self._ratio(made, symbols(s)) for s in strings)
-            other = max(self._ratio(made, symbols(s)) for s in ordinary)
-            low = own[len(own) // 100]
-            if low > other:
-                self.kinds.append((made, (low + other) / 2))
-
-    def _ratio(self, made: Automaton, s: str) -> float:
-        return self.ordinary.mean_cost(s) - made.mean_cost(s)
+            own = sorted(_ratio(self.ordinary, half, symbols(s)) for half, held in _halves(strings, made) for s in held)
+            other = sorted(_ratio(half, made, symbols(s)) for half, held in halves for s in held) or [0.0]
+            low, high = own[len(own) // 100], other[-1 - len(other) // 100]
+            self.kinds.append((made, (low + high) / 2 if low > high else other[-1]))
 
     def accepts(self, run: str) -> bool:
         s = symbols(run)
-        return any(self._ratio(made, s) > bar for made, bar in self.kinds)
+        return any(_ratio(self.ordinary, made, s) > bar for made, bar in self.kinds)
+
+
+def _ratio(ordinary: Automaton, made: Automaton, s: str) -> float:
+    return ordinary.mean_cost(s) - made.mean_cost(s)
+
+
+def _halves(strings: list[str], whole: Automaton) -> list[tuple[Automaton, list[str]]]:
+    """(automaton of one half, strings of the other), both ways; one string has no other half."""
+    if len(strings) < 2:
+        return [(whole, strings)]
+    return [(Automaton(strings[1 - k::2]), strings[k::2]) for k in (0, 1)]
 
 
 def all_spans(text: str, formats: Formats) -> tuple[list, list]:
@@ -208,24 +235,28 @@ def _order(s: str) -> int:
 def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Formats:
     """Automata from the labelled strings of all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, list[tuple[int, str]]] = {k: [] for k in LABELS}
         for batch in batches:
-            found: dict[str, set[str]] = {k: set() for k in (*KINDS[:3], "ordinary")}
+            found: dict[str, set[str]] = {k: set() for k in LABELS}
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
                     for _, k, _, value in base:
                         found[KINDS[k]].add(value)
-                    found["ordinary"].update(text[a:b] for a, b in other_runs(text, base))
-            rows = [(k, h, s) for k, strings in found.items()
-                    for h, s in sorted((_order(s), s) for s in strings if len(s) <= LONGEST)[:sample]]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
-                                   enumerate((pa.string(), pa.int64(), pa.string()))], ["kind", "h", "value"])
+                    found["candidate"].update(text[a:b] for a, b in other_runs(text, base))
+                    found["ordinary"].update(words(text, base))
+            for k, strings in found.items():
+                new = {(_order(s), s) for s in strings if len(s) <= LONGEST}
+                least[k] = sorted(new.union(least[k]))[:sample]
+        rows = [(k, h, s) for k, strings in least.items() for h, s in strings]
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
+                               enumerate((pa.string(), pa.int64(), pa.string()))], ["kind", "h", "value"])
     strings = (map_batches(docs.select(docs[text_col].alias("text")), run, "kind string, h long, value string")
                .groupBy("kind", "h", "value").agg(F.count(F.lit(1)).alias("n")))
     strings = strings.persist()
     try:
         return Formats({k: [r["value"] for r in strings.where(F.col("kind") == k).orderBy("h", "value").limit(sample).collect()]
-                        for k in (*KINDS[:3], "ordinary")})
+                        for k in LABELS})
     finally:
         strings.unpersist()
 

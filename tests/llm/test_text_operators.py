@@ -1,5 +1,6 @@
 """Brute-force checks and edge cases of the text operators."""
 
+import base64
 import hashlib
 import os
 import re
@@ -140,6 +141,24 @@ def test_secret_formats_are_inferred():
     assert len({q for a, _ in formats.kinds for d in a.to for q in d.values()}) < 24 * 300
 
 
+def _key(i):
+    """24 random letters and digits, at least 16 hex digits never in a row."""
+    return base64.b64encode(hashlib.sha256(str(i).encode()).digest(), b"xy").decode()[:24]
+
+
+@pytest.mark.parametrize("keys, runs", [(30, 40), (30, 1500), (700, 300)])
+def test_secrets_without_a_name_are_found(spark, keys, runs):
+    prose = BASE.split() + "the quick brown fox jumps over lazy dogs while ordinary readers consider several sentences".split()
+    plain = [f"{a}{b}-{c}.example" for a in prose[-14:] for b in prose[-14:] for c in prose[-14:] if len(a + b + c) > 8][:runs]
+    rows = [(i, f"{' '.join(prose[i % 50:])} token = {_key(i)} end") for i in range(80)]
+    rows += [(1000 + i, f"some words {_key(1000 + i)} and more") for i in range(keys)]
+    rows += [(5000 + i, f"see {run} for ordinary words") for i, run in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.id: r.spans for r in secret_scan.scan(docs, secret_scan.learn(docs)).collect()}
+    assert sum(spans[1000 + i] == "inferred:11:35" for i in range(keys)) >= 0.95 * keys
+    assert sum(spans[5000 + i] != "" for i in range(len(plain))) <= 0.01 * len(plain)
+
+
 def test_secret_edges(docs, empty):
     formats = secret_scan.learn(docs)
     rows = secret_scan.scan(docs, formats).collect()
