@@ -18,7 +18,8 @@ string is not in: a format accepts scores above the middle between its own lowes
 and the ordinary strings' highest percentile; where these overlap, scores above all
 ordinary strings'. The candidates that this rejects (of ``SAMPLE``) join the ordinary
 strings, and automata and bars are made once more, so that long ordinary runs are known too.
-Accepted candidates that meet no base span are added as ``inferred``.
+Accepted candidates are added as ``inferred``, and so are accepted runs that meet a base
+span but aren't covered by it (they are judged whole, and not learned from).
 
 Two scans of the texts; the first sends up to 5 * SAMPLE strings a task, the
 driver gets 5 * SAMPLE strings at most, and the executors get the automata.
@@ -75,6 +76,12 @@ def other_runs(text: str, base: list) -> list[tuple[int, int]]:
             if not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
 
 
+def open_runs(text: str, base: list) -> list[tuple[int, int]]:
+    """Runs of credential characters that no base span covers whole."""
+    return [(m.start(), m.end()) for m in RUN.finditer(text)
+            if not any(a <= m.start() and m.end() <= b for a, _, b, _ in base)]
+
+
 def words(text: str, base: list) -> list[str]:
     """Runs of credential characters that are too short for a candidate and meet no base span."""
     if not base:
@@ -223,7 +230,7 @@ def _halves(strings: list[str], whole: Automaton) -> list[tuple[Automaton, list[
 def all_spans(text: str, formats: Formats) -> tuple[list, list]:
     """(base spans, all spans), each (start, kind's number, end)."""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in other_runs(text, base) if formats.accepts(text[a:b])] if formats.kinds else []
+    more = [(a, 3, b) for a, b in open_runs(text, base) if formats.accepts(text[a:b])] if formats.kinds else []
     base = [x[:3] for x in base]
     return base, sorted(base + more)
 

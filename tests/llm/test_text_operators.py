@@ -159,6 +159,19 @@ def test_secrets_without_a_name_are_found(spark, keys, runs):
     assert sum(spans[5000 + i] != "" for i in range(len(plain))) <= 0.01 * len(plain)
 
 
+def test_secret_runs_around_a_base_span(spark):
+    keys = [f"live-{i * 7919 % 8999 + 1000}{i * 104729 % 8999 + 1000}{i * 1299709 % 89999999 + 10000000}-{_key(i)}" for i in range(200)]
+    rows = [(i, f"plain words go here token = '{k}' end") for i, k in enumerate(keys[:150])]
+    rows += [(i, f"plain words go here {k} end") for i, k in enumerate(keys) if i >= 150]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    formats = secret_scan.learn(docs)
+    for r in secret_scan.scan(docs.where("doc_id >= 150"), formats).collect():
+        at = len("plain words go here ")
+        assert r.n_hex == 1 and f"inferred:{at}:{at + len(keys[r.id])}" in r.spans.split(",")
+    for r in secret_scan.redact(docs, formats).collect():
+        assert r.text == ("plain words go here [SECRET]' end" if r.doc_id < 150 else "plain words go here [SECRET] end")
+
+
 def test_secret_edges(docs, empty):
     formats = secret_scan.learn(docs)
     rows = secret_scan.scan(docs, formats).collect()
