@@ -15,9 +15,10 @@ their pairs. Every bucket has a hub, the member that meets most others in all it
 confirmed on full sets, and confirmed ones joined into components. Any pair of a bucket has a
 hub in common; so where the nodes that proposed links to one hub are still in several
 components, pairs between different components are compared on full sets, block by
-block of ``BLOCK`` nodes, and a task emits only links that join components of its block. So
-every pair of a bucket is either joined already or compared, and a dense group makes a row per
-node and block, not per pair.
+block of ``BLOCK`` nodes or ``SHINGLES`` shingles, and a task emits only links that join
+components of its block. Nodes outside the hub's largest component meet all its blocks; those
+inside meet only blocks of nodes outside. So every pair of a bucket is either joined already or
+compared; n nodes, s of them outside, make about n + 2 * n * s / BLOCK rows, not one per pair.
 
 Full sets are formed again from the texts of documents that have a proposed link,
 and are not kept for the others.
@@ -45,7 +46,8 @@ HALF = 4                   # minhashes in a half key
 MISS = 5e-6                # chance that a pair at the threshold meets in no table
 SEED = 20240611
 BROADCAST_IDS = 500_000    # ids that a broadcast may hold; beyond, a shuffled join
-BLOCK = 512                # nodes of one hub that a task compares with as many others
+BLOCK = 512                # nodes of one hub that a task compares with as many others, on average
+SHINGLES = 1_000_000       # shingles of these, on average; a longer set is a block's only one at best
 
 
 def collection_size(threshold: float, half: int = HALF, miss: float = MISS) -> int:
@@ -194,18 +196,32 @@ def compare(pct: int):
     return run
 
 
-def across(proposed: DataFrame, roots: DataFrame, sets: DataFrame, pct: int, block: int = BLOCK) -> DataFrame:
-    """Links between nodes of one hub that are in different components."""
+def across(proposed: DataFrame, roots: DataFrame, sets: DataFrame, pct: int, block: int = BLOCK,
+           sizes: DataFrame | None = None) -> DataFrame:
+    """Links between nodes of one hub that are in different components. ``sizes``
+    (nid, n) spares a look at the sets for their sizes."""
     label = roots.select(F.col("node").alias("n2"), "root")
     mine = proposed.select(F.col("b").alias("hub"), F.col("a").alias("nid")).unionAll(
         proposed.select(F.col("b").alias("hub"), F.col("b").alias("nid")).distinct())
     tagged = mine.join(label, F.col("nid") == F.col("n2"), "left").select("hub", "nid", F.coalesce("root", "nid").alias("root"))
     tagged = keep(tagged, "tagged")
-    mixed = keep(tagged.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                           F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-                 .where("lo <> hi").select("hub", "blocks"), "mixed")
-    dealt = (tagged.join(mixed, "hub").join(sets, "nid").withColumn("own", F.pmod(F.xxhash64("nid"), "blocks"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    several = tagged.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
+    sizes = sets.select("nid", F.size("s").alias("n")) if sizes is None else sizes
+    parts = keep(tagged.join(several, "hub").join(sizes, "nid").groupBy("hub", "root").agg(
+        F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("w")), "parts")
+
+    def blocks(c: Column, w: Column) -> Column:
+        return F.ceil(F.greatest(c / block, w / SHINGLES)).cast("long")
+    # the largest component's blocks come first
+    top = F.max(F.struct("c", "w", "root"))
+    mixed = keep(parts.groupBy("hub").agg(top.alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+                 .select("hub", F.col("top.root").alias("main"), blocks(F.col("top.c"), F.col("top.w")).alias("inner"),
+                         blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("outer")), "mixed")
+    inside, number = F.col("root") == F.col("main"), F.xxhash64("nid")
+    dealt = (tagged.join(mixed, "hub").join(sets, "nid")
+             .withColumn("own", F.when(inside, F.pmod(number, "inner")).otherwise(F.col("inner") + F.pmod(number, "outer")))
+             .withColumn("other", F.explode(F.sequence(F.when(inside, F.col("inner")).otherwise(F.lit(0).cast("long")),
+                                                       F.col("inner") + F.col("outer") - 1)))
              .select("hub", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "nid", "root", "own", "s"))
     return dealt.groupBy("hub", "p", "q").applyInArrow(compare(pct), "a long, b long")
 
@@ -236,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
              .join(size.select(F.col("nid").alias("b"), F.col("n").alias("nb")), "b"))
     links = keep(confirm(sized, sets, pct), "links")
     roots = components(links)
-    more = keep(across(proposed, roots, sets, pct), "across")
+    more = keep(across(proposed, roots, sets, pct, sizes=size), "across")
     if more.limit(1).count():
         roots = components(links.unionAll(more))
 

@@ -8,6 +8,7 @@ import sys
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -362,6 +363,45 @@ def test_minhash_dense_group(spark, monkeypatch):
     assert got == expected and len({c for *_, c in expected}) > 3
 
 
+def _one_hub(spark, members):
+    """Links to hub 0, components and sets of (component, shingles) members."""
+    proposed = spark.createDataFrame([(i, 0) for i in range(1, len(members))], "a long, b long")
+    roots = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(members)], "node long, root long")
+    return proposed, roots, spark.createDataFrame([(i, sorted(s)) for i, (_, s) in enumerate(members)], "nid long, s array<long>")
+
+
+def test_minhash_members_of_the_largest_component_are_not_copied(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "compare", lambda pct: lambda t: pa.table({
+        "a": pa.array([t.num_rows], pa.int64()), "b": pa.array([sum(len(s) for s in t["s"])], pa.int64())}))
+    few = _one_hub(spark, [(0, range(10))] * 400 + [(400, range(10))])
+    groups = minhash.across(*few, 85, block=16).collect()
+    assert sum(g.a for g in groups) <= 400 + 25 + 1
+    # few nodes, but many shingles
+    monkeypatch.setattr(minhash, "SHINGLES", 2000, raising=False)
+    groups = minhash.across(*_one_hub(spark, [(0, range(1000))] * 40 + [(40, range(1000))]), 85).collect()
+    assert len(groups) > 10 and max(g.b for g in groups) <= 10_000
+
+
+def test_minhash_across_against_brute_force(spark):
+    members = []
+    for i in range(120):
+        s = {i % 9 * 1000 + k for k in range(40)} | {(i * 7 + k) % 50 + 100_000 for k in range(i % 5)}
+        members.append((min(i, 0 if i % 9 == 0 and i % 4 else i), s))
+    members = [(r if r else 0, s) for r, s in members]
+
+    def joined(links):
+        root = {i: r for i, (r, _) in enumerate(members)}
+        for a, b in links:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {k: new if r == old else r for k, r in root.items()}
+        return root
+    alike = [(i, j) for i, (_, s) in enumerate(members) for j, (_, t) in enumerate(members[:i])
+             if 100 * len(s & t) >= 85 * len(s | t)]
+    for block in (4, 32, 512):
+        found = [(r.a, r.b) for r in minhash.across(*_one_hub(spark, members), 85, block=block).collect()]
+        assert {(max(x), min(x)) for x in found} <= set(alike) and joined(found) == joined(alike)
+
+
 # -- mixing --------------------------------------------------------------------
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
