@@ -69,7 +69,8 @@ def prepare(rows: DataFrame) -> DataFrame:
                 u = unit(v) if label is not None else None
                 raw = None if u is None else (np.asarray(v, np.float64) + 0.0).tobytes()
                 labels.append(None if u is None else str(label))
-                nodes.append(None if u is None else hashlib.blake2b(raw, key=str(label).encode()[:64], digest_size=16).digest())
+                nodes.append(None if u is None else hashlib.blake2b(
+                    raw, key=hashlib.blake2b(str(label).encode()).digest(), digest_size=16).digest())
                 units.append(u)
             yield pa.record_batch([batch.column("id"), pa.array(nodes, pa.binary()), pa.array(labels, pa.string()),
                                    pa.array(units, pa.list_(pa.float64()))], ["id", "node", "label", "unit"])

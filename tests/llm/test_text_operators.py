@@ -260,6 +260,14 @@ def test_embedding_edges(spark):
     assert multi_index.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embedding_labels_that_share_a_long_prefix(spark):
+    v, w = [1.0, 0.0, 0.0, 0.0], [0.99, 0.1, 0.0, 0.0]
+    one, two = "x" * 64 + "1", "x" * 64 + "2"
+    df = spark.createDataFrame([(1, one, v), (2, two, v), (3, one, w), (4, two, w), (5, two, v)], "vec_id long, label string, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id) for r in multi_index.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (1, 1), 4: (2, 2), 5: (2, 2)}
+
+
 # -- suffix arrays -------------------------------------------------------------
 def test_suffix_array_against_sorting():
     import random
