@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rfmlens.operators.ranks import (BROADCAST_VALUES, attach_ranks, bucket_of, capped_ranks, feature_ranks,
                                      feature_table, grouped_quantiles, split_points)
+from rfmlens.session import checkpoint_dir
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
 
@@ -105,14 +106,17 @@ def place_values(values: DataFrame, knots: DataFrame, buckets: int | None = None
     both = bucket_of(both, "value", inner, "b")
     # nearest knots outside each bucket: a few rows a feature
     edges = both.groupBy("feature", "b").agg(F.min("knot").alias("first"), F.max("knot").alias("last"))
-    w = Window.partitionBy("feature").orderBy("b")
+    # "the nearest above" runs down from the top: a frame that starts at the row and ends with
+    # the partition would be read anew for every row
+    up, down = ([Window.partitionBy("feature").orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+                 for o in (F.asc("b"), F.desc("b"))])
     edges = edges.select(
         F.col("feature").alias("f2"), F.col("b").alias("b2"),
-        F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("under"),
-        F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("over"))
-    order = Window.partitionBy("feature", "b").orderBy("value")
-    near = (both.withColumn("below", F.last("knot", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)))
-            .withColumn("above", F.first("knot", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)))
+        F.last("last", ignorenulls=True).over(up).alias("under"), F.last("first", ignorenulls=True).over(down).alias("over"))
+    rise, fall = ([Window.partitionBy("feature", "b").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+                   for o in (F.asc("value"), F.desc("value"))])
+    near = (both.withColumn("below", F.last("knot", ignorenulls=True).over(rise))
+            .withColumn("above", F.last("knot", ignorenulls=True).over(fall))
             .where("knot IS NULL").join(edges, (F.col("feature") == F.col("f2")) & (F.col("b") == F.col("b2")))
             .select("feature", "value", F.coalesce("below", "under").alias("k0"), F.coalesce("above", "over").alias("k1")))
     least = knots.groupBy(F.col("feature").alias("f3")).agg(F.min("value").alias("least"), F.max("value").alias("most"))
@@ -136,7 +140,8 @@ def transform(df: DataFrame, model: QuantileModel, features=FEATURES, suffix: st
         out = out.withColumn(f"_c_{f}", x)
     pairs = ", ".join(f"'{f}', `_c_{f}`" for f in features)
     values = out.selectExpr(f"stack({len(features)}, {pairs}) AS (feature, value)").where("value IS NOT NULL").distinct()
-    placed = place_values(values, model.knots, buckets).cache()
+    checkpoint_dir(df.sparkSession)
+    placed = place_values(values, model.knots, buckets).checkpoint()
     sizes = {r["feature"]: r["n"] for r in placed.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     for f in features:
         mine = placed.where(F.col("feature") == f).select(F.col("value").alias(f"_c_{f}"), F.col("s").alias(f + suffix))

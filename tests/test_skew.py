@@ -35,3 +35,26 @@ def test_hot_customer_rfm_and_ranks(spark):
     freqs = sorted(v[1] for v in got.values())
     assert abs(st["HOT"][0] - 100.0 * sum(1 for f in freqs if f <= got["HOT"][1]) / n) < 1e-9
     assert st["HOT"][1] == n                         # highest spender is last in ascending rank
+
+
+def test_unseen_values_are_placed_in_linear_time(spark):
+    """Ten times the knots and values: a frame read anew per row would take a hundred times as long."""
+    import time
+
+    from rfmlens.operators.transform import place_values
+
+    def seconds(n: int) -> float:
+        i = F.col("id")
+        knots = spark.range(n).select(F.lit("x").alias("feature"), (i * 2.0).alias("value"), (i / n).alias("lo"), (i / n).alias("hi")).cache()
+        values = spark.range(n).select(F.lit("x").alias("feature"), (i * 2.0 + 1).alias("value")).cache()
+        knots.count(), values.count()
+        start = time.time()
+        got = place_values(values, knots, 1).agg(F.sum("s")).first()[0]
+        spent = time.time() - start
+        # (i + 0.5) / n between knots, 1 above the last one
+        assert abs(got - (sum((k + 0.5) / n for k in range(n - 1)) + 1)) < 1e-6 * n
+        knots.unpersist(), values.unpersist()
+        return spent
+
+    seconds(1_000)
+    assert seconds(50_000) < 10 * seconds(5_000) + 5
