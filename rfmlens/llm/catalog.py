@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rfmlens.llm import (bpe, chat, langid, minhash, mixing, multi_index, periodic, quality, rank_queue, secret_scan,
-                         suffix_dedup, url_filter)
+from rfmlens.llm import (bpe, chat, langid, minhash, mixing, multi_index, periodic, prefix_trie, quality, rank_queue,
+                         secret_scan, suffix_dedup, url_filter)
 
 QUERIES = {
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_rank_queue_bpe": rank_queue.op12_rank_queue_bpe,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_chat_formatting": chat.ORACLE,
     "op9_url_filters": url_filter.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
