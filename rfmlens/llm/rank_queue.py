@@ -40,7 +40,7 @@ from rfmlens.llm.common import map_batches, table
 WORD = 256                 # bits of a bitmap word
 PIECE = 1 << 18            # characters encoded at once
 MATCHES = 50_000           # pre-tokens of a longer text taken at once
-WORDS_KEPT = 250_000       # distinct pre-tokens a worker remembers, then it starts anew
+WORDS_KEPT = 150_000       # distinct pre-tokens a worker remembers, and as many from before that
 LONG = 64                  # longer pre-tokens are not remembered
 
 
@@ -54,20 +54,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank, the least rank first."""
+    """Positions by rank, the least rank first. A position whose rank has a bucket is appended to it."""
 
     def __init__(self):
         self.buckets: dict[int, array] = {}
         self.words: dict[int, int] = {}    # which ranks of a word have positions
         self.top = 0                       # which words are not zero
 
-    def add(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.put(rank, array("i", (position,)))
-        else:
-            bucket.append(position)
-
     def put(self, rank: int, bucket: array) -> None:
         self.buckets[rank] = bucket
         word, bit = divmod(rank, WORD)
@@ -97,6 +90,7 @@ class Encoder:
                 self.pairs[t[0] << 8 | t[1]] = r
         self.ids: dict[str, bytes] = {}    # decimal ids of a known pre-token, a blank after each
         self.back: dict[str, bytes] = {}   # its decoded bytes
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}    # those known before
         self.long: list[str] = []          # known ones that are not to be remembered
 
     def merged(self, data: bytes, starts: np.ndarray) -> tuple[array, bytearray]:
@@ -119,7 +113,7 @@ class Encoder:
         rank = array("i", first.astype(np.int32).tobytes())
         after = array("i", np.arange(1, n + 2, dtype=np.int32).tobytes())
         before = array("i", np.arange(-1, n, dtype=np.int32).tobytes())
-        get, add = self.ranks.get, queue.add
+        get, bucket_of, put = self.ranks.get, queue.buckets.get, queue.put
         while queue.top:
             now, positions = queue.take()
             lower = False
@@ -139,13 +133,21 @@ class Encoder:
                 else:
                     rank[i] = r = get(data[i:after[k]], -1)
                     if r >= 0:
-                        add(r, i)
+                        bucket = bucket_of(r)
+                        if bucket is None:
+                            put(r, array("i", (i,)))
+                        else:
+                            bucket.append(i)
                         lower = r < now
                 if not border[i]:
                     p = before[i]
                     rank[p] = r = get(data[p:k], -1)
                     if r >= 0:
-                        add(r, p)
+                        bucket = bucket_of(r)
+                        if bucket is None:
+                            put(r, array("i", (p,)))
+                        else:
+                            bucket.append(p)
                         lower = lower or r < now
         return after, border
 
@@ -173,7 +175,11 @@ class Encoder:
             yield ids
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
+        new = words.difference(self.ids)
+        ids, back = self.old
+        for w in new.intersection(ids):
+            self.ids[w], self.back[w] = ids[w], back[w]
+        new = [w for w in new if w not in ids]
         self.long = [w for w in new if len(w) > LONG]
         for w, ids in zip(new, self.encode_words([w.encode() for w in new])):
             self.ids[w] = b"%d " * len(ids) % tuple(ids)
@@ -182,8 +188,7 @@ class Encoder:
     def forget(self) -> None:
         """Keep the memory bounded between pieces."""
         if len(self.ids) > WORDS_KEPT:
-            self.ids.clear()
-            self.back.clear()
+            self.old, self.ids, self.back = (self.ids, self.back), {}, {}
         for w in self.long:
             self.ids.pop(w, None)
             self.back.pop(w, None)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -53,6 +54,16 @@ def test_rank_queue_equals_the_library(texts, library):
         assert b == text.encode()
 
 
+def test_pre_tokens_known_before_are_found_again(texts, library, monkeypatch):
+    monkeypatch.setattr(rank_queue, "WORDS_KEPT", 300)
+    monkeypatch.setattr(rank_queue, "PIECE", 5_000)
+    encoder = rank_queue.Encoder(rank_queue.load_ranks(public.path(RANKS)), public.PATTERN)
+    for _ in range(2):
+        ids, _ = _encode(encoder, texts)
+        assert ids == [library.encode_ordinary(t) for t in texts]
+    assert max(len(encoder.ids), len(encoder.old[0])) < 300 + 5_000
+
+
 def test_merges_that_bring_up_a_lower_rank():
     """In this vocabulary a merge makes a pair of less rank than its own, which then goes first."""
     ranks = {bytes([b]): 1000 + b for b in range(256)} | {b"ab": 9, b"abc": 2, b"abcab": 1, b"bc": 30, b"ca": 12, b"cab": 3, b"aa": 20}
@@ -82,7 +93,10 @@ def test_queue_takes_the_least_rank_and_its_positions_in_order():
     queue, rnd, held = rank_queue.RankQueue(), random.Random(3), []
     for position in range(2000):
         rank = rnd.randrange(60_000)
-        queue.add(rank, position)
+        if rank in queue.buckets:
+            queue.buckets[rank].append(position)
+        else:
+            queue.put(rank, array("i", (position,)))
         held.append((rank, position))
     out = []
     while queue.top:
