@@ -131,8 +131,8 @@ def cluster_quality(scored: DataFrame, silhouette_col: str | None = SILHOUETTE)
 
 def cluster_warnings(quality: DataFrame, low: float = squared_limit(dims.LOW_SIL)) -> DataFrame:
     """Clusters under 3 % of customers and clusters whose mean silhouette
-    is under ``low``, one row per warning. ``low`` is a limit on the squared form that the
-    quality table holds (the known 0.10 is Euclidean). The share is compared as counts (not as the rounded
+    is under ``low``, one row per warning. ``low`` is a limit on the form of the silhouette that the
+    quality table holds: ``dims.LOW_SIL`` for the Euclidean one. The share is compared as counts (not as the rounded
     percentage, which hides 2.996 %)."""
     share = F.col("N") * 100.0 / F.sum("N").over(_all())
     small = quality.withColumn("share", share).where(F.col("share") < dims.SMALL_CLUSTER_PCT).select(

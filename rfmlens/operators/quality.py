@@ -3,9 +3,8 @@
 Everything is O(n * k): per-cluster sums (k <= 8 rows) are read back once and
 every row is then scored against them with column expressions.
 
-Silhouette is the *squared*-Euclidean form (Spark's ``ClusteringEvaluator``),
-which has this exact O(n * k) expression. The plain Euclidean silhouette needs
-the distance of every pair of customers and is not built (see README).
+The silhouette here is the *squared*-Euclidean form (Spark's ``ClusteringEvaluator``),
+which has this exact O(n * k) expression; ``operators.silhouette`` has the Euclidean one.
 """
 
 from __future__ import annotations

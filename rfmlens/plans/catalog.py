@@ -17,6 +17,7 @@ from rfmlens import dims
 from rfmlens.operators import insights as G
 from rfmlens.operators import lookup as L
 from rfmlens.operators import quality as Q
+from rfmlens.operators import silhouette as SL
 from rfmlens.operators.clean import clean_transactions
 from rfmlens.operators.labels import action_cards, convert_currency, interpret_clusters, quick_wins
 from rfmlens.operators.rfm import compute_rfm, correlation_matrix, describe_features, global_kpis, score_means, snapshot_date
@@ -409,6 +410,67 @@ def q_cluster_warnings(spark, sf):
     return G.cluster_warnings(_quality_spark(spark, sf))
 
 
+#: Mean distances from the pairs of all customers.
+EUCLID_SQL = """pd AS (SELECT f.customer_id, f.Cluster AS own, g.Cluster AS other, count(*) AS N,
+              sum(sqrt((f.x1 - g.x1) ** 2 + (f.x2 - g.x2) ** 2 + (f.x3 - g.x3) ** 2)) AS d
+       FROM feat f, feat g GROUP BY f.customer_id, f.Cluster, g.Cluster),
+pab AS (SELECT customer_id, own, max(CASE WHEN other = own THEN N END) AS own_n,
+              max(CASE WHEN other = own AND N > 1 THEN d / (N - 1) END) AS a, min(CASE WHEN other <> own THEN d / N END) AS b
+       FROM pd GROUP BY customer_id, own),
+euclid AS (SELECT customer_id, own AS Cluster,
+               CASE WHEN own_n <= 1 THEN 0.0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END AS silhouette_euclidean FROM pab)"""
+EUCLID = (*S.BASE, S.SCALED, S.SIL, EUCLID_SQL)
+SCALED_COLS = ["Recency_s", "Frequency_s", "Monetary_s"]
+
+
+def _euclid(spark, sf):
+    return B._memo(spark, sf, "euclid", lambda: SL.euclidean_points(B.scaled(spark, sf)[0], SCALED_COLS))
+
+
+def _euclid_quality(spark, sf):
+    rows = SL.euclidean_rows(B.scaled(spark, sf)[0], SCALED_COLS, points=_euclid(spark, sf))
+    return G.cluster_quality(rows, SL.EUCLIDEAN)
+
+
+CQ_EUCLID = CQ_SQL.replace("avg(silhouette_sq_euclidean)", "avg(silhouette_euclidean)").replace("JOIN sil USING", "JOIN euclid USING")
+
+
+@query("silhouette_euclidean", S.with_ctes(*EUCLID, body="""
+SELECT customer_id, Cluster, round(silhouette_euclidean, 8) AS silhouette_euclidean FROM euclid"""))
+def q_euclid_rows(spark, sf):
+    """Euclidean silhouette of every customer."""
+    rows = SL.euclidean_rows(B.scaled(spark, sf)[0], SCALED_COLS, points=_euclid(spark, sf))
+    return rows.select("customer_id", "Cluster", r(SL.EUCLIDEAN, 8).alias(SL.EUCLIDEAN))
+
+
+@query("fit_verdict", S.with_ctes(*EUCLID, body=f"""
+SELECT round(avg(silhouette_euclidean), 6) AS silhouette_euclidean, count_if(silhouette_euclidean < 0) AS n_negative,
+       CASE WHEN avg(silhouette_euclidean) < {dims.SIL_WARN} THEN 'warning' WHEN avg(silhouette_euclidean) >= {dims.SIL_GOOD} THEN 'good'
+            ELSE 'ok' END AS verdict, TRUE AS certified
+FROM euclid"""))
+def q_fit_verdict(spark, sf):
+    """Mean Euclidean silhouette, its certified error at most 1e-6, and the verdict on it."""
+    m = SL.euclidean_summary(_euclid(spark, sf))
+    return spark.createDataFrame([(round(m[SL.EUCLIDEAN], 6), m["n_negative_euclidean"], Q.fit_verdict(m[SL.EUCLIDEAN], dims.SIL_WARN, dims.SIL_GOOD), m["euclidean_error"] <= 1e-6)],
+                                 "silhouette_euclidean DOUBLE, n_negative BIGINT, verdict STRING, certified BOOLEAN")
+
+
+@query("cluster_quality_euclidean", S.with_ctes(*EUCLID, CQ_EUCLID, body="SELECT * FROM cq2"))
+def q_euclid_quality(spark, sf):
+    """G10, G11 with the Euclidean silhouette."""
+    return _euclid_quality(spark, sf)
+
+
+@query("cluster_warnings_euclidean", S.with_ctes(*EUCLID, CQ_EUCLID, body=f"""
+SELECT Cluster, Segment, 'small_cluster' AS warning, Pct AS value
+FROM (SELECT *, 100.0 * N / (SELECT count(*) FROM scored) AS share FROM cq2) WHERE share < {dims.SMALL_CLUSTER_PCT}
+UNION ALL
+SELECT Cluster, Segment, 'low_silhouette', Sil_Score FROM cq2 WHERE Sil_Score < {dims.LOW_SIL}"""))
+def q_euclid_warnings(spark, sf):
+    """G12 with the Euclidean limit."""
+    return G.cluster_warnings(_euclid_quality(spark, sf), dims.LOW_SIL)
+
+
 @query("box_stats_monetary", S.with_ctes(*S.BASE, CENTS_SQL, body="""
 SELECT Segment, round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3,
        round(q1 - 1.5 * (q3 - q1), 4) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 4) AS upper_fence,

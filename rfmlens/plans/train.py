@@ -21,10 +21,11 @@ from rfmlens.operators.cluster import (FINAL_WORK, SCALED, SEARCH_WORK, assemble
                                        fit_pca, model_rows, pca_coordinates, predict, search_k)
 from rfmlens.operators.insights import cluster_quality, cluster_warnings
 from rfmlens.operators.labels import apply_labels, assign_segment_labels
-from rfmlens.operators.quality import SILHOUETTE, fit_verdict, quality_metrics, silhouette_rows
+from rfmlens.operators.quality import SILHOUETTE, fit_verdict, quality_metrics
 from rfmlens.operators.ranks import feature_ranks
 from rfmlens.operators.rfm import compute_rfm, describe_features
 from rfmlens.operators.scoring import add_rfm_scores
+from rfmlens.operators.silhouette import EUCLIDEAN, euclidean_points, euclidean_rows, euclidean_summary
 from rfmlens.operators.transform import QuantileModel, cap_report, fit_transform
 from rfmlens.session import checkpoint_dir
 
@@ -73,13 +74,11 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
           search_max_iter: int = SEARCH_WORK[1], final_max_iter: int = FINAL_WORK[1],
           search_tol: float = SEARCH_WORK[2], final_tol: float = FINAL_WORK[2],
           seed: int = 42, k_min: int = dims.K_MIN, k_max: int = dims.K_MAX,
-          row_id_col: str | None = None, snapshot=None, save_path: str | None = None,
-          verdict_limits: tuple[float, float] | None = None) -> TrainResult:
+          row_id_col: str | None = None, snapshot=None, save_path: str | None = None) -> TrainResult:
     """M18. ``df`` is raw transactions (any header) when ``clean`` is true,
     else canonical line items with ``line_total``. With ``save_path`` the scored
     customers (S5), the model (S7), the metadata (S6) and the report's tables are written under
-    that folder. ``verdict_limits`` are the (warning, good) limits on the
-    squared-Euclidean silhouette; without them the run has no verdict."""
+    that folder. The verdict, the negative silhouettes and the quality report are those of the Euclidean silhouette."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     lines, cleaning = clean_transactions(df, row_id_col=row_id_col) if clean else (df, None)
@@ -95,14 +94,17 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
     pred = predict(fit.model, feats)
     scored = add_rfm_scores(predict(fit.model, assemble(scaled)), ranks=ranks).cache()
     scored_cache = scored
-    # three independent pieces: submitted together so their jobs overlap
-    with ThreadPoolExecutor(max_workers=3) as pool:
+    # independent pieces: submitted together so their jobs overlap
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        f_sil = pool.submit(euclidean_points, pred, SCALED)
         f_cmap = pool.submit(lambda: _collected(assign_segment_labels(scored, best_k)))
         f_pca = pool.submit(fit_pca, feats)
         f_q = pool.submit(quality_metrics, pred, SCALED)
         cmap_rows, cmap = f_cmap.result()
         scaler, pca, signs = f_pca.result()
         metrics = f_q.result()
+        points = f_sil.result()
+    metrics |= euclidean_summary(points)
     scored = pca_coordinates(scored, scaler, pca, signs)
     scored = apply_labels(scored, cmap)
     code, symbol, name = dims.currency_record(currency)
@@ -111,15 +113,16 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
         "n_clusters": best_k, "trained_on": str(_dt.date.today()),
         "rfm_snapshot": str(rfm_snapshot),
         "scaler_type": "quantile_uniform_midrank", "cap_values": qmodel.caps,
-        SILHOUETTE: metrics[SILHOUETTE], "n_negative": metrics["n_negative"], "davies_bouldin": metrics["davies_bouldin"],
+        EUCLIDEAN: metrics[EUCLIDEAN], "silhouette_error": metrics["euclidean_error"], "n_negative": metrics["n_negative_euclidean"],
+        SILHOUETTE: metrics[SILHOUETTE], "davies_bouldin": metrics["davies_bouldin"],
         "calinski_harabasz": metrics["calinski_harabasz"], "inertia": fit.cost,
         "pca_variance": explained_variance(pca), "n_customers": qmodel.n, "n_iter": fit.iterations,
-        "fit_verdict": fit_verdict(metrics[SILHOUETTE], *(verdict_limits or ())),
+        "fit_verdict": fit_verdict(metrics[EUCLIDEAN], dims.SIL_WARN, dims.SIL_GOOD),
     }
     model = SegmentModel(fit.model, qmodel, cmap_rows, meta, (scaler, pca, signs))
-    quality = cluster_quality(silhouette_rows(scored, SCALED))
+    quality = cluster_quality(euclidean_rows(scored, SCALED, points=points), EUCLIDEAN)
     report = {"describe": describe_features(rfm), "caps": cap_report(rfm, qmodel.caps),
-              "quality": quality, "warnings": cluster_warnings(quality)}
+              "quality": quality, "warnings": cluster_warnings(quality, dims.LOW_SIL)}
     if cleaning is not None:
         report["cleaning"] = cleaning
     out = scored.select("customer_id", "Recency", "Frequency", "Monetary", "Cluster", "R_Score", "F_Score",

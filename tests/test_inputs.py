@@ -119,5 +119,7 @@ def test_training_report(spark):
     for name in res.report:
         assert spark.read.parquet(f"{root}/report/{name}").columns == res.report[name].columns
     assert spark.read.parquet(f"{root}/report/quality").agg(F.sum("N")).first()[0] == B.rfm(spark, SF001).count()
-    assert res.model.meta["fit_verdict"] is None and "silhouette_sq_euclidean" in res.model.meta
+    meta = res.model.meta
+    assert meta["fit_verdict"] == fit_verdict(meta["silhouette_euclidean"], 0.3, 0.4) and meta["silhouette_error"] <= 1e-6
+    assert meta["silhouette_euclidean"] != meta["silhouette_sq_euclidean"]
     res.release()
