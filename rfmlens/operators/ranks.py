@@ -29,6 +29,8 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rfmlens.operators.selection import select
+
 VALUES_PER_BUCKET = 50_000
 MAX_BUCKETS = 4096
 PER_SPLIT = 50
@@ -209,7 +211,12 @@ def exact_quantiles(df: DataFrame, col: str | Column, qs: list[float],
                     buckets: int | None = None, ranks: RankTable | None = None
                     ) -> tuple[list[float | None], int]:
     """Linear-interpolated quantiles (numpy/pandas default, DuckDB
-    ``quantile_cont``), exact and distributed. Returns (values, n)."""
+    ``quantile_cont``), exact and distributed. Returns (values, n). From ``ranks`` if they are there already (or
+    ``buckets`` asks for a ranking), else selected without ranking all values."""
+    if ranks is None and buckets is None:
+        found, sizes = select(df, col, lambda n: _positions(n, qs))
+        n = sizes.get(None, 0)
+        return [_interp(found[None], n, q) if n else None for q in qs], n
     r = ranks if ranks is not None else value_ranks(df, col, buckets)
     n = r.n()
     if n == 0:
@@ -232,7 +239,11 @@ def grouped_quantiles(r: RankTable, qs: list[float]) -> dict:
 
 def exact_quantiles_by(df: DataFrame, col: str, group: str, qs: list[float],
                        buckets: int | None = None) -> dict:
-    """Per-group linear-interpolated quantiles: {group: [values]} (few groups)."""
+    """Per-group linear-interpolated quantiles: {group: [values]} (few groups), selected without ranking all values unless
+    ``buckets`` asks for a ranking."""
+    if buckets is None:
+        found, sizes = select(df, col, lambda n: _positions(n, qs), group)
+        return {g: [_interp(found[g], n, q) for q in qs] for g, n in sizes.items()}
     r = value_ranks(df, col, buckets, group=group)
     out = grouped_quantiles(r, qs)
     r.release()
