@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 
 from rfmlens import dims
 from rfmlens.functions import ntz_literal, strip_ws
+from rfmlens.operators import dates
 from rfmlens.operators.ranks import counted_quantile, exact_quantiles, order_statistics, value_ranks
 from rfmlens.operators.schema import detect_columns, rename_to_canonical
 from rfmlens.session import checkpoint_dir
@@ -22,7 +23,7 @@ from rfmlens.session import checkpoint_dir
 # medians of at most so many customers are broadcast to the rows (size counted first)
 BROADCAST_MEDIANS = 500_000
 
-# Formats tried, in order, after ISO text (Q3). Month-first for slashes.
+# Formats that ``parse_date`` tries, in order, after ISO text (Q3). Month-first for slashes.
 DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss",
     "yyyy/MM/dd", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d.M.yyyy",
@@ -88,7 +89,7 @@ def _free_prefix(columns: list[str]) -> str:
 
 
 def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: bool = False,
-                       date_formats=DATE_FORMATS) -> tuple[DataFrame, DataFrame]:
+                       date_formats: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (line items, report).
 
     Line items: customer_id, invoice_id, invoice_date (TIMESTAMP_NTZ),
@@ -97,6 +98,8 @@ def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: boo
 
     ``row_id_col`` names a unique key used to build ids for rows without one
     (``CUST_<id>``, ``INV_<id>``); without it a generated id is used (Q2).
+    Dates as text are read by ``operators.dates``: whether day or month comes first is settled by the whole
+    column and reported (section ``date_format``); ``date_formats`` are tried in their order instead.
     """
     checkpoint_dir(df.sparkSession)
     at = df.columns.index(row_id_col) if row_id_col else None
@@ -111,19 +114,28 @@ def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: boo
     # Everything that needs no other row
     def id_of(role: str, tokens: list[str]) -> Column:
         return clean_id(F.col(role), tokens) if present[role] else F.lit(None).cast("string")
-    date = (parse_date(F.col("invoice_date"), types["invoice_date"], date_formats) if present["invoice_date"]
-            else F.lit(None).cast("timestamp_ntz"))
+    none = F.lit(None).cast("timestamp_ntz")
+    if not present["invoice_date"]:
+        ways = (none, none, none)
+    elif date_formats is not None:
+        ways = (parse_date(F.col("invoice_date"), types["invoice_date"], date_formats), none, none)
+    else:
+        ways = dates.readings(F.col("invoice_date"), types["invoice_date"])
     number = {r: parse_number(F.col(r), types[r]) if present[r] else F.lit(default)
               for r, default in (("quantity", dims.DEFAULT_QUANTITY), ("unit_price", dims.DEFAULT_PRICE))}
     typed = df.select(rid.alias(h + "rid"), id_of("customer_id", dims.CUSTOMER_NULL_TOKENS).alias(h + "cust"),
-                      id_of("invoice_id", dims.INVOICE_NULL_TOKENS).alias(h + "inv"), date.alias(h + "date"),
+                      id_of("invoice_id", dims.INVOICE_NULL_TOKENS).alias(h + "inv"), *[w.alias(h + n) for w, n in zip(ways, ("date", "month1", "day1"))],
                       number["quantity"].alias(h + "q"), number["unit_price"].alias(h + "p"),
                       *[F.col(f"`{c}`") for c in others])
     rid, cust, inv, date, q, p = (F.col(h + c) for c in ("rid", "cust", "inv", "date", "q", "p"))
+    ways = tuple(F.col(h + n) for n in ("date", "month1", "day1"))
     seen = Observation()
-    typed = typed.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(date.isNull()).alias("date"),
-                          F.count_if(q.isNull()).alias("q"), F.count_if(p.isNull()).alias("p")).checkpoint(eager=True)
+    typed = typed.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(*ways).isNull()).alias("date"),
+                          F.count_if(q.isNull()).alias("q"), F.count_if(p.isNull()).alias("p"),
+                          *[v.alias(k) for k, v in dates.counts(*ways).items()]).checkpoint(eager=True)
     missing = dict(seen.get or {})
+    order = dates.settled(missing)
+    typed = typed.withColumn(h + "date", dates.dates(*ways, order)).drop(h + "month1", h + "day1")
 
     # customer_id, invoice_date (C4), invoice_id
     fallback = None
@@ -161,16 +173,17 @@ def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: boo
     cleaned = (flagged.where(keep).withColumn("line_total", F.col("quantity") * F.col("unit_price"))
                .select("customer_id", "invoice_id", "invoice_date", "quantity", "unit_price", "line_total",
                        *[F.col(f"`{c}`") for c in others]))
-    return cleaned, cleaning_report(flagged, inferred, present, stays, keep, flags)
+    found = [("date_format", order, sum(missing[k] for k in ("both", dates.MONTH_FIRST, dates.DAY_FIRST)), dates.PATTERNS[order])] if order else []
+    return cleaned, cleaning_report(flagged, inferred, present, stays, keep, flags, found)
 
 
 def cleaning_report(flagged: DataFrame, inferred: dict[str, str], present: dict[str, bool],
-                    stays: Column, keep: Column, flags: dict[str, Column]) -> DataFrame:
+                    stays: Column, keep: Column, flags: dict[str, Column], found: list[tuple] = []) -> DataFrame:
     """C11: original/clean row counts, inferred mapping, imputed counts per
     role (listed when a role was absent or had missing values) and dropped
     counts (listed when > 0) -- one aggregate pass over the flagged rows:
     ``stays`` says whether a row's quantity is kept, ``keep`` whether the row is,
-    ``flags`` which values were imputed."""
+    ``flags`` which values were imputed, ``found`` further rows (the order of day and month)."""
     spark = flagged.sparkSession
     aggs = [F.count(F.lit(1)).alias("original_rows"), F.count_if(keep).alias("clean_rows"),
             F.count_if(~stays).alias("negative_quantity"),
@@ -184,7 +197,7 @@ def cleaning_report(flagged: DataFrame, inferred: dict[str, str], present: dict[
     long = (long.where((F.col("only_if_positive") == 0) | (F.col("value") > 0))
             .select("section", "key", F.col("value").cast("long").alias("value"),
                     F.lit(None).cast("string").alias("detail")))
-    inf_rows = [("inferred", role, None, actual) for role, actual in inferred.items()]
+    inf_rows = [("inferred", role, None, actual) for role, actual in inferred.items()] + found
     if inf_rows:
         long = long.unionByName(spark.createDataFrame(inf_rows, REPORT_SCHEMA))
     return long
