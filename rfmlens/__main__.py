@@ -34,19 +34,20 @@ def main(argv=None) -> None:
     from rfmlens import get_session
     from rfmlens.sources.readers import read_transactions
     spark = get_session()
-    df = read_transactions(spark, a.data, a.format)
+    place = "_place" if a.format == "csv" else None        # ids of rows without one follow their place in the file
+    df = read_transactions(spark, a.data, a.format, row_id=place)
     if a.cmd == "train":
         from rfmlens.plans.train import train
         res = train(df, k=a.clusters, currency=a.currency, search_restarts=a.search_restarts,
-                    final_restarts=a.final_restarts, save_path=a.out)
-        print(json.dumps({k: res.model.meta[k] for k in ("n_clusters", "silhouette_sq_euclidean",
+                    final_restarts=a.final_restarts, save_path=a.out, row_id_col=place)
+        print(json.dumps({k: res.model.meta[k] for k in ("n_clusters", "silhouette_euclidean",
                                                          "davies_bouldin", "calinski_harabasz",
                                                          "fit_verdict", "n_customers")}, default=str))
     else:
         from rfmlens.plans.score import score
         from rfmlens.sources.model_store import load_model
         from rfmlens.sources.writers import write_scored
-        scored, report = score(df, load_model(spark, a.model))
+        scored, report = score(df, load_model(spark, a.model), row_id_col=place)
         write_scored(scored, f"{a.out.rstrip('/')}/scored")
         if report is not None:
             report.write.mode("overwrite").json(f"{a.out.rstrip('/')}/cleaning_report")

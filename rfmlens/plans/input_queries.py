@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rfmlens.operators.clean import clean_transactions, nonzero_report, require_rows
+from rfmlens.operators.dates import date_format_table
 from rfmlens.operators.rfm import compute_rfm
 from rfmlens.operators.schema import detect_columns, schema_messages
 from rfmlens.plans import base as B
@@ -144,6 +145,43 @@ def q_detected(spark, sf):
                                        "quantity STRING, unit_price STRING")
 
 
+# --------------------------------------------------------------- dates
+def dated_orders(spark, sf) -> DataFrame:
+    """Lines with dates as people write them: days first, some of them dates in one order only."""
+    day = F.col("o_orderdate").cast("date")
+    return (read_table(spark, sf, "lineitem").join(read_table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(F.col("o_custkey").cast("string").alias("Customer ID"), F.col("o_orderkey").cast("string").alias("Invoice"),
+                    F.date_format(day, "dd/MM/yyyy").alias("Invoice Date"), F.col("l_quantity").cast("int").alias("Quantity"),
+                    F.lit("2").alias("Price"), F.date_format(day, "M-d-yyyy H:mm").alias("shipped"), day.cast("string").alias("iso"),
+                    F.concat(F.lit("0"), F.dayofmonth(day) % 9 + 1, F.lit("/0"), F.month(day) % 9 + 1, F.lit("/2011")).alias("either"),
+                    F.date_format(day, "d MMM yyyy").alias("named"), F.lit("30/02/2011").alias("no_date")))
+
+
+@query("clean_day_first", """
+SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS VARCHAR) AS invoice_id,
+       CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS invoice_date, count(*) AS n, CAST(sum(2 * l_quantity) AS DOUBLE) AS total
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
+def q_day_first(spark, sf):
+    """A column of days first, every line, by invoice."""
+    lines, _ = clean_transactions(dated_orders(spark, sf).select("Customer ID", "Invoice", "Invoice Date", "Quantity", "Price"))
+    return lines.groupBy("customer_id", "invoice_id", "invoice_date").agg(F.count(F.lit(1)).alias("n"), F.sum("line_total").alias("total"))
+
+
+@query("date_formats", """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+n AS (SELECT count(*) AS n, count(*) FILTER (day(d) <= 12) AS low FROM d)
+SELECT 'Invoice Date' AS "column", 'day_first' AS date_order, 0::BIGINT AS plain, low AS both, 0::BIGINT AS month_first_only,
+       n - low AS day_first_only, 0::BIGINT AS unread FROM n
+UNION ALL SELECT 'shipped', 'month_first', 0, low, n - low, 0, 0 FROM n
+UNION ALL SELECT 'iso', NULL, n, 0, 0, 0, 0 FROM n
+UNION ALL SELECT 'either', 'month_first', 0, n, 0, 0, 0 FROM n
+UNION ALL SELECT 'named', NULL, n, 0, 0, 0, 0 FROM n
+UNION ALL SELECT 'no_date', NULL, 0, 0, 0, 0, n FROM n""")
+def q_date_formats(spark, sf):
+    """The order of day and month in each date column, from all rows."""
+    return date_format_table(dated_orders(spark, sf), ["Invoice Date", "shipped", "iso", "either", "named", "no_date"])
+
+
 # --------------------------------------------------------------- files (S)
 @query("csv_documents", """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n, lang, source FROM documents""")
@@ -156,6 +194,23 @@ def q_csv_documents(spark, sf):
                        F.length("text").cast("long").alias("n"), "lang", "source")
 
 
+# the spoiled lines in an order of their own, numbered from 0
+FILE_ORDER = ["row_key", "Cust-ID", "Order No", "Order Date", "QTY", "Selling-Price"]
+NUMBERED_SQL = DIRTY_SQL.replace("raw AS (", "unnumbered AS (", 1).replace("typed AS (", f"""raw AS (
+  SELECT * REPLACE (CAST(row_number() OVER (ORDER BY {", ".join(f'"{c}" NULLS FIRST' for c in FILE_ORDER)}) - 1 AS VARCHAR) AS row_key)
+  FROM unnumbered),
+typed AS (""", 1)
+
+
+@query("clean_csv_ids", S.with_ctes(NUMBERED_SQL, body="SELECT customer_id, invoice_id, CAST(row_key AS BIGINT) AS place FROM txn"))
+def q_csv_ids(spark, sf):
+    """Ids generated from a record's place in the file, every cleaned line."""
+    path = scratch_path(spark, "places")
+    write_scored(dirty_lines(spark, sf).orderBy(*[f"`{c}`" for c in FILE_ORDER]).coalesce(1), path, "csv")
+    lines, _ = clean_transactions(read_transactions(spark, path, row_id="place"), row_id_col="place")
+    return lines.select("customer_id", "invoice_id", "place")
+
+
 @query("csv_upload_rfm", S.with_ctes(DIRTY_SQL, S.RFM, body="""
 SELECT customer_id, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm"""))
 def q_csv_upload(spark, sf):

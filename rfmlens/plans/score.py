@@ -52,11 +52,12 @@ def score_upload(spark, path: str, model: SegmentModel, fmt: str = "csv"):
     from rfmlens.operators.clean import require_rows
     from rfmlens.operators.schema import schema_messages
     from rfmlens.sources.readers import try_read_transactions
-    df, err = try_read_transactions(spark, path, fmt)
+    place = "_place" if fmt == "csv" else None
+    df, err = try_read_transactions(spark, path, fmt, place)
     if df is None:
         return None, None, err
-    note = schema_messages(df.columns)
-    scored, report = score(df, model)
+    note = schema_messages([c for c in df.columns if c != place])
+    scored, report = score(df, model, row_id_col=place)
     empty = require_rows(scored)
     if empty:
         return None, report, empty

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rfmlens import dims
+from rfmlens.sources.csv_records import read_csv
 
 # Cell texts that a CSV reader in the reference's stack treats as
 # missing (pandas default ``na_values``); they become NULL at the scan.
@@ -20,34 +21,38 @@ def csv_options(reader, multi_line: bool = True):
     """The CSV dialect of batch and stream: a header, quotes doubled inside
     quoted fields and, with ``multi_line``, line breaks in them.
 
-    Spark can't split a file whose records may span lines, so ``multi_line`` makes one
-    task of each file; pass False for large files known to have none.
+    Spark's reader can't split a file whose records may span lines, so ``multi_line`` makes one
+    task of each file there; ``csv_records.read_csv`` reads such files in parallel.
     """
     return (reader.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
             .option("multiLine", multi_line))
 
 
-def missing_to_null(df: DataFrame, keep: str | None = None) -> DataFrame:
+def missing_to_null(df: DataFrame, *keep: str | None) -> DataFrame:
     """Texts that mean a missing value become NULL in all columns but ``keep``."""
-    return df.select([F.col(f"`{c}`") if c == keep else
+    return df.select([F.col(f"`{c}`") if c in keep else
                       F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", corrupt_column: str | None = None,
-                      multi_line: bool = True) -> DataFrame:
+                      multi_line: bool = True, row_id: str | None = None) -> DataFrame:
     """Read a transactions file with whatever header it has.
 
     CSV is read with every column as STRING (no schema inference: inference
     scans the data twice and turns integer ids with gaps into ``3.0``); the
     cleaner types the columns. Missing-value tokens become NULL here.
-    ``corrupt_column`` names a further column that holds the text of records with too few
-    or too many fields, NULL for the others (S2).
+    Records may span lines (``csv_records`` reads them in parallel); with ``multi_line`` false Spark's own
+    reader takes each line as a record. ``corrupt_column`` names a further column that holds the text of records with too few
+    or too many fields, NULL for the others (S2), ``row_id`` one with the record's number in the input, the same for any
+    partitioning: the cleaner's ``row_id_col``.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if not _exists(spark, path):
         raise FileNotFoundError(f"transactions file not found: {path}")
-    reader = csv_options(spark.read, multi_line)
+    if multi_line or row_id:
+        return missing_to_null(read_csv(spark, path, row_id, corrupt_column), corrupt_column, row_id)
+    reader = csv_options(spark.read, False)
     if corrupt_column:
         # Spark fills the column only if the schema names it
         header = reader.csv(path).columns
@@ -56,12 +61,12 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", corrupt_
     return missing_to_null(reader.csv(path), corrupt_column)
 
 
-def try_read_transactions(spark: SparkSession, path: str, fmt: str = "csv"
+def try_read_transactions(spark: SparkSession, path: str, fmt: str = "csv", row_id: str | None = None
                           ) -> tuple[DataFrame | None, str | None]:
     """Like ``read_transactions`` but a file that cannot be read gives
     (None, message) instead of an exception, as an upload form needs."""
     try:
-        df = read_transactions(spark, path, fmt)
+        df = read_transactions(spark, path, fmt, row_id=row_id)
         df.schema  # resolve now: a bad path or format fails here
         return df, None
     except Exception as e:  # noqa: BLE001 - the message is the result
