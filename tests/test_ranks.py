@@ -68,3 +68,36 @@ def test_grouped_quantiles_with_null_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0), (None, 9.0)], "g STRING, x DOUBLE")
     q = exact_quantiles_by(df, "x", "g", [0.5], buckets=2)
     assert q == {"a": [2.0], None: [7.0]}
+
+
+def test_selection_equals_ranking(spark):
+    """A few positions, by brackets and samples too small to be lucky, against all ranks."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rfmlens.operators.ranks import order_statistics, value_ranks
+    from rfmlens.operators.selection import select
+    rnd = random.Random(12)
+    values = {"a": [rnd.gauss(0, 1) for _ in range(900)] + [0.25] * 500, "b": [10.0 ** rnd.uniform(-300, 300) for _ in range(700)],
+              "c": [3.0] * 200, "d": [1.0, -0.0, 0.0], "e": [float(i % 2) for i in range(400)], "f": [float("nan"), None]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double").repartition(7)
+    wanted = {g: sorted({0, len(v) // 7, len(v) // 2, len(v) - 1}) for g, v in values.items() if g != "f"}
+    want = order_statistics(value_ranks(df, "v", group="g"), [], group="g", group_positions=wanted)
+    by_size = {len(v): wanted[g] for g, v in values.items() if g != "f"}
+    for sample, left in ((20_000, 20_000), (40, 20), (5, 1)):
+        got, sizes = select(df, "v", lambda n: by_size[n], "g", sample, left)
+        assert got == want and sizes == {g: len(v) for g, v in values.items() if g != "f"}
+    got, sizes = select(df.where("g = 'a'"), F.col("v") * 2, lambda n: [n // 2], sample=30, left=10)
+    assert got[None][700] == 2 * sorted(values["a"])[700] and sizes == {None: 1400}
+    assert select(df.where("g = 'f'"), "v", lambda n: [0]) == ({}, {})
+
+
+def test_selection_shuffles_counts_only(spark):
+    """What reaches the driver does not follow the number of distinct values."""
+    from rfmlens.operators.selection import select
+    n = 300_000
+    df = spark.range(n).selectExpr("CAST(id * 7919 % 1000003 AS DOUBLE) AS v")
+    got, _ = select(df, "v", lambda n: [0, n // 2, n - 1], sample=2_000, left=2_000)
+    every = sorted(i * 7919 % 1000003 for i in range(n))
+    assert got[None] == {p: float(every[p]) for p in (0, n // 2, n - 1)}
