@@ -1,8 +1,7 @@
 """KMeans with restarts, k selection and PCA coordinates.
 
-Each fit is a Spark ML job over the cached, assembled features; restarts
-are a loop of such jobs (no per-row work on the driver). ``initMode`` is
-k-means|| (the parallel form of k-means++).
+The search and the final fit take all restarts of all k together (``operators.lloyd``); ``fit_kmeans``
+is one k with Spark ML, whose restarts are independent jobs (``initMode`` k-means||).
 """
 
 from __future__ import annotations
@@ -16,7 +15,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rfmlens import dims
+from rfmlens.operators.lloyd import best_fits
 from rfmlens.operators.quality import SILHOUETTE, assign_clusters, quality_metrics
+from rfmlens.operators.silhouette import EUCLIDEAN, clustering_points
 
 SCALED = ["Recency_s", "Frequency_s", "Monetary_s"]
 
@@ -83,8 +84,8 @@ def predict(model: KMeansModel | Centers, feats: DataFrame, cols=SCALED) -> Data
     return model.transform(feats).withColumn("Cluster", F.col("Cluster").cast("int"))
 
 
-def select_k(metrics: DataFrame) -> DataFrame:
-    """M13 on a metrics table (k, inertia, silhouette_sq_euclidean, calinski_harabasz,
+def select_k(metrics: DataFrame, silhouette: str = SILHOUETTE) -> DataFrame:
+    """M13 on a metrics table (k, inertia, ``silhouette``, calinski_harabasz,
     davies_bouldin): each metric min-max scaled over the k values (inertia
     and DB inverted, flat range -> denominator 1), averaged; rows in k order
     with ``consensus`` and ``best`` (first maximum). <= 6 rows."""
@@ -99,8 +100,8 @@ def select_k(metrics: DataFrame) -> DataFrame:
     # an undefined metric (NaN) is no score at all: NULL, so it neither wins
     # the comparison (Spark sorts NaN above every number) nor shifts min/max
     clean = metrics.select("k", *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
-                                  for c in ("inertia", SILHOUETTE, "calinski_harabasz", "davies_bouldin")])
-    out = clean.withColumn("consensus", (scaled("inertia", True) + scaled(SILHOUETTE, False) +
+                                  for c in ("inertia", silhouette, "calinski_harabasz", "davies_bouldin")])
+    out = clean.withColumn("consensus", (scaled("inertia", True) + scaled(silhouette, False) +
                                          scaled("calinski_harabasz", False) +
                                          scaled("davies_bouldin", True)) / 4.0)
     first_max = F.row_number().over(Window.orderBy(F.desc_nulls_last("consensus"), "k"))
@@ -110,20 +111,28 @@ def select_k(metrics: DataFrame) -> DataFrame:
 def search_k(feats: DataFrame, k_min: int = dims.K_MIN, k_max: int = dims.K_MAX,
              restarts: int = SEARCH_WORK[0], max_iter: int = SEARCH_WORK[1], tol: float = SEARCH_WORK[2], seed: int = 42, force_k: int | None = None,
              cols=SCALED) -> tuple[int, DataFrame | None]:
-    """Choose k by the four-metric consensus, or take ``force_k``."""
+    """Choose k by the four-metric consensus, or take ``force_k``. All fits share their passes, all
+    silhouettes (Euclidean) their distances."""
     if force_k:
         return int(force_k), None
-    def one(k: int):
-        fit = fit_kmeans(feats, k, restarts, max_iter, tol, seed, parallelism=1)
-        q = quality_metrics(predict(fit.model, feats), list(cols))
-        return (k, fit.cost, q[SILHOUETTE], q["calinski_harabasz"], q["davies_bouldin"])
-
     ks = list(range(k_min, k_max + 1))
-    with ThreadPoolExecutor(max_workers=len(ks)) as pool:
-        rows = list(pool.map(one, ks))
+    fits = best_fits(feats, list(cols), ks, restarts, max_iter, tol, seed)
+    marked = feats.select(*cols)
+    for k in ks:
+        marked = assign_clusters(marked, list(cols), fits[k].points.tolist(), f"k{k}")
+
+    def one(k: int):
+        q = quality_metrics(marked.select(*cols, F.col(f"k{k}").alias("Cluster")), list(cols))
+        return q["calinski_harabasz"], q["davies_bouldin"]
+    with ThreadPoolExecutor(max_workers=len(ks) + 1) as pool:
+        points = pool.submit(clustering_points, marked, list(cols), [f"k{k}" for k in ks])
+        scores = list(pool.map(one, ks))
+        points = points.result()
+    means = points.agg(F.sum("n").alias("n"), *[F.sum(F.get("silhouettes", F.lit(i)) * F.col("n")).alias(f"k{k}") for i, k in enumerate(ks)]).first()
+    rows = [(k, fits[k].cost, means[f"k{k}"] / means["n"], *s) for k, s in zip(ks, scores)]
     metrics = feats.sparkSession.createDataFrame(
-        rows, f"k INT, inertia DOUBLE, {SILHOUETTE} DOUBLE, calinski_harabasz DOUBLE, davies_bouldin DOUBLE")
-    table = select_k(metrics)
+        rows, f"k INT, inertia DOUBLE, {EUCLIDEAN} DOUBLE, calinski_harabasz DOUBLE, davies_bouldin DOUBLE")
+    table = select_k(metrics, EUCLIDEAN)
     best = table.where("best").select("k").first()["k"]
     return int(best), table
 

@@ -12,7 +12,8 @@ all sets that haven't converged to every block and adds up, for each centre, the
   draw doesn't depend on partitions or order; of a few such draws the one that leaves the least cost is taken. The sets of one restart
   share their first centres: k of a restart's are the first of those for a larger k.
 
-A task returns one row of sums, whose size follows the centres, not the rows.
+A task returns one row of sums, whose size follows the centres, not the rows. Up to ``HELD`` points, a job for each pass costs more than
+its work: then every task holds the points and runs the same passes over them for its share of the restarts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 256                # points of a block
-POINTS_PER_TASK = 1 << 14
+POINTS_PER_TASK = 1 << 16  # at most; few points are spread over the session's cores, ``LEAST`` in a task
+LEAST = 1 << 10
+HELD = 1 << 16             # points that a task holds as a whole (2 MB for three features)
 DIRECT = 64                # tasks whose sums the driver adds itself; those of more are added by an aggregate first
 _U = np.uint64
 
@@ -47,7 +50,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def pack(df: DataFrame, cols: list[str]) -> DataFrame:
+Block = tuple[np.ndarray, np.ndarray]          # (points, d) features and (points,) weights
+
+
+class Spread:
+    """Blocks as a table: every pass is a job."""
+
+    def __init__(self, rows: DataFrame, tasks: int, points: int, d: int):
+        self.rows, self.tasks, self.points, self.d = rows, tasks, points, d
+
+    def add(self, total: Callable[[Iterator[Block]], np.ndarray]) -> np.ndarray:
+        """Sum over the tasks of the array that ``total`` makes of a task's blocks."""
+        d = self.d
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.record_batch([pa.array([total(_blocks(batches, d))], pa.list_(pa.float64()))], ["v"])
+        parts = self.rows.mapInArrow(run, "v array<double>")
+        if self.tasks <= DIRECT:
+            return np.sum([r[0] for r in parts.collect()], axis=0)
+        rows = parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros(len(rows))
+        for r in rows:
+            out[r["i"]] = r["v"]
+        return out
+
+    def least(self, draw: Callable[[Iterator[Block]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, points): the least key of each draw over the tasks, and its point."""
+        d = self.d
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, point = draw(_blocks(batches, d))
+            yield pa.record_batch([pa.array([key.ravel()], pa.list_(pa.float64())), pa.array([point.ravel()], pa.list_(pa.float64()))], ["key", "point"])
+        parts = self.rows.mapInArrow(run, "key array<double>, point array<double>")
+        pairs = F.transform("key", lambda v, i: F.struct(v.alias("key"), F.slice("point", i * d + 1, d).alias("point")))
+        best = parts.select(F.posexplode(pairs).alias("i", "v")).groupBy("i").agg(F.min("v").alias("v")).select("i", "v.key", "v.point").collect()
+        best.sort(key=lambda r: r["i"])
+        return np.array([r["key"] for r in best]), np.array([r["point"] for r in best])
+
+
+class Held:
+    """Blocks in a task's memory: every pass is a loop."""
+
+    def __init__(self, blocks: list[Block]):
+        self.blocks, self.d = blocks, blocks[0][0].shape[1]
+
+    def add(self, total: Callable[[Iterator[Block]], np.ndarray]) -> np.ndarray:
+        return total(iter(self.blocks))
+
+    def least(self, draw: Callable[[Iterator[Block]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, point = draw(iter(self.blocks))
+        return key.ravel(), point.reshape(-1, self.d)
+
+
+def pack(df: DataFrame, cols: list[str]) -> Spread:
     """Blocks of up to ``BLOCK`` distinct points that lie close together: x (their features, point by point), w (rows of
     each). Cached; rows with a null or NaN feature are left out."""
     d = len(cols)
@@ -60,6 +115,7 @@ def pack(df: DataFrame, cols: list[str]) -> DataFrame:
     width = [(box[f"hi{f}"] - box[f"lo{f}"]) / cells or 1.0 for f in fs] if n else [1.0] * d
     cell = [F.least(F.floor((F.col(f) - box[f"lo{f}"]) / w), F.lit(cells - 1)).alias(f"k{f}") for f, w in zip(fs, width)] if n else []
     keys = [f"k{f}" for f in fs] if n else []
+    tasks = max(1, -(-n // POINTS_PER_TASK), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,30 +125,16 @@ def pack(df: DataFrame, cols: list[str]) -> DataFrame:
             yield pa.record_batch([pa.array([x[i:i + BLOCK].ravel() for i in cuts], pa.list_(pa.float64())),
                                    pa.array([w[i:i + BLOCK] for i in cuts], pa.list_(pa.float64()))], ["x", "w"])
     if n:
-        points = points.select(*fs, "w", *cell).repartitionByRange(max(1, -(-n // POINTS_PER_TASK)), *keys).sortWithinPartitions(*keys, *fs)
-    return points.select(*fs, "w").mapInArrow(run, "x array<double>, w array<double>").cache()
+        points = points.select(*fs, "w", *cell).repartitionByRange(tasks, *keys).sortWithinPartitions(*keys, *fs)
+    return Spread(points.select(*fs, "w").mapInArrow(run, "x array<double>, w array<double>").cache(), tasks, n, d)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[Block]:
     for batch in batches:
         for x, w in zip(batch.column(0), batch.column(1)):
             yield x.values.to_numpy().reshape(-1, d), w.values.to_numpy()
 
 
-def _added(blocks: DataFrame, total: Callable) -> np.ndarray:
-    """Sum over the tasks of the array that ``total`` (iterator of batches) gives."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.record_batch([pa.array([total(batches)], pa.list_(pa.float64()))], ["v"])
-    parts = blocks.mapInArrow(run, "v array<double>")
-    if blocks.rdd.getNumPartitions() <= DIRECT:
-        return np.sum([r[0] for r in parts.collect()], axis=0)
-    rows = parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r["i"]] = r["v"]
-    return out
-
-
 def _step(x: np.ndarray, w: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """(sets, k, 2 + d): weight, cost and weighted sums of a block's points by nearest centre, for ``sets`` (sets, k, d)."""
     s, k, d = sets.shape
@@ -131,21 +173,21 @@ def _step(x: np.ndarray, w: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pass(blocks: DataFrame, sets: list[np.ndarray]) -> list[np.ndarray]:
+def _pass(data: Spread | Held, sets: list[np.ndarray]) -> list[np.ndarray]:
     """For each set (k, d) its (k, 2 + d) weights, costs and sums."""
-    d = sets[0].shape[1]
+    d = data.d
     groups: dict[int, list[int]] = {}
     for i, c in enumerate(sets):
         groups.setdefault(len(c), []).append(i)
     stacked = {k: np.stack([sets[i] for i in of]) for k, of in groups.items()}
 
-    def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    def total(blocks: Iterator[Block]) -> np.ndarray:
         sums = {k: np.zeros((*c.shape[:2], 2 + d)) for k, c in stacked.items()}
-        for x, w in _blocks(batches, d):
+        for x, w in blocks:
             for k, c in stacked.items():
                 sums[k] += _step(x, w, c)
         return np.concatenate([v.ravel() for v in sums.values()])
-    flat, at = _added(blocks, total), 0
+    flat, at = data.add(total), 0
     out: list[np.ndarray] = [np.zeros(0)] * len(sets)
     for k, of in groups.items():
         for i in of:
@@ -154,71 +196,73 @@ def _pass(blocks: DataFrame, sets: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def seeds(blocks: DataFrame, d: int, k: int, restarts: list[int]) -> list[np.ndarray]:
-    """Greedy k-means++ centres (k, d) for each restart's seed, from two passes for each centre. Fewer distinct points than
-    ``k`` repeat as centres."""
-    draws = 2 + int(math.log(k))
-    chosen: list[np.ndarray] = [np.zeros((0, d)) for _ in restarts]
+def _squares(x: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """(points, sets, centres): squared distances, each from its difference, so that a centre's own is 0."""
+    out = np.zeros((len(x), *sets.shape[:2]))
+    for i in range(x.shape[1]):
+        out += (x[:, i, None, None] - sets[:, :, i]) ** 2
+    return out
 
-    def salt(turn: int) -> np.ndarray:
-        at = np.array(restarts, np.int64).astype(_U)[:, None] * _U(1 << 20) + np.arange(turn * draws, turn * draws + draws).astype(_U)
-        return _mix(at * _U(0x9E3779B97F4A7C15) + _U(1))
 
+def _least(x: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """(points, sets): least squared distance to a set's centres, 1 without any."""
+    return _squares(x, sets).min(axis=2) if sets.shape[1] else np.ones((len(x), len(sets)))
+
+
+def seeds(data: Spread | Held, k: int, restarts: list[int]) -> list[np.ndarray]:
+    """Greedy k-means++ centres (k, d) for each restart's seed, from two passes for each centre. Fewer distinct points than
+    ``k`` repeat as centres."""
+    d, draws = data.d, 2 + int(math.log(k))
+    chosen = np.zeros((len(restarts), 0, d))
     for turn in range(k):
-        salts, now = salt(turn), [c.copy() for c in chosen]
+        at = np.array(restarts, np.int64).astype(_U)[:, None] * _U(1 << 20) + np.arange(turn * draws, turn * draws + draws).astype(_U)
+        salts, now = _mix(at * _U(0x9E3779B97F4A7C15) + _U(1)), chosen
 
-        def least(batches: Iterator[pa.RecordBatch], salts=salts, now=now) -> Iterator[pa.RecordBatch]:
+        def draw(blocks: Iterator[Block], salts=salts, now=now) -> tuple[np.ndarray, np.ndarray]:
             key = np.full(salts.shape, np.inf)
             point = np.zeros((*salts.shape, d))
-            for x, w in _blocks(batches, d):
+            for x, w in blocks:
                 bits = np.ascontiguousarray(x).view(_U)
                 own = np.zeros(len(x), _U)
                 for i in range(d):
                     own = _mix(own * _U(0x9E3779B97F4A7C15) + bits[:, i] + _U(1))
-                for r, c in enumerate(now):
-                    weight = w * (((x[:, None] - c) ** 2).sum(axis=2).min(axis=1) if len(c) else 1.0)
-                    u = ((_mix(own[:, None] ^ salts[r]) >> _U(11)).astype(float) + 0.5) / 2.0 ** 53
-                    with np.errstate(divide="ignore"):
-                        keys = -np.log(u) / weight[:, None]
-                    at = keys.argmin(axis=0)
-                    best = keys[at, np.arange(draws)]
-                    better = best < key[r]
-                    key[r][better] = best[better]
-                    point[r][better] = x[at[better]]
-            yield pa.record_batch([pa.array([key.ravel()], pa.list_(pa.float64())), pa.array([point.ravel()], pa.list_(pa.float64()))], ["key", "point"])
-        # least key and its point for each draw; a task sends restarts * draws of them
-        parts = blocks.mapInArrow(least, "key array<double>, point array<double>")
-        pairs = F.transform("key", lambda v, i: F.struct(v.alias("key"), F.slice("point", i * d + 1, d).alias("point")))
-        best = (parts.select(F.posexplode(pairs).alias("i", "v")).groupBy("i").agg(F.min("v").alias("v")).select("i", "v.key", "v.point").collect())
-        found = np.zeros((len(restarts) * draws, d))
-        for r in best:             # a key without a bound: every point is a centre already
-            found[r["i"]] = r["point"] if r["key"] < np.inf else now[r["i"] // draws][0]
-        found = found.reshape(len(restarts), draws, d)
-
-        def left(batches: Iterator[pa.RecordBatch], found=found, now=now) -> np.ndarray:
-            cost = np.zeros((len(now), draws))
-            for x, w in _blocks(batches, d):
-                for r, c in enumerate(now):
-                    far = ((x[:, None] - found[r]) ** 2).sum(axis=2)
-                    if len(c):
-                        far = np.minimum(far, ((x[:, None] - c) ** 2).sum(axis=2).min(axis=1)[:, None])
-                    cost[r] += w @ far
+                weight = w[:, None] * _least(x, now)
+                u = ((_mix(own[:, None, None] ^ salts) >> _U(11)).astype(float) + 0.5) / 2.0 ** 53
+                with np.errstate(divide="ignore"):
+                    keys = -np.log(u) / weight[:, :, None]
+                first = keys.argmin(axis=0)
+                best = np.take_along_axis(keys, first[None], axis=0)[0]
+                better = best < key
+                key[better] = best[better]
+                point[better] = x[first[better]]
+            return key, point
+        key, point = data.least(draw)
+        key, found = key.reshape(salts.shape), point.reshape(*salts.shape, d)
+        if turn:                   # a key without a bound: every point is a centre already
+            found = np.where(np.isfinite(key)[:, :, None], found, now[:, :1])
+
+        def left(blocks: Iterator[Block], found=found, now=now) -> np.ndarray:
+            cost = np.zeros(found.shape[:2])
+            for x, w in blocks:
+                far = _squares(x, found)
+                if now.shape[1]:
+                    far = np.minimum(far, _least(x, now)[:, :, None])
+                cost += np.tensordot(w, far, axes=1)
             return cost.ravel()
-        cost = _added(blocks, left).reshape(len(restarts), draws)
         # sums of parts in another order differ in their last digits
-        which = np.array([[float(f"{v:.10g}") for v in row] for row in cost]).argmin(axis=1)
-        chosen = [np.vstack([c, found[r, which[r]]]) for r, c in enumerate(chosen)]
-    return chosen
+        cost = np.array([float(f"{v:.10g}") for v in data.add(left)]).reshape(salts.shape)
+        chosen = np.concatenate([now, np.take_along_axis(found, cost.argmin(axis=1)[:, None, None], axis=1)], axis=1)
+    return list(chosen)
 
 
-def fit_all(blocks: DataFrame, starts: list[np.ndarray], max_iter: int, tol: float) -> list[Centres]:
+def fit_all(data: Spread | Held, starts: list[np.ndarray], max_iter: int, tol: float) -> list[Centres]:
     """Lloyd's iterations from each start, all in the same passes. A centre without points stays where it is. The seed of a
     result is its place in ``starts``."""
     centres = [s.copy() for s in starts]
     steps = [0] * len(starts)
     live = list(range(len(starts)))
     while live:
-        sums = _pass(blocks, [centres[i] for i in live])
+        sums = _pass(data, [centres[i] for i in live])
         going = []
         for i, v in zip(live, sums):
             new = np.where(v[:, :1] > 0, v[:, 2:] / np.maximum(v[:, :1], 1e-300), centres[i])
@@ -228,23 +272,46 @@ def fit_all(blocks: DataFrame, starts: list[np.ndarray], max_iter: int, tol: flo
             if moved > tol and steps[i] < max_iter:
                 going.append(i)
         live = going
-    costs = [float(v[:, 1].sum()) for v in _pass(blocks, centres)] if centres else []
+    costs = [float(v[:, 1].sum()) for v in _pass(data, centres)] if centres else []
     return [Centres(c, cost, i, n) for i, (c, cost, n) in enumerate(zip(centres, costs, steps))]
 
 
+def _fits(data: Spread | Held, ks: list[int], restarts: list[int], max_iter: int, tol: float) -> list[tuple[int, Centres]]:
+    """(k, fit) for each k and restart."""
+    chains = seeds(data, max(ks), restarts)
+    fits = fit_all(data, [c[:k] for k in ks for c in chains], max_iter, tol)
+    which = [(k, s) for k in ks for s in restarts]
+    return [(k, Centres(f.points, f.cost, s, f.iterations)) for (k, s), f in zip(which, fits)]
+
+
+def _held_fits(data: Spread, ks: list[int], restarts: list[int], max_iter: int, tol: float) -> list[tuple[int, Centres]]:
+    """``_fits`` of points that every task can hold (``HELD`` at most, checked by the caller): the restarts are dealt to the tasks instead of
+    the points, which saves a job for each pass."""
+    spark = data.rows.sparkSession
+    blocks = [(np.array(r["x"]).reshape(-1, data.d), np.array(r["w"])) for r in data.rows.collect()]
+    points = spark.sparkContext.broadcast(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = [s for b in batches for s in b.column(0).to_pylist()]
+        if mine:
+            got = _fits(Held(points.value), ks, mine, max_iter, tol)
+            yield pa.RecordBatch.from_pylist([{"k": k, "points": f.points.ravel(), "cost": f.cost, "seed": f.seed, "iterations": f.iterations}
+                                              for k, f in got], schema)
+    schema = pa.schema([("k", pa.int64()), ("points", pa.list_(pa.float64())), ("cost", pa.float64()), ("seed", pa.int64()), ("iterations", pa.int64())])
+    tasks = min(len(restarts), spark.sparkContext.defaultParallelism)
+    dealt = spark.range(0, len(restarts), 1, tasks).select((F.col("id") + restarts[0]).alias("seed"))
+    rows = dealt.mapInArrow(run, "k long, points array<double>, cost double, seed long, iterations long").collect()
+    return [(r["k"], Centres(np.array(r["points"]).reshape(-1, data.d), r["cost"], r["seed"], r["iterations"])) for r in rows]
+
+
 def best_fits(df: DataFrame, cols: list[str], ks: list[int], restarts: int, max_iter: int, tol: float, seed: int) -> dict[int, Centres]:
     """M6 for each k of ``ks``: the fit of least cost of ``restarts`` (ties: the first seed). An empty table has no fit."""
-    blocks = pack(df, cols)
+    data = pack(df, cols)
     try:
-        if blocks.isEmpty():
+        if not data.points:
             raise ValueError("no rows to cluster")
         each = [seed + r for r in range(max(1, restarts))]
-        chains = seeds(blocks, len(cols), max(ks), each)
-        fits = fit_all(blocks, [c[:k] for k in ks for c in chains], max_iter, tol)
+        fits = (_held_fits if data.points <= HELD else _fits)(data, ks, each, max_iter, tol)
     finally:
-        blocks.unpersist()
-    out = {}
-    for j, k in enumerate(ks):
-        mine = [Centres(f.points, f.cost, s, f.iterations) for f, s in zip(fits[j * len(each):(j + 1) * len(each)], each)]
-        out[k] = min(mine, key=lambda f: (float(f"{f.cost:.12g}"), f.seed))
-    return out
+        data.rows.unpersist()
+    return {k: min((f for j, f in fits if j == k), key=lambda f: (float(f"{f.cost:.12g}"), f.seed)) for k in ks}

@@ -55,7 +55,7 @@ def q_k_search(spark, sf):
     feats = model_rows(fit_transform(B.rfm(spark, sf))[0])
     best, table = search_k(feats)
     feats.unpersist()
-    metrics = ("inertia", "silhouette_sq_euclidean", "calinski_harabasz", "davies_bouldin")
+    metrics = ("inertia", "silhouette_euclidean", "calinski_harabasz", "davies_bouldin")
     finite = F.lit(True)
     for m in metrics:
         finite = finite & F.col(m).isNotNull() & ~F.isnan(m)

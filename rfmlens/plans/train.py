@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 
 from rfmlens import dims
 from rfmlens.operators.clean import clean_transactions
-from rfmlens.operators.cluster import (FINAL_WORK, SCALED, SEARCH_WORK, assemble, explained_variance, fit_kmeans,
-                                       fit_pca, model_rows, pca_coordinates, predict, search_k)
+from rfmlens.operators.cluster import (FINAL_WORK, SCALED, SEARCH_WORK, Centers, assemble, explained_variance, fit_pca, model_rows,
+                                       pca_coordinates, predict, search_k)
 from rfmlens.operators.insights import cluster_quality, cluster_warnings
 from rfmlens.operators.labels import apply_labels, assign_segment_labels
+from rfmlens.operators.lloyd import best_fits
 from rfmlens.operators.quality import SILHOUETTE, fit_verdict, quality_metrics
 from rfmlens.operators.ranks import feature_ranks
 from rfmlens.operators.rfm import compute_rfm, describe_features
@@ -90,9 +91,10 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
 
     best_k, k_table = search_k(feats, k_min, k_max, search_restarts, search_max_iter, search_tol,
                                seed, force_k=k)
-    fit = fit_kmeans(feats, best_k, final_restarts, final_max_iter, final_tol, seed)
-    pred = predict(fit.model, feats)
-    scored = add_rfm_scores(predict(fit.model, assemble(scaled)), ranks=ranks).cache()
+    fit = best_fits(feats, SCALED, [best_k], final_restarts, final_max_iter, final_tol, seed)[best_k]
+    centers = Centers(fit.points.tolist())
+    pred = predict(centers, feats)
+    scored = add_rfm_scores(predict(centers, assemble(scaled)), ranks=ranks).cache()
     scored_cache = scored
     # independent pieces: submitted together so their jobs overlap
     with ThreadPoolExecutor(max_workers=4) as pool:
@@ -119,7 +121,7 @@ def train(df: DataFrame, k: int | None = None, currency: str = "USD", clean: boo
         "pca_variance": explained_variance(pca), "n_customers": qmodel.n, "n_iter": fit.iterations,
         "fit_verdict": fit_verdict(metrics[EUCLIDEAN], dims.SIL_WARN, dims.SIL_GOOD),
     }
-    model = SegmentModel(fit.model, qmodel, cmap_rows, meta, (scaler, pca, signs))
+    model = SegmentModel(centers, qmodel, cmap_rows, meta, (scaler, pca, signs))
     quality = cluster_quality(euclidean_rows(scored, SCALED, points=points), EUCLIDEAN)
     report = {"describe": describe_features(rfm), "caps": cap_report(rfm, qmodel.caps),
               "quality": quality, "warnings": cluster_warnings(quality, dims.LOW_SIL)}
