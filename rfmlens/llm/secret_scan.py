@@ -7,16 +7,19 @@ the whole match, in code points, end exclusive.
 
 The method learns what such values look like. The strings found by the base
 patterns are labelled credentials (an assignment's value, else the match). A candidate
-is another run of ``MIN_RUN`` or more credential characters; shorter runs, of
-``MIN_WORD`` or more, are labelled ordinary, so what is judged doesn't define it. For each
+is another run of ``MIN_RUN`` or more credential characters with ``MIN_VALUE`` or more in a row, a letter among them, that
+no dash, dot or underscore parts: dates, versions, phone numbers, host names and rules of dashes are none. Labelled
+ordinary are shorter runs, of ``MIN_WORD`` or more, other runs of ``MIN_RUN`` or more, and candidates found in ``MANY`` or more documents, so what
+is judged doesn't define it. For each
 label a prefix tree of at most ``SAMPLE`` distinct strings (those with the least hashes among all
 documents') is folded into an automaton: two states merge if their frequencies of
 ending and of each next character class agree within Hoeffding's bound, all the way down.
 Every candidate is then scored by the mean log-likelihood ratio of a credential's automaton
-against the ordinary one. Bars come from scores by automata of the half of the sample that a
+against the ordinary one, its end included. Each state's probabilities are mixed with a share ``PRIOR`` of one distribution that all automata
+have in common, so what neither automaton knows counts 0. Bars come from scores by automata of the half of the sample that a
 string is not in: a format accepts scores above the middle between its own lowest percentile
 and the ordinary strings' highest percentile; where these overlap, scores above all
-ordinary strings'. The candidates that this rejects (of ``SAMPLE``) join the ordinary
+ordinary strings'. No bar is below ``MARGIN``, and a run must not be shorter than half of a format's shortest string or longer than twice its longest. The candidates that this rejects (of ``SAMPLE``) join the ordinary
 strings, and automata and bars are made once more, so that long ordinary runs are known too.
 Accepted candidates are added as ``inferred``, and so are accepted runs that meet a base
 span but aren't covered by it (they are judged whole, and not learned from).
@@ -37,7 +40,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rfmlens.llm.common import map_batches, table
 
@@ -51,11 +54,15 @@ MIN_RUN = 16            # characters of a candidate
 MIN_WORD = 4            # characters of a shorter run that is learned from
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
 WORD = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_WORD)
+#: Enough characters in a row, not parted by a dash, dot or underscore, with a letter among them.
+DENSE = re.compile(r"(?<![A-Za-z0-9+/=])(?=[0-9+/=]*+[A-Za-z])[A-Za-z0-9+/=]{%d}" % MIN_VALUE)
 LABELS = (*KINDS[:3], "ordinary", "candidate")
 SAMPLE = 500            # distinct labelled strings for each automaton at most
 LONGEST = 256           # longer strings aren't learned from (they are scored)
+MANY = 3                # documents that make a run ordinary
 ALPHA = 0.01            # 1 - confidence of Hoeffding's bound
-FLOOR = 0.05            # count that every unseen character class is given
+MARGIN = 0.05           # least mean log-likelihood ratio of a character
+PRIOR = 0.05            # share of the distribution that all states have in common
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -70,24 +77,35 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def other_runs(text: str, base: list) -> list[tuple[int, int]]:
-    """Runs of credential characters that meet no base span."""
-    return [(m.start(), m.end()) for m in RUN.finditer(text)
-            if not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+def _apart(runs: Iterator[re.Match], base: list) -> Iterator[re.Match]:
+    """Runs that meet no base span; both are in order of their starts."""
+    i, reach = 0, -1                # spans that start before the run's end reach up to here
+    for m in runs:
+        while i < len(base) and base[i][0] < m.end():
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach <= m.start():
+            yield m
 
 
 def open_runs(text: str, base: list) -> list[tuple[int, int]]:
-    """Runs of credential characters that no base span covers whole."""
-    return [(m.start(), m.end()) for m in RUN.finditer(text)
-            if not any(a <= m.start() and m.end() <= b for a, _, b, _ in base)]
+    """Candidates that no base span covers whole."""
+    out, i, reach = [], 0, -1       # spans that start no later than the run reach up to here
+    for m in RUN.finditer(text):
+        while i < len(base) and base[i][0] <= m.start():
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach < m.end() and DENSE.search(m[0]):
+            out.append((m.start(), m.end()))
+    return out
 
 
-def words(text: str, base: list) -> list[str]:
-    """Runs of credential characters that are too short for a candidate and meet no base span."""
-    if not base:
-        return [w for w in set(WORD.findall(text)) if len(w) < MIN_RUN]
-    return [m[0] for m in WORD.finditer(text) if len(m[0]) < MIN_RUN
-            and not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+def labelled_runs(text: str, base: list) -> tuple[set[str], set[str]]:
+    """(candidates, ordinary runs) that meet no base span."""
+    candidates, ordinary = set(), set()
+    for m in _apart(WORD.finditer(text), base):
+        (candidates if len(m[0]) >= MIN_RUN and DENSE.search(m[0]) else ordinary).add(m[0])
+    return candidates, ordinary
 
 
 def symbols(s: str) -> str:
@@ -111,9 +129,13 @@ class Automaton:
         for s in strings:
             self._add(symbols(s))
         self._fold()
-        self.cost = [{c: -math.log((self.taken[q][c] + FLOOR) / (self.n[q] + FLOOR * (CLASSES + 1))) for c in self.to[q]}
-                     for q in range(len(self.n))]
-        self.unseen = [-math.log(FLOOR / (k + FLOOR * (CLASSES + 1))) for k in self.n]
+        self.longest, self.shortest = (max(map(len, strings)), min(map(len, strings))) if strings else (0, 0)
+
+        def cost(times: int, q: int) -> float:
+            return -math.log((1 - PRIOR) * times / (self.n[q] + 1) + PRIOR / (CLASSES + 1))
+        self.cost = [{c: cost(self.taken[q][c], q) for c in self.to[q]} for q in range(len(self.n))]
+        self.end = [cost(self.ends[q], q) for q in range(len(self.n))]
+        self.unseen = -math.log(PRIOR / (CLASSES + 1))
 
     def _add(self, s: str) -> None:
         q = 0
@@ -176,16 +198,17 @@ class Automaton:
                 red.append(blue)
 
     def mean_cost(self, s: str) -> float:
-        """Mean negative log-likelihood of a string's character classes. A class
-        unseen in a state leads to the start."""
-        q, total = 0, 0.0
+        """Mean negative log-likelihood of a string's character classes and its end. A class
+        unseen in a state leads to the start, and so says nothing about the end."""
+        q, total, end = 0, 0.0, self.end[0]
         for c in s:
             step = self.cost[q].get(c)
             if step is None:
-                total, q = total + self.unseen[q], 0
+                total, q, end = total + self.unseen, 0, self.unseen
             else:
                 total, q = total + step, self.to[q][c]
-        return total / max(1, len(s))
+                end = self.end[q]
+        return (total + end) / (len(s) + 1)
 
 
 class Formats:
@@ -209,11 +232,12 @@ class Formats:
             own = sorted(_ratio(self.ordinary, half, symbols(s)) for half, held in _halves(strings, made) for s in held)
             other = sorted(_ratio(half, made, symbols(s)) for half, held in halves for s in held) or [0.0]
             low, high = own[len(own) // 100], other[-1 - len(other) // 100]
-            self.kinds.append((made, (low + high) / 2 if low > high else other[-1]))
+            self.kinds.append((made, max(MARGIN, (low + high) / 2 if low > high else other[-1])))
 
     def accepts(self, run: str) -> bool:
         s = symbols(run)
-        return any(_ratio(self.ordinary, made, s) > bar for made, bar in self.kinds)
+        return any(made.shortest <= 2 * len(s) and len(s) <= 2 * made.longest and _ratio(self.ordinary, made, s) > bar
+                   for made, bar in self.kinds)
 
 
 def _ratio(ordinary: Automaton, made: Automaton, s: str) -> float:
@@ -242,30 +266,41 @@ def _order(s: str) -> int:
 def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Formats:
     """Automata from the labelled strings of all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[str, list[tuple[int, str]]] = {k: [] for k in LABELS}
+        # the documents of each string kept; one that gives way to others never comes back, so the counts are whole
+        least: dict[str, dict[tuple[int, str], int]] = {k: {} for k in LABELS}
         for batch in batches:
-            found: dict[str, set[str]] = {k: set() for k in LABELS}
+            found: dict[str, dict[str, int]] = {k: {} for k in LABELS}
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
-                    for _, k, _, value in base:
-                        found[KINDS[k]].add(value)
-                    found["candidate"].update(text[a:b] for a, b in other_runs(text, base))
-                    found["ordinary"].update(words(text, base))
+                    candidates, ordinary = labelled_runs(text, base)
+                    for k, strings in (("candidate", candidates), ("ordinary", ordinary), *((KINDS[k], (value,)) for _, k, _, value in base)):
+                        of = found[k]
+                        for s in strings:
+                            of[s] = of.get(s, 0) + 1
             for k, strings in found.items():
-                new = {(_order(s), s) for s in strings if len(s) <= LONGEST}
-                least[k] = sorted(new.union(least[k]))[:sample]
-        rows = [(k, h, s) for k, strings in least.items() for h, s in strings]
+                new = least[k]
+                for s, n in strings.items():
+                    if len(s) <= LONGEST:
+                        at = _order(s), s
+                        new[at] = new.get(at, 0) + n
+                least[k] = {at: new[at] for at in sorted(new)[:sample]}
+        rows = [(k, h, s, n) for k, strings in least.items() for (h, s), n in strings.items()]
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in
-                               enumerate((pa.string(), pa.int64(), pa.string()))], ["kind", "h", "value"])
-    strings = (map_batches(docs.select(docs[text_col].alias("text")), run, "kind string, h long, value string")
-               .groupBy("kind", "h", "value").agg(F.count(F.lit(1)).alias("n")))
-    strings = strings.persist()
-    try:
-        return Formats({k: [r["value"] for r in strings.where(F.col("kind") == k).orderBy("h", "value").limit(sample).collect()]
-                        for k in LABELS})
-    finally:
-        strings.unpersist()
+                               enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], ["kind", "h", "value", "n"])
+    strings = (map_batches(docs.select(docs[text_col].alias("text")), run, "kind string, h long, value string, n long")
+               .groupBy("kind", "h", "value").agg(F.sum("n").alias("n")))
+
+    def first(v: str) -> Column:
+        return F.slice(F.sort_array(F.collect_list(v)), 1, sample)
+    # the least of each part, then of all
+    parts = (strings.select("kind", F.pmod("h", F.lit(64)).alias("part"), F.struct("h", "value", "n").alias("v"))
+             .groupBy("kind", "part").agg(first("v").alias("v")).select("kind", F.explode("v").alias("v")))
+    kept = {r["kind"]: r["v"] for r in parts.groupBy("kind").agg(first("v").alias("v")).collect()}
+    labelled = {k: [x["value"] for x in kept.get(k, [])] for k in KINDS[:3]}
+    often = [x["value"] for x in kept.get("candidate", []) if x["n"] >= MANY]
+    return Formats({**labelled, "ordinary": [x["value"] for x in kept.get("ordinary", [])] + often,
+                    "candidate": [x["value"] for x in kept.get("candidate", []) if x["n"] < MANY]})
 
 
 def _joined(spans: list) -> str:

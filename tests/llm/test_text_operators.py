@@ -160,6 +160,46 @@ def test_secrets_without_a_name_are_found(spark, keys, runs):
     assert sum(spans[5000 + i] != "" for i in range(len(plain))) <= 0.01 * len(plain)
 
 
+def test_dates_versions_numbers_and_rules_are_no_secrets(spark):
+    """Next to credentials of several formats that are learned, and unnamed ones that are found."""
+    prose = "the quick brown fox jumps over lazy dogs while ordinary readers consider several sentences".split()
+    upper = [hashlib.md5(str(i).encode()).hexdigest().upper()[:20] for i in range(60)]
+    rows = [(i, f"{' '.join(prose[i % 9:])} token = {_key(i)} and password: {upper[i]} end") for i in range(60)]
+    rows += [(100 + i, f"build {hashlib.sha1(str(i).encode()).hexdigest()} of words") for i in range(40)]
+    rows += [(200 + i, f"some words {_key(900 + i)} more") for i in range(40)]
+    plain = ["=" * 30, "-" * 40, "_" * 20, "-=" * 12, "2024-01-01-2024-02-02", "2024-01-01T10.30.00-2024-02-02", "+49-151-2345-6789-0123", "1.2.3-beta.4-rc.12-build.567",
+             "v10.20.30-alpha.1.20240101", "192.168.100.200-10.0.0.1", "0000000-0000000-0000000", "0.00000000000000", "1+1=2+2=4+4=8+8=16", "A" * 1000 + "F" * 9,
+             "mail2.example.com-and-www.example.org", "/usr/local/lib/x/y/z", "a-b-c-d-e-f-g-h-i-j-k", "++++++++++++++++++++"]
+    rows += [(1000 + i, f"see {p} for words") for i, p in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    formats = secret_scan.learn(docs)
+    assert all(bar > 0 for _, bar in formats.kinds)
+    spans = {r.id: r.spans for r in secret_scan.scan(docs, formats).collect()}
+    assert [p for i, p in enumerate(plain) if spans[1000 + i]] == []
+    assert sum(spans[200 + i] == "inferred:11:35" for i in range(40)) >= 38
+    assert all(r.text == dict(rows)[r.doc_id] for r in secret_scan.redact(docs, formats).where("doc_id >= 1000").collect())
+
+
+def test_unknown_to_both_automata_counts_nothing():
+    formats = secret_scan.Formats({"assign": [_key(i) for i in range(40)], "ordinary": ["plain", "words", "only"] * 200})
+    made = formats.kinds[0][0]
+    assert abs(secret_scan._ratio(formats.ordinary, made, "=" * 50)) < 0.05
+    assert not formats.accepts("=" * 24)
+
+
+def test_spans_and_runs_are_merged_in_linear_time():
+    import time
+    text = " ".join(f"{hashlib.md5(str(i).encode()).hexdigest()} {_key(i)}" for i in range(10_000))
+    start = time.time()
+    base = secret_scan.base_spans(text)
+    runs = secret_scan.open_runs(text, base)
+    candidates, _ = secret_scan.labelled_runs(text, base)
+    assert time.time() - start < 1.5 and len(base) == 10_000 and len(runs) == len(candidates) == 10_000
+    for m in secret_scan.RUN.finditer(text[:3000]):
+        covered = any(a <= m.start() and m.end() <= b for a, _, b, _ in base)
+        assert ((m.start(), m.end()) in runs) == (not covered) or m.end() == 3000
+
+
 def test_secret_runs_around_a_base_span(spark):
     keys = [f"live-{i * 7919 % 8999 + 1000}{i * 104729 % 8999 + 1000}{i * 1299709 % 89999999 + 10000000}-{_key(i)}" for i in range(200)]
     rows = [(i, f"plain words go here token = '{k}' end") for i, k in enumerate(keys[:150])]
