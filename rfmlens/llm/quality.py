@@ -1,11 +1,11 @@
 """Quality rules as a short-circuit cascade (native).
 
-Every rule is a Spark expression that says whether it rejects a text. The
-cascade estimates each rule's cost and rejection rate on a bounded sample of
-rows, orders the rules by rejection per cost, and evaluates them as one ``CASE``
+Every rule is a Spark expression over measures of a text that says whether it rejects it. The
+cascade estimates each rule's cost and rejection rate on a bounded random sample of
+all rows, orders the rules by rejection per cost, and evaluates them as one ``CASE``
 chain: a text is rejected by the first rule that fires and no later rule runs on
-it. The order changes only the work and the reported rule, never which texts
-are kept. No shuffle, no Python on the executors, one scan.
+it. Where the measures are wanted themselves (``measure``), the chain reads them instead of making them again. The order changes only the work and the reported rule, never which texts
+are kept. No shuffle, no Python on the executors; one scan for the sample, one for the texts.
 
 Defined results: a null or empty text has no words and fails ``too_short``;
 rows are judged one by one, so repeated rows and ids get the same verdict; an
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rfmlens.llm.common import GAP, free_name, let, table, words
+from rfmlens.llm.common import GAP, free_name, keep, let, table, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50        # words inside repeated 3-word windows, % of words
@@ -29,13 +29,23 @@ MAX_SYMBOLS_PER_10 = 1     # symbols per ten words
 MAX_DUP_LINE_PCT = 50      # repeated lines, % of lines that hold a word
 MEAN_WORD = (2, 15)        # code points a word
 SYMBOLS = "#*$%&|<>"
-SAMPLE_ROWS = 1000         # rows that cost and selectivity are estimated on
+SAMPLE_ROWS = 1000         # rows that cost and selectivity are estimated on, about
+
+
+@dataclass(frozen=True)
+class Measures:
+    """Expressions for a text's measures; ``lines`` is a struct<n, dup>."""
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    lines: Column
+    n_repeat_words: Column
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    rejects: Callable[[Column, Column], Column]   # (text, words) -> boolean
+    rejects: Callable[[Measures], Column]
 
 
 def word_chars(w: Column) -> Column:
@@ -50,8 +60,9 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, GAP, "")) != "")
 
 
-def n_dup_lines(text: Column) -> Column:
-    return let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+def lines(text: Column) -> Column:
+    """struct<n, dup>: lines with a word, and those of them that equal an earlier one."""
+    return let(_lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
 
 
 def n_repeat_words(w: Column) -> Column:
@@ -79,53 +90,73 @@ def n_repeat_words(w: Column) -> Column:
 
 #: The two base rules first, then the method's own.
 RULES = (
-    Rule("too_short", lambda t, w: F.size(w) < MIN_WORDS),
-    Rule("repeated_words", lambda t, w: 100 * n_repeat_words(w) > MAX_REPEAT_PCT * F.size(w)),
-    Rule("symbols", lambda t, w: 10 * n_symbols(t) > MAX_SYMBOLS_PER_10 * F.size(w)),
-    Rule("repeated_lines", lambda t, w: let(_lines(t), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x)))
-                                            > MAX_DUP_LINE_PCT * F.size(x))),
-    Rule("word_length", lambda t, w: let(word_chars(w), lambda c: (c < MEAN_WORD[0] * F.size(w))
-                                         | (c > MEAN_WORD[1] * F.size(w)))),
+    Rule("too_short", lambda m: m.n_words < MIN_WORDS),
+    Rule("repeated_words", lambda m: 100 * m.n_repeat_words > MAX_REPEAT_PCT * m.n_words),
+    Rule("symbols", lambda m: 10 * m.n_symbols > MAX_SYMBOLS_PER_10 * m.n_words),
+    Rule("repeated_lines", lambda m: let(m.lines, lambda x: 100 * x["dup"] > MAX_DUP_LINE_PCT * x["n"])),
+    Rule("word_length", lambda m: let(m.word_chars, lambda c: (c < MEAN_WORD[0] * m.n_words) | (c > MEAN_WORD[1] * m.n_words))),
 )
 
 
 def order_rules(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost, measured on ``sample_rows`` rows at most.
+    """Rules by rejection per cost, measured on about ``sample_rows`` random rows.
 
     Each rule runs alone over the sample; only its flags reach the driver. The
     time of a trivial expression over the same rows (the scan) is taken off.
     A rule's rate counts + 1 of + 2 so that no rate is nought.
     """
-    t = F.coalesce(docs[text], F.lit(""))
+    total = docs.count()
+    if total == 0:
+        return list(rules)
+    few = docs.select(docs[text].alias("text"))
+    few = keep(few if total <= sample_rows else few.where(F.rand(10) < sample_rows / total), "sample")
 
     def measure(flag: Column) -> tuple[float, int, int]:
         began = time.perf_counter()
-        got = docs.select(flag.alias("r")).limit(sample_rows).collect()
-        return time.perf_counter() - began, sum(bool(x["r"]) for x in got), len(got)
+        got = few.agg(F.count_if(flag).alias("r"), F.count(F.lit(1)).alias("n")).first()
+        return time.perf_counter() - began, got["r"], got["n"]
 
+    t = F.coalesce(F.col("text"), F.lit(""))
     measure(t == "")                       # opens the files, compiles the scan
-    scan, _, n = measure(t == "")
-    if n == 0:
-        return list(rules)
+    scan, _, _ = measure(t == "")
     scored = []
     for rule in rules:
-        flag = rejected_by(docs[text], [rule]).isNotNull()
+        flag = rejected_by(F.col("text"), [rule]).isNotNull()
         measure(flag)
         seconds, hits, n = measure(flag)
         scored.append(((hits + 1) / (n + 2) / max(seconds - scan, 1e-4), rule))
     return [rule for _, rule in sorted(scored, key=lambda x: -x[0])]
 
 
+def _measures(t: Column, w: Column) -> Measures:
+    return Measures(F.size(w).cast("long"), word_chars(w), n_symbols(t), lines(t), n_repeat_words(w))
+
+
+def _chain(m: Measures, rules) -> Column:
+    out = None
+    for rule in rules:
+        out = F.when(rule.rejects(m), rule.name) if out is None else out.when(rule.rejects(m), rule.name)
+    return out
+
+
 def rejected_by(text: Column, rules) -> Column:
     """Name of the first rule that rejects the text, null if none does."""
     t = F.coalesce(text, F.lit(""))
+    return let(words(t), lambda w: _chain(_measures(t, w), rules))
+
+
+def measure(text: Column, rules) -> Column:
+    """struct of a text's measures and the name of the first rule that rejects it; each measure is made once."""
+    t = F.coalesce(text, F.lit(""))
+    names = ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
 
-    def chain(w: Column) -> Column:
-        out = None
-        for rule in rules:
-            out = F.when(rule.rejects(t, w), rule.name) if out is None else out.when(rule.rejects(t, w), rule.name)
-        return out
-    return let(words(t), chain)
+    def all_of(w: Column) -> Column:
+        m = _measures(t, w)
+        return F.struct(*[getattr(m, n).alias(n) for n in names])
+
+    def judged(m: Column) -> Column:
+        return F.struct(*[m[n].alias(n) for n in names], _chain(Measures(*[m[n] for n in names]), rules).alias("rejected_by"))
+    return let(let(words(t), all_of), judged)
 
 
 def judge(docs: DataFrame, rules=RULES, text: str = "text", out: str = "rejected_by") -> DataFrame:
@@ -141,17 +172,12 @@ def filter_quality(docs: DataFrame, rules=RULES, text: str = "text") -> DataFram
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = judge(docs)
-    t = F.coalesce(F.col("text"), F.lit(""))
-    m = let(words(t), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), word_chars(w).alias("word_chars"),
-        n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"),
-        n_repeat_words(w).alias("n_repeat_words")))
+    m = measure(F.col("text"), order_rules(docs))
     failed = (F.col("m.n_words") < MIN_WORDS) | (
         100 * F.col("m.n_repeat_words") > MAX_REPEAT_PCT * F.col("m.n_words"))
-    return (judged.select("doc_id", m.alias("m"), "rejected_by")
-            .select("doc_id", "m.*", failed.alias("base_failed"),
-                    (~failed & F.col("rejected_by").isNull()).alias("kept")))
+    return (docs.select("doc_id", m.alias("m"))
+            .select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", F.col("m.lines.dup").alias("n_dup_lines"), "m.n_repeat_words",
+                    failed.alias("base_failed"), (~failed & F.col("m.rejected_by").isNull()).alias("kept")))
 
 
 ORACLE = r"""
