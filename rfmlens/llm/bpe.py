@@ -21,7 +21,8 @@ of about ``PIECE`` characters, so memory doesn't follow the longest text; their
 hashed as they come. No shuffle.
 
 Defined results: a null text is empty and has no ids; rows are encoded one by
-one, so repeated rows and ids get equal results; an empty table gives an empty result.
+one, so repeated rows and ids get equal results; an empty table gives an empty result; further columns are ignored,
+whatever their names (``encode_rows`` keeps those it is told to carry).
 """
 
 from __future__ import annotations

@@ -248,9 +248,14 @@ def list_digests(ends: DataFrame) -> DataFrame:
             .mapInArrow(run, "depth long, x1 long, x2 long, ends_sha256 string"))
 
 
+def borrowed_turns(conv_id: Column) -> Column:
+    """How many turns a conversation takes from the first of its family: crc32 of its decimal id, modulo 4."""
+    return F.crc32(conv_id.cast("string").cast("binary")) % 4
+
+
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    nodes, ends = conversation_trie(rows, 20, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4)
+    nodes, ends = conversation_trie(rows, 20, borrowed_turns(F.col("conv_id")))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return (nodes.join(list_digests(ends), ["depth", "x1", "x2"], "left")
             .select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
