@@ -20,6 +20,7 @@ from rfmlens.operators import quality as Q
 from rfmlens.operators import silhouette as SL
 from rfmlens.operators.clean import clean_transactions
 from rfmlens.operators.labels import action_cards, convert_currency, interpret_clusters, quick_wins
+from rfmlens.operators.neighbors import nearest_neighbors
 from rfmlens.operators.rfm import compute_rfm, correlation_matrix, describe_features, global_kpis, score_means, snapshot_date
 from rfmlens.operators.scoring import tier_summary
 from rfmlens.operators.transform import cap_report
@@ -410,6 +411,44 @@ def q_cluster_warnings(spark, sf):
     return G.cluster_warnings(_quality_spark(spark, sf))
 
 
+def _density_sql(feature: str) -> str:
+    return f"""
+m AS (SELECT Segment, min(CAST({feature} AS DOUBLE)) AS lo, max(CAST({feature} AS DOUBLE)) AS hi, count(*) AS n,
+             1.06 * stddev_samp(CAST({feature} AS DOUBLE)) * pow(count(*), -0.2) AS h FROM scored GROUP BY Segment),
+c AS (SELECT Segment, least(floor((CAST({feature} AS DOUBLE) - lo) / (hi - lo) * 64), 63) AS j, count(*) AS c
+      FROM scored JOIN m USING (Segment) GROUP BY ALL)
+SELECT Segment, '{feature}' AS feature, CAST(bin AS INTEGER) AS bin,
+       round(sum(c * exp(-0.5 * pow((bin - j) * (hi - lo) / 64 / h, 2))) / any_value(n) / any_value(h) / sqrt(2 * pi()) * any_value(hi - lo), 6) AS density
+FROM m JOIN c USING (Segment), range(64) t(bin) GROUP BY Segment, bin"""
+
+
+def _density(spark, sf, feature):
+    d = G.density_curve(B.scored(spark, sf), feature)
+    return d.select("Segment", "feature", "bin", r(F.col("density") * F.col("width"), 6).alias("density"))
+
+
+@query("density_curves", S.with_ctes(*S.BASE, body=" UNION ALL ".join(
+    f"SELECT * FROM (WITH {_density_sql(f).strip()})" for f in ("Recency", "Frequency", "Monetary"))))
+def q_density(spark, sf):
+    """Kernel densities of the three features, times the width of their range."""
+    return _density(spark, sf, "Recency").unionAll(_density(spark, sf, "Frequency")).unionAll(_density(spark, sf, "Monetary"))
+
+
+@query("all_peers", S.with_ctes(*S.BASE, body="""
+SELECT customer_id, Segment, CAST(rank AS INTEGER) AS rank, peer, round(distance, 9) AS distance FROM (
+  SELECT a.customer_id, a.Segment, b.customer_id AS peer, sqrt(dR * dR + dF * dF + dM * dM) AS distance,
+         row_number() OVER (PARTITION BY a.customer_id ORDER BY sqrt(dR * dR + dF * dF + dM * dM), b.customer_id) AS rank
+  FROM scored a JOIN scored b ON a.Segment = b.Segment AND a.customer_id <> b.customer_id,
+       (SELECT CAST(max(Recency) AS DOUBLE) - min(Recency) + 1e-9 AS wR, CAST(max(Frequency) AS DOUBLE) - min(Frequency) + 1e-9 AS wF,
+               max(Monetary) - min(Monetary) + 1e-9 AS wM FROM scored),
+       LATERAL (SELECT (a.Recency - b.Recency) / wR AS dR, (a.Frequency - b.Frequency) / wF AS dF, (a.Monetary - b.Monetary) / wM AS dM))
+WHERE rank <= 10"""))
+def q_all_peers(spark, sf):
+    """T3 for every customer: the ten nearest of the segment."""
+    out = nearest_neighbors(B.scored(spark, sf), "customer_id", ["Recency", "Frequency", "Monetary"], "Segment")
+    return out.select("customer_id", "Segment", "rank", "peer", r("distance", 9).alias("distance"))
+
+
 #: Mean distances from the pairs of all customers.
 EUCLID_SQL = """pd AS (SELECT f.customer_id, f.Cluster AS own, g.Cluster AS other, count(*) AS N,
               sum(sqrt((f.x1 - g.x1) ** 2 + (f.x2 - g.x2) ** 2 + (f.x3 - g.x3) ** 2)) AS d

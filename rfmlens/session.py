@@ -75,6 +75,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffled
-    join). It is cached for the count, which reads ``rows`` + 1 rows at most."""
-    df = df.cache()
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    join). The rows are read once, ``rows`` + 1 at most, and a small table is made of them, so nothing stays cached."""
+    found = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)) if len(found) <= rows else df
