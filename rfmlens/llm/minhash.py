@@ -46,6 +46,7 @@ HALF = 4                   # minhashes in a half key
 MISS = 5e-6                # chance that a pair at the threshold meets in no table
 SEED = 20240611
 BROADCAST_IDS = 500_000    # ids that a broadcast may hold; beyond, a shuffled join
+SALTS = 64                 # copies of a hub's row in a shuffled join
 BLOCK = 512                # nodes of one hub that a task compares with as many others, on average
 SHINGLES = 1_000_000       # shingles of these, on average; a longer set is a block's only one at best
 
@@ -205,20 +206,25 @@ def across(proposed: DataFrame, roots: DataFrame, sets: DataFrame, pct: int, blo
         proposed.select(F.col("b").alias("hub"), F.col("b").alias("nid")).distinct())
     tagged = mine.join(label, F.col("nid") == F.col("n2"), "left").select("hub", "nid", F.coalesce("root", "nid").alias("root"))
     tagged = keep(tagged, "tagged")
-    several = tagged.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
     sizes = sets.select("nid", F.size("s").alias("n")) if sizes is None else sizes
-    parts = keep(tagged.join(several, "hub").join(sizes, "nid").groupBy("hub", "root").agg(
+    # added up by (hub, root) before anything goes by hub: a hub of a third of all nodes is a few rows by then
+    parts = keep(tagged.join(sizes, "nid").groupBy("hub", "root").agg(
         F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("w")), "parts")
 
     def blocks(c: Column, w: Column) -> Column:
         return F.ceil(F.greatest(c / block, w / SHINGLES)).cast("long")
     # the largest component's blocks come first
     top = F.max(F.struct("c", "w", "root"))
-    mixed = keep(parts.groupBy("hub").agg(top.alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"))
-                 .select("hub", F.col("top.root").alias("main"), blocks(F.col("top.c"), F.col("top.w")).alias("inner"),
+    mixed = keep(parts.groupBy("hub").agg(top.alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("roots"))
+                 .where("roots > 1").select("hub", F.col("top.root").alias("main"), blocks(F.col("top.c"), F.col("top.w")).alias("inner"),
                          blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("outer")), "mixed")
     inside, number = F.col("root") == F.col("main"), F.xxhash64("nid")
-    dealt = (tagged.join(mixed, "hub").join(sets, "nid")
+    if mixed.count() <= BROADCAST_IDS:
+        marked = tagged.join(F.broadcast(mixed), "hub")
+    else:                          # a hub's nodes go to as many tasks as it has copies
+        marked = (tagged.withColumn("salt", F.pmod(number, F.lit(SALTS)))
+                  .join(mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["hub", "salt"]).drop("salt"))
+    dealt = (marked.join(sets, "nid")
              .withColumn("own", F.when(inside, F.pmod(number, "inner")).otherwise(F.col("inner") + F.pmod(number, "outer")))
              .withColumn("other", F.explode(F.sequence(F.when(inside, F.col("inner")).otherwise(F.lit(0).cast("long")),
                                                        F.col("inner") + F.col("outer") - 1)))
