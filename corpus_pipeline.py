@@ -11,6 +11,11 @@ stage's rows as Parquet below ``spark.checkpoint.dir`` and reads them again as t
 4. mix: each document as often as the mix of its source takes it (0 to 3 times);
 5. bpe: doc_id, source, lang, n_tokens, ids and whether the decoded ids give the text.
 
+Defined results: a null or empty text fails the quality rules, so later stages meet none; null ids, sources and languages
+are values like any others, as the operators define them; rows that repeat an id and a text count as exact copies, of which
+one stays; of equal candidates the least id stays; an empty table gives an empty table after each stage; further columns of
+``documents``, whatever their names, pass through the first four stages and are left out by the last.
+
 SQL can't express the stages 3 and 4 (inferred automata, pivotal rounding), so there
 is no oracle; tests/llm holds the stages against brute force.
 """
