@@ -15,9 +15,9 @@ order, so the sweep is a sort and two passes, and no URL meets every rule.
 
 A rule's host cuts a URL's host at a label, so the sweep runs once for each
 number of labels that occurs in the rules, with the URL's key cut to as many;
-the longest of these answers wins. URLs are dealt at random over the sweep
+the longest of these answers wins. Rows are dealt by a hash of all their columns over the sweep
 buckets, each of which gets all rules' ends: no host, however hot, gathers in
-one task, and rules cost (buckets x rules) small rows. Rows are carried through;
+one task (only rows equal in every column do), a stage that runs again deals them alike, and rules cost (buckets x rules) small rows. Rows are carried through;
 nothing is joined back.
 
 Defined results: null URLs or those without ``://`` have empty host and path and
@@ -79,10 +79,11 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     depths = sorted(r[0] for r in rules.select(F.size("labels")).distinct().collect())
 
     row = F.struct(*[pages[c].alias(f"c{i}") for i, c in enumerate(pages.columns)])
+    hashed = [pages[f.name] for f in pages.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     host, path = host_of(pages[url]), path_of(pages[url])
     points = pages.select(
         row.alias("row"), host.alias("host"), path.alias("path"), F.reverse(F.split(host, r"\.")).alias("labels"),
-        F.floor(F.rand(11) * n).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("edge"),
+        F.pmod(F.xxhash64(*hashed), F.lit(n)).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("edge"),
         F.lit(0).alias("step"), F.lit(0).alias("depth"),
         F.lit(None).cast("struct<len:int,host:string,rule:string,verdict:string>").alias("hit"))
     start = _key(F.col("labels"), F.size("labels"), F.col("path"))
