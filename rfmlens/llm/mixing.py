@@ -24,7 +24,8 @@ whole copies are shared out among them.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; a null source
 is a source of its own, the last; rows with null ids count like any others; a
-source of size 0 has target 0; an empty table gives an empty result.
+source of size 0 has target 0; an empty table gives an empty result; further columns, whatever their names, are
+ignored by the query's figures and kept by ``take_mix``.
 """
 
 from __future__ import annotations
@@ -55,8 +56,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) ->
            .withColumn("total", F.sum("source_size").over(Window.partitionBy()).cast("double")))
     # sources fill up in order of cap / weight; a level t leaves (total - caps before) to the weights from here on
     by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))
+    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))
+    # a frame that ends with the last row would be added up anew for each row; weights are whole numbers, so this is exact
+    rest = F.sum("w").over(Window.partitionBy()) - F.coalesce(F.sum("w").over(earlier), F.lit(0.0))
     level = (F.col("total") - before) / rest
     per = per.withColumn("level", level)
     # the first level that does not lift its own source above the cap holds for it and all after it
