@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rfmlens.functions import strip_ws
 
-#: Formats with one reading, tried in order after ISO text.
-PLAIN = ["yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "d.M.yyyy", "d.M.yyyy H:mm", "d.M.yyyy H:mm:ss",
-         "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy"]
+_N, _TIME = r"[+-]?\d+", r"\d\d:\d\d"
+#: Formats with one reading, tried in order after ISO text, and the shape that each text of a format has: a text that a format
+#: can't read costs an exception, so only those of its shape are tried.
+PLAIN = {"yyyy/MM/dd HH:mm:ss": rf"{_N}/\d\d/\d\d {_TIME}:\d\d", "yyyy/MM/dd HH:mm": rf"{_N}/\d\d/\d\d {_TIME}", "yyyy/MM/dd": rf"{_N}/\d\d/\d\d",
+         "d.M.yyyy": rf"{_N}\.{_N}\.{_N}", "d.M.yyyy H:mm": rf"{_N}\.{_N}\.{_N} {_N}:\d\d", "d.M.yyyy H:mm:ss": rf"{_N}\.{_N}\.{_N} {_N}:\d\d:\d\d",
+         "d MMM yyyy": rf"{_N} \D+ {_N}", "d-MMM-yyyy": rf"{_N}-\D+-{_N}", "MMM d, yyyy": rf"\D+ {_N}, {_N}"}
 #: Two numbers of one or two digits, a year of four and maybe a time.
 _TWO_WAYS = r"^\d{1,2}([/-])\d{1,2}\1\d{4}(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?$"
 MONTH_FIRST, DAY_FIRST = "month_first", "day_first"
@@ -36,9 +39,13 @@ def readings(c: Column, dtype: T.DataType) -> tuple[Column, Column, Column]:
         return F.coalesce(F.get(numbers, F.lit(i)), F.lit(0))
 
     def read(month: int, day: int) -> Column:
-        made = F.try_make_timestamp_ntz(part(2), part(month), part(day), part(3), part(4), part(5).cast("decimal(8, 6)"))
-        return F.when(two_ways, made)
-    plain = F.when(~two_ways, F.coalesce(s.try_cast("timestamp_ntz"), *[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in PLAIN]))
+        y, m, d = part(2), part(month), part(day)
+        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        days = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+        real = m.between(1, 12) & d.between(1, days) & part(3).between(0, 23) & part(4).between(0, 59) & part(5).between(0, 60)
+        return F.when(two_ways & real, F.try_make_timestamp_ntz(y, m, d, part(3), part(4), part(5).cast("decimal(8, 6)")))
+    tries = [F.when(s.rlike(f"^{shape}$"), F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz")) for f, shape in PLAIN.items()]
+    plain = F.when(~two_ways, F.coalesce(s.try_cast("timestamp_ntz"), *tries))
     return plain, read(0, 1), read(1, 0)
 
 
@@ -61,18 +68,27 @@ def dates(plain: Column, month_first: Column, day_first: Column, order: str | No
 
 
 def date_format_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For each column: its order (NULL without ambiguous values), rows read plainly, either way, in one order only, and not at all,
-    in one pass over the rows."""
-    aggs, kinds = [], {f.name: f.dataType for f in df.schema.fields}
-    for i, c in enumerate(columns):
-        value = F.col(f"`{c}`")
-        parts = readings(value, kinds[c])
-        aggs += [v.alias(f"{k}{i}") for k, v in counts(*parts).items()]
-        aggs.append(F.count_if(value.isNotNull() & F.coalesce(*parts).isNull()).alias(f"unread{i}"))
-    row = df.agg(*aggs).first()
+    """For each column: its order (NULL without ambiguous values), rows read plainly, either way, in one order only, and not at all.
+    Texts are read value by value, each reading once, in one pass over the rows; columns of dates are counted in another."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    dated = [c for c in columns if isinstance(kinds[c], (T.TimestampNTZType, T.TimestampType, T.DateType))]
+    texts = [c for c in dict.fromkeys(columns) if c not in dated]
+    found: dict[str, dict] = {c: dict.fromkeys(("plain", "both", MONTH_FIRST, DAY_FIRST, "unread"), 0) for c in columns}
+    if dated:
+        row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(dated)]).first()
+        for i, c in enumerate(dated):
+            found[c]["plain"] = row[f"n{i}"]
+    if texts:
+        values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("s")) for i, c in enumerate(texts)])
+        long = df.select(F.inline(values))
+        read = long.select("i", "s", *[v.alias(k) for k, v in zip("pmd", readings(F.col("s"), T.StringType()))])
+        ways = [F.col(k) for k in "pmd"]
+        unread = F.count_if(F.col("s").isNotNull() & F.coalesce(*ways).isNull()).alias("unread")
+        for r in read.groupBy("i").agg(*[v.alias(k) for k, v in counts(*ways).items()], unread).collect():
+            found[texts[r["i"]]] = r.asDict()
     out = []
-    for i, c in enumerate(columns):
-        n = {k: row[f"{k}{i}"] for k in ("plain", "both", MONTH_FIRST, DAY_FIRST, "unread")}
+    for c in columns:
+        n = found[c]
         out.append((c, settled(n), n["plain"], n["both"], n[MONTH_FIRST], n[DAY_FIRST], n["unread"]))
     return df.sparkSession.createDataFrame(out, "column STRING, date_order STRING, plain LONG, both LONG, month_first_only LONG, "
                                                 "day_first_only LONG, unread LONG")

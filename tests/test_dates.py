@@ -40,3 +40,19 @@ def test_cleaner_reads_and_reports_the_order(spark):
     assert report.where("section = 'imputed' AND key = 'invoice_date'").first().value == 1
     plain = clean_transactions(df.where("invoice = '2'"))[1]
     assert plain.where("section = 'date_format'").count() == 0
+
+
+def test_only_texts_of_a_formats_shape_are_tried(spark):
+    import re
+
+    from rfmlens.operators.dates import PLAIN
+    texts = ["garbage", "3 Feb 2011", "2011/02/03 04:05", "30/02/2011", "x" * 30]
+    assert {x: sum(bool(re.fullmatch(shape, x)) for shape in PLAIN.values()) for x in texts} == dict(zip(texts, (0, 1, 1, 0, 0)))
+    assert _read(spark, ["29/02/2012", "29/02/2011", "31/04/2011", "1/2/2011 24:00", "29/02/1900", "29/02/2000"], "day_first") == [
+        dt.datetime(2012, 2, 29), None, None, None, None, dt.datetime(2000, 2, 29)]
+
+
+def test_texts_and_dates_in_one_table(spark):
+    df = spark.createDataFrame([("02/03/2011", dt.date(2011, 1, 2)), (None, None), ("no", dt.date(2011, 1, 3))], "a string, b date")
+    rows = {r["column"]: tuple(r)[1:] for r in date_format_table(df, ["a", "b"]).collect()}
+    assert rows == {"a": ("month_first", 0, 1, 0, 0, 1), "b": (None, 2, 0, 0, 0, 0)}
