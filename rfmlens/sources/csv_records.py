@@ -9,6 +9,9 @@ Spark splits a CSV file among tasks only if no record spans lines. Here a file i
 3. a second read cuts the lines into records. One that is whole in its split is a row at once; only pieces of a record that
    crosses a border are brought together. Spark's own CSV parser takes each record apart.
 
+Most lines are whole records. They are told from the others for a batch at once (``CLOSED``), counted and passed on as
+columns; only the lines from one that isn't to the next place between records are gone through one by one.
+
 So a record's number is its place in the input (header and empty lines not counted, files by path), the same
 for any size of splits, and no line is shuffled but those at borders.
 """
@@ -18,7 +21,9 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -48,43 +53,90 @@ def quoted_after(line: str, quoted: bool) -> bool:
         at = comma + 1
 
 
+_FIELD = r'"(?:[^"]|"")*"(?:[^",][^,]*)?|[^",][^,]*|'
+#: A line after which the text is between records if it was so before it: ``not quoted_after(line, False)``.
+CLOSED = rf"\A(?:{_FIELD})(?:,(?:{_FIELD}))*\z"
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("lineSep", "\n").text(path)
             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")))
 
 
-def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], str]]:
-    """((file, start), line) in order."""
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array, np.ndarray, np.ndarray]]:
+    """((file, start), lines, places of those that aren't closed, which are blank) in order; a split may come in several parts."""
     for batch in batches:
-        for line, file, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            yield (file, start), line.removeprefix("﻿") if start == 0 else line
+        lines, start = batch.column(0), batch.column(2).to_numpy()
+        files = pc.dictionary_encode(batch.column(1))
+        code = files.indices.to_numpy()
+        ends = [*(np.flatnonzero((np.diff(start) != 0) | (np.diff(code) != 0)) + 1).tolist(), len(lines)]
+        for i, j in zip([0, *ends], ends):
+            if i < j:
+                part = lines.slice(i, j - i)
+                if start[i] == 0:
+                    part = pc.if_else(pc.starts_with(part, "\ufeff"), pc.utf8_slice_codeunits(part, 1), part)
+                blank = pc.or_(pc.equal(part, ""), pc.equal(part, "\r")).to_numpy(zero_copy_only=False)
+                yield (files.dictionary[code[i]].as_py(), int(start[i])), part, _open(part), blank
+
+
+def _open(lines: pa.Array) -> np.ndarray:
+    return np.flatnonzero(~pc.match_substring_regex(lines, CLOSED).to_numpy(zero_copy_only=False))
+
+
+def _state(lines: pa.Array, opened: np.ndarray, at: int, quoted: bool) -> tuple[int, bool]:
+    """(place, state) after the lines that have to be gone through one by one from a place on: between records, all up to the next
+    line that isn't closed are passed over."""
+    if not quoted:
+        k = np.searchsorted(opened, at)
+        if k == len(opened):
+            return len(lines), False
+        at = int(opened[k])
+    return at + 1, quoted_after(lines[at].as_py(), quoted)
 
 
 def _blank(line: str) -> bool:
     return line in ("", "\r")
 
 
-def _surveyed(lines: DataFrame) -> list[tuple[str, int, list[bool], list[int]]]:
-    """(file, start, states after, records begun) of each split, for both states before it, in file order."""
+def _begun(lines: pa.Array, opened: np.ndarray, blank: np.ndarray, quoted: bool) -> tuple[bool, int]:
+    """(state after, records begun) of lines."""
+    at, n = 0, 0
+    while at < len(lines):
+        after, state = _state(lines, opened, at, quoted)
+        if not quoted:
+            n += int(after - at - blank[at:after].sum())
+        at, quoted = after, state
+    return quoted, n
+
+
+def _surveyed(lines: DataFrame) -> list[tuple[str, int, list[bool], list[int], str | None]]:
+    """(file, start, states after, records begun, the file's first record if it is one line) of each split, the second and third for
+    both states before it, in file order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state, n = None, [False, True], [0, 0]
+        at, state, n, top = None, [False, True], [0, 0], None
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"file": at[0], "start": at[1], "out0": state[0], "out1": state[1], "n0": n[0], "n1": n[1]}], schema)
-        for split, line in _by_split(batches):
+            return pa.RecordBatch.from_pylist([{"file": at[0], "start": at[1], "out0": state[0], "out1": state[1], "n0": n[0], "n1": n[1], "top": top}], schema)
+        for split, lines, opened, blank in _by_split(batches):
             if split != at:
                 if at is not None:
                     yield row()
-                at, state, n = split, [False, True], [0, 0]
-            for i in (0, 1):
-                if not state[i] and not _blank(line):
-                    n[i] += 1
-                state[i] = quoted_after(line, state[i])
+                at, state, n, top = split, [False, True], [0, 0], None
+            if top is None and split[1] == 0 and not n[0] and not blank.all():
+                head = int(np.flatnonzero(~blank)[0])
+                top = lines[head].as_py() if head not in opened else None
+            if state[0] == state[1]:
+                state[0], more = _begun(lines, opened, blank, state[0])
+                state[1], n = state[0], [n[0] + more, n[1] + more]
+            else:
+                for i in (0, 1):
+                    state[i], more = _begun(lines, opened, blank, state[i])
+                    n[i] += more
         if at is not None:
             yield row()
-    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("out0", pa.bool_()), ("out1", pa.bool_()), ("n0", pa.int64()), ("n1", pa.int64())])
-    rows = lines.mapInArrow(run, "file string, start long, out0 boolean, out1 boolean, n0 long, n1 long").collect()
-    return [(r["file"], r["start"], [r["out0"], r["out1"]], [r["n0"], r["n1"]]) for r in sorted(rows, key=lambda r: (r["file"], r["start"]))]
+    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("out0", pa.bool_()), ("out1", pa.bool_()), ("n0", pa.int64()), ("n1", pa.int64()), ("top", pa.string())])
+    rows = lines.mapInArrow(run, "file string, start long, out0 boolean, out1 boolean, n0 long, n1 long, top string").collect()
+    return [(r["file"], r["start"], [r["out0"], r["out1"]], [r["n0"], r["n1"]], r["top"]) for r in sorted(rows, key=lambda r: (r["file"], r["start"]))]
 
 
 def csv_records(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, str | None]:
@@ -92,14 +144,16 @@ def csv_records(spark: SparkSession, path: str, header: bool = True) -> tuple[Da
     and each file's first record is none of the records."""
     lines = _lines(spark, path)
     splits: dict[tuple[str, int], tuple[bool, int, int, int]] = {}     # quoted at the begin, number of the next record, place, file
-    number, quoted, before, files = 0, False, None, -1
-    for place, (file, start, out, begun) in enumerate(_surveyed(lines)):
+    number, quoted, before, files, first_record, pieced = 0, False, None, -1, None, False
+    for place, (file, start, out, begun, head) in enumerate(_surveyed(lines)):
         if file != before:                                             # each file starts between records, its header isn't counted
             quoted, before, files = False, file, files + 1
             number -= bool(header and begun[0])
+            first_record = head if not files else first_record
         splits[file, start] = quoted, number, place, files
         number += begun[quoted]
         quoted = out[quoted]
+        pieced = pieced or quoted
     known = spark.sparkContext.broadcast(splits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +165,7 @@ def csv_records(spark: SparkSession, path: str, header: bool = True) -> tuple[Da
                 text = "\n".join(held)
                 rows.append({"file": file, "number": number, "place": -1 if whole else place, "record": text, "top": first})
                 held.clear()
-        for split, line in _by_split(batches):
+        for split, lines, opened, blank in _by_split(batches):
             if split != at:
                 put(not quoted and not cut)
                 if split not in known.value:
@@ -122,29 +176,51 @@ def csv_records(spark: SparkSession, path: str, header: bool = True) -> tuple[Da
                 cut, number = quoted, number - 1
                 first = False
                 top = split[1] == 0 and not quoted
-            if not quoted:
-                put(not cut)
-                cut = False
-                if _blank(line):
-                    continue
-                number += 1
-                first, top = top, False
-            held.append(line)
-            quoted = quoted_after(line, quoted)
+            i = 0
+            while i < len(lines):
+                if not quoted:
+                    put(not cut)
+                    cut = False
+                    # whole records up to the next line that isn't closed
+                    k = np.searchsorted(opened, i)
+                    j = int(opened[k]) if k < len(opened) else len(lines)
+                    full = np.flatnonzero(~blank[i:j])
+                    if len(full):
+                        if rows:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows.clear()
+                        tops = np.zeros(len(full), bool)
+                        tops[0], top = top, False
+                        yield pa.record_batch([pa.array(np.full(len(full), file)), pa.array(number + 1 + np.arange(len(full))), pa.array(np.full(len(full), -1)),
+                                               lines.slice(i, j - i).take(pa.array(full)), pa.array(tops)], schema=schema)
+                        number += len(full)
+                    if j == len(lines):
+                        break
+                    i = j
+                    number += 1
+                    first, top = top, False
+                line = lines[i].as_py()
+                held.append(line)
+                quoted = quoted_after(line, quoted)
+                i += 1
             if len(rows) >= 10_000:
                 yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
+                rows.clear()
         put(not quoted and not cut)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
     schema = pa.schema([("file", pa.int64()), ("number", pa.int64()), ("place", pa.int64()), ("record", pa.string()), ("top", pa.bool_())])
     cuts = lines.mapInArrow(run, "file long, number long, place long, record string, top boolean")
-    pieces = (cuts.where("place >= 0").groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("place", "record", "top"))).alias("p"))
-              .select("file", "number", F.array_join(F.col("p.record"), "\n").alias("record"), F.get("p.top", F.lit(0)).alias("top")))
-    every = cuts.where("place < 0").select("file", "number", "record", "top").unionAll(pieces)
+    every = cuts.where("place < 0").select("file", "number", "record", "top")
+    if pieced:                                                         # else every record is whole in its split
+        pieces = (cuts.where("place >= 0").groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("place", "record", "top"))).alias("p"))
+                  .select("file", "number", F.array_join(F.col("p.record"), "\n").alias("record"), F.get("p.top", F.lit(0)).alias("top")))
+        every = every.unionAll(pieces)
     every = every.withColumn("record", F.regexp_replace("record", r"\r\z", ""))
     if not header:
         return every.select("number", "record"), None
+    if first_record is not None:
+        return every.where("NOT top").select("number", "record"), first_record.removesuffix("\r")
     top = every.where("top AND file = 0").first()
     return every.where("NOT top").select("number", "record"), top["record"] if top else None
 

@@ -6,6 +6,8 @@ import os
 import random
 import tempfile
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from rfmlens.sources.csv_records import csv_records, header_names, quoted_after, read_csv
@@ -92,3 +94,11 @@ def test_generated_ids_are_the_rows_places(spark):
             assert [r.invoice_id for r in got] == [f"i{i}" if i % 5 else f"INV_{i}" for i in range(100)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_told_at_once_are_those_told_one_by_one():
+    from rfmlens.sources.csv_records import CLOSED
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice('",a \ré') for _ in range(rnd.randrange(9))) for _ in range(5000)]
+    told = pc.match_substring_regex(pa.array(lines), CLOSED).to_pylist()
+    assert told == [not quoted_after(x, False) for x in lines]
