@@ -204,9 +204,10 @@ typed AS (""", 1)
 
 @query("clean_csv_ids", S.with_ctes(NUMBERED_SQL, body="SELECT customer_id, invoice_id, CAST(row_key AS BIGINT) AS place FROM txn"))
 def q_csv_ids(spark, sf):
-    """Ids generated from a record's place in the file, every cleaned line."""
+    """Ids generated from a record's place in the input, every cleaned line. Sorted ranges are files in the order
+    of their paths, which is that of the records."""
     path = scratch_path(spark, "places")
-    write_scored(dirty_lines(spark, sf).orderBy(*[f"`{c}`" for c in FILE_ORDER]).coalesce(1), path, "csv")
+    write_scored(dirty_lines(spark, sf).orderBy(*[f"`{c}`" for c in FILE_ORDER]), path, "csv")
     lines, _ = clean_transactions(read_transactions(spark, path, row_id="place"), row_id_col="place")
     return lines.select("customer_id", "invoice_id", "place")
 

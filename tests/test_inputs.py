@@ -123,3 +123,16 @@ def test_training_report(spark):
     assert meta["fit_verdict"] == fit_verdict(meta["silhouette_euclidean"], 0.3, 0.4) and meta["silhouette_error"] <= 1e-6
     assert meta["silhouette_euclidean"] != meta["silhouette_sq_euclidean"]
     res.release()
+
+
+def test_numbered_csv_is_written_in_many_sorted_files(spark, monkeypatch):
+    from rfmlens.plans import input_queries as I
+    seen = []
+    monkeypatch.setattr(I, "write_scored", lambda df, path, fmt: (seen.append(df.rdd.getNumPartitions()), write_scored(df, path, fmt)))
+    from rfmlens.sources.writers import write_scored
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert I.q_csv_ids(spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert seen[0] > 1
