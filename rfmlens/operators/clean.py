@@ -157,8 +157,10 @@ def clean_transactions(df: DataFrame, row_id_col: str | None = None, strict: boo
             return frame.withColumn(role, value)
         med = _customer_medians(frame, value, todo, pool)
         fallback = _global_median(frame.where(pool), value)
-        joined = frame.join(med, F.col("customer_id") == F.col("_who"), "left")
-        return joined.withColumn(role, F.when(todo, F.coalesce("_med", F.lit(fallback))).otherwise(value)).drop("_who", "_med")
+        # only the rows in need move to their customer's median, once; the others stay where they are
+        filled = (frame.where(todo).join(med, F.col("customer_id") == F.col("_who"), "left")
+                  .withColumn(role, F.coalesce("_med", F.lit(fallback))).drop("_who", "_med").checkpoint(eager=True))
+        return frame.where(~F.coalesce(todo, F.lit(False))).withColumn(role, value).unionByName(filled)
     value_name = {"quantity": "q", "unit_price": "p"}
     flagged = fill(flagged, q, "quantity", q.isNull(), q.isNotNull())
     stays = F.col("quantity") > 0

@@ -65,3 +65,13 @@ def test_properties_no_nulls(spark):
     rep = {(x["section"], x["key"]): x["value"] for x in report.collect()}
     dropped = sum(v for (s, _), v in rep.items() if s == "dropped")
     assert rep[("rows", "original_rows")] - dropped == rep[("rows", "clean_rows")] == r["n"]
+
+
+def test_only_rows_in_need_move_to_their_medians(spark, monkeypatch):
+    from rfmlens.operators import clean
+    monkeypatch.setattr(clean, "BROADCAST_MEDIANS", 0)
+    rows = [(f"c{i % 7}", str(i), "2011-01-01", None if i % 11 == 0 else str(i % 5 + 1), "x" if i % 13 == 0 else "2.5") for i in range(300)]
+    df = spark.createDataFrame(rows, "customer string, invoice string, date string, qty string, price string")
+    lines, _ = clean.clean_transactions(df)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert lines.count() == 300 and "Join" not in plan
