@@ -101,3 +101,50 @@ def test_all_customers(spark):
     got = SL.euclidean_summary(SL.euclidean_points(df, cols))
     want = brute(rows[cols].values, rows["Cluster"].values)
     assert abs(got[SL.EUCLIDEAN] - want.mean()) < 1e-6 and got["n_negative_euclidean"] == (want < 0).sum()
+
+
+def _planes(n: int, seed: int = 5) -> np.ndarray:
+    """Points of a few values of the second feature, as counts of orders are."""
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.random(n), rng.integers(0, 18, n) / 18, rng.random(n)], axis=1)
+
+
+def test_work_of_a_point_grows_slower_than_the_table_in_regions():
+    """Eight times the points: what a point meets, of nodes and of other points, counted once each."""
+    seen = []
+    for n in (64_000, 512_000):
+        x, held = _planes(n), {(0, 0, 0, 0)}
+        code = np.floor(x * 2 ** SL.DEPTH).astype(int)
+        rows = [(0, 0, 0, 0, n, *x.min(axis=0), *x.max(axis=0))]
+        for level in range(1, 8):
+            cells, at, count = np.unique(code >> (SL.DEPTH - level), axis=0, return_inverse=True, return_counts=True)
+            by = np.argsort(at.ravel(), kind="stable")
+            starts = np.concatenate([[0], np.cumsum(count)[:-1]])
+            low, high = np.minimum.reduceat(x[by], starts), np.maximum.reduceat(x[by], starts)
+            found = [(level, *c, int(m), *a, *b) for c, m, a, b in zip(cells.tolist(), count, low, high) if (level - 1, *(v >> 1 for v in c)) in held]
+            held = {r[:4] for r in found if r[4] > 1024}
+            rows += found
+        tree = SL.Tree([0.0] * 3, 1.0, rows, 1024, 10)
+        region, leaves, work, points = tree.regions(n // 64), np.flatnonzero(~tree.inner), 0, 0
+        nodes = tree.grids.prod(axis=1)
+        for a in np.unique(region[leaves])[::9].tolist():
+            for i, (leaf, parts, near) in enumerate(tree.plan(a, leaves[region[leaves] == a].tolist(), 1e-6)):
+                assert sum(int(tree.points[cells].sum()) for _, cells, _ in parts if cells) + int(tree.points[near].sum()) == n
+                points += int(tree.points[leaf])
+                work += int(tree.points[near].sum() * tree.points[leaf])
+                for j, (cell, cells, _) in enumerate(parts):
+                    if cells and (j or not i):
+                        work += int(nodes[cells].sum() * (nodes[cell] if cell >= 0 else tree.points[leaf]))
+        seen.append(work / points)
+    assert seen[1] < 0.4 * 512_000 and seen[1] < 3.5 * seen[0]
+
+
+def test_regions_of_several_leaves(spark, monkeypatch):
+    monkeypatch.setattr(SL, "REGIONS", 10)
+    x = _planes(4000)
+    c = (x[:, 0] * 2 + x[:, 1] * 2).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "d": x[:, 2], "Cluster": c}))
+    rows = SL.euclidean_points(df, COLS, tol=1e-2, leaf=40).toPandas()
+    assert (rows["error"] > 0).any() and rows["n"].sum() == 4000
+    want = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "d": x[:, 2], "want": brute(x, c)}).merge(rows, on=COLS)
+    assert len(want) == 4000 and (np.abs(want[SL.EUCLIDEAN] - want["want"]) <= want["error"] + 1e-9).all()
