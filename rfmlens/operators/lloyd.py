@@ -3,9 +3,9 @@
 Distinct points with weights are packed into blocks of neighbours, cached as arrays. A pass sends the centres of
 all sets that haven't converged to every block and adds up, for each centre, the weight and the sum of the points nearest to it:
 
-* **bounds**: a centre whose distance to a block's middle is more than the least one plus twice the block's radius is
-  nearest to none of its points (triangle inequality). Where one centre is left, the block counts as a whole, by its
-  sums; only the other blocks' points are compared, and only for the sets that need it;
+* **bounds**: a centre that doesn't beat the one nearest to a block's middle at any corner of the block's box is nearest to
+  none of its points (the difference of two squared distances is linear). Where one centre is left, the block counts as a whole,
+  by its sums; only the other blocks' points are compared, and only for the sets that need it;
 * **dropping out**: a set whose centres moved at most ``tol`` is done, and later passes don't hold it;
 * **seeding** is greedy k-means++: a point is drawn with probability as its weight times its squared distance to the
   centres so far, as the least of the keys -log(u) / (w * d^2), where u is a hash of seed, draw and the point itself, so the
@@ -19,15 +19,17 @@ its work: then every task holds the points and runs the same passes over them fo
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 256                # points of a block
-POINTS_PER_TASK = 1 << 16  # at most; few points are spread over the session's cores, ``LEAST`` in a task
+TOGETHER = 64              # blocks whose bounds are found at a time
+POINTS_PER_TASK = 1 << 17  # at most; few points are spread over the session's cores, ``LEAST`` in a task
 LEAST = 1 << 10
 HELD = 1 << 16             # points that a task holds as a whole (2 MB for three features)
 DIRECT = 64                # tasks whose sums the driver adds itself; those of more are added by an aggregate first
@@ -137,39 +139,50 @@ def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[Block]:
 
 def _step(x: np.ndarray, w: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """(sets, k, 2 + d): weight, cost and weighted sums of a block's points by nearest centre, for ``sets`` (sets, k, d)."""
+    return _steps([(x, w)], sets)
+
+
+def _steps(blocks: Sequence[Block], sets: np.ndarray) -> np.ndarray:
+    """``_step``, added up over blocks: the bounds of all at once, then the points of those whose boxes lie between centres."""
     s, k, d = sets.shape
-    out = np.zeros((s, k, 2 + d))
-    total = w.sum()
-    first = w @ x
-    middle = first / total
-    radius = np.sqrt(((x - middle) ** 2).sum(axis=1).max())
-    to_middle = np.sqrt(((sets - middle) ** 2).sum(axis=2))
-    near = to_middle <= to_middle.min(axis=1, keepdims=True) + 2 * radius * (1 + 1e-9) + 1e-12
-    one = near.sum(axis=1) == 1
-    if one.any():
-        at = np.flatnonzero(one)
-        which = near[at].argmax(axis=1)
-        spread = (w * ((x - middle) ** 2).sum(axis=1)).sum()
-        out[at, which, 0] = total
-        out[at, which, 1] = spread + total * to_middle[at, which] ** 2
-        out[at, which, 2:] = first
-    rest = np.flatnonzero(~one)
-    if len(rest):
-        some = sets[rest]
-        far = (some ** 2).sum(axis=2).ravel() - 2 * (x @ some.reshape(-1, d).T)          # less |x|^2
-        far = far.reshape(len(x), len(rest), k)
-        label = far.argmin(axis=2)
-        cost = np.take_along_axis(far, label[:, :, None], axis=2)[:, :, 0] + (x ** 2).sum(axis=1)[:, None]
-        place = (label + np.arange(len(rest)) * k).ravel()
-        n = len(rest) * k
-
-        def add(v: np.ndarray) -> np.ndarray:
-            return np.bincount(place, v.ravel(), minlength=n).reshape(len(rest), k)
-        each = np.repeat(w[:, None], len(rest), axis=1)
-        out[rest, :, 0] = add(each)
-        out[rest, :, 1] = add(each * np.maximum(cost, 0))
-        for i in range(d):
-            out[rest, :, 2 + i] = add(each * x[:, i, None])
+    sizes = np.array([len(w) for _, w in blocks])
+    starts = np.cumsum(sizes) - sizes
+    x, w = np.concatenate([x for x, _ in blocks]), np.concatenate([w for _, w in blocks])
+    total, first = np.add.reduceat(w, starts), np.add.reduceat(w[:, None] * x, starts, axis=0)
+    middle = first / total[:, None]
+    u = x - np.repeat(middle, sizes, axis=0)
+    square = w * (u ** 2).sum(axis=1)
+    parts = np.column_stack([w, square, w[:, None] * u])
+    lo, hi = np.minimum.reduceat(u, starts, axis=0), np.maximum.reduceat(u, starts, axis=0)
+    ends = [sets[:, :, i] - middle[:, i, None, None] for i in range(d)]            # (blocks, sets, k) each
+    to_middle = sum(e ** 2 for e in ends)
+    best = to_middle.argmin(axis=2)[:, :, None]
+    # a centre is nearest to a point only if it beats the middle's nearest one at its best corner of the block's box
+    reach = 0
+    for i, e in enumerate(ends):
+        apart = 2 * (e - np.take_along_axis(e, best, axis=2))
+        reach = reach + np.maximum(apart * lo[:, i, None, None], apart * hi[:, i, None, None])
+    near = to_middle - np.take_along_axis(to_middle, best, axis=2) <= reach * (1 + 1e-9) + 1e-12
+    alone = near.sum(axis=2) == 1
+    block, of = np.nonzero(alone)
+    which = best[block, of, 0]
+    place, n = of * k + which, s * k
+    whole = np.column_stack([total, np.add.reduceat(square, starts), first])[block]
+    whole[:, 1] += total[block] * to_middle[block, of, which]
+    out = np.stack([np.bincount(place, v, minlength=n) for v in whole.T], axis=1).reshape(s, k, 2 + d).astype(float)
+    for i in np.flatnonzero(~alone.all(axis=1)):
+        rest, mine = np.flatnonzero(~alone[i]), slice(starts[i], starts[i] + sizes[i])
+        some = sets[rest] - middle[i]
+        norm = to_middle[i, rest]
+        far = (some.reshape(-1, d) @ (-2 * u[mine]).T).reshape(len(rest), k, -1)   # less |u|^2
+        far += norm[:, :, None]
+        at = far <= far.min(axis=1, keepdims=True)
+        if np.count_nonzero(at) > len(rest) * sizes[i]:                            # of equal distances the first counts
+            at = np.arange(k)[:, None] == far.argmin(axis=1)[:, None]
+        v = (at.reshape(len(rest) * k, -1).astype(float) @ parts[mine]).reshape(len(rest), k, 2 + d)
+        v[:, :, 1] = np.maximum(v[:, :, 1] - 2 * (v[:, :, 2:] * some).sum(axis=2) + v[:, :, 0] * norm, 0)
+        v[:, :, 2:] += v[:, :, :1] * middle[i]
+        out[rest] += v
     return out
 
 
@@ -183,9 +196,9 @@ def _pass(data: Spread | Held, sets: list[np.ndarray]) -> list[np.ndarray]:
 
     def total(blocks: Iterator[Block]) -> np.ndarray:
         sums = {k: np.zeros((*c.shape[:2], 2 + d)) for k, c in stacked.items()}
-        for x, w in blocks:
+        for some in batched(blocks, TOGETHER):
             for k, c in stacked.items():
-                sums[k] += _step(x, w, c)
+                sums[k] += _steps(some, c)
         return np.concatenate([v.ravel() for v in sums.values()])
     flat, at = data.add(total), 0
     out: list[np.ndarray] = [np.zeros(0)] * len(sets)

@@ -48,6 +48,34 @@ def test_step_equals_brute_force():
                 assert np.allclose(s[j], [w[mine].sum(), (w * far.min(axis=1))[mine].sum(), *(w[mine] @ x[mine])], atol=1e-9)
 
 
+def test_steps_of_blocks_add_up():
+    rng = np.random.default_rng(3)
+    blocks = [(m + 0.2 * rng.random((n, 3)), rng.integers(1, 5, n).astype(float)) for m, n in ((0.1, 256), (0.5, 90), (0.7, 1), (0.4, 256))]
+    sets = rng.random((20, 4, 3))
+    sets[3, 2] = sets[3, 0]                     # equal centres: the first has the points
+    sets[4] = sets[4, 0]
+    x, w = np.concatenate([x for x, _ in blocks]), np.concatenate([w for _, w in blocks])
+    for s, c in zip(LL._steps(blocks, sets), sets):
+        far = ((x[:, None] - c) ** 2).sum(axis=2)
+        label = far.argmin(axis=1)
+        for j in range(4):
+            mine = label == j
+            assert s[j, 0] == w[mine].sum()
+            assert np.allclose(s[j], [w[mine].sum(), (w * far.min(axis=1))[mine].sum(), *(w[mine] @ x[mine])], atol=1e-9)
+
+
+def test_points_are_compared_only_where_the_box_lies_between_centres(monkeypatch):
+    compared, count = [], np.count_nonzero
+    monkeypatch.setattr(LL.np, "count_nonzero", lambda v: compared.append(v.shape) or count(v))
+    rng = np.random.default_rng(4)
+    flat = rng.random((256, 3)) * (0.01, 2, 2)  # thin along x, wide along the others
+    sets = np.array([[[0.0, 1, 1], [1.0, 1, 1]]])
+    for at, blocks in ((0.3, 0), (0.495, 1), (0.6, 0)):
+        compared.clear()
+        got = LL._steps([(flat + (at, 0, 0), np.ones(256))], sets)
+        assert len(compared) == blocks and got[0, :, 0].sum() == 256
+
+
 @pytest.mark.parametrize("held", [0, 1 << 16])
 def test_every_set_ends_where_a_fit_by_itself_does(spark, monkeypatch, held):
     monkeypatch.setattr(LL, "HELD", held)

@@ -148,3 +148,12 @@ def test_regions_of_several_leaves(spark, monkeypatch):
     assert (rows["error"] > 0).any() and rows["n"].sum() == 4000
     want = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "d": x[:, 2], "want": brute(x, c)}).merge(rows, on=COLS)
     assert len(want) == 4000 and (np.abs(want[SL.EUCLIDEAN] - want["want"]) <= want["error"] + 1e-9).all()
+
+
+def test_far_sums_equal_plain_sums():
+    rng = np.random.default_rng(7)
+    x, y, w = 0.03 * rng.random((130, 3)), rng.random((1100, 3)) + (0.06, 0, 0), rng.random((1100, 4))
+    plain = (np.sqrt(((x[:, None] - y) ** 2).sum(axis=2))) @ w
+    for f in (SL._sums, SL._far_sums):
+        assert np.allclose(f(x, y, w), plain, rtol=1e-13, atol=0)
+    assert np.array_equal(SL._sums(x, y[:0], w[:0]), np.zeros((130, 4)))
